@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe
+from textloom.llm import bpe, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +28,27 @@ def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     )
 
 
+def joined_spans(spans: str = "spans", kinds: tuple[str, ...] | None = None) -> Column:
+    """kind:start:end of the spans, comma-joined."""
+    some = F.col(spans) if kinds is None else F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base shapes, and literals assigned to sensitive names."""
+    found = secrets.scan(documents(spark, sf_dir))
+    base = ("assign", "access", "hex")
+    return found.select(
+        "doc_id",
+        *(F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base),
+        F.sha2(joined_spans(kinds=base).cast("binary"), 256).alias("base_sha256"),
+        joined_spans().alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLES: dict[str, str] = {}
