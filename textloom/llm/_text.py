@@ -20,6 +20,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: What parts words of letters and digits: every other ASCII byte.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 SLICE_BYTES = 1 << 21
 
 
@@ -116,13 +118,13 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Rows]:
         at = to
 
 
-def words(rows: Rows, which: int = 0) -> Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of each row, with hashes of their bytes."""
+def words(rows: Rows, which: int = 0, gap: np.ndarray = _SPACE) -> Words:
+    """Words of each row, with hashes of their bytes: runs of bytes that are not in ``gap``."""
     data, bounds = rows.data, rows.bounds
     n = len(data)
     inside = np.empty(n + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(_SPACE[data], out=inside[1:-1])
+    np.logical_not(gap[data], out=inside[1:-1])
     here = inside[1:-1]
     begins, ends = here & ~inside[:-2], here & ~inside[2:]
     cut = bounds[1:-1]

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, secrets
+from textloom.llm import bpe, quality, secrets, toxicity
+from textloom.llm._columns import remainder
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,33 @@ def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     )
 
 
+def labelled(docs: DataFrame, spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Texts and labels of the rows that may be learned from: remainder of 5 not 0, label known."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col(label).isNotNull() & (remainder("doc_id", 5) > 0))
+    return docs.select("doc_id", "text").join(labels.select("doc_id", label), "doc_id")
+
+
+def scored(df: DataFrame, threshold: float) -> DataFrame:
+    return df.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from toxic training rows and unlabelled text."""
+    docs = documents(spark, sf_dir)
+    known = labelled(docs, spark, sf_dir, "toxic")
+    share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    unlabelled = docs.where(remainder("doc_id", 5) > 0).select("text")
+    model = toxicity.fit(known.where("toxic = 1"), unlabelled, prior=0.1 if share is None else share)
+    return scored(toxicity.score(docs.select("doc_id", "text"), model), 0.5)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labelled training rows."""
+    docs = documents(spark, sf_dir)
+    model = quality.fit(labelled(docs, spark, sf_dir, "quality"))
+    return scored(quality.score(docs.select("doc_id", "text"), model), 0.3)
+
+
 def joined_spans(spans: str = "spans", kinds: tuple[str, ...] | None = None) -> Column:
     """kind:start:end of the spans, comma-joined."""
     some = F.col(spans) if kinds is None else F.filter(spans, lambda s: s["kind"].isin(*kinds))
@@ -48,6 +76,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op4_toxicity": op4_toxicity,
+    "op10_quality": op10_quality,
     "op9_secrets": op9_secrets,
 }
 
