@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, quality, secrets, toxicity
+from textloom.llm import bpe, langid, quality, secrets, toxicity
 from textloom.llm._columns import remainder
 
 
@@ -62,6 +62,13 @@ def joined_spans(spans: str = "spans", kinds: tuple[str, ...] | None = None) ->
     return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: text, declared language and host (source) together."""
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs.select("doc_id", "text", "lang", "source"), langid.fit_text(docs))
+    return found.select("doc_id", F.col("lang").alias("declared"), "lang_id", "lang_posterior", F.col("lang_accepted").alias("kept"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: base shapes, and literals assigned to sensitive names."""
     found = secrets.scan(documents(spark, sf_dir))
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op10_quality": op10_quality,
+    "op8_langid": op8_langid,
     "op9_secrets": op9_secrets,
 }
 
