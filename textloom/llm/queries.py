@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, langid, quality, secrets, toxicity
+from textloom.llm import bpe, langid, quality, rules, secrets, toxicity
 from textloom.llm._columns import remainder
 
 
@@ -56,12 +56,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(quality.score(docs.select("doc_id", "text"), model), 0.3)
 
 
+def of_kinds(spans: str, kinds: tuple[str, ...]) -> Column:
+    return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+
 def joined_spans(spans: str = "spans", kinds: tuple[str, ...] | None = None) -> Column:
     """kind:start:end of the spans, comma-joined."""
-    some = F.col(spans) if kinds is None else F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    some = F.col(spans) if kinds is None else of_kinds(spans, kinds)
     return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts of every document, and whether base rules and weak supervision keep it."""
+    judged = rules.judge(documents(spark, sf_dir))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return judged.select("doc_id", *rules.COUNTS, failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document: text, declared language and host (source) together."""
     docs = documents(spark, sf_dir)
@@ -75,7 +86,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ("assign", "access", "hex")
     return found.select(
         "doc_id",
-        *(F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base),
+        *(F.size(of_kinds("spans", (k,))).cast("long").alias(f"n_{k}") for k in base),
         F.sha2(joined_spans(kinds=base).cast("binary"), 256).alias("base_sha256"),
         joined_spans().alias("spans"),
     )
@@ -85,8 +96,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op10_quality": op10_quality,
+    "op7_rules": op7_rules,
     "op8_langid": op8_langid,
     "op9_secrets": op9_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_rules": rules.oracle(),
+}
