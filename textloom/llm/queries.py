@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, langid, quality, rules, secrets, toxicity
+from textloom.llm import bpe, langid, neardup, quality, rules, secrets, toxicity
 from textloom.llm._columns import remainder
 
 
@@ -66,6 +66,11 @@ def joined_spans(spans: str = "spans", kinds: tuple[str, ...] | None = None) ->
     return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document at shingle similarity 0.85."""
+    return neardup.components(documents(spark, sf_dir), percent=85)
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts of every document, and whether base rules and weak supervision keep it."""
     judged = rules.judge(documents(spark, sf_dir))
@@ -96,11 +101,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op10_quality": op10_quality,
+    "op6_neardup": op6_neardup,
     "op7_rules": op7_rules,
     "op8_langid": op8_langid,
     "op9_secrets": op9_secrets,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_neardup": neardup.oracle(),
     "op7_rules": rules.oracle(),
 }
