@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._columns import materialize
+from textloom.llm._columns import materialize, thinned
 from textloom.llm._linear import BUCKETS, class_counts, counts_array, quality_features, sigmoid, sparse_rows
 from textloom.llm._text import slices
 
-#: Labelled rows that the hinge-loss fit takes at most (of lowest hash); counts take all.
+#: Labelled rows that the hinge-loss fit takes at most, chosen by hash; counts take all.
 FIT_ROWS = 6000
 
 
@@ -84,10 +84,11 @@ def fit(train: DataFrame, *, text: str = "text", label: str = "quality", fit_row
     """Fit to labelled rows (label 0 or 1; rows with another or no label are left out).
 
     Log-count ratios take every labelled row. The hinge-loss fit takes at most
-    ``fit_rows`` rows, those of the lowest text hash. With one class only, or none,
+    ``fit_rows`` rows, chosen by the hash of the row. With one class only, or none,
     the model gives that class's share (0.5 for none) to every text.
     """
-    rows = train.where(F.col(label).isin(0, 1)).select(F.col(text).alias("__t"), F.col(label).cast("int").alias("__y"))
+    others = [c for c in train.columns if c not in (text, label)]
+    rows = train.where(F.col(label).isin(0, 1)).select(F.col(text).alias("__t"), F.col(label).cast("int").alias("__y"), F.xxhash64(*others).alias("__k") if others else F.lit(0).alias("__k"))
     rows = materialize(rows, "labelled")
     counts = counts_array(class_counts(rows, quality_features, "__t", "__y"))
     n0, n1 = counts[0, BUCKETS], counts[1, BUCKETS]
@@ -95,7 +96,7 @@ def fit(train: DataFrame, *, text: str = "text", label: str = "quality", fit_row
         share = float(np.clip(n1 / (n0 + n1), 0.01, 0.99)) if n0 + n1 else 0.5
         return Model(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
     ratio = log_count_ratio(counts)
-    sample = rows.orderBy(F.xxhash64("__t"), "__y").limit(fit_rows)
+    sample = thinned(rows, int(n0 + n1), fit_rows)
     found, y = sparse_rows(sample, quality_features, "__t", "__y")
     y = 2.0 * y - 1
     if len(set(y.tolist())) < 2:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, langid, neardup, quality, rules, secrets, toxicity
+from textloom.llm import bpe, decontaminate, langid, neardup, quality, rules, secrets, toxicity
 from textloom.llm._columns import remainder
 
 
@@ -31,8 +31,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
 
 def labelled(docs: DataFrame, spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     """Texts and labels of the rows that may be learned from: remainder of 5 not 0, label known."""
+    return docs.select("doc_id", "text").join(known_labels(spark, sf_dir, label).hint("merge"), "doc_id")
+
+
+def known_labels(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col(label).isNotNull() & (remainder("doc_id", 5) > 0))
-    return docs.select("doc_id", "text").join(labels.select("doc_id", label), "doc_id")
+    return labels.select("doc_id", label)
 
 
 def scored(df: DataFrame, threshold: float) -> DataFrame:
@@ -42,10 +46,10 @@ def scored(df: DataFrame, threshold: float) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from toxic training rows and unlabelled text."""
     docs = documents(spark, sf_dir)
-    known = labelled(docs, spark, sf_dir, "toxic")
-    share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    unlabelled = docs.where(remainder("doc_id", 5) > 0).select("text")
-    model = toxicity.fit(known.where("toxic = 1"), unlabelled, prior=0.1 if share is None else share)
+    share = known_labels(spark, sf_dir, "toxic").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    toxic = labelled(docs, spark, sf_dir, "toxic").where("toxic = 1").select("doc_id", "text")
+    unlabelled = docs.where(remainder("doc_id", 5) > 0).select("doc_id", "text")
+    model = toxicity.fit(toxic, unlabelled, prior=0.1 if share is None else share)
     return scored(toxicity.score(docs.select("doc_id", "text"), model), 0.5)
 
 
@@ -66,6 +70,11 @@ def joined_spans(spans: str = "spans", kinds: tuple[str, ...] | None = None) ->
     return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in each document, up to a fifth of an item's words edited."""
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document at shingle similarity 0.85."""
     return neardup.components(documents(spark, sf_dir), percent=85)
@@ -101,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op10_quality": op10_quality,
+    "op5_decontaminate": op5_decontaminate,
     "op6_neardup": op6_neardup,
     "op7_rules": op7_rules,
     "op8_langid": op8_langid,

@@ -13,10 +13,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._columns import materialize
+from textloom.llm._columns import materialize, thinned
 from textloom.llm._linear import BUCKETS, class_counts, counts_array, linear_score, sigmoid, sparse_rows, word_features
 
-#: Positive and unlabelled rows that training takes at most (of lowest hash); counts take all.
+#: Positive and unlabelled rows that training takes at most, chosen by hash; counts take all.
 POSITIVE_ROWS = 3000
 UNLABELLED_ROWS = 9000
 
@@ -97,17 +97,20 @@ def fit(positive: DataFrame, unlabelled: DataFrame, *, text: str = "text", prior
     """Fit to confirmed positives and unlabelled texts.
 
     Word counts take every row of both; the risk takes at most ``positive_rows`` and
-    ``unlabelled_rows`` of them, those of the lowest text hash. ``prior`` is the share of
+    ``unlabelled_rows`` of them, chosen by the hash of the row. ``prior`` is the share of
     positives in unlabelled text. Without positives or unlabelled rows the model gives
     every text the prior.
     """
-    rows = positive.select(F.col(text).alias("__t"), F.lit(1).alias("__y")).unionAll(unlabelled.select(F.col(text).alias("__t"), F.lit(0).alias("__y")))
-    rows = materialize(rows, "positive-unlabelled")
-    counts = counts_array(class_counts(rows, word_features, "__t", "__y"))
+    both = [materialize(positive, "positives"), unlabelled]
+    both = [df.withColumnRenamed(text, "__t").withColumn("__y", F.lit(y)) for df, y in zip(both, (1, 0), strict=True)]
+    counts = sum(counts_array(class_counts(df, word_features, "__t", "__y")) for df in both)
     prior = float(np.clip(prior, 1e-3, 0.95))
     if not counts[0, BUCKETS] or not counts[1, BUCKETS]:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior))))
-    taken = [sparse_rows(rows.where(F.col("__y") == y).orderBy(F.xxhash64("__t")).limit(n), word_features, "__t", "__y")[0] for y, n in ((1, positive_rows), (0, unlabelled_rows))]
+    sizes = (int(counts[1, BUCKETS]), positive_rows), (int(counts[0, BUCKETS]), unlabelled_rows)
+    taken = [sparse_rows(thinned(df, *size), word_features, "__t", "__y")[0] for df, size in zip(both, sizes, strict=True)]
+    if not taken[0] or not taken[1]:
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior))))
     weights, bias = fit_nnpu(*taken, indicator_scale(counts), prior)
     return Model(weights.astype(np.float32), bias)
 
