@@ -61,6 +61,7 @@ class Index:
     group: np.ndarray  # of each item: its group, length and least common pairs
     length: np.ndarray
     least: np.ndarray
+    runs: np.ndarray  # pairs that follow themselves in some item
 
 
 def normalized(rows: Rows) -> Words:
@@ -104,6 +105,22 @@ def edit_distance(a: np.ndarray, b: np.ndarray, length: np.ndarray | None = None
     return row[np.arange(m), length]
 
 
+def shared_words(items: np.ndarray, symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """How many words of each item (a line) occur in symbols[start:start+length] at all."""
+    out = np.empty(len(start), np.int64)
+    for k in range(0, len(start), 512):
+        s, size, it = start[k : k + 512], length[k : k + 512], items[k : k + 512]
+        grid = np.minimum(s[:, None] + np.arange(it.shape[1]), len(symbols) - 1)
+        inside = np.where(np.arange(it.shape[1]) < size[:, None], symbols[grid], _PAD)
+        inside.sort(axis=1)
+        line = np.arange(len(s), dtype=U64)[:, None] << U64(48)  # one sorted array for all lines
+        flat = (line | (inside >> U64(16))).ravel()
+        want = (line | (it >> U64(16))).ravel()
+        at = np.minimum(np.searchsorted(flat, want), len(flat) - 1)
+        out[k : k + 512] = (flat[at] == want).reshape(it.shape).sum(1)
+    return out
+
+
 def walks_needed(groups: list[Items], picks: np.ndarray, salts: np.ndarray, recall: float) -> int:
     """Walks that meet an edited copy at the tolerance with probability ``recall``, by trial.
 
@@ -172,8 +189,9 @@ def build(items: list[tuple[object, str | None]], tolerance: float, recall: floa
     owner = np.repeat(np.arange(len(own)), [len(x) for x in own]).astype(np.int64)
     order = np.argsort(every, kind="stable")
     pairs, begin, size = np.unique(every[order], return_index=True, return_counts=True)
+    runs = np.isin(pairs, np.concatenate([p[1:][p[1:] == p[:-1]] for p in (pair_hash(s) for _, _, s in flat)] or [np.zeros(0, U64)]))
     facts = (np.array([x for x in column], np.int64) for column in ([k for k, *_ in flat], [g.n for _, g, _ in flat], [g.least for _, g, _ in flat]))
-    return Index(groups, pairs, salts, picks, keys, owner[order], begin, begin + size, *facts)
+    return Index(groups, pairs, salts, picks, keys, owner[order], begin, begin + size, *facts, runs)
 
 
 def windows(index: Index, hits: np.ndarray, pair: np.ndarray, w: Words) -> dict[int, np.ndarray]:
@@ -211,7 +229,11 @@ def search(index: Index, rows: Rows) -> Iterator[tuple[int, object, int, int, in
         return
     h = pair_hash(w.hash)
     at = np.minimum(np.searchsorted(index.pairs, h), len(index.pairs) - 1)
-    hits = np.flatnonzero((index.pairs[at] == h) & (w.row[1:] == w.row[:-1]))
+    known = (index.pairs[at] == h) & (w.row[1:] == w.row[:-1])
+    # one word repeated on and on is no copy, unless an item has such a run: count its pair once
+    again = np.zeros(len(h), bool)
+    again[1:] = (h[1:] == h[:-1]) & (w.row[2:] == w.row[:-2])
+    hits = np.flatnonzero(known & ~(again & ~index.runs[at]))
     for which, start in windows(index, hits, at[hits], w).items():
         g, (keys, lines) = index.groups[which], index.keys[which]
         length = np.minimum(g.n, w.first[w.row[start] + 1] - start)
@@ -224,6 +246,9 @@ def search(index: Index, rows: Rows) -> Iterator[tuple[int, object, int, int, in
             line = lines[ranges(lo, hi - lo)]
             code = np.unique(window * len(g.ids) + line)
             window, line = code // len(g.ids), code % len(g.ids)
+            # an edit takes one word away at most
+            near = shared_words(g.symbols[line], w.hash, s[window], size[window]) >= g.n - g.edits
+            window, line, code = window[near], line[near], code[near]
             for b in range(0, len(code), 2048):
                 v, it = window[b : b + 2048], line[b : b + 2048]
                 grid = np.minimum(s[v][:, None] + np.arange(g.n), len(w) - 1)
