@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, decontaminate, langid, neardup, quality, rules, secrets, toxicity
+from textloom.llm import bpe, decontaminate, langid, neardup, quality, rules, secrets, substrings, toxicity
 from textloom.llm._columns import remainder
 
 
@@ -15,6 +15,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that repeat fifty or more words of an earlier one, removed."""
+    kept = substrings.deduplicate(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """Token ids of every document and their decoding, as digests."""
     import public_tokenizers
@@ -107,6 +113,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op10_quality": op10_quality,
@@ -118,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_substrings": substrings.oracle(),
     "op6_neardup": neardup.oracle(),
     "op7_rules": rules.oracle(),
 }
