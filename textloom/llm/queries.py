@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, decontaminate, langid, neardup, quality, rules, secrets, substrings, toxicity
+from textloom.llm import bpe, ctw, decontaminate, langid, neardup, quality, rules, secrets, substrings, toxicity
 from textloom.llm._columns import remainder
 
 
@@ -21,6 +21,15 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under a context-tree model and a word unigram base."""
+    docs = documents(spark, sf_dir)
+    rest = remainder("doc_id", 7)
+    scored = ctw.score(docs, train=docs.where((rest != 2) & (rest >= 0)))
+    held = (remainder("doc_id", 7) == 2).alias("held_out")
+    return scored.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """Token ids of every document and their decoding, as digests."""
     import public_tokenizers
@@ -114,6 +123,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
+    "op2_ctw": op2_ctw,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op10_quality": op10_quality,
