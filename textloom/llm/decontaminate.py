@@ -295,3 +295,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", d
         found = one(build([(r[0], r[1]) for r in some.collect()], tolerance, recall, least_words))
         out = found if out is None else out.unionAll(found)
     return out
+
+
+def leaked(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", name: str = "leaked", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.2, recall: float = RECALL, least_words: int = LEAST_WORDS, pass_items: int = PASS_ITEMS) -> DataFrame:
+    """The input with a boolean column ``name``: whether a text has an item of the benchmark.
+
+    The same search as :func:`contaminated`, for filters: rows stay as they are, nothing is
+    shuffled. Null and empty texts have none; an input column of that name is replaced.
+    """
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
+    passes = max(1, -(-items.count() // pass_items))
+
+    def one(index: Index):
+        def run(column: pa.Array) -> pa.Array:
+            out = np.zeros(len(column), bool)
+            for part in slices(column):
+                out[[part.first + r[0] for r in search(index, part)]] = True
+            return pa.array(out)
+
+        return F.arrow_udf(run, "boolean")(F.col(text))
+
+    found = F.lit(False)
+    for k in range(passes):
+        some = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+        found = found | one(build([(r[0], r[1]) for r in some.collect()], tolerance, recall, least_words))
+    return docs.withColumn(name, found)
