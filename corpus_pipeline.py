@@ -6,10 +6,53 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from textloom.llm import bpe, decontaminate, langid, neardup, secrets
 from textloom.llm._columns import shared_folder
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose language is identified (evidence fused over text, tag and host)."""
+    found = langid.identify(docs, langid.fit_text(docs))
+    return found.where("lang_accepted").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that of the smallest id, of each group of similarity 0.8 or more."""
+    dropped = neardup.components(docs, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item, up to a fifth of its words edited."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.leaked(docs, benchmark, name="__leaked").where("not __leaked").select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret in the texts; n_chars follows the new text."""
+    others = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
+    clean = secrets.scan(docs, keep=others, redact=True).withColumn("text", F.col("redacted"))
+    clean = clean.withColumn("n_chars", F.length("text").cast("long"))
+    return clean.select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and the text that they decode to."""
+    import public_tokenizers
+
+    coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep=("doc_id", "lang", "source", "n_chars"))
+    return coded.select("doc_id", F.col("decoded").alias("text"), "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("tokens", tokens),
+]
 
 #: No SQL for the stages: their models and searches have none. tests/llm hold them to brute force.
 ORACLE_SQL = None
