@@ -6,11 +6,12 @@ compared batch by batch, and a pair is dropped as soon as the posterior probabil
 it reaches the threshold falls below the chosen miss probability. Survivors are verified
 exactly on their full sets.
 
-Links are needed only as far as they connect. First the survivors of each bucket's
-spanning forest of greatest estimated similarity are verified; then, between the
-components so found, every remaining survivor. So a large group of near copies costs
-about one verified pair for each member, not one for each pair, and no link between
-different components is lost.
+Links are needed only as far as they connect. First the spanning forest of greatest
+estimated similarity of each bucket's survivors is verified. The forests' components are
+clusters; where a cluster falls into several components of verified links, the pairs
+between these are compared in blocks, verified in the tasks that hold them, and again only
+a spanning forest is handed on. So a large group of near copies makes rows by its members,
+not by its pairs, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,24 +167,30 @@ def spanning_forest(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndar
         label = parent[label]
 
 
-def candidate_pairs(buckets: DataFrame, sigs: DataFrame, threshold: float, miss: float, forest: bool) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that survive the comparison of signatures in a bucket.
+KEYS = ("band", "key", "i", "j")
 
-    buckets: (band, key, size, rep, comp); sigs: (rep, sig). Pairs within one ``comp``
-    are left out. With ``forest`` only each bucket's spanning forest is returned.
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum())
+
+
+def compared(blocks: DataFrame, threshold: float, miss: float, percent: int | None = None) -> DataFrame:
+    """Pairs (a, b), a < b: spanning forests of the pairs that survive within each group.
+
+    blocks: KEYS, own, rep, comp, sig and, if ``percent`` is given, set. A group is the rows
+    of equal KEYS: one block of a bucket (i = j) or two. Pairs within one ``comp`` are left
+    out. Survivors of the signatures are verified on the sets if they are there.
     """
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep", "band"), F.col("parts")).cast("int")
-    blocks = buckets.withColumn("parts", parts).withColumn("own", own)
-    blocks = blocks.select("band", "key", "rep", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    blocks = blocks.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp").join(sigs, "rep")
-    keys = ["band", "key", "i", "j"]
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         group = [table.column(k).to_numpy() for k in range(4)]
-        rep, comp = table.column(5).to_numpy(), table.column(6).to_numpy()
-        block = table.column(4).to_numpy()
+        block, rep, comp = (table.column(k).to_numpy() for k in (4, 5, 6))
         sig = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(-1, HASHES)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column(8).to_pylist()] if percent else []
         change = np.ones(len(rep), bool)
         change[1:] = np.logical_or.reduce([g[1:] != g[:-1] for g in group])
         start = np.flatnonzero(change)
@@ -195,14 +202,17 @@ def candidate_pairs(buckets: DataFrame, sigs: DataFrame, threshold: float, miss:
             to = max(at + 1, int(np.searchsorted(np.cumsum(after[at:]), 1 << 18, "right")) + at)
             left = np.repeat(np.arange(at, to), after[at:to])
             right = ranges(np.arange(at, to) + 1, after[at:to])
-            keep = comp[left] != comp[right]
-            # a pair within one block of a cut bucket belongs to the group of that block alone
-            keep &= (group[2][left] == group[3][left]) | (block[left] != block[right])
-            for out, got in zip(found, surviving_pairs(sig, left[keep], right[keep], threshold, miss), strict=True):
-                out.append(got)
+            # a pair within one block of several belongs to the group of that block alone
+            keep = (comp[left] != comp[right]) & ((group[2][left] == group[3][left]) | (block[left] != block[right]))
+            got = surviving_pairs(sig, left[keep], right[keep], threshold, miss)
+            if percent:
+                ok = np.array([100 * (c := common(sets[x], sets[y])) >= percent * (len(sets[x]) + len(sets[y]) - c) for x, y in zip(got[0], got[1], strict=True)], bool)
+                got = tuple(g[ok] for g in got)
+            for out, g in zip(found, got, strict=True):
+                out.append(g)
             at = to
         left, right, matches = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in found)
-        if forest and len(left):
+        if len(left):
             pick = spanning_forest(len(rep), left, right, matches)
             left, right = left[pick], right[pick]
         a, b = np.minimum(rep[left], rep[right]), np.maximum(rep[left], rep[right])
@@ -226,24 +236,53 @@ def candidate_pairs(buckets: DataFrame, sigs: DataFrame, threshold: float, miss:
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    spread = blocks.repartition(*keys).sortWithinPartitions(*keys, "rep").select(*keys, "own", "rep", "comp", "sig")
+    columns = [*KEYS, "own", "rep", "comp", "sig", *(["set"] if percent else [])]
+    spread = blocks.repartition(*KEYS).sortWithinPartitions(*KEYS, "rep").select(*columns)
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
+def bucket_blocks(buckets: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Groups for :func:`compared`, one for each bucket; large buckets are cut into pairs of blocks."""
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep", "band"), F.col("parts")).cast("int")
+    blocks = buckets.withColumn("parts", parts).withColumn("own", own)
+    blocks = blocks.select("band", "key", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    blocks = blocks.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", F.col("rep").alias("comp"))
+    return blocks.join(sigs.hint("merge"), "rep")
+
+
+def cluster_blocks(members: DataFrame) -> DataFrame:
+    """Groups of the components that share a cluster: (KEYS, own, rep, comp) from (super, comp, rep).
+
+    A component larger than BLOCK has blocks of its own, which are not compared with each
+    other; smaller ones share blocks. So a cluster that is one component needs nothing, and
+    one with few outliers meets them with each of its members once.
+    """
+    sizes = members.groupBy("super", "comp").agg(F.count("*").alias("n")).withColumn("big", F.col("n") > BLOCK)
+    parts = F.when(F.col("big"), F.ceil(F.col("n") / BLOCK)).otherwise(0).cast("int")
+    sizes = sizes.withColumn("parts", parts)
+    clusters = sizes.groupBy("super").agg(F.ceil(F.sum(F.when(~F.col("big"), F.col("n")).otherwise(0)) / BLOCK).cast("int").alias("shared"), F.sum("parts").cast("int").alias("own_blocks"), F.count("*").alias("comps")).where("comps > 1")
+    before = F.sum("parts").over(Window.partitionBy("super").orderBy("comp")) - F.col("parts")
+    placed = sizes.where("big").withColumn("before", before).select("super", "comp", "parts", "before")  # big components: a 256th of the rows
+    rows = members.join(clusters, "super").join(placed, ["super", "comp"], "left")
+    low = (F.col("shared") + F.col("before")).cast("int")
+    own = F.coalesce(low + F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("comp"), F.col("shared")).cast("int"))
+    rows = rows.select("super", "comp", "rep", own.alias("own"), low.alias("low"), (low + F.col("parts")).alias("high"), (F.col("shared") + F.col("own_blocks")).alias("total"))
+    others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda x: F.coalesce((x < F.col("low")) | (x >= F.col("high")), F.lit(True)))
+    rows = rows.select("super", "comp", "rep", "own", F.explode(others).alias("other"))
+    return rows.select(F.lit(0).alias("band"), F.col("super").alias("key"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets satisfy 100 * intersection >= percent * union."""
 
-    def common(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True):
-            a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            out.append(int((b[at] == a).sum()))
-        return pa.array(out, pa.int64())
+    def shared(x: pa.Array, y: pa.Array) -> pa.Array:
+        both = zip(x.to_pylist(), y.to_pylist(), strict=True)
+        return pa.array([common(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in both], pa.int64())
 
     one = sets.select(F.col("rep").alias("a"), F.col("set").alias("__a"))
     two = sets.select(F.col("rep").alias("b"), F.col("set").alias("__b"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("__n", F.arrow_udf(common, "long")("__a", "__b"))
+    both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").withColumn("__n", F.arrow_udf(shared, "long")("__a", "__b"))
     union = (F.octet_length("__a") + F.octet_length("__b")) / 8 - F.col("__n")
     return both.where(100 * F.col("__n") >= percent * union).select("a", "b")
 
@@ -264,25 +303,26 @@ def components(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", per
     prints = materialize(fingerprints(rows), "fingerprints")
     linked = prints.where("n > 0 and doc_id is not null")
     classes = linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = linked.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"]).select(F.col("doc_id").alias("rep"), "sig", "bands")
+    reps = linked.join(classes.withColumnRenamed("rep", "doc_id").hint("merge"), ["h1", "h2", "doc_id"]).select(F.col("doc_id").alias("rep"), "sig", "bands")
     reps = materialize(reps.dropDuplicates(["rep"]), "classes")
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     multi = banded.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = materialize(banded.join(multi, ["band", "key"]), "buckets")
+    buckets = materialize(banded.join(multi.hint("merge"), ["band", "key"]), "buckets")
     members = buckets.select("rep").distinct()
-    sigs = materialize(reps.select("rep", "sig").join(members, "rep"), "signatures")
-    sets = materialize(shingle_table(rows.join(members, F.col("doc_id") == F.col("rep"), "left_semi")), "sets")
-
-    first = candidate_pairs(buckets.withColumn("comp", F.col("rep")), sigs, threshold, miss, forest=True)
-    links = materialize(verified(first, sets, percent), "links")
-    found = smallest_reachable(links)
-    comps = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"))
-    rest = candidate_pairs(buckets.join(comps, "rep"), sigs, threshold, miss, forest=False)
-    more = materialize(verified(rest, sets, percent), "links")
+    sigs = materialize(reps.select("rep", "sig").join(members.hint("merge"), "rep"), "signatures")
+    sets = materialize(shingle_table(rows.join(members.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")), "sets")
+
+    near = materialize(compared(bucket_blocks(buckets, sigs), threshold, miss), "near")
+    links = materialize(verified(near, sets, percent), "links")
+    clusters = smallest_reachable(near).withColumnRenamed("component", "super").withColumnRenamed("node", "rep")
+    found = smallest_reachable(links).withColumnRenamed("node", "rep")
+    parts = materialize(clusters.join(found, "rep", "left").select("super", F.coalesce("component", "rep").alias("comp"), "rep"), "parts")
+    again = cluster_blocks(parts).join(sigs.hint("merge"), "rep").join(sets.hint("merge"), "rep")
+    more = materialize(compared(again, threshold, miss, percent), "links")
     found = smallest_reachable(links.unionAll(more))
 
     labelled = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    out = prints.select("doc_id", "n", "h1", "h2").join(labelled, ["h1", "h2"], "left")
+    out = prints.select("doc_id", "n", "h1", "h2").join(labelled.hint("merge"), ["h1", "h2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 

@@ -124,11 +124,11 @@ def earlier_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     cuts = materialize(seeds(rows, window, gram), "seeds")
     blocks = materialize(cuts.groupBy("a", "b1", "b2").agg(F.min("id").alias("first"), F.max("id").alias("last")), "blocks")
     several = blocks.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    differing = materialize(blocks.join(several, "a").select("b1", "b2", "first"), "differing")
-    whole = blocks.where("last > first").join(several, "a", "left_anti").select("b1", "b2", "first")
+    differing = materialize(blocks.join(several.hint("merge"), "a").select("b1", "b2", "first"), "differing")
+    whole = blocks.where("last > first").join(several.hint("merge"), "a", "left_anti").select("b1", "b2", "first")
 
     # each distinct block that needs it, in the document where it comes first
-    once = cuts.join(differing.withColumnRenamed("first", "id"), ["b1", "b2", "id"]).dropDuplicates(["b1", "b2"])
+    once = cuts.join(differing.withColumnRenamed("first", "id").hint("merge"), ["b1", "b2", "id"]).dropDuplicates(["b1", "b2"])
     once = once.groupBy("id", "mark").agg(F.collect_list(F.struct("s", "c", "b1", "b2", F.col("id").alias("first"))).alias("blocks"))
     spread = materialize(extended(rows.join(once.hint("merge"), ["id", "mark"]), window), "windows")
     earliest = spread.groupBy("w1", "w2").agg(F.min("first").alias("earliest"))
@@ -137,7 +137,7 @@ def earlier_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     some = F.transform(F.filter("parts", lambda p: p["earliest"] < F.col("id")), lambda p: F.struct((F.col("s") + p["off"]).alias("s"), F.lit(1).alias("c")))
     every = F.when(F.col("first") < F.col("id"), F.array(F.struct("s", "c")))
-    met = cuts.join(known, ["b1", "b2"]).select("id", "mark", F.coalesce(some, every).alias("found")).where("size(found) > 0")
+    met = cuts.join(known.hint("merge"), ["b1", "b2"]).select("id", "mark", F.coalesce(some, every).alias("found")).where("size(found) > 0")
     return met.groupBy("id", "mark").agg(F.flatten(F.collect_list("found")).alias("found"))
 
 
