@@ -6,7 +6,7 @@ White space and digits are Unicode's, as Python's ``str.strip`` and ``\\d`` have
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,6 +40,11 @@ def chain(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c: str | Column) -> Column:
     return F.regexp_replace(col(c), rf"^{SPACE}+|{SPACE}+\z", "")
 
@@ -77,7 +82,8 @@ def clean_text(c: str | Column, aggressive: bool = True) -> Column:
     def line(x: Column) -> Column:
         body = chain(F.regexp_replace(x, "^　+", ""), inner)
         if aggressive:
-            return strip(F.regexp_replace(body, f"({JAPANESE}) +({JAPANESE})", "$1$2"))
+            joined = F.regexp_replace(body, f"({JAPANESE}) +({JAPANESE})", "$1$2")
+            return strip(joined)
         indent = F.regexp_extract(x, "^(　+)", 1)
         return F.when(indent != "", F.concat(indent, body)).otherwise(strip(body))
 
@@ -89,9 +95,12 @@ def clean_text(c: str | Column, aggressive: bool = True) -> Column:
 def collapse_blank_lines(lines: Column) -> Column:
     """W3. Of each run of blank lines one stays, as an empty line."""
     empty = F.transform(lines, lambda x: F.when(is_blank(x), F.lit("")).otherwise(x))
-    before = F.concat(F.array(F.lit("-")), empty)
-    pairs = F.zip_with(empty, F.slice(before, F.lit(1), F.size(lines)), lambda x, p: F.struct(x.alias("x"), p.alias("p")))
-    return F.transform(F.filter(pairs, lambda t: (t["x"] != "") | (t["p"] != "")), lambda t: t["x"])
+    return let(empty, lambda e: F.filter(e, lambda x, i: (x != "") | (i == 0) | (F.get(e, i - 1) != "")))
+
+
+def collapse_empty_lines(text: Column) -> Column:
+    """W3 on a text whose blank lines are empty."""
+    return chain(text, [(r"\A\n+\z", ""), (r"\A\n{2,}", "\n"), (r"\n{2,}\z", "\n"), (r"\n{3,}", "\n\n")])
 
 
 def remove_spaces(c: str | Column) -> Column:
@@ -104,7 +113,7 @@ def remove_spaces(c: str | Column) -> Column:
         (" {2,}", " "),
     ]
     lines = F.transform(F.split(F.regexp_replace(col(c), ODD_SPACES, " "), "\n"), lambda x: chain(strip(x), rules))
-    return F.array_join(collapse_blank_lines(lines), "\n")
+    return collapse_empty_lines(F.array_join(lines, "\n"))
 
 
 def normalize_for_comparison(c: str | Column) -> Column:
@@ -133,7 +142,7 @@ def clean_only(c: str | Column) -> Column:
         broken = F.array_join(F.transform(F.split(F.replace(x, F.lit("。"), F.lit("。\n")), "\n"), part), "\n")
         return F.when(F.length(x) > 80, broken).otherwise(x)
 
-    lines = F.transform(F.split(clean_text(remove_spaces(c)), "\n"), lambda x: line(strip(x)))
+    lines = F.transform(F.split(clean_text(remove_spaces(c)), "\n"), lambda x: let(strip(x), line))
     return F.array_join(collapse_blank_lines(lines), "\n")
 
 

@@ -134,7 +134,7 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "header_footer_patterns",
-    f"""WITH {EXPLODED}, norm AS (SELECT corpus_id, page_num, no, {sql_strip(rr(rr("s", r"[0-9]+" if False else chr(92) + "p{Nd}+", "[NUM]"), SP + "+", " "))} AS pattern,
+    f"""WITH {EXPLODED}, norm AS (SELECT corpus_id, page_num, no, {sql_strip(rr(rr("s", chr(92) + "p{Nd}+", "[NUM]"), SP + "+", " "))} AS pattern,
   row_number() OVER (PARTITION BY corpus_id, page_num ORDER BY no) AS f, row_number() OVER (PARTITION BY corpus_id, page_num ORDER BY no DESC) AS b FROM lines),
   marks AS (SELECT corpus_id, page_num, pattern, 1 AS t, 0 AS b FROM norm WHERE f <= 3 AND pattern <> '' UNION ALL SELECT corpus_id, page_num, pattern, 0, 1 FROM norm WHERE b <= 3 AND pattern <> ''),
   counted AS (SELECT corpus_id, pattern, count(*) AS n, count(DISTINCT CASE WHEN t = 1 THEN page_num END) AS t, count(DISTINCT CASE WHEN b = 1 THEN page_num END) AS b FROM marks GROUP BY ALL)
@@ -181,11 +181,11 @@ _NORM = sql_strip(rr(rr("s", chr(92) + "p{Nd}+", "[NUM]"), SP + "+", " "))
     f"""WITH {EXPLODED}, norm AS (SELECT *, {_NORM} AS pattern, row_number() {BY_PAGE} AS f, row_number() OVER (PARTITION BY corpus_id, page_num ORDER BY no DESC) AS b FROM lines),
   marks AS (SELECT corpus_id, pattern FROM norm WHERE f <= 3 AND pattern <> '' UNION ALL SELECT corpus_id, pattern FROM norm WHERE b <= 3 AND pattern <> ''),
   wanted AS (SELECT corpus_id, pattern FROM (SELECT corpus_id, pattern, count(*) AS n FROM marks GROUP BY ALL) JOIN (SELECT corpus_id, count(*) AS pages FROM pages GROUP BY 1) USING (corpus_id) WHERE 2 * n >= pages),
-  seen AS (SELECT n.*, w.pattern IS NOT NULL AS rep, lag(s, 1, '') {BY_PAGE} AS p, lead(s, 1, '') {BY_PAGE} AS q,
-    list(s) OVER (PARTITION BY n.corpus_id, page_num ORDER BY no ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS five FROM norm n LEFT JOIN wanted w ON w.corpus_id = n.corpus_id AND w.pattern = n.pattern),
+  seen AS (SELECT *, lag(s, 1, '') {BY_PAGE} AS p, lead(s, 1, '') {BY_PAGE} AS q,
+    list(s) OVER (PARTITION BY corpus_id, page_num ORDER BY no ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS five FROM (SELECT n.*, w.pattern IS NOT NULL AS rep FROM norm n LEFT JOIN wanted w ON w.corpus_id = n.corpus_id AND w.pattern = n.pattern)),
   kept AS (SELECT * FROM seen WHERE NOT (length(s) BETWEEN 1 AND 20 AND regexp_matches(line, '{L.NEAR_BLANK_WORDS}') AND (p = '' OR q = '')) AND NOT {sql_like("line", L.DIGITS, L.PAGE_NUMBERS[0])}
     AND NOT rep AND NOT {sql_like("s", L.DIGITS)} AND NOT (length(s) <= 30 AND coalesce(list_contains(five, s), false))),
-  lists AS (SELECT corpus_id, page_num, list(CASE WHEN s = '' THEN '' ELSE line END ORDER BY no) AS l FROM kept GROUP BY ALL),
+  lists AS (SELECT corpus_id, page_num, list(CASE WHEN s = '' THEN '' ELSE line END ORDER BY no) AS l FROM kept GROUP BY 1, 2),
   joined AS (SELECT corpus_id, page_num, {sql_strip(sql_collapse("l"))} AS text FROM lists)
 SELECT corpus_id, page_num, coalesce(j.text, '') AS text FROM pages LEFT JOIN joined j USING (corpus_id, page_num)""",
 )
@@ -505,7 +505,7 @@ def narrated(spark: SparkSession, sf_dir: str, chunks: Callable[[Column], Column
     """Narration job: preamble off, hybrid format, blank lines off, chunks, requests."""
     pages = framed(spark, sf_dir, japanese(F.col("text")))
     pages = pages.withColumn("text", segment.format_text("text", "hybrid"))
-    pages = pages.withColumn("text", L.drop_preamble("text", drop_blank=True)).where(~X.is_blank("text"))
+    pages = cleaning.where_made(pages.withColumn("text", L.drop_preamble("text", drop_blank=True)), ~X.is_blank("text"))
     parts = segment.chunk_table(pages, chunks(F.col("text")))
     return narration.requests(asked(parts), narration.catalogue(speakers(spark, sf_dir)))
 

@@ -24,6 +24,16 @@ def with_small(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return left.join(F.broadcast(right) if few else right, on, "left")
 
 
+def where_made(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on columns that are costly to make, where they are made.
+
+    The optimizer would push the condition below the projections and so make the columns
+    twice, array columns even once for each element; a row number is no expression that it
+    may move.
+    """
+    return df.withColumn("__n", F.monotonically_increasing_id()).where(condition & (F.col("__n") >= 0)).drop("__n")
+
+
 def repeated_lines(pages: DataFrame, k: int = 5, below: int = 100, tenths: int = 4, min_pages: int = 0) -> DataFrame:
     """A1. (corpus_id, line, n): head and tail lines on at least ``tenths`` tenths of a corpus's pages.
 
@@ -88,7 +98,7 @@ def clean_corpus(pages: DataFrame, keep_chapters: bool = False, reformat: bool =
     out = step.select("corpus_id", "page_num", text.alias("text"))
     if reformat:
         out = out.withColumn("text", X.remove_spaces("text")).withColumn("text", X.clean_text("text"))
-    return out.where(~X.is_blank("text"))
+    return where_made(out, ~X.is_blank("text"))
 
 
 def remove_headers(pages: DataFrame, keep_chapters: bool = False, min_pages: int = 0) -> DataFrame:
