@@ -43,6 +43,23 @@ def thinned(df: DataFrame, total: int, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
+#: Slots of the fixed-size filter in :func:`split_by_slots`.
+SLOTS = 1 << 20
+
+
+def split_by_slots(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a key of ``wanted``, rows that surely have none).
+
+    Keys are hashed to SLOTS slots; the slots in use, at most SLOTS rows whatever the data,
+    go along with the tasks. So only the first part has to be shuffled for a join. Where
+    nearly all slots are in use it is all rows, and the join is as it would be without.
+    """
+    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(SLOTS)).cast("int")
+    used = F.broadcast(wanted.select(slot.alias("__slot")).distinct())
+    marked = rows.withColumn("__slot", slot)
+    return marked.join(used, "__slot", "left_semi").drop("__slot"), marked.join(used, "__slot", "left_anti").drop("__slot")
+
+
 def words(text: str | Column) -> Column:
     """Array of the words of a text; null and blank texts have none."""
     column = F.col(text) if isinstance(text, str) else text

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm._columns import materialize
+from textloom.llm._columns import materialize, split_by_slots
 from textloom.llm._text import U64, Words, mix, ranges, slices, span_hash, words
 
 WINDOW = 50
@@ -122,6 +122,8 @@ def earlier_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     found is a list of (s, c): c windows from word s on.
     """
     cuts = materialize(seeds(rows, window, gram), "seeds")
+    again = cuts.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    cuts = materialize(cuts.join(again.hint("merge"), "a"), "meeting")  # seeds that meet another
     blocks = materialize(cuts.groupBy("a", "b1", "b2").agg(F.min("id").alias("first"), F.max("id").alias("last")), "blocks")
     several = blocks.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
     differing = materialize(blocks.join(several.hint("merge"), "a").select("b1", "b2", "first"), "differing")
@@ -130,7 +132,9 @@ def earlier_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     # each distinct block that needs it, in the document where it comes first
     once = cuts.join(differing.withColumnRenamed("first", "id").hint("merge"), ["b1", "b2", "id"]).dropDuplicates(["b1", "b2"])
     once = once.groupBy("id", "mark").agg(F.collect_list(F.struct("s", "c", "b1", "b2", F.col("id").alias("first"))).alias("blocks"))
-    spread = materialize(extended(rows.join(once.hint("merge"), ["id", "mark"]), window), "windows")
+    once = materialize(once, "once")
+    hosts, _ = split_by_slots(rows, once, "id")
+    spread = materialize(extended(hosts.join(once.hint("merge"), ["id", "mark"]), window), "windows")
     earliest = spread.groupBy("w1", "w2").agg(F.min("first").alias("earliest"))
     parts = spread.join(earliest.hint("merge"), ["w1", "w2"]).groupBy("b1", "b2").agg(F.min("first").alias("first"), F.collect_set(F.struct("off", "earliest")).alias("parts"))
     known = whole.select("b1", "b2", "first", F.lit(None).cast("array<struct<off:int,earliest:bigint>>").alias("parts")).unionByName(parts)
@@ -154,7 +158,9 @@ def deduplicate(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", wi
     """
     rows = df.select(F.col(doc_id).cast("long").alias("id"), F.hash(F.col(text)).alias("mark"), F.col(text).alias("text"))
     found = materialize(earlier_windows(rows, window, gram), "repeats")
-    joined = rows.join(found.hint("merge"), ["id", "mark"], "left").select("id", "text", "found")
+    some, none = split_by_slots(rows, found, "id")
+    joined = some.join(found.hint("merge"), ["id", "mark"], "left").select("id", "text", "found")
+    joined = joined.unionByName(none.select("id", "text", F.lit(None).cast(found.schema["found"].dataType).alias("found")))
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", spans), T.StructField("kept_text", T.StringType())]
