@@ -173,8 +173,10 @@ def identify(df: DataFrame, model: TextModel, *, text: str = "text", declared: s
         return df.select(*kept, F.lit(None).cast("string").alias(out[0]), F.lit(0.0).alias(out[1]), F.lit(False).alias(out[2]))
     name = F.array(*map(F.lit, languages))
     host_column = F.coalesce(F.col(host).cast("string"), F.lit("")) if host else F.lit("")
+    # the input's columns travel as one struct, so no name can clash with those made here
     rows = df.select(
-        *kept,
+        F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__row"),
+        (F.octet_length(F.coalesce(F.col(text), F.lit(""))) >= GRAM).alias("__any"),
         text_evidence(model, F.col(text)).alias("__text"),
         F.array_position(name, F.lower(F.trim(F.col(declared)))).alias("__said"),
         host_column.alias("__host"),
@@ -192,10 +194,10 @@ def identify(df: DataFrame, model: TextModel, *, text: str = "text", declared: s
     rows = rows.withColumn("__norm", F.aggregate(F.transform("__sum", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, b: a + b))
     found = F.element_at(name, F.array_position("__sum", top).cast("int"))
     posterior = 1.0 / F.col("__norm")
-    ok = (F.octet_length(F.coalesce(F.col(text), F.lit(""))) >= GRAM) & (posterior >= least_posterior)
+    ok = F.col("__any") & (posterior >= least_posterior)
     if accepted is not None:
         ok = ok & found.isin(*accepted)
-    return rows.select(*kept, found.alias(out[0]), posterior.alias(out[1]), F.coalesce(ok, F.lit(False)).alias(out[2]))
+    return rows.select("__row.*", found.alias(out[0]), posterior.alias(out[1]), F.coalesce(ok, F.lit(False)).alias(out[2]))
 
 
 def page_evidence(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
