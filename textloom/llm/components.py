@@ -26,12 +26,11 @@ def smallest_reachable(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         grand = parents.join(up, "f").select("node", "f", "g")  # a parent is a node too
         seen = both.join(grand.select(F.col("node").alias("b"), F.col("g").alias("over")), "b").groupBy("a").agg(F.min("over").alias("over"))
         offers = grand.join(seen.withColumnRenamed("a", "node"), "node")
-        own = offers.select("node", F.least("f", "g", "over").alias("f"))
+        own = offers.select("node", F.col("f").alias("was"), F.least("f", "g", "over").alias("f"))
         hooked = offers.groupBy(F.col("f").alias("node")).agg(F.min("over").alias("h"))
-        new = own.join(hooked, "node", "left").select("node", F.least("f", F.coalesce("h", "f")).alias("f"))
+        new = own.join(hooked, "node", "left").select("node", "was", F.least("f", F.coalesce("h", "f")).alias("f"))
         new = materialize(new, "parents")
-        changed = new.join(parents.select("node", F.col("f").alias("was")), "node").where("f <> was").limit(1).count()
-        parents = new
-        if not changed:
+        parents = new.select("node", "f")
+        if not new.where("f <> was").limit(1).count():
             return parents.select("node", F.col("f").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
