@@ -415,6 +415,17 @@ def test_posterior_bounds_keep_pairs_at_the_threshold():
         assert miss < 1e-3 and m > 0.5 * n
 
 
+def test_components_of_random_graphs(spark):
+    draw = random.Random(9)
+    edges = [(draw.randrange(400), draw.randrange(400)) for _ in range(260)]
+    root = list(range(400))
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r["node"]: r["component"] for r in components.smallest_reachable(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: root[v] for e in edges if e[0] != e[1] for v in e}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(0, k) for k in range(1, 60)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components.smallest_reachable(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -7,30 +7,44 @@ from pyspark.sql import functions as F
 
 from textloom.llm._columns import materialize
 
+#: Times that pointers are doubled in a round: chains shrink by 2^JUMPS at least.
+JUMPS = 2
 
-def smallest_reachable(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+
+def smallest_reachable(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node it reaches.
 
-    Each round hooks a parent to the smallest grandparent seen over an edge and then
-    halves the paths, so rounds grow with the logarithm of the longest path. All steps
-    are joins and grouped minima (with partial aggregation, so a node of very many edges
-    is no hot group); rounds are written to the shared folder, and nothing but one count
+    Contraction: each node points to its smallest neighbour, or itself; pointers are
+    doubled JUMPS times; then every edge is renamed to where its ends point, and loops and
+    repeats go. A node and where it points are in one component, and the edge between them
+    lives on under the new names, so components stay what they are while the graph shrinks
+    fast: a star in one round, a chain of n by 2^JUMPS in each. The pointers of all rounds
+    in a row lead to the smallest node.
+
+    All steps are joins and grouped minima with partial aggregation, so a node of very many
+    edges is no hot group; rounds are written to the shared folder, and nothing but a count
     goes to the driver. Null ends and loops are left out.
     """
-    both = edges.select("a", "b").where("a is not null and b is not null and a <> b")
-    both = materialize(both.unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    parents = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("f")).select(F.col("a").alias("node"), "f")
-    parents = materialize(parents, "parents")
+    live = materialize(edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    labels = None
     for _ in range(max_rounds):
-        up = parents.select(F.col("node").alias("f"), F.col("f").alias("g"))
-        grand = parents.join(up, "f").select("node", "f", "g")  # a parent is a node too
-        seen = both.join(grand.select(F.col("node").alias("b"), F.col("g").alias("over")), "b").groupBy("a").agg(F.min("over").alias("over"))
-        offers = grand.join(seen.withColumnRenamed("a", "node"), "node")
-        own = offers.select("node", F.col("f").alias("was"), F.least("f", "g", "over").alias("f"))
-        hooked = offers.groupBy(F.col("f").alias("node")).agg(F.min("over").alias("h"))
-        new = own.join(hooked, "node", "left").select("node", "was", F.least("f", F.coalesce("h", "f")).alias("f"))
-        new = materialize(new, "parents")
-        parents = new.select("node", "f")
-        if not new.where("f <> was").limit(1).count():
-            return parents.select("node", F.col("f").alias("component"))
+        ends = live.select(F.col("a").alias("node"), F.col("a").alias("to")).unionAll(live.select(F.col("b").alias("node"), F.col("a").alias("to")))
+        points = ends.groupBy("node").agg(F.min("to").alias("to"))
+        for _ in range(JUMPS):
+            points = materialize(points, "pointers")
+            further = points.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            points = points.join(further, "to").select("node", F.col("next").alias("to"))
+        points = materialize(points, "pointers")
+        if labels is None:
+            labels = points.select("node", F.col("to").alias("component"))
+        else:
+            step = points.select(F.col("node").alias("component"), F.col("to").alias("next"))
+            labels = labels.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+        labels = materialize(labels, "labels")
+        at = points.select(F.col("node").alias("a"), F.col("to").alias("x"))
+        bt = points.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        renamed = live.join(at, "a").join(bt, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        live = materialize(renamed.where("a < b").distinct(), "edges")
+        if not live.limit(1).count():
+            return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
