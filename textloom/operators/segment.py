@@ -148,7 +148,7 @@ def hybrid(c: str | Column) -> Column:
 #: X19. Methods by name; ``morphological`` has no analyser here and is its own fallback.
 METHODS: dict[str, Callable[[Column], Column]] = {
     "punctuation": lambda c: split_punctuation(c, 50),
-    "voicevox": X.pause_tags,
+    "pauses": X.pause_tags,
     "morphological": lambda c: split_punctuation(c, 40),
     "semantic": semantic_breaks,
     "hybrid": hybrid,
