@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: What parts words of letters and digits: every other ASCII byte.
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,23 +33,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(maxsize=12)
-def _powers(length: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _BASES[which]
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(length, b, U64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a hash base and of its inverse; tables grow by doubling."""
-    size = 1 << max(16, int(n).bit_length())
-    a, b = _powers(size, which)
-    return a[:n], b[:n]
+    """Powers of a hash base and of its inverse; one table for each base, grown by doubling."""
+    if which not in _POWERS or len(_POWERS[which][0]) < n:
+        tables = []
+        for b in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
+            p = np.full(1 << max(16, int(n - 1).bit_length()), b, U64)
+            p[0] = 1
+            tables.append(np.multiply.accumulate(p, out=p))
+        _POWERS[which] = tables[0], tables[1]
+    up, down = _POWERS[which]
+    return up[:n], down[:n]
 
 
 def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
@@ -58,7 +54,11 @@ def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
     n = len(values)
     up, down = powers(n + 1, which)
     total = np.zeros(n + 1, U64)
-    np.cumsum((values.astype(U64) + U64(1)) * up[:n], out=total[1:])
+    part = total[1:]
+    part[:] = values
+    part += U64(1)
+    part *= up[:n]
+    np.cumsum(part, out=part)
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64))
 
 
