@@ -40,13 +40,25 @@ HARMLESS = {"name", "id", "path", "file", "url", "uri", "length", "len", "size",
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|your.*|change_?me.*|example.*|placeholder.*|dummy.*|test|none|null|true|false|undefined|redacted|<.*>|\$\{.*\}|%.*%|\{\{.*\}\})$")
 
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_LEX = re.compile(
-    r"(?P<string>\"(?:[^\"\\\n]|\\.){0,4096}\"|'(?:[^'\\\n]|\\.){0,4096}')"
-    r"|(?P<word>[A-Za-z_$][A-Za-z0-9_$-]*(?:(?:\.|::|->)[A-Za-z_$][A-Za-z0-9_$-]*)*)"
+_TOKENS = (
+    r"(?P<word>[A-Za-z_$][A-Za-z0-9_$-]*(?:(?:\.|::|->)[A-Za-z_$][A-Za-z0-9_$-]*)*)"
     r"|(?P<bare>[0-9][A-Za-z0-9+/_.=-]*)"
     r"|(?P<op>:=|=>|[=!<>]=|[=:+,;(){}\[\]&|])"
     r"|(?P<line>\n)"
 )
+#: Body of a string that begins with a quote: to its end, or to where its line ends.
+_BODY = {q: rf"{q}[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+" for q in "\"'"}
+
+
+def _lexer(quotes: str) -> re.Pattern[str]:
+    """Tokens, with strings in some quotes; ``open`` is a string that its line does not end."""
+    closed = "|".join(_BODY[q] + q for q in quotes)
+    begun = "|".join(_BODY[q] for q in quotes)
+    return re.compile((f"(?P<string>{closed})|(?P<open>{begun})|" if quotes else "") + _TOKENS)
+
+
+#: By whether double, and single, quotes may begin a string.
+_LEX = {(d, s): _lexer('"' * d + "'" * s) for d in (False, True) for s in (False, True)}
 _BARE = re.compile(r"[^\s\"',;#&(){}\[\]]+")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*")
 _SHAPED = re.compile(r"[:=]")
@@ -83,22 +95,27 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], li
 
     Understood: ``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``, ``name => x``,
     ``export NAME=x``, literals joined by + or side by side, and names on the right.
+    Quoted literals and keys may have any length; a string ends on its line.
     """
     at, n = 0, len(text)
     target: str | None = None
     last: str | None = None  # a name or quoted key that an operator may follow
     literals: list[tuple[str, int, int]] = []
     refs: list[tuple[str, int, int]] = []
+    # a quote that its line does not close: no quote of its kind before there begins a string either
+    dead = {'"': 0, "'": 0}
     while at < n:
-        m = _LEX.match(text, at)
+        double, single = at >= dead['"'], at >= dead["'"]
+        stop = n if double and single else min(end for end in dead.values() if end > at)
+        lex = _LEX[double, single]
+        m = lex.match(text, at, stop) or lex.search(text, at + 1, stop)
         if m is None:
-            at += 1
-            if at < n and (nxt := _LEX.search(text, at)):
-                at = nxt.start()
-            elif at < n:
-                break
+            at = stop
             continue
         kind, got, at = m.lastgroup, m[0], m.end()
+        if kind == "open":
+            dead[got[0]], at = at, m.start()
+            continue
         if kind == "op" and got in ("=", ":", ":=", "=>") and last is not None:
             if target is not None and (literals or refs):
                 if refs and refs[-1][0] == last:
@@ -117,7 +134,7 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], li
                 at = b.end()
         elif kind == "string":
             literals.append((got[1:-1], m.start() + 1, m.end() - 1)) if target is not None else None
-            last = got[1:-1] if len(got) < 130 else None
+            last = got[1:-1]
         elif kind in ("word", "bare"):
             if target is not None and text[at : at + 1] != "(":
                 refs.append((got, m.start(), at))
