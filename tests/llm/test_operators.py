@@ -361,6 +361,53 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert marked == {i for i, _ in want} and (90, 7) in want
 
 
+def nearest_run(item, words, edits):
+    """(distance, start) of the best run of n - edits to n + edits words, the first of equals."""
+    found = [(1 << 30, 0)]
+    for size in range(max(1, len(item) - edits), len(item) + edits + 1):
+        for s in range(len(words) - size + 1):
+            found.append((best_window(item, words[s : s + size], size), s))
+    return min(found)
+
+
+def test_decontamination_counts_each_deleted_or_inserted_word_once(spark):
+    draw = random.Random(12)
+    words = [f"w{k}" for k in range(300)] + ["de", "la", "the"] * 10
+    items = [(k, [draw.choice(words) for _ in range(n)]) for k, n in enumerate((7, 15, 25, 40))]
+    docs, planted = [], set()
+    for i in range(48):
+        k, item = items[i % 4]
+        edits = len(item) // 5
+        copy = list(item)
+        for at in sorted(draw.sample(range(1, len(item) - 1), edits), reverse=True):
+            if i // 4 % 3 < 2 and (i // 4 % 3 or draw.random() < 0.5):
+                copy.insert(at, "zz")
+            else:
+                del copy[at]
+        around = [[draw.choice(words) for _ in range(draw.randrange(20))] for _ in range(2)]
+        docs.append((i, " ".join(around[0] + copy + around[1])))
+        planted.add((i, k))
+    df = spark.createDataFrame([*docs, (90, "de " * 300), (91, None)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["start_word"]) for r in decontaminate.contaminated(df, benchmark, free_ends=True).collect()}
+    want = {}
+    for i, t in docs:
+        for k, item in items:
+            if (best := nearest_run(item, t.split(), len(item) // 5))[0] <= len(item) // 5:
+                want[i, k] = best
+    assert planted <= set(want) and got == want
+    marked = {r["doc_id"] for r in decontaminate.leaked(df, benchmark, free_ends=True).where("leaked").collect()}
+    assert marked == {i for i, _ in want}
+
+
+def test_spans_of_long_repetitions_are_cut_without_loss():
+    item = [f"a{k}" for k in range(10)]
+    index = decontaminate.build([(0, " ".join(item))], 0.2)
+    texts = [" ".join(item * 40), " ".join((item[:4] + item[5:]) * 40)]
+    for rows in text_arrays.slices(pa.array(texts)):
+        assert [tuple(map(int, r)) for r in decontaminate.search(index, rows, True)] == [(0, 0, 0, 10, 0), (1, 0, 0, 10, 1)]
+
+
 # ---- near-duplicates
 
 

@@ -1,12 +1,12 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit distance.
 
 Texts are sequences of words (runs of letters and digits, A-Z lower-cased). A document
-is contaminated by an item if some window of the item's length lies within
-``tolerance`` edits a word of the item. A CGK random walk turns edit distance into
+is contaminated by an item if some run of its words (with ``free_ends``; otherwise some
+window of the item's length) lies within ``tolerance`` edits a word of the item. A CGK random walk turns edit distance into
 Hamming distance: step j emits the word under the pointer, which moves on if a random
 function of the step and the word says so. A few sampled positions of the embedding are
-one hash key; walks are repeated until the target recall is reached, and every window
-that meets an item in a key is verified by exact edit distance.
+one hash key; walks are repeated until the target recall is reached, and around every
+window that meets an item in a key the exact edit distance is computed.
 
 Windows go to the embedding only if they hold as many of one item's word pairs as an
 edited copy must still hold: each edit spoils two pairs at most, so this loses nothing.
@@ -54,12 +54,14 @@ class Index:
     pairs: np.ndarray
     salts: np.ndarray
     picks: np.ndarray  # walks x SAMPLED, as shares of the embedding's length
-    keys: list[tuple[np.ndarray, np.ndarray]]  # for each group: sorted keys of (walk, item), and item lines
+    keys: list[np.ndarray]  # for each group: items x walks
     owners: np.ndarray  # the items that have each word pair, pair by pair
     owner_start: np.ndarray
     owner_end: np.ndarray
-    group: np.ndarray  # of each item: its group, length and least common pairs
+    group: np.ndarray  # of each item: its group, line there, length, edits and least common pairs
+    line: np.ndarray
     length: np.ndarray
+    edits: np.ndarray
     least: np.ndarray
     runs: np.ndarray  # pairs that follow themselves in some item
 
@@ -91,34 +93,26 @@ def embed_keys(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, n: in
     return mix(key + np.arange(walks, dtype=U64)[None, :])
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, length: np.ndarray | None = None) -> np.ndarray:
-    """Levenshtein distance of each line of ``a`` to the same line of ``b`` (its first ``length`` symbols)."""
+def nearest(a: np.ndarray, b: np.ndarray, length: np.ndarray, free: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Least Levenshtein distance of each line of ``a`` to any run of the same line of ``b``, and where the first such run starts.
+
+    Runs lie in the first ``length`` symbols and may have any size: both ends in ``b`` are
+    free. Without ``free`` all ``length`` symbols are the run.
+    """
     m, n = b.shape
-    length = np.full(m, n) if length is None else length
-    column = np.arange(n + 1)
-    row = np.broadcast_to(column, (m, n + 1)).copy()
+    unit = n + 1  # a cell holds distance * unit + start
+    column = np.arange(n + 1) * unit
+    row = np.broadcast_to(np.arange(n + 1) if free else column, (m, n + 1)).copy()
     for i in range(a.shape[1]):
         new = np.empty_like(row)
-        new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (a[:, i : i + 1] != b))
+        new[:, 0] = row[:, 0] + unit
+        new[:, 1:] = np.minimum(row[:, 1:] + unit, row[:, :-1] + (a[:, i : i + 1] != b) * unit)
         row = np.minimum.accumulate(new - column, axis=1) + column
-    return row[np.arange(m), length]
-
-
-def shared_words(items: np.ndarray, symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """How many words of each item (a line) occur in symbols[start:start+length] at all."""
-    out = np.empty(len(start), np.int64)
-    for k in range(0, len(start), 512):
-        s, size, it = start[k : k + 512], length[k : k + 512], items[k : k + 512]
-        grid = np.minimum(s[:, None] + np.arange(it.shape[1]), len(symbols) - 1)
-        inside = np.where(np.arange(it.shape[1]) < size[:, None], symbols[grid], _PAD)
-        inside.sort(axis=1)
-        line = np.arange(len(s), dtype=U64)[:, None] << U64(48)  # one sorted array for all lines
-        flat = (line | (inside >> U64(16))).ravel()
-        want = (line | (it >> U64(16))).ravel()
-        at = np.minimum(np.searchsorted(flat, want), len(flat) - 1)
-        out[k : k + 512] = (flat[at] == want).reshape(it.shape).sum(1)
-    return out
+    if not free:
+        return row[np.arange(m), length] // unit, np.zeros(m, np.int64)
+    row[np.arange(n + 1) > length[:, None]] = np.iinfo(np.int64).max
+    best = row.min(axis=1)
+    return best // unit, best % unit
 
 
 def walks_needed(groups: list[Items], picks: np.ndarray, salts: np.ndarray, recall: float) -> int:
@@ -179,93 +173,114 @@ def build(items: list[tuple[object, str | None]], tolerance: float, recall: floa
     salts, picks = salts[:count], picks[:count]
     keys = []
     for g in groups:
-        k = embed_keys(g.symbols.ravel(), np.arange(len(g.ids)) * g.n, np.full(len(g.ids), g.n), g.n, salts, picks)
-        line = np.repeat(np.arange(len(g.ids)), count)
-        order = np.argsort(k.ravel(), kind="stable")
-        keys.append((k.ravel()[order], line[order]))
-    flat = [(k, g, s) for k, g in enumerate(groups) for s in g.symbols]
-    own = [np.unique(pair_hash(s)) for _, _, s in flat]
+        keys.append(embed_keys(g.symbols.ravel(), np.arange(len(g.ids)) * g.n, np.full(len(g.ids), g.n), g.n, salts, picks))
+    flat = [(k, j, g, s) for k, g in enumerate(groups) for j, s in enumerate(g.symbols)]
+    own = [np.unique(pair_hash(s)) for *_, s in flat]
     every = np.concatenate(own or [np.zeros(0, U64)])
     owner = np.repeat(np.arange(len(own)), [len(x) for x in own]).astype(np.int64)
     order = np.argsort(every, kind="stable")
     pairs, begin, size = np.unique(every[order], return_index=True, return_counts=True)
-    runs = np.isin(pairs, np.concatenate([p[1:][p[1:] == p[:-1]] for p in (pair_hash(s) for _, _, s in flat)] or [np.zeros(0, U64)]))
-    facts = (np.array([x for x in column], np.int64) for column in ([k for k, *_ in flat], [g.n for _, g, _ in flat], [g.least for _, g, _ in flat]))
+    runs = np.isin(pairs, np.concatenate([p[1:][p[1:] == p[:-1]] for p in (pair_hash(s) for *_, s in flat)] or [np.zeros(0, U64)]))
+    facts = (np.array([x for x in column], np.int64) for column in ([k for k, *_ in flat], [j for _, j, *_ in flat], *([f(g) for _, _, g, _ in flat] for f in (lambda g: g.n, lambda g: g.edits, lambda g: g.least))))
     return Index(groups, pairs, salts, picks, keys, owner[order], begin, begin + size, *facts, runs)
 
 
-def windows(index: Index, hits: np.ndarray, pair: np.ndarray, w: Words) -> dict[int, np.ndarray]:
-    """Starts of the windows, by group, that hold enough word pairs of one item.
+def windows(index: Index, hits: np.ndarray, pair: np.ndarray, w: Words) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Item lines and starts, by group, where a copy may begin: enough word pairs of that item follow.
 
-    hits: positions of word pairs of the items, in order; pair: which pair each is.
+    hits: positions of word pairs of the items, in order; pair: which pair each is. A copy
+    has from n - edits to n + edits words.
     """
     size = index.owner_end[pair] - index.owner_start[pair]
     owner = index.owners[ranges(index.owner_start[pair], size)]
     at = np.repeat(hits, size)
     order = np.argsort(owner * (len(w) + 1) + at, kind="stable")
     owner, at = owner[order], at[order]
-    least, n = index.least[owner], index.length[owner]
+    least, n, edits = index.least[owner], index.length[owner], index.edits[owner]
     i = np.arange(len(at))
     j = i + least - 1
     i, j = i[j < len(at)], j[j < len(at)]
-    fits = (owner[i] == owner[j]) & (at[j] - at[i] <= n[i] - 2) & (w.row[at[i]] == w.row[at[j]])
+    fits = (owner[i] == owner[j]) & (at[j] - at[i] <= n[i] + edits[i] - 2) & (w.row[at[i]] == w.row[at[j]])
     i, j = i[fits], j[fits]
-    n, row = n[i], w.row[at[i]]
+    n, edits, row = n[i], edits[i], w.row[at[i]]
     begin, end = w.first[row], w.first[row + 1]
-    short = end - begin < n  # the whole text is the window
-    low = np.where(short, begin, np.maximum(at[j] - (n - 2), begin))
-    high = np.where(short, begin, np.minimum(at[i], end - n))
+    low = np.maximum(at[j] - (n + edits - 2), begin)
+    high = np.minimum(at[i], end - (n - edits))
     count = np.maximum(high - low + 1, 0)
-    start, group = ranges(low, count), np.repeat(index.group[owner[i]], count)
-    code = np.unique(group * (len(w) + 1) + start)
-    group, start = code // (len(w) + 1), code % (len(w) + 1)
-    return {int(k): start[group == k] for k in np.unique(group)}
+    code = np.unique(np.repeat(owner[i], count) * (len(w) + 1) + ranges(low, count))
+    owner, start = code // (len(w) + 1), code % (len(w) + 1)
+    group = index.group[owner]
+    return {int(k): (index.line[owner[group == k]], start[group == k]) for k in np.unique(group)}
+
 
+def spans(start: np.ndarray, line: np.ndarray, g: Items, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item line, begin, end) of the words around candidates, ``edits`` more on both sides.
 
-def search(index: Index, rows: Rows) -> Iterator[tuple[int, object, int, int, int]]:
-    """(row, item id, first word, item words, distance) of each item found in each row, at its best window."""
+    Overlapping ones of an item are one, then cut into bounded pieces that share the words
+    of a whole copy.
+    """
+    row = w.row[start]
+    low = np.maximum(start - g.edits, w.first[row])
+    high = np.minimum(start + g.n + g.edits, w.first[row + 1])
+    order = np.lexsort((low, line))
+    line, low, high, row = line[order], low[order], high[order], row[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (row[1:] != row[:-1]) | (low[1:] > high[:-1])
+    at = np.flatnonzero(new)
+    line, low, high = line[at], low[at], high[np.append(at[1:], len(new)) - 1]
+    reach = g.n + g.edits
+    pieces = np.maximum(1, -(-(high - low - reach) // (3 * reach)))
+    begin = np.repeat(low, pieces) + ranges(np.zeros(len(at), np.int64), pieces) * 3 * reach
+    return np.repeat(line, pieces), begin, np.minimum(begin + 4 * reach, np.repeat(high, pieces))
+
+
+def fixed(start: np.ndarray, line: np.ndarray, g: Items, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item line, begin, end) of the windows of an item's length at candidates; a shorter text is its window."""
+    first, last = w.first[w.row[start]], w.first[w.row[start] + 1]
+    begin = np.maximum(np.minimum(start, last - g.n), first)
+    return line, begin, np.minimum(begin + g.n, last)
+
+
+def search(index: Index, rows: Rows, free_ends: bool = False) -> Iterator[tuple[int, object, int, int, int]]:
+    """(row, item id, first word, item words, distance) of each item found in each row, at its best place."""
     w = normalized(rows)
     if len(w) < 2 or not len(index.pairs):
         return
     h = pair_hash(w.hash)
     at = np.minimum(np.searchsorted(index.pairs, h), len(index.pairs) - 1)
     known = (index.pairs[at] == h) & (w.row[1:] == w.row[:-1])
-    # one word repeated on and on is no copy, unless an item has such a run: count its pair once
-    again = np.zeros(len(h), bool)
-    again[1:] = (h[1:] == h[:-1]) & (w.row[2:] == w.row[:-2])
-    hits = np.flatnonzero(known & ~(again & ~index.runs[at]))
-    for which, start in windows(index, hits, at[hits], w).items():
-        g, (keys, lines) = index.groups[which], index.keys[which]
-        length = np.minimum(g.n, w.first[w.row[start] + 1] - start)
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+    # one word repeated on and on is no copy, unless an item has such a run: count its first and last pair
+    again = np.zeros(len(h) + 1, bool)
+    again[1:-1] = (h[1:] == h[:-1]) & (w.row[2:] == w.row[:-2])
+    hits = np.flatnonzero(known & ~(again[:-1] & again[1:] & ~index.runs[at]))
+    for which, (line, start) in windows(index, hits, at[hits], w).items():
+        g, keys = index.groups[which], index.keys[which]
+        met = np.zeros(len(start), bool)
         for a in range(0, len(start), 4096):
-            s, size = start[a : a + 4096], length[a : a + 4096]
-            got = embed_keys(w.hash, s, size, g.n, index.salts, index.picks).ravel()
-            lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
-            window = np.repeat(np.arange(len(s)).repeat(len(index.picks)), hi - lo)
-            line = lines[ranges(lo, hi - lo)]
-            code = np.unique(window * len(g.ids) + line)
-            window, line = code // len(g.ids), code % len(g.ids)
-            # an edit takes one word away at most
-            near = shared_words(g.symbols[line], w.hash, s[window], size[window]) >= g.n - g.edits
-            window, line, code = window[near], line[near], code[near]
-            for b in range(0, len(code), 2048):
-                v, it = window[b : b + 2048], line[b : b + 2048]
-                grid = np.minimum(s[v][:, None] + np.arange(g.n), len(w) - 1)
-                distance = edit_distance(g.symbols[it], w.hash[grid], size[v])
-                for k in np.flatnonzero(distance <= g.edits):
-                    key = int(w.row[s[v[k]]]), int(it[k])
-                    best[key] = min(best.get(key, (1 << 30, 0)), (int(distance[k]), int(s[v[k]])))
-        for (row, it), (distance, s) in sorted(best.items()):
-            yield row, g.ids[it], s - int(w.first[row]), g.n, distance
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.2, recall: float = RECALL, least_words: int = LEAST_WORDS, pass_items: int = PASS_ITEMS) -> DataFrame:
+            s, back = np.unique(start[a : a + 4096], return_inverse=True)
+            got = embed_keys(w.hash, s, np.minimum(g.n, w.first[w.row[s] + 1] - s), g.n, index.salts, index.picks)
+            met[a : a + 4096] = (got[back] == keys[line[a : a + 4096]]).any(1)
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        it, begin, end = spans(start[met], line[met], g, w) if free_ends else fixed(start[met], line[met], g, w)
+        for a in range(0, len(it), 512):
+            i, b, size = it[a : a + 512], begin[a : a + 512], (end - begin)[a : a + 512]
+            grid = np.minimum(b[:, None] + np.arange(size.max()), len(w) - 1)
+            distance, first = nearest(g.symbols[i], w.hash[grid], size, free_ends)
+            for k in np.flatnonzero(distance <= g.edits):
+                key = int(w.row[b[k]]), int(i[k])
+                best[key] = min(best.get(key, (1 << 30, 0)), (int(distance[k]), int(b[k] + first[k])))
+        for (row, item), (distance, s) in sorted(best.items()):
+            yield row, g.ids[item], s - int(w.first[row]), g.n, distance
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.2, recall: float = RECALL, least_words: int = LEAST_WORDS, pass_items: int = PASS_ITEMS, free_ends: bool = False) -> DataFrame:
     """(doc_id, item_id, start_word, item_words, distance): every item found in every document.
 
-    One row for each pair, at the window of the smallest distance (the first of equals);
+    One row for each pair, at the place of the smallest distance (the first of equals);
     repeated input rows give repeated rows. distance is in words, at most
-    tolerance * item_words. Texts without the words of an item, null and empty texts give
+    tolerance * item_words. With ``free_ends`` it is that to any run of words of the text,
+    without it that to the windows of item_words words, where a word that is taken out or
+    put in counts about twice. Texts without the words of an item, null and empty texts give
     none; items of fewer than ``least_words`` words and null items are not searched for.
     Other columns are left out, whatever their names. Narrow over the documents: items go
     along with the tasks, at most ``pass_items`` of them in one pass, more in further ones.
@@ -279,7 +294,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", d
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch.column(1)):
-                    found = list(search(index, part))
+                    found = list(search(index, part, free_ends))
                     if found:
                         row, item, *rest = zip(*found, strict=True)
                         ids = batch.column(0).take(pa.array([part.first + r for r in row]))
@@ -297,7 +312,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", d
     return out
 
 
-def leaked(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", name: str = "leaked", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.2, recall: float = RECALL, least_words: int = LEAST_WORDS, pass_items: int = PASS_ITEMS) -> DataFrame:
+def leaked(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", name: str = "leaked", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.2, recall: float = RECALL, least_words: int = LEAST_WORDS, pass_items: int = PASS_ITEMS, free_ends: bool = False) -> DataFrame:
     """The input with a boolean column ``name``: whether a text has an item of the benchmark.
 
     The same search as :func:`contaminated`, for filters: rows stay as they are, nothing is
@@ -310,7 +325,7 @@ def leaked(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", name: s
         def run(column: pa.Array) -> pa.Array:
             out = np.zeros(len(column), bool)
             for part in slices(column):
-                out[[part.first + r[0] for r in search(index, part)]] = True
+                out[[part.first + r[0] for r in search(index, part, free_ends)]] = True
             return pa.array(out)
 
         return F.arrow_udf(run, "boolean")(F.col(text))
