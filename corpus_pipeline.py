@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item, up to a fifth of its words edited."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.leaked(docs, benchmark, name="__leaked", free_ends=True).where("not __leaked").select(*docs.columns)
+    return decontaminate.leaked(docs, benchmark, name="__leaked", least_words=1, free_ends=True).where("not __leaked").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

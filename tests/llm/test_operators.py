@@ -408,6 +408,36 @@ def test_spans_of_long_repetitions_are_cut_without_loss():
         assert [tuple(map(int, r)) for r in decontaminate.search(index, rows, True)] == [(0, 0, 0, 10, 0), (1, 0, 0, 10, 1)]
 
 
+def test_short_and_unspaced_items_are_found(spark):
+    items = [(0, "hello"), (1, "Red, blue"), (2, "red blue"), (3, "one two three four"), (4, "日本で一番高い山は何ですか"), (5, "東京"), (6, "..."), (7, ""), (8, None), (9, "ก𠀀 x")]
+    docs = [
+        (1, "say Hello and hello"),
+        (2, "a red (blue) hat; red blue"),
+        (3, "one two three fore"),
+        (4, "問題：日本で一番高いお山は何ですか。答え"),
+        (5, "zé東京é"),
+        (6, "one two three four"),
+        (7, "京東 helloo red"),
+        (8, None),
+        (9, "yก𠀀x"),
+    ]
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.contaminated(df, benchmark, least_words=1, free_ends=True).collect()}
+    assert got == {(1, 0, 1, 1, 0), (2, 1, 1, 2, 0), (2, 2, 1, 2, 0), (4, 4, 3, 13, 1), (5, 5, 1, 2, 0), (6, 3, 0, 4, 0), (9, 9, 1, 3, 0)}
+    marked = {r["doc_id"] for r in decontaminate.leaked(df, benchmark, least_words=1, free_ends=True).where("leaked").collect()}
+    assert marked == {d for d, *_ in got}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aZ9é -、。日本ーア한ก𠀀🤖", max_size=12), max_size=4))
+def test_characters_of_unspaced_scripts_are_words(texts):
+    pattern = re.compile(r"[、。日本ーアก𠀀]|[a-z9é한🤖]+")
+    for rows in text_arrays.slices(pa.array(texts, pa.string())):
+        w = decontaminate.normalized(rows)
+        got = [[rows.lowered().data[w.start[i] : w.end[i]].tobytes().decode() for i in range(w.first[k], w.first[k + 1])] for k in range(len(rows))]
+        assert got == [pattern.findall(t.translate(LOWER)) for t in texts[rows.first : rows.first + len(rows)]]
+
+
 # ---- near-duplicates
 
 

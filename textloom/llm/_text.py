@@ -21,6 +21,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: What parts words of letters and digits: every other ASCII byte.
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F))
 SLICE_BYTES = 1 << 20
 
 
@@ -118,8 +119,25 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Rows]:
         at = to
 
 
-def words(rows: Rows, which: int = 0, gap: np.ndarray = _SPACE) -> Words:
-    """Words of each row, with hashes of their bytes: runs of bytes that are not in ``gap``."""
+def unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the characters of scripts without spaces between words.
+
+    Thai, Lao, Myanmar, Khmer, U+2E80 to U+A4CF (kana, Chinese characters and their marks),
+    compatibility and halfwidth forms, and the supplementary Chinese characters.
+    """
+    at = np.flatnonzero(data[:-2] >= 0xE0) if len(data) > 2 else np.zeros(0, np.int64)
+    code = data[at].astype(np.int64) << 12 | (data[at + 1] & 63).astype(np.int64) << 6 | (data[at + 2] & 63)
+    code &= 0xFFFF
+    wide = (data[at] < 0xF0) & np.logical_or.reduce([(code >= a) & (code <= b) for a, b in _UNSPACED])
+    far = (data[at] == 0xF0) & (data[at + 1] >= 0xA0)
+    return np.concatenate([at[wide], at[far]]), np.concatenate([at[wide] + 3, at[far] + 4])
+
+
+def words(rows: Rows, which: int = 0, gap: np.ndarray = _SPACE, characters: bool = False) -> Words:
+    """Words of each row, with hashes of their bytes: runs of bytes that are not in ``gap``.
+
+    With ``characters`` each character of an unspaced script is a word by itself.
+    """
     data, bounds = rows.data, rows.bounds
     n = len(data)
     inside = np.empty(n + 2, bool)
@@ -131,6 +149,11 @@ def words(rows: Rows, which: int = 0, gap: np.ndarray = _SPACE) -> Words:
     cut = cut[(cut > 0) & (cut < n)]
     begins[cut] = here[cut]
     ends[cut - 1] = here[cut - 1]
+    if characters:
+        a, b = unspaced(data)
+        begins[a], ends[b - 1] = True, True
+        a, b = a[a > 0], b[b < n]
+        ends[a - 1], begins[b] = here[a - 1], here[b]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, bounds)
     row = np.repeat(np.arange(len(rows)), np.diff(first))

@@ -1,6 +1,7 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit distance.
 
-Texts are sequences of words (runs of letters and digits, A-Z lower-cased). A document
+Texts are sequences of words (runs of letters and digits, A-Z lower-cased; each character
+of a script without spaces, such as Japanese, is a word). A document
 is contaminated by an item if some run of its words (with ``free_ends``; otherwise some
 window of the item's length) lies within ``tolerance`` edits a word of the item. A CGK random walk turns edit distance into
 Hamming distance: step j emits the word under the pointer, which moves on if a random
@@ -10,6 +11,7 @@ window that meets an item in a key the exact edit distance is computed.
 
 Windows go to the embedding only if they hold as many of one item's word pairs as an
 edited copy must still hold: each edit spoils two pairs at most, so this loses nothing.
+Items too short for an edit are looked up as they are, by the hash of their words.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from textloom.llm._text import NOT_ALNUM, U64, Rows, Words, mix, ranges, slices, words
+from textloom.llm._text import NOT_ALNUM, U64, Rows, Words, grams, mix, ranges, slices, span_hash, words
 
 #: Items that one pass over the documents holds at most; more items take more passes.
 PASS_ITEMS = 20_000
-#: Items of fewer words are left out: they would match ordinary text.
+#: Items of fewer words are left out unless asked for: they match ordinary text.
 LEAST_WORDS = 5
 SAMPLED = 2
 RECALL = 0.9999
@@ -64,10 +66,11 @@ class Index:
     edits: np.ndarray
     least: np.ndarray
     runs: np.ndarray  # pairs that follow themselves in some item
+    exact: list[tuple[int, np.ndarray, np.ndarray]]  # items without edits, by length: sorted hashes, and ids
 
 
 def normalized(rows: Rows) -> Words:
-    return words(rows.lowered(), gap=NOT_ALNUM)
+    return words(rows.lowered(), gap=NOT_ALNUM, characters=True)
 
 
 def pair_hash(h: np.ndarray) -> np.ndarray:
@@ -160,11 +163,16 @@ def build(items: list[tuple[object, str | None]], tolerance: float, recall: floa
         w = normalized(rows)
         for k in range(len(rows)):
             h = w.hash[w.first[k] : w.first[k + 1]]
-            if len(h) >= least_words:
+            if len(h) >= max(1, least_words):
                 by_length[len(h)].append((items[rows.first + k][0], h))
-    groups = []
+    groups, exact = [], []
     for n, found in sorted(by_length.items()):
         edits = int(np.floor(tolerance * n + 1e-9))
+        if not edits:
+            h = span_hash(np.concatenate([h for _, h in found]), n * np.arange(len(found)), n * np.arange(1, len(found) + 1))
+            order = np.argsort(h, kind="stable")
+            exact.append((n, h[order], np.array([i for i, _ in found])[order]))
+            continue
         groups.append(Items(n, np.array([i for i, _ in found]), np.stack([h for _, h in found]), edits, max(1, n - 1 - 2 * edits)))
     draw = np.random.default_rng(3)
     salts = draw.integers(0, 1 << 63, MOST_WALKS, dtype=np.uint64)
@@ -182,7 +190,7 @@ def build(items: list[tuple[object, str | None]], tolerance: float, recall: floa
     pairs, begin, size = np.unique(every[order], return_index=True, return_counts=True)
     runs = np.isin(pairs, np.concatenate([p[1:][p[1:] == p[:-1]] for p in (pair_hash(s) for *_, s in flat)] or [np.zeros(0, U64)]))
     facts = (np.array([x for x in column], np.int64) for column in ([k for k, *_ in flat], [j for _, j, *_ in flat], *([f(g) for _, _, g, _ in flat] for f in (lambda g: g.n, lambda g: g.edits, lambda g: g.least))))
-    return Index(groups, pairs, salts, picks, keys, owner[order], begin, begin + size, *facts, runs)
+    return Index(groups, pairs, salts, picks, keys, owner[order], begin, begin + size, *facts, runs, exact)
 
 
 def windows(index: Index, hits: np.ndarray, pair: np.ndarray, w: Words) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -244,6 +252,15 @@ def fixed(start: np.ndarray, line: np.ndarray, g: Items, w: Words) -> tuple[np.n
 def search(index: Index, rows: Rows, free_ends: bool = False) -> Iterator[tuple[int, object, int, int, int]]:
     """(row, item id, first word, item words, distance) of each item found in each row, at its best place."""
     w = normalized(rows)
+    for n, keys, ids in index.exact:
+        h, at = grams(w, n)
+        lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+        at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
+        _, first = np.unique(w.row[at] * (len(keys) + 1) + lo, return_index=True)  # at is in order
+        for at, lo, hi in zip(at[first].tolist(), lo[first].tolist(), hi[first].tolist(), strict=True):
+            row = int(w.row[at])
+            for item in ids[lo:hi]:
+                yield row, item, at - int(w.first[row]), n, 0
     if len(w) < 2 or not len(index.pairs):
         return
     h = pair_hash(w.hash)
@@ -281,7 +298,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", d
     tolerance * item_words. With ``free_ends`` it is that to any run of words of the text,
     without it that to the windows of item_words words, where a word that is taken out or
     put in counts about twice. Texts without the words of an item, null and empty texts give
-    none; items of fewer than ``least_words`` words and null items are not searched for.
+    none; items of fewer than ``least_words`` words, those without any and null items are not
+    searched for. At the default tolerance items of fewer than five words allow no edit.
     Other columns are left out, whatever their names. Narrow over the documents: items go
     along with the tasks, at most ``pass_items`` of them in one pass, more in further ones.
     """

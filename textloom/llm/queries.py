@@ -87,7 +87,7 @@ def joined_spans(spans: str = "spans", kinds: tuple[str, ...] | None = None) ->
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in each document, up to a fifth of an item's words edited."""
-    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), free_ends=True)
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_words=1, free_ends=True)
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
