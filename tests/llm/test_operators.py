@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from textloom.llm import bpe, components, ctw, decontaminate, langid, neardup, quality, rules, secrets, substrings, toxicity
+from textloom.llm import bpe, components, ctw, decontaminate, langid, neardup, quality, queries, rules, secrets, substrings, toxicity
 from textloom.llm import _text as text_arrays
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -549,6 +549,71 @@ def test_language_evidence_is_fused(spark):
     assert {r["lang_id"] for r in only.where("lang_accepted").collect()} == {"de"}
 
 
+def fused_by_brute_force(rows, model, strength=20.0, trust=0.9):
+    """(lang, posterior) of (text, declared, host) rows by the formulas, over dictionaries."""
+    names, n = model.languages, len(model.languages)
+
+    def likelihood(text):
+        data = text.translate(LOWER).encode()
+        out = [0.0] * n
+        for i in range(len(data) - 2):
+            bucket = int.from_bytes(data[i : i + 3], "little") * 0x9E3779B1 % (1 << 32) >> 16
+            for k in range(n):
+                out[k] += 0.25 * float(model.log_prob[bucket, k])
+        return out
+
+    def suffix(host):
+        return host.rsplit(".", 1)[1].lower() if "." in host else ""
+
+    seen = [likelihood(t or "") for t, *_ in rows]
+    best = [x.index(max(x)) for x in seen]
+    hosts = [h or "" for *_, h in rows]
+
+    def smooth(which, parent):
+        count = [sum(b == k for b, h in zip(best, hosts, strict=True) if which(h)) for k in range(n)]
+        return [(c + strength * p) / (sum(count) + strength) for c, p in zip(count, parent, strict=True)]
+
+    out = []
+    for (_, said, _), ll, host in zip(rows, seen, hosts, strict=True):
+        prior = smooth(lambda h, x=host: h == x, smooth(lambda h, x=suffix(host): suffix(h) == x, smooth(lambda h: True, [1 / n] * n)))
+        total = []
+        for k in range(n):
+            evidence = 0.0 if said not in names else math.log(trust if said == names[k] else (1 - trust) / (n - 1))
+            total.append(ll[k] + evidence + math.log(prior[k]))
+        top = max(total)
+        out.append((names[total.index(top)], 1 / sum(math.exp(x - top) for x in total)))
+    return out
+
+
+def test_language_of_pages_by_suffix_and_markup(spark, tmp_path):
+    draw = random.Random(11)
+    words = {"en": "the and with thing nation".split(), "de": "der und nicht schau keit".split()}
+    facts = []
+    for i in range(120):
+        tag = ("en", "de")[i % 2]
+        facts.append((" ".join(draw.choice(words[tag]) for _ in range(12)), tag, f"h{i % 7}.{'com' if tag == 'en' else 'De'}"))
+    facts += [("zq", None, "new.de"), ("zq", None, "new.com"), ("zq", "en", "new2.de"), ("zq", "xx", None), ("", None, "h0.com"), ("der the", "de", "nodot")]
+    pages = []
+    for i, (text, tag, host) in enumerate(facts):
+        lang = f' lang="{tag}-XY"' if tag else ""
+        pages.append((i, host and f"https://{host}/a?b=c", f"<html{lang}><script>x = '{text}'</script><p>{text}</p></html>"))
+    spark.createDataFrame([*pages, pages[0], (500, None, None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = queries.op8_langid_pages(spark, str(tmp_path)).collect()
+    assert len(rows) == len(pages) + 2 and sum(r["page_id"] == 0 for r in rows) == 2
+    got = {r["page_id"]: r for r in rows}
+    assert {r["suffix"] for r in rows} == {"com", "de", ""} and got[0]["declared"] == "en" and got[500]["declared"] is None
+    df = langid.page_evidence(spark.read.parquet(str(tmp_path / "pages.parquet")))
+    texts = {r["page_id"]: r["text"] for r in df.collect()}
+    assert all(texts[i].split() == t.split() for i, (t, *_) in enumerate(facts))
+    ids = [*range(len(facts)), 0, 500]
+    read = [(texts[i], *((facts[i][1], facts[i][2] and facts[i][2].lower()) if i < 500 else (None, None))) for i in ids]
+    want = fused_by_brute_force(read, langid.fit_text(df))
+    for i, (lang, posterior) in zip(ids, want, strict=True):
+        assert got[i]["lang_id"] == lang and got[i]["lang_posterior"] == pytest.approx(posterior, rel=1e-6)
+    assert got[120]["lang_id"] == "de" and got[121]["lang_id"] == "en"  # the suffix alone decides
+    assert got[122]["lang_id"] == "en" and got[122]["suffix"] == "de"  # the markup outweighs it
+
+
 def test_page_evidence(spark):
     page = '<!DOCTYPE html><HTML lang="de-AT"><head><style>p{}</style><script>var t="</p>";</script></head><body><!-- x --><p>Guten Tag</p></body></html>'
     row = langid.page_evidence(spark.createDataFrame([(1, "https://u@www.Example.de:80/a?b", page), (2, None, None)], "page_id long, url string, html string")).orderBy("page_id").collect()

@@ -109,6 +109,13 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("lang").alias("declared"), "lang_id", "lang_posterior", F.col("lang_accepted").alias("kept"))
 
 
+def op8_langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every web page: text, language of the markup, host and address suffix together."""
+    pages = langid.page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = langid.identify(pages.select("page_id", "text", "lang", "source"), langid.fit_text(pages))
+    return found.select("page_id", F.col("source").alias("host"), langid.suffix(F.col("source")).alias("suffix"), F.col("lang").alias("declared"), "lang_id", "lang_posterior", F.col("lang_accepted").alias("kept"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: base shapes, and literals assigned to sensitive names."""
     found = secrets.scan(documents(spark, sf_dir))
@@ -131,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_neardup": op6_neardup,
     "op7_rules": op7_rules,
     "op8_langid": op8_langid,
+    "op8_langid_pages": op8_langid_pages,
     "op9_secrets": op9_secrets,
 }
 
