@@ -231,3 +231,10 @@ def test_sources(spark, tmp_path):
     P.write_pages(P.page_files(pages(spark, ["a"])), str(tmp_path / "out"))
     assert (tmp_path / "out" / "corpus_id=c").is_dir()
     assert P.whole_documents(pages(spark, ["a", "", "c"])).first()["text"] == "\n===== ページ 1 =====\n\na\n\n===== ページ 3 =====\n\nc\n"
+
+
+def test_document_parts_join_to_the_whole_document(spark):
+    odd = pages(spark, [None if k % 11 == 0 else f"p{k}" * (k % 5) for k in range(300)])
+    rows = P.document_parts(odd, pages_in_part=7).orderBy("part_no").collect()
+    assert "".join(r["text"] for r in rows) == P.whole_documents(odd).first()["text"]
+    assert len(rows) == 43 and all(r["text"].count("=====") <= 2 * 7 for r in rows)

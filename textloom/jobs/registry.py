@@ -320,6 +320,14 @@ def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.whole_documents(framed(spark, sf_dir))
 
 
+@query(
+    "document_parts",
+    f"SELECT corpus_id, CAST(page_num // 64 AS BIGINT) AS part_no, string_agg({NL} || '===== ページ ' || page_num || ' =====' || {NL} || {NL} || text || {NL}, '' ORDER BY page_num) AS text FROM ({FRAMED}) GROUP BY ALL",
+)
+def document_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.document_parts(framed(spark, sf_dir))
+
+
 # ---- tabular
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions import text as X
 
+#: Page numbers of one part of a document.
+PAGES_IN_PART = 64
+
 
 def read_pages(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """S1, O5. (corpus_id, page_num, file_name, text): one row for each file of a folder, not recursive.
@@ -61,8 +64,27 @@ def write_pages(pages: DataFrame, path: str) -> None:
 def whole_documents(pages: DataFrame) -> DataFrame:
     """S6. (corpus_id, text): non-blank pages in order, each under its marker.
 
-    One cell for each corpus, which the corpus must fit; prefer :func:`page_files` otherwise.
+    One cell for each corpus, which the corpus must fit: at most 2 GB, and the memory of one
+    task. :func:`document_parts` has the same text for a corpus of any size.
+    """
+    return _sections(pages).groupBy("corpus_id").agg(_joined().alias("text"))
+
+
+def document_parts(pages: DataFrame, pages_in_part: int = PAGES_IN_PART) -> DataFrame:
+    """S6. (corpus_id, part_no, text): the texts of :func:`whole_documents` in parts of bounded size.
+
+    A part has the non-blank pages of ``pages_in_part`` numbers in a row, from part_no *
+    pages_in_part on. The parts of a corpus, joined in order of part_no, are its document;
+    no task or cell has a whole corpus. Parts without pages are left out.
     """
+    part = F.floor(F.col("p.page_num") / pages_in_part).cast("long")
+    return _sections(pages).groupBy("corpus_id", part.alias("part_no")).agg(_joined().alias("text"))
+
+
+def _sections(pages: DataFrame) -> DataFrame:
     section = F.concat(F.lit("\n===== ページ "), F.col("page_num").cast("string"), F.lit(" =====\n\n"), F.col("text"), F.lit("\n"))
-    rows = pages.where(~X.is_blank("text")).select("corpus_id", F.struct("page_num", section.alias("s")).alias("p"))
-    return rows.groupBy("corpus_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), "").alias("text"))
+    return pages.where(~X.is_blank("text")).select("corpus_id", F.struct("page_num", section.alias("s")).alias("p"))
+
+
+def _joined() -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), "")
