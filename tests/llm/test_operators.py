@@ -210,6 +210,24 @@ def test_pruned_tree_still_counts_everything(spark):
         assert r["score"] > pruned[i]["score"] > -8 * math.log10(2) * (r["n_bytes"] + 1)
 
 
+def test_no_context_is_cut(spark, monkeypatch):
+    """Scores do not depend on how many runs go along, and the trees have every context."""
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("abcd é") for _ in range(draw.randrange(0, 30))) for _ in range(24)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(ctw, "WEIGHED", 50)
+    predict = ctw_by_recursion(texts[:16], 4)
+    got = {r["doc_id"]: r["score"] for r in ctw.score(df, train=df.where("doc_id < 16"), depth=4, head_runs=20).collect()}
+    for i, t in enumerate(texts):
+        data = [0xFF] * 4 + [*t.encode(), 0xFF]
+        want = 0.0
+        for p in range(4, len(data)):
+            for k in range(8):
+                one = predict(data[p - 4 : p], (1 << k) | (data[p] >> (8 - k)))
+                want += math.log10(one if (data[p] >> (7 - k)) & 1 else 1 - one)
+        assert got[i] == pytest.approx(want, rel=1e-5)
+
+
 def test_base_score(spark):
     draw = random.Random(2)
     docs = [(i, " ".join(draw.choice(["The", "the", "cat", f"u{draw.randrange(50)}"]) for _ in range(draw.randrange(0, 20)))) for i in range(60)]

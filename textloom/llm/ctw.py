@@ -6,10 +6,12 @@ the tree mixes the estimates of all depths: P_w = 1/2 P_kt + 1/2 product of the
 P_w. Spark counts the (DEPTH + 1)-byte runs of the whole training corpus; the counts of
 every shorter context are sums of these.
 
-The model that goes along with the tasks has a bound: at each depth it has nodes for the
-contexts that occur most, up to MODEL_RUNS runs of bytes. The remaining contexts of a
-parent share one leaf, which has their counts, so no training byte is left out. Texts end
-with byte 0xFF, which UTF-8 has not, and start in a context of such bytes; the score is the
+All contexts are kept, in tables: contexts of TOP bytes part the trees into subtrees, which
+tasks weigh one by one; the few nodes above are weighed on the driver (at most 2^24 byte
+triples, whatever the corpus), and a second pass carries the mixture down to every run. The
+scores of the commonest runs go along with the tasks, those of the others are joined with
+the runs of each text. With ``model_runs`` the model is a smaller one instead: at each depth
+the contexts that occur most, up to that many runs, and one leaf for the rest. Texts end with byte 0xFF, which UTF-8 has not, and start in a context of such bytes; the score is the
 log10 probability of a whole text and its end.
 """
 
@@ -30,8 +32,12 @@ from textloom.llm._text import Rows, mix, slices, span_hash, words
 
 DEPTH = 5
 END = 0xFF
-#: Byte runs that the model has at each depth, at most.
-MODEL_RUNS = 300_000
+#: Bytes of the contexts that part the trees into subtrees.
+TOP = 2
+#: Byte runs whose scores go along with the tasks, at most; the scores of others are joined.
+HEAD_RUNS = 1_000_000
+#: Runs of whole subtrees that a task weighs at a time, unless one subtree has more.
+WEIGHED = 200_000
 #: Words whose counts go along with the tasks, at most; the counts of others are joined.
 HEAD_WORDS = 300_000
 #: Counts that a task holds before it sends them on.
@@ -106,6 +112,17 @@ def corpus_counts(train: DataFrame, text: str, depth: int) -> DataFrame:
     return part.groupBy("kind", "k1", "k2").agg(F.sum("n").alias("n"))
 
 
+def distinct_runs(depth: int):
+    """Batches of texts to their byte runs (k1), each once for a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(byte_runs(part, depth)[0]))], names=["k1"])
+
+    return run
+
+
 def _limit_by_count(binned: DataFrame, most: int) -> int:
     """Smallest bin (of log counts) from which up the ``size`` of all rows is within ``most``; 0 takes all."""
     total, least = 0, 10_000
@@ -119,8 +136,12 @@ def _limit_by_count(binned: DataFrame, most: int) -> int:
     return least
 
 
+def _bin_of(n):
+    return F.floor(F.log2(n.cast("double")) * 8).cast("int")
+
+
 def _bin(n: str):
-    return F.floor(F.log2(F.col(n).cast("double")) * 8).cast("int")
+    return _bin_of(F.col(n))
 
 
 def frequent_runs(runs: DataFrame, depth: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -250,6 +271,109 @@ def score_runs(model: Model, runs: np.ndarray) -> np.ndarray:
     return total
 
 
+def subtree_levels(runs: np.ndarray, n: np.ndarray, depth: int, top: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted runs with counts for each depth from ``top`` to ``depth``, of the deepest runs."""
+    out = []
+    for d in range(top, depth + 1):
+        u, back = np.unique(runs & ((1 << (8 * (d + 1))) - 1), return_inverse=True)
+        out.append((u, np.bincount(back, weights=n, minlength=len(u))))
+    return out
+
+
+def weigh(nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], top: int, weighted: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Bottom-up over levels from ``top``, all contexts kept: log P_w of the first level; parents; share of each node's own estimate."""
+    parent = [np.zeros(0, np.int64)] + [np.searchsorted(nodes[i - 1][0], nodes[i][0] & ((1 << (8 * (top + i))) - 1)) for i in range(1, len(nodes))]
+    stop = [np.ones(len(x[0])) for x in nodes]
+    for i in range(len(nodes) - 2, -1, -1):
+        below = np.bincount(parent[i + 1], weights=weighted, minlength=len(nodes[i][0]))
+        own = log_kt(nodes[i][1], nodes[i][2])
+        stop[i] = 1 / (1 + np.exp(-np.clip(own - below, -700, 700)))
+        weighted = math.log(0.5) + np.logaddexp(own, below)
+    return weighted, parent, stop
+
+
+def carry(nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parent: list[np.ndarray], stop: list[np.ndarray], mixed: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Top-down: the mixture at the nodes of the last level, and the weight that is left below them."""
+    for i, (_, zeros, ones) in enumerate(nodes):
+        if i:
+            mixed, left = mixed[parent[i]], left[parent[i]]
+        mixed, left = mixed + left * stop[i] * (ones + 0.5) / (zeros + ones + 1), left * (1 - stop[i])
+    return mixed, left
+
+
+def run_scores(runs: DataFrame, depth: int) -> DataFrame:
+    """(k1, n, gain): log10 probability of the last byte of each run, under the trees of all contexts.
+
+    Runs with n = 0 are scored and change no other score: an unseen node has probability 1.
+    """
+    spark = runs.sparkSession
+    top = min(TOP, depth)
+    low = (1 << (8 * top)) - 1
+    parts = runs.select("k1", "n", F.shiftright("k1", 8).bitwiseAND(F.lit(low)).alias("c"))
+    grouped = materialize(parts, "runs").repartition("c").sortWithinPartitions("c")
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]))
+            if sum(x.shape[1] for x in held) > WEIGHED:
+                rows = np.concatenate(held, 1)
+                cut = int(np.searchsorted(rows[2], rows[2, -1]))
+                held = [rows[:, cut:]]
+                if cut:
+                    yield rows[0, :cut], rows[1, :cut].astype(np.float64)
+        if held:
+            rows = np.concatenate(held, 1)
+            if rows.shape[1]:
+                yield rows[0], rows[1].astype(np.float64)
+
+    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run_, n in chunks(batches):
+            levels = subtree_levels(run_, n, depth, top)
+            for k in range(8):
+                nodes = [node_counts(*x, k) for x in levels]
+                w, _, _ = weigh(nodes, top, log_kt(*nodes[-1][1:]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), k)), *(pa.array(x) for x in nodes[0]), pa.array(w)], names=["k", "key", "zeros", "ones", "w"])
+
+    got = grouped.mapInArrow(summary, "k long, key long, zeros double, ones double, w double").toArrow()
+    got = {c: got[c].to_numpy() for c in ("k", "key", "zeros", "ones", "w")}
+    starts = []
+    for k in range(8):
+        mine = np.flatnonzero(got["k"] == k)
+        mine = mine[np.argsort(got["key"][mine])]
+        key, zeros, ones, w = (got[c][mine] for c in ("key", "zeros", "ones", "w"))
+        nodes = []
+        for d in range(top):
+            u, back = np.unique(key & ((1 << (8 * (d + 1))) - 1), return_inverse=True)
+            nodes.append((u, np.bincount(back, weights=zeros, minlength=len(u)), np.bincount(back, weights=ones, minlength=len(u))))
+        nodes.append((key, zeros, ones))
+        _, parent, stop = weigh(nodes, 0, w)
+        if top:
+            mixed, left = carry(nodes[:-1], parent, stop, np.zeros(len(nodes[0][0])), np.ones(len(nodes[0][0])))
+            starts.append((key, mixed[parent[-1]], left[parent[-1]]))
+        else:
+            starts.append((key, np.zeros(len(key)), np.ones(len(key))))
+    shared = spark.sparkContext.broadcast(starts)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run_, n in chunks(batches):
+            order = np.argsort(run_)
+            run_, n = run_[order], n[order]
+            levels = subtree_levels(run_, n, depth, top)
+            total = np.zeros(len(run_))
+            for k, (key, mixed, left) in enumerate(shared.value):
+                nodes = [node_counts(*x, k) for x in levels]
+                _, parent, stop = weigh(nodes, top, log_kt(*nodes[-1][1:]))
+                at = np.searchsorted(key, nodes[0][0])
+                p, _ = carry(nodes, parent, stop, mixed[at], left[at])
+                mine, bit = bit_nodes(run_, k)
+                p = p[np.searchsorted(nodes[-1][0], mine)]
+                total += np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-12, 1.0))
+            yield pa.RecordBatch.from_arrays([pa.array(run_), pa.array(n.astype(np.int64)), pa.array(total)], names=["k1", "n", "gain"])
+
+    return materialize(grouped.mapInArrow(finish, "k1 long, n long, gain double"), "run-scores")
+
+
 class Scorer:
     """A model in a task: whole runs by hash table, unknown runs bit by bit."""
 
@@ -273,17 +397,22 @@ class Scorer:
     def slot(self, runs: np.ndarray) -> np.ndarray:
         return ((runs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-    def __call__(self, runs: np.ndarray) -> np.ndarray:
+    def known(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the runs, and the places of those that the table has not."""
         slot = self.slot(runs)
         out = self.value[slot].astype(np.float64)
         todo = np.flatnonzero(self.key[slot] != runs)
         for step in range(1, self.probes):
             if not len(todo):
-                return out
+                break
             at = (slot[todo] + step) & self.mask
             hit = self.key[at] == runs[todo]
             out[todo[hit]] = self.value[at[hit]]
             todo = todo[~hit]
+        return out, todo
+
+    def __call__(self, runs: np.ndarray) -> np.ndarray:
+        out, todo = self.known(runs)
         if len(todo):
             u, back = np.unique(runs[todo], return_inverse=True)
             out[todo] = score_runs(self.model, u)[back]
@@ -293,12 +422,12 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def fit(counts: DataFrame, *, depth: int = DEPTH, model_runs: int = MODEL_RUNS) -> Model:
+def fit(counts: DataFrame, *, depth: int = DEPTH, model_runs: int) -> Model:
     """Model of the byte runs in :func:`corpus_counts`. Without runs every decision is even."""
     return build(frequent_runs(counts.where("kind = 0").select("k1", "n"), depth, model_runs))
 
 
-def score(df: DataFrame, *, train: DataFrame | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), depth: int = DEPTH, model_runs: int = MODEL_RUNS, head_words: int = HEAD_WORDS) -> DataFrame:
+def score(df: DataFrame, *, train: DataFrame | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), depth: int = DEPTH, model_runs: int | None = None, head_words: int = HEAD_WORDS, head_runs: int = HEAD_RUNS) -> DataFrame:
     """Columns ``keep``, n_bytes, score, bits_per_byte, n_tokens, n_known, train_tokens, base_score.
 
     Learns from ``train`` (None: from ``df``) and scores every row of ``df``, whole texts.
@@ -310,25 +439,41 @@ def score(df: DataFrame, *, train: DataFrame | None = None, text: str = "text",
 
     The commonest words' counts go along with the tasks (``head_words`` at most); the
     other words of each text are joined with the counts, so the vocabulary has no bound
-    and no word is a hot key.
+    and no word is a hot key. So are the scores of byte runs (``head_runs`` at most).
     """
     spark = df.sparkSession
     counts = materialize(corpus_counts(df if train is None else train, text, depth), "counts")
-    model = fit(counts, depth=depth, model_runs=model_runs)
+    rare_runs = None
+    if model_runs is not None:
+        model = fit(counts, depth=depth, model_runs=model_runs)
+    else:
+        seen = counts.where("kind = 0").select("k1", "n")
+        if train is not None:
+            mine = df.select(F.col(text)).mapInArrow(distinct_runs(depth), "k1 long")
+            seen = seen.unionByName(mine.distinct().withColumn("n", F.lit(0).cast("long"))).groupBy("k1").agg(F.sum("n").alias("n"))
+        gains = run_scores(seen, depth)
+        rank = _bin_of(F.col("n") + 1)
+        low = _limit_by_count(gains.groupBy(rank.alias("bin")).agg(F.count("*").alias("size")), head_runs)
+        top_runs = gains.where(rank >= low).select("k1", "gain").toArrow()
+        model = Model(depth, [], [], top_runs["k1"].to_numpy(), top_runs["gain"].to_numpy().astype(np.float32))
+        del top_runs
+        rare_runs = gains.where(rank < low).select("k1", "gain")
     word_counts = counts.where("kind = 1")
     ends = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     size = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, vocabulary = size["n"] + ends, size["v"] + (1 if ends else 0)
     divisor = math.log10(n_train + vocabulary + 1)
     least = _limit_by_count(word_counts.groupBy(_bin("n").alias("bin")).agg(F.count("*").alias("size")), head_words)
-    head = word_counts.where(_bin("n") >= least).select("k1", "k2", "n").toPandas()
+    head = word_counts.where(_bin("n") >= least).select("k1", "k2", "n").toArrow()
     order = np.lexsort((head["k2"].to_numpy(), head["k1"].to_numpy()))
-    shared = spark.sparkContext.broadcast((model, *(head[c].to_numpy(np.int64)[order] for c in ("k1", "k2", "n"))))
+    shared = spark.sparkContext.broadcast((model, *(head[c].to_numpy()[order] for c in ("k1", "k2", "n"))))
     name = str(id(shared)) + str(shared.id if hasattr(shared, "id") else "")
     end_score = math.log10(ends + 1) - divisor
     tail_type = pa.list_(pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("m", pa.int64())]))
+    run_type = pa.list_(pa.struct([("k1", pa.int64()), ("m", pa.int64())]))
+    whole = rare_runs is not None
     fields = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep]
-    out_schema = ", ".join([*fields, "rid long", "n_bytes long", "score double", "n_tokens long", "head_known long", "head_base double", "tail array<struct<k1: bigint, k2: bigint, m: bigint>>"])
+    out_schema = ", ".join([*fields, "rid long", "n_bytes long", "score double", "n_tokens long", "head_known long", "head_base double", "tail array<struct<k1: bigint, k2: bigint, m: bigint>>", "runs array<struct<k1: bigint, m: bigint>>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, h1, h2, hn = shared.value
@@ -340,7 +485,22 @@ def score(df: DataFrame, *, train: DataFrame | None = None, text: str = "text",
         for batch in batches:
             for part in slices(batch.column(0)):
                 runs, bounds = byte_runs(part, depth)
-                total = np.add.reduceat(scorer(runs), bounds[:-1])
+                if whole:
+                    value, far = scorer.known(runs)
+                    value[far] = 0.0
+                else:
+                    value, far = scorer(runs), np.zeros(0, np.int64)
+                total = np.add.reduceat(value, bounds[:-1])
+                # runs not in the head, once for each row
+                far_row = np.searchsorted(bounds, far, "right") - 1
+                order = np.lexsort((runs[far], far_row))
+                far_run, far_row = runs[far][order], far_row[order]
+                new = np.ones(len(far), bool)
+                new[1:] = (far_row[1:] != far_row[:-1]) | (far_run[1:] != far_run[:-1])
+                v = np.flatnonzero(new)
+                far_type = list(run_type.value_type)
+                far_runs = pa.StructArray.from_arrays([pa.array(far_run[v]), pa.array(np.diff(np.append(v, len(far))))], fields=far_type)
+                far_bounds = np.searchsorted(far_row[v], np.arange(len(part) + 1))
                 k1, k2, first = word_keys(part)
                 at = np.searchsorted(h1, k1)
                 known = np.zeros(len(k1), bool)
@@ -368,9 +528,10 @@ def score(df: DataFrame, *, train: DataFrame | None = None, text: str = "text",
                     pa.array(np.bincount(row[known], minlength=n)),
                     pa.array(np.bincount(row, weights=base, minlength=n) + end_score),
                     pa.ListArray.from_arrays(pa.array(tail_bounds, pa.int32()), tail),
+                    pa.ListArray.from_arrays(pa.array(far_bounds, pa.int32()), far_runs),
                 ]
                 kept = [batch.column(k + 1).slice(part.first, n) for k in range(len(keep) + 1)]
-                yield pa.RecordBatch.from_arrays([*kept, *values], names=[*keep, "rid", "n_bytes", "score", "n_tokens", "head_known", "head_base", "tail"])
+                yield pa.RecordBatch.from_arrays([*kept, *values], names=[*keep, "rid", "n_bytes", "score", "n_tokens", "head_known", "head_base", "tail", "runs"])
 
     scored = df.select(F.col(text).alias("__text"), *keep, F.monotonically_increasing_id().alias("rid")).mapInArrow(run, out_schema)
     scored = materialize(scored, "scored")
@@ -379,12 +540,18 @@ def score(df: DataFrame, *, train: DataFrame | None = None, text: str = "text",
     joined = tail.join(rare.hint("merge"), ["k1", "k2"], "left")
     gain = F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - F.lit(divisor)
     sums = joined.groupBy("rid").agg(F.sum(F.col("m") * gain).alias("tail_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("tail_known"))
-    both = scored.drop("tail").join(sums.hint("merge"), "rid", "left")
+    both = scored.drop("tail", "runs").join(sums.hint("merge"), "rid", "left")
+    total = F.col("score")
+    if whole:
+        far = scored.select("rid", F.explode("runs").alias("t")).select("rid", "t.k1", "t.m")
+        added = far.join(rare_runs.hint("merge"), "k1").groupBy("rid").agg(F.sum(F.col("m") * F.col("gain")).alias("far_score"))
+        both = both.join(added.hint("merge"), "rid", "left")
+        total = total + F.coalesce("far_score", F.lit(0.0))
     return both.select(
         *keep,
         "n_bytes",
-        "score",
-        (-F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+        total.alias("score"),
+        (-total * math.log2(10) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
         "n_tokens",
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0)) + F.lit(1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
