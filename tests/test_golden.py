@@ -1,5 +1,7 @@
 """Literal cases for each operator, most of them Japanese."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from textloom.functions import lines as L
 from textloom.functions import text as X
 from textloom.operators import cleaning, collection, narration, relational, segment, sequences, tabular
 from textloom.sources import pages as P
+from textloom.sources import shared
 
 
 @pytest.fixture(scope="session")
@@ -157,8 +160,7 @@ def test_tabular(spark):
     assert [r["fields"] for r in tabular.tsv_fields(lines).collect()] == [["a", "b"]]
 
 
-def test_dense_ids_of_many_names(spark, monkeypatch):
-    monkeypatch.setattr(tabular, "ONE_WINDOW", 5)
+def test_dense_ids_of_many_names(spark):
     names = spark.range(200).selectExpr("concat('n', lpad(id % 100, 3, '0')) as name")
     got = tabular.dense_ids(names).orderBy("id").collect()
     assert [(r["id"], r["name"]) for r in got] == [(k + 1, f"n{k:03d}") for k in range(100)]
@@ -238,3 +240,44 @@ def test_document_parts_join_to_the_whole_document(spark):
     rows = P.document_parts(odd, pages_in_part=7).orderBy("part_no").collect()
     assert "".join(r["text"] for r in rows) == P.whole_documents(odd).first()["text"]
     assert len(rows) == 43 and all(r["text"].count("=====") <= 2 * 7 for r in rows)
+
+
+def test_long_pages_take_linear_time(spark):
+    """200,000 lines: no recursion in P3, no strip of the whole page at each line in W2."""
+    body = "\n".join(f"本文 {k} line" for k in range(200_000))
+    open_start = "keep\nページ番号: 3\n" + body
+    closed = "PDFファイル: a\n" + body + "\n==========\nrest"
+    df = pages(spark, [open_start, closed, body])
+    got = [r[0] for r in df.select("page_num", L.drop_preamble("text").alias("t")).orderBy("page_num").select("t").collect()]
+    assert got == ["keep", "rest", body]
+
+    def seconds(n):
+        table = pages(spark, ["\n".join(f"line {k} of many" for k in range(n))])
+        start = time.time()
+        assert cleaning.clean_pages(table, auto_detect=False).select(F.length("text")).first()[0] > n
+        return time.time() - start
+
+    seconds(1000)
+    assert seconds(200_000) < 60
+
+
+def test_clean_pages_strips_lines_once(spark):
+    """The stripped lines are made in a projection of their own, below the filter that names them."""
+    df = cleaning.clean_pages(pages(spark, ["a"]), auto_detect=False)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # the page, and its text for W3
+
+
+def test_intermediate_tables(spark, tmp_path):
+    table = shared.materialize(spark.range(5).toDF("x"), "five")
+    assert table.agg(F.sum("x")).first()[0] == 10
+    shared.discard(table, None, spark.range(1))
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        table.count()
+
+
+def test_scans_are_spread(spark, tmp_path):
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    assert shared.spread(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert shared.spread(scan).count() == 10

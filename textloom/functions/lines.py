@@ -47,6 +47,11 @@ def split_lines(text: str | Column, keep_trailing: bool = True) -> Column:
     return F.split(t, "\n") if keep_trailing else F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, r"\n\z", ""), "\n"))
 
 
+def stripped_lines(text: str | Column) -> Column:
+    """Lines as (l, s): as they are, and stripped."""
+    return F.transform(split_lines(text), lambda x: F.struct(x.alias("l"), strip(x).alias("s")))
+
+
 def head(lines: Column, k: int) -> Column:
     """W6."""
     return F.slice(lines, 1, k)
@@ -78,10 +83,10 @@ def is_sidebar_title(line: Column) -> Column:
     return ((F.length(line) <= 30) & line.rlike(SIDEBAR_WORDS)) | line.rlike(anchored(DIGITS, *PAGE_NUMBERS))
 
 
-def is_title_near_blank(line: Column, before: Column, after: Column) -> Column:
-    """P8, W5. before and after are the raw neighbours, null where there is none."""
+def is_title_near_blank(line: Column, before: Column, after: Column, stripped: Column | None = None) -> Column:
+    """P8, W5. before and after are the neighbours, null where there is none."""
     edge = F.coalesce(is_blank(before), F.lit(True)) | F.coalesce(is_blank(after), F.lit(True))
-    return ((F.length(strip(line)).between(1, 20)) & line.rlike(NEAR_BLANK_WORDS) & edge) | line.rlike(anchored(DIGITS, PAGE_NUMBERS[0]))
+    return ((F.length(strip(line) if stripped is None else stripped).between(1, 20)) & line.rlike(NEAR_BLANK_WORDS) & edge) | line.rlike(anchored(DIGITS, PAGE_NUMBERS[0]))
 
 
 def is_preamble(line: Column) -> Column:
@@ -96,12 +101,13 @@ def drop_preamble(text: str | Column, rule: int = 10, drop_blank: bool = False)
     """P3. Without the lines from a file or page line through the next rule of ``rule`` signs.
 
     The state runs over the text, so one regular expression removes each such stretch; an
-    unmatched start takes the rest. ``drop_blank`` also drops blank lines.
+    unmatched start takes the rest. Its loops are possessive: Java runs those without
+    recursion, so a stretch may have any number of lines. ``drop_blank`` also drops blank lines.
     """
     sign = "=" * rule
     start = r"(?:PDFファイル:|ページ番号:)"
     t = F.concat(F.lit("\n"), F.coalesce(col(text), F.lit("")))
-    t = F.regexp_replace(t, rf"\n{start}[^\n]*(?:\n(?!{sign})[^\n]*)*(?:\n{sign}[^\n]*|\z)", "")
+    t = F.regexp_replace(t, rf"\n{start}[^\n]*+(?:\n(?!{sign})[^\n]*+)*+(?:\n{sign}[^\n]*+|\z)", "")
     lines = F.split(F.regexp_replace(t, r"\A\n", ""), "\n")
     kept = F.filter(lines, lambda x: ~is_blank(x)) if drop_blank else lines
     return F.when(t == "", F.lit("")).otherwise(F.array_join(kept, "\n"))

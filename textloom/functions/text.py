@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 # Character classes, tags and patterns that results depend on.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 ZERO_WIDTH = r"[\u200b\u200c\u200d\u2060\ufeff]"
+ZERO_WIDTH_SIGNS = "\u200b\u200c\u200d\u2060\ufeff"
 ODD_SPACES = r"[\xa0\u1680\u2000-\u200a\u202f\u205f]"
 JAPANESE = "[ぁ-ゔァ-ヶー一-龠々〆〇]"
 JAPANESE_PLAIN = "[ぁ-ゔァ-ヶー一-龠]"
@@ -45,12 +47,17 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def where_has(value: Column, sign: str, change: Callable[[Column], Column]) -> Column:
+    """``change(value)`` for the texts that contain ``sign``; a byte search guards the costly rule."""
+    return let(value, lambda t: F.when(F.contains(t, F.lit(sign)), change(t)).otherwise(t))
+
+
 def strip(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def rstrip(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), rf"{SPACE}+\z", "")
+    return F.rtrim(col(c), F.lit(SPACES))
 
 
 def is_blank(c: str | Column) -> Column:
@@ -59,12 +66,15 @@ def is_blank(c: str | Column) -> Column:
 
 def newlines(c: str | Column) -> Column:
     """X1. CRLF and CR become LF."""
-    return F.regexp_replace(col(c), r"\r\n?", "\n")
+    return where_has(col(c), "\r", lambda t: F.regexp_replace(t, r"\r\n?", "\n"))
 
 
 def drop_zero_width(c: str | Column) -> Column:
     """X2."""
-    return F.regexp_replace(col(c), ZERO_WIDTH, "")
+    out = col(c)
+    for sign in ZERO_WIDTH_SIGNS:  # a byte search each; a regular expression reads every character
+        out = F.replace(out, F.lit(sign), F.lit(""))
+    return out
 
 
 def per_line(c: Column, change) -> Column:
@@ -75,21 +85,37 @@ def clean_text(c: str | Column, aggressive: bool = True) -> Column:
     """X3. Zero-width characters, tabs, wide spaces, spaces at brackets and marks, newlines.
 
     ``aggressive`` also joins Japanese characters over spaces and drops the indent of wide
-    spaces; otherwise the indent stays.
+    spaces; otherwise the indent stays. No rule but the strips looks across a line's end, so
+    the rules run over the whole text, each behind a search for the sign it needs.
     """
-    inner = [("　", " "), (" {2,}", " "), (r" ([。、！？）」』】\)])", "$1"), (r"([（「『【\(]) ", "$1")]
+    text = F.replace(drop_zero_width(c), F.lit("\t"), F.lit(" "))
+    text = _clean_lines(text) if aggressive else per_line(text, _clean_keeping_indent)
+    text = where_has(text, "\r", lambda t: per_line(_at_most_one_blank(newlines(t)), rstrip))
+    return strip(_at_most_one_blank(text))
 
-    def line(x: Column) -> Column:
-        body = chain(F.regexp_replace(x, "^　+", ""), inner)
-        if aggressive:
-            joined = F.regexp_replace(body, f"({JAPANESE}) +({JAPANESE})", "$1$2")
-            return strip(joined)
-        indent = F.regexp_extract(x, "^(　+)", 1)
-        return F.when(indent != "", F.concat(indent, body)).otherwise(strip(body))
 
-    text = per_line(F.replace(drop_zero_width(c), F.lit("\t"), F.lit(" ")), line)
-    text = F.regexp_replace(newlines(text), r"\n{3,}", "\n\n")
-    return strip(per_line(text, rstrip))
+def _at_most_one_blank(text: Column) -> Column:
+    return where_has(text, "\n\n\n", lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n"))
+
+
+def _one_space(text: Column) -> Column:
+    return where_has(text, "  ", lambda t: F.regexp_replace(t, " {2,}", " "))
+
+
+def _at_marks(text: Column) -> Column:
+    return chain(text, [(r" ([。、！？）」』】\)])", "$1"), (r"([（「『【\(]) ", "$1")])
+
+
+def _clean_lines(text: Column) -> Column:
+    wide = where_has(text, "　", lambda t: F.replace(F.regexp_replace(t, "(?md)^　+", ""), F.lit("　"), F.lit(" ")))
+    joined = where_has(_one_space(wide), " ", lambda t: F.regexp_replace(_at_marks(t), f"({JAPANESE}) +({JAPANESE})", "$1$2"))
+    return per_line(joined, strip)
+
+
+def _clean_keeping_indent(x: Column) -> Column:
+    body = _at_marks(_one_space(F.replace(F.regexp_replace(x, "^　+", ""), F.lit("　"), F.lit(" "))))
+    indent = F.regexp_extract(x, "^(　+)", 1)
+    return F.when(indent != "", F.concat(indent, body)).otherwise(strip(body))
 
 
 def collapse_blank_lines(lines: Column) -> Column:
@@ -100,20 +126,22 @@ def collapse_blank_lines(lines: Column) -> Column:
 
 def collapse_empty_lines(text: Column) -> Column:
     """W3 on a text whose blank lines are empty."""
-    return chain(text, [(r"\A\n+\z", ""), (r"\A\n{2,}", "\n"), (r"\n{2,}\z", "\n"), (r"\n{3,}", "\n\n")])
+    return where_has(text, "\n", lambda t: _at_most_one_blank(chain(t, [(r"\A\n+\z", ""), (r"\A\n{2,}", "\n"), (r"\n{2,}\z", "\n")])))
 
 
 def remove_spaces(c: str | Column) -> Column:
-    """X4. Odd spaces, strip each line, join Japanese over spaces, digits and counters; W3."""
+    """X4. Odd spaces, strip each line, join Japanese over spaces, digits and counters; W3.
+
+    The rules do not look across a line's end, so they run over the whole text.
+    """
     rules = [
         (f"({JAPANESE}) +({JAPANESE})", "$1$2"),
         (f"({JAPANESE_PLAIN}) +([。、！？」』）】])", "$1$2"),
         (f"([「『（【]) +({JAPANESE_PLAIN})", "$1$2"),
         (rf"(\p{{Nd}}) +({COUNTERS})", "$1$2"),
-        (" {2,}", " "),
     ]
-    lines = F.transform(F.split(F.regexp_replace(col(c), ODD_SPACES, " "), "\n"), lambda x: chain(strip(x), rules))
-    return collapse_empty_lines(F.array_join(lines, "\n"))
+    lines = per_line(F.regexp_replace(col(c), ODD_SPACES, " "), strip)
+    return collapse_empty_lines(_one_space(where_has(lines, " ", lambda t: chain(t, rules))))
 
 
 def normalize_for_comparison(c: str | Column) -> Column:

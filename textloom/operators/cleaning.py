@@ -13,15 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import lines as L
 from textloom.functions import text as X
-
-#: A table of patterns smaller than this many rows goes along with the tasks; a larger one is joined.
-SMALL = 10_000
-
-
-def with_small(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Left join; ``right`` is broadcast only if it is counted and small."""
-    few = right.limit(SMALL + 1).count() <= SMALL
-    return left.join(F.broadcast(right) if few else right, on, "left")
+from textloom.sources.shared import materialize
 
 
 def where_made(df: DataFrame, condition: Column) -> DataFrame:
@@ -67,9 +59,13 @@ def header_footer_patterns(pages: DataFrame, k: int = 3, halves: int = 1) -> Dat
 
 
 def with_patterns(pages: DataFrame, patterns: DataFrame, line: str = "line") -> DataFrame:
-    """The pages with the removal set of their corpus, ``repeated``: one row for each corpus (J5, U2)."""
-    sets = patterns.groupBy("corpus_id").agg(F.collect_set(line).alias("repeated"))
-    return with_small(pages, sets, "corpus_id").withColumn("repeated", F.coalesce("repeated", F.array().cast("array<string>")))
+    """The pages with the removal set of their corpus, ``repeated``: one row for each corpus (J5, U2).
+
+    The sets are written once, so that Catalyst has their size in bytes: it broadcasts them
+    below spark.sql.autoBroadcastJoinThreshold, else it shuffles and AQE splits a hot corpus.
+    """
+    sets = materialize(patterns.groupBy("corpus_id").agg(F.collect_set(line).alias("repeated")), "line-sets")
+    return pages.join(sets, "corpus_id", "left").withColumn("repeated", F.coalesce("repeated", F.array().cast("array<string>")))
 
 
 def clean_corpus(pages: DataFrame, keep_chapters: bool = False, reformat: bool = True) -> DataFrame:
@@ -81,15 +77,13 @@ def clean_corpus(pages: DataFrame, keep_chapters: bool = False, reformat: bool =
     pages = pages.withColumn("text", X.newlines("text"))
     known = with_patterns(pages, repeated_lines(pages, 5, 150, 4, 2))
 
-    def stays(x: Column) -> Column:
-        s = X.strip(x)
-        bad = L.is_preamble(s) | F.array_contains("repeated", s)
-        return X.is_blank(x) | ~(bad if keep_chapters else bad | L.is_sidebar_title(s))
+    def stays(t: Column) -> Column:
+        bad = L.is_preamble(t["s"]) | F.array_contains("repeated", t["s"])
+        return (t["s"] == "") | ~(bad if keep_chapters else bad | L.is_sidebar_title(t["s"]))
 
-    step = known.select("corpus_id", "page_num", F.filter(L.split_lines("text"), stays).alias("s"))
+    step = known.select("corpus_id", "page_num", F.filter(L.stripped_lines("text"), stays).alias("t"))
     # blanks before each full line: its place among all, less its place among the full ones
-    full = F.filter(F.transform("s", lambda x, i: F.struct(x.alias("l"), X.strip(x).alias("s"), i.alias("p"))), lambda t: t["s"] != "")
-    step = step.withColumn("t", full).drop("s")
+    step = step.withColumn("t", F.filter(F.transform("t", lambda t, i: t.withField("p", i)), lambda t: t["s"] != ""))
     step = step.withColumn("t", F.transform("t", lambda t, i: F.struct(t["l"].alias("l"), t["s"].alias("s"), (t["p"] - i).alias("q"))))
     same = lambda t, i: (F.length(t["s"]) < 50) & F.coalesce(F.get("t", i - 1)["s"] == t["s"], F.lit(False))
     step = step.withColumn("u", F.filter("t", lambda t, i: ~same(t, i))).drop("t")
@@ -144,15 +138,18 @@ def clean_pages(pages: DataFrame, patterns: Sequence[str] = (), auto_detect: boo
         pages = with_patterns(pages, header_footer_patterns(pages), "pattern")
     else:
         pages = pages.withColumn("repeated", F.array().cast("array<string>"))
-    step = pages.select("corpus_id", "page_num", "repeated", L.split_lines("text").alias("l"))
-    step = step.withColumn("s", F.transform("l", X.strip))
+    # raw and stripped lines in one array, named several times below, so that the optimizer keeps
+    # it in a projection of its own instead of stripping the page again at every line
+    step = pages.select("corpus_id", "page_num", "repeated", L.stripped_lines("text").alias("a"))
 
-    def stays(x: Column, i: Column) -> Column:
-        s = X.strip(x)
-        seen = (F.length(s) <= 30) & (i > 0) & F.array_contains(F.slice("s", F.greatest(i - 4, F.lit(1)), F.least(i, F.lit(5))), s)
-        return ~(L.is_title_near_blank(x, F.get("l", i - 1), F.get("l", i + 1)) | F.array_contains("repeated", X.normalize_for_comparison(s)) | L.is_digits(s) | seen)
+    def stays(t: Column, i: Column) -> Column:
+        s = t["s"]
+        five = F.slice("a", F.greatest(i - 4, F.lit(1)), F.least(i, F.lit(5)))
+        seen = (F.length(s) <= 30) & (i > 0) & F.exists(five, lambda x: x["s"] == s)
+        title = L.is_title_near_blank(t["l"], F.get("a", i - 1)["s"], F.get("a", i + 1)["s"], s)
+        return ~(title | F.array_contains("repeated", X.normalize_for_comparison(s)) | L.is_digits(s) | seen)
 
-    step = step.select("corpus_id", "page_num", F.array_join(F.filter("l", stays), "\n").alias("t"))
+    step = step.select("corpus_id", "page_num", F.array_join(F.transform(F.filter("a", stays), lambda t: t["l"]), "\n").alias("t"))
     text = X.remove_patterns("t", patterns) if patterns else F.col("t")
     return step.select("corpus_id", "page_num", X.strip(F.array_join(X.collapse_blank_lines(F.split(text, "\n")), "\n")).alias("text"))
 
@@ -160,3 +157,13 @@ def clean_pages(pages: DataFrame, patterns: Sequence[str] = (), auto_detect: boo
 def corpus_statistics(pages: DataFrame) -> DataFrame:
     """A8. (corpus_id, pages, with_text) of each corpus."""
     return pages.groupBy("corpus_id").agg(F.count("*").alias("pages"), F.count_if(~X.is_blank("text")).alias("with_text"))
+
+
+def run_statistics(pages: DataFrame, results: DataFrame) -> DataFrame:
+    """A8. (corpus_id, pages, with_text, processed, succeeded) of a run that made ``results`` from ``pages``.
+
+    processed counts the pages with a text to work on, succeeded those whose result has one.
+    """
+    done = results.groupBy("corpus_id").agg(F.count_if(~X.is_blank("text")).alias("succeeded"))
+    read = corpus_statistics(pages).withColumn("processed", F.col("with_text"))
+    return read.join(done, "corpus_id", "left").select("corpus_id", "pages", "with_text", "processed", F.coalesce("succeeded", F.lit(0)).alias("succeeded"))
