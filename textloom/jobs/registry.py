@@ -16,6 +16,7 @@ from textloom.functions import lines as L
 from textloom.functions import text as X
 from textloom.operators import cleaning, collection, narration, relational, segment, sequences, tabular
 from textloom.sources import pages as P
+from textloom.sources.shared import materialize, new_path, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def framed(spark: SparkSession, sf_dir: str, text: Column | None = None) -> DataFrame:
@@ -104,6 +105,66 @@ def sql_x4(source: str) -> str:
     return f"SELECT * EXCLUDE (l), {sql_collapse('l')} AS text FROM ({inner})"
 
 
+def sql_reduce(pieces: str, step: str, first: str | None = None) -> str:
+    """Left fold over a list of strings: ``a`` is the list made so far, ``b[1]`` the next piece."""
+    items = f"list_transform({pieces}, lambda z: [z])"
+    if first is not None:
+        items = f"list_concat([[{first}]], {items})"
+    return f"(CASE WHEN len({items}) = 0 THEN [] ELSE list_reduce({items}, lambda a, b: {step}) END)"
+
+
+def sql_pack(pieces: str, limit: int) -> str:
+    packed = sql_reduce(pieces, f"CASE WHEN len(a[-1]) + len(b[1]) <= {limit} THEN list_append(a[:-2], a[-1] || b[1]) ELSE list_append(a, b[1]) END")
+    return f"list_filter({packed}, lambda z: z <> '')"
+
+
+def sql_by_commas(x: str) -> str:
+    return f"regexp_extract_all({x}, '[^、]*、|[^、]+$')"
+
+
+def sql_sentences(x: str) -> str:
+    return f"regexp_extract_all({x}, '[^。！？]*[。！？]|[^。！？]+$')"
+
+
+def sql_x6(x: str, limit: int) -> str:
+    """The list under way ends in what is held; each sentence joins it."""
+    held = "(a[-1] || b[1])"
+    cut = "CASE " + " ".join(f"WHEN contains({held}, '{c}') THEN '{c}'" for c in segment.CUTS) + " END"
+    front = f"strpos({held}, {cut}) + len({cut}) - 1"
+    step = f"""CASE WHEN len({held}) > {limit} AND contains({held}, '、') THEN list_append(list_concat(a[:-2], {sql_pack(sql_by_commas(held), limit)}), '')
+      WHEN len({held}) > {limit} AND ({cut}) IS NULL THEN list_concat(a[:-2], [{held}, ''])
+      WHEN len({held}) > {limit} THEN list_concat(a[:-2], [left({held}, {front}), substr({held}, {front} + 1)])
+      WHEN regexp_matches({held}, '[。！？]$') THEN list_concat(a[:-2], [{held}, '']) ELSE list_append(a[:-2], {held}) END"""
+    lines = f"list_filter(list_transform({sql_reduce(sql_sentences(x), step, "''")}, lambda z: {sql_strip('z')}), lambda z: z <> '')"
+    return f"array_to_string(flatten(list_transform({lines}, lambda z: CASE WHEN ends_with(z, '。') AND len(z) > 30 THEN [z, ''] ELSE [z] END)), {NL})"
+
+
+def sql_x11(x: str, limit: int = 150, least: int = 20) -> str:
+    full = f"list_filter(list_transform({sql_sentences(x)}, lambda z: {sql_strip('z')}), lambda z: z <> '')"
+    cut = f"flatten(list_transform({full}, lambda z: CASE WHEN len(z) <= {limit} THEN [z] ELSE {sql_pack(sql_by_commas('z'), limit)} END))"
+    return sql_reduce(cut, f"CASE WHEN len(b[1]) < {least} AND len(a[-1]) + len(b[1]) <= {limit} THEN list_append(a[:-2], a[-1] || b[1]) ELSE list_append(a, b[1]) END")
+
+
+def sql_x12(x: str, limit: int = 200) -> str:
+    pieces = f"list_transform(list_filter(regexp_split_to_array({x}, '[。！？\\n]'), lambda z: {sql_strip('z')} <> ''), lambda z: z || '。')"
+    return f"CASE WHEN len({x}) <= {limit} THEN [{x}] ELSE {sql_pack(pieces, limit)} END"
+
+
+def sql_w9(lines: str, least: int = 10) -> str:
+    full = f"list_filter(list_transform({lines}, lambda z: {sql_strip('z')}), lambda z: z <> '')"
+    return f"array_to_string({sql_reduce(full, f'CASE WHEN len(b[1]) < {least} THEN list_append(a[:-2], a[-1] || b[1]) ELSE list_append(a, b[1]) END')}, {NL})"
+
+
+def sql_x8(x: str) -> str:
+    """Long clauses are framed by chr(1) and chr(2), so that a plain replacement breaks at their commas."""
+    for pattern in (segment.AFTER_PARTICLE, segment.AFTER_MODIFIER, segment.AFTER_POLITE):
+        x = f"regexp_replace({x}, '{pattern}', '\\1' || {NL}, 'g')"
+    framed = f"string_split(regexp_replace({x}, '(、[^\\n]{{20,}}?、)', chr(1) || '\\1' || chr(2), 'g'), chr(1))"
+    at = "strpos(z, chr(2))"
+    broken = f"array_to_string(list_transform({framed}, lambda z: CASE WHEN {at} > 0 THEN replace(left(z, {at} - 1), '、', '、' || {NL}) || substr(z, {at} + 1) ELSE z END), '')"
+    return sql_w9(f"string_split(regexp_replace({broken}, '\\n{{3,}}', {NL} || {NL}, 'g'), {NL})")
+
+
 EXPLODED = f"""pages AS ({FRAMED}), lines AS (
   SELECT corpus_id, page_num, no, line, {sql_strip("line")} AS s FROM (SELECT corpus_id, page_num, unnest(range(1, len(ls) + 1)) AS no, unnest(ls) AS line FROM (SELECT *, string_split(text, {NL}) AS ls FROM pages)))"""
 
@@ -271,16 +332,41 @@ for _p, _by in X.PAUSES:
 scalar("x7_pause_tags", X.pause_tags, lensed(_TAGGED))
 _PART = f"CASE WHEN length(p) - length(replace(p, '、', '')) > 3 AND length(p) > 60 THEN regexp_replace(p, '((?:[^、\\n]*、){{3}})', '\\1' || {NL}, 'g') ELSE p END"
 _LONG = f"CASE WHEN length(y) > 80 THEN array_to_string(list_transform(string_split(replace(y, '。', '。' || {NL}), {NL}), lambda p: {_PART}), {NL}) ELSE y END"
-scalar(
-    "x10_clean_only",
-    X.clean_only,
-    f"SELECT doc_id, {sql_collapse('l')} AS text FROM (SELECT doc_id, list_transform(list_transform(string_split(text, {NL}), lambda z: {sql_strip('z')}), lambda y: {_LONG}) AS l FROM (SELECT doc_id, {sql_x3('text')} AS text FROM ({sql_x4('(' + _LENSED + ')')})))",
-)
+
+
+def sql_x10(source: str) -> str:
+    return f"SELECT doc_id, {sql_collapse('l')} AS text FROM (SELECT doc_id, list_transform(list_transform(string_split(text, {NL}), lambda z: {sql_strip('z')}), lambda y: {_LONG}) AS l FROM (SELECT doc_id, {sql_x3('text')} AS text FROM ({sql_x4(source)})))"
+
+
+scalar("x10_clean_only", X.clean_only, sql_x10(f"({_LENSED})"))
 scalar("p5_remove_patterns", lambda c: X.remove_patterns(c, ("regex:\\p{Nd}+", "。", "regex:[あい]{2,}")), lensed(rr(f"replace({rr('text', chr(92) + 'p{Nd}+')}, '。', '')", "[あい]{2,}")))
-scalar("x6_punctuation_lines", segment.split_punctuation, None)
-scalar("x8_semantic_breaks", segment.semantic_breaks, None)
-scalar("x9_hybrid", segment.hybrid, None)
-scalar("x19_format_text", lambda c: segment.format_text(c, "clean"), None)
+scalar("x6_punctuation_lines", segment.split_punctuation, lensed(sql_x6("text", 50)))
+scalar("x8_semantic_breaks", segment.semantic_breaks, lensed(sql_x8("text")))
+scalar("x9_hybrid", segment.hybrid, f"SELECT doc_id, {sql_x6(sql_x3('text'), 45)} AS text FROM ({sql_x4('(' + _LENSED + ')')})")
+# the lens has no preamble lines, so P3 changes nothing here; the query drop_preamble holds it to SQL
+scalar("x19_format_text", lambda c: segment.format_text(c, "clean"), sql_x10(f"({sql_x4('(' + _LENSED + ')')})"))
+
+
+@query("x11_natural_chunks", f"SELECT doc_id, generate_subscripts(c, 1) AS part_no, unnest(c) AS chunk FROM (SELECT doc_id, {sql_x11('text')} AS c FROM ({_LENSED}))")
+def x11_natural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = documents(spark, sf_dir).select("doc_id", messy(F.col("text")).alias("text"))
+    return segment.chunk_table(made, segment.split_naturally("text"), ("doc_id",)).withColumn("part_no", F.col("part_no").cast("long"))
+
+
+@query("x12_bounded_chunks", f"SELECT * FROM (SELECT doc_id, generate_subscripts(c, 1) AS part_no, unnest(c) AS chunk FROM (SELECT doc_id, {sql_x12('text')} AS c FROM ({_LENSED}))) WHERE {sql_strip('chunk')} <> ''")
+def x12_bounded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = documents(spark, sf_dir).select("doc_id", messy(F.col("text")).alias("text"))
+    return segment.chunk_table(made, segment.split_bounded("text"), ("doc_id",)).withColumn("part_no", F.col("part_no").cast("long"))
+
+
+@query(
+    "numbered_chunks",
+    f"""SELECT corpus_id, page_num, part_no, chunk, row_number() OVER (PARTITION BY corpus_id ORDER BY page_num, part_no) AS n
+FROM (SELECT corpus_id, page_num, generate_subscripts(c, 1) AS part_no, unnest(c) AS chunk FROM (SELECT corpus_id, page_num, string_split(text, {NL}) AS c FROM ({FRAMED}))) WHERE {sql_strip("chunk")} <> ''""",
+)
+def numbered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = segment.chunk_table(framed(spark, sf_dir), L.split_lines("text"))
+    return narration.numbered(chunks.withColumn("part_no", F.col("part_no").cast("long")))
 
 
 @query(
@@ -328,6 +414,78 @@ def document_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.document_parts(framed(spark, sf_dir))
 
 
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages, some of them blank, some unreadable."""
+    n = F.col("doc_id")
+    text = F.when(n % 11 == 0, F.lit(None)).when(n % 7 == 0, " \n ").otherwise(F.replace(F.coalesce("text", F.lit("")), F.lit(" "), F.lit("\n \n\n")))
+    return documents(spark, sf_dir).select(F.col("source").alias("corpus_id"), n.alias("page_num"), text.alias("text"))
+
+
+@query(
+    "document_markers",
+    f"""WITH made AS (SELECT source AS corpus_id, doc_id AS page_num, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN ' ' ELSE replace(coalesce(text, ''), ' ', {NL} || ' ' || {NL} || {NL}) END AS text FROM documents),
+  lists AS (SELECT *, list_transform(string_split(text, {NL}), lambda x: CASE WHEN {sql_strip("x")} = '' THEN '' ELSE x END) AS l, '===== ページ ' || page_num AS m FROM made),
+  sections AS (SELECT *, {NL} || m || CASE WHEN text IS NULL THEN ' (エラー) =====' || {NL} WHEN {sql_strip("text")} = '' THEN ' (テキストなし) =====' || {NL} ELSE ' =====' || {NL} || {sql_collapse("l")} END AS s FROM lists)
+SELECT corpus_id, CAST(page_num // 64 AS BIGINT) AS part_no, string_agg(s, '' ORDER BY page_num) AS text FROM sections GROUP BY ALL""",
+)
+def document_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.document_parts(marked(spark, sf_dir), markers=True)
+
+
+@query(
+    "run_statistics",
+    f"""WITH made AS (SELECT source AS corpus_id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN ' ' ELSE coalesce(text, '') END AS text FROM documents)
+SELECT corpus_id, count(*) AS pages, count(*) FILTER ({sql_strip("text")} <> '') AS with_text, count(*) FILTER ({sql_strip("text")} <> '') AS processed, count(*) FILTER ({sql_strip("regexp_replace(text, '[a-m0-9]+', '', 'g')")} <> '') AS succeeded FROM made GROUP BY 1""",
+)
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = marked(spark, sf_dir)
+    return cleaning.run_statistics(pages, pages.withColumn("text", X.remove_patterns("text", ("regex:[a-m0-9]+",))))
+
+
+@query(
+    "page_folder",
+    f"""WITH parts AS (SELECT corpus_id, page_num // 64 AS part_no, string_agg({NL} || '===== ページ ' || page_num || ' =====' || {NL} || {NL} || text || {NL}, '' ORDER BY page_num) AS text FROM ({FRAMED}) GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY corpus_id, part_no) AS page_num, text || {NL} AS text FROM parts""",
+)
+def page_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document parts as a folder of text files, one a part, in order of name; read back as pages."""
+    parts = materialize(P.document_parts(framed(spark, sf_dir)), "parts")
+    folder = new_path(spark, "folder")
+    tasks = parts.count() // 500 + 1  # a task numbers its files with three digits
+    order = parts.repartitionByRange(tasks, "corpus_id", "part_no").sortWithinPartitions("corpus_id", "part_no")
+    order.select("text").write.option("maxRecordsPerFile", 1).text(folder)
+    pages = P.with_places(P.read_pages(spark, folder, "part-*"))
+    return pages.select(F.col("page_num").cast("long").alias("page_num"), "text")
+
+
+@query(
+    "delimited_files",
+    "SELECT CAST(c_custkey AS VARCHAR) AS _c0, c_name || ', \"' || c_mktsegment || '\"' AS _c1, NULLIF(CAST(c_nationkey AS VARCHAR), '7') AS _c2, CAST(NULL AS VARCHAR) AS _c3 FROM customer WHERE c_custkey >= 3",
+)
+def delimited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rectangle of customers as files with quotes and separators in them, read back as rows of four."""
+    name = F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"'))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_no"), F.col("c_custkey").cast("string").alias("a"), name.alias("b"), F.nullif(F.col("c_nationkey").cast("string"), F.lit("7")).alias("c"), F.lit("cut").alias("d"))
+    path = new_path(spark, "delimited")
+    tabular.write_delimited(tabular.rectangle(rows, 3, None, 0, 2).drop("row_no"), path, ";")
+    return P.read_delimited(spark, path, 4, ";")
+
+
+@query(
+    "pattern_file",
+    f"""WITH p AS (SELECT list(DISTINCT lang ORDER BY lang) FILTER (lang IS NOT NULL) AS l FROM documents)
+SELECT doc_id, list_reduce(list_concat([coalesce(text, '')], l), lambda a, b: replace(a, b, '')) AS text FROM (SELECT doc_id, {rr("text", chr(92) + "p{Nd}+")} AS text FROM documents), p""",
+)
+def pattern_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of patterns (digits, then the language tags) with comments and blanks, applied to every text."""
+    docs = documents(spark, sf_dir)
+    tags = F.array_join(F.array_sort(F.collect_set("lang")), "\n  ")  # a few tags
+    path = new_path(spark, "patterns")
+    docs.agg(F.concat(F.lit("# digits first\n\nregex:\\p{Nd}+ \n  "), tags).alias("value")).coalesce(1).write.text(path)
+    patterns = P.read_patterns(spark, path)
+    return docs.select("doc_id", X.remove_patterns(F.coalesce("text", F.lit("")), patterns).alias("text"))
+
+
 # ---- tabular
 
 
@@ -407,20 +565,33 @@ def collection_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.totals(collection.album_tracks(manifest(spark, sf_dir)))
 
 
-@query("albums_in_order", f"WITH {_ALBUMS} SELECT * FROM albums ORDER BY lower(album), lower(artist), artist, album")
+def in_order(ordered: DataFrame) -> DataFrame:
+    """An ordered report with its places, taken from the written parts, in order of file and row."""
+    path = new_path(ordered.sparkSession, "ordered")
+    ordered.write.parquet(path)
+    rows = ordered.sparkSession.read.parquet(path).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"))
+    return tabular.numbered(rows, ("__file", "__block", "__row"), "n").select(*ordered.columns, "n")
+
+
+@query("albums_in_order", f"WITH {_ALBUMS} SELECT *, row_number() OVER (ORDER BY lower(album), lower(artist), artist, album) AS n FROM albums")
 def albums_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collection.by_album(collection.album_tracks(manifest(spark, sf_dir)))
+    return in_order(collection.by_album(collection.album_tracks(manifest(spark, sf_dir))))
 
 
 @query(
     "collection_report",
-    f"""WITH {_ALBUMS}, t AS (SELECT count(DISTINCT artist) AS a, count(*) AS b, CAST(sum(tracks) AS BIGINT) AS c FROM albums)
-SELECT unnest(['# CD取り込み済みリスト', '', '**総アーティスト数**: ' || a, '**総アルバム数**: ' || b, '**総曲数**: ' || c, '', '---', '', '## アーティスト別一覧', '', '---', '', '## 全アルバム一覧（アルファベット順）', '']) AS line FROM t
-UNION ALL SELECT unnest(['### ' || artist || ' （全' || count(*) || '枚、' || CAST(sum(tracks) AS BIGINT) || '曲）', '', '']) FROM albums GROUP BY artist
-UNION ALL SELECT unnest(['- ' || album || ' （' || tracks || '曲）', '- **' || album || '** （' || tracks || '曲） / ' || artist]) FROM albums""",
+    f"""WITH {_ALBUMS}, t AS (SELECT count(DISTINCT artist) AS a, count(*) AS b, CAST(sum(tracks) AS BIGINT) AS c FROM albums),
+  lines AS (
+SELECT 0 AS section, NULL AS k1, NULL AS k2, NULL AS k3, unnest(range(1, 13)) AS no, unnest(['# CD取り込み済みリスト', '', '**総アーティスト数**: ' || a, '**総アルバム数**: ' || b, '**総曲数**: ' || c, '', '---', '', '## アーティスト別一覧', '', NULL, NULL]) AS line FROM t
+UNION ALL SELECT 1, artist, 0, NULL, unnest([1, 2]), unnest(['### ' || artist || ' （全' || count(*) || '枚、' || CAST(sum(tracks) AS BIGINT) || '曲）', '']) FROM albums GROUP BY artist
+UNION ALL SELECT 1, artist, 1, album, 1, '- ' || album || ' （' || tracks || '曲）' FROM albums
+UNION ALL SELECT 1, artist, 2, NULL, 1, '' FROM (SELECT DISTINCT artist FROM albums)
+UNION ALL SELECT 2, NULL, NULL, NULL, unnest([1, 2, 3, 4]), unnest(['---', '', '## 全アルバム一覧（アルファベット順）', '']) FROM t
+UNION ALL SELECT 3, lower(album), NULL, lower(artist) || chr(1) || artist || chr(1) || album, 1, '- **' || album || '** （' || tracks || '曲） / ' || artist FROM albums)
+SELECT line, row_number() OVER (ORDER BY section, k1, k2, k3, no) AS n FROM lines WHERE line IS NOT NULL""",
 )
 def collection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collection.report(collection.album_tracks(manifest(spark, sf_dir)))
+    return in_order(collection.report(collection.album_tracks(manifest(spark, sf_dir))))
 
 
 # ---- relational and sequences
@@ -446,6 +617,11 @@ def posts_with_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.posts_with_tags(*blog(spark, sf_dir), dedup_tags=True)
 
 
+@query("posts_in_order", "SELECT *, row_number() OVER (ORDER BY user_id, post_id, tag_id NULLS FIRST) AS n FROM (" + _blog_sql("SELECT p_partkey, p_name FROM part SEMI JOIN lineitem ON l_partkey = p_partkey") + ")")
+def posts_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_order(relational.ordered(relational.posts_with_tags(*blog(spark, sf_dir), dedup_tags=True)))
+
+
 @query("posts_with_tags_fan_out", "SELECT user_id, count(*) AS n, count(tag_id) AS tagged FROM (" + _blog_sql("SELECT p_partkey, p_name FROM part JOIN lineitem ON l_partkey = p_partkey") + ") GROUP BY 1")
 def posts_with_tags_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.posts_with_tags(*blog(spark, sf_dir)).groupBy("user_id").agg(F.count("*").alias("n"), F.count("tag_id").alias("tagged"))
@@ -496,17 +672,22 @@ def asked(chunks: DataFrame) -> DataFrame:
     )
 
 
-@query(
-    "narration_requests",
-    f"""WITH {_CATALOGUE}, asked AS (SELECT source AS corpus_id, doc_id AS page_num, 1 AS part_no, {LENS} AS chunk, CASE doc_id % 4 WHEN 0 THEN 'asia_japan' WHEN 1 THEN 'nobody_here' WHEN 3 THEN 'europe_france' END AS speaker,
-    CASE WHEN doc_id % 8 = 1 THEN 0 END AS given, CAST(doc_id % 5 * 0.5 AS DOUBLE) AS v, CAST((doc_id % 3 - 1) * 0.25 AS DOUBLE) AS w FROM documents),
-  found AS (SELECT a.*, coalesce(given, c.speaker_id, CASE WHEN a.speaker IS NULL THEN 3 END) AS sid FROM asked a LEFT JOIN catalogue c ON c.speaker = a.speaker)
-SELECT corpus_id, page_num, part_no, chunk, sid AS speaker_id, CASE WHEN sid IS NULL THEN 'unknown speaker: ' || speaker END AS error, greatest(0.5::DOUBLE, least(2.0::DOUBLE, v)) AS speed, greatest(-0.15::DOUBLE, least(0.15::DOUBLE, w)) AS pitch,
-  (v < 0.5 OR v > 2.0 OR w < -0.15 OR w > 0.15) AS adjusted, 1.2::DOUBLE AS pause_scale, 1.1::DOUBLE AS intonation_scale, CASE WHEN ends_with(chunk, '。') THEN 0.5::DOUBLE WHEN ends_with(chunk, '、') THEN 0.2::DOUBLE END AS post_silence FROM found""",
-)
+def sql_requests(chunks: str) -> str:
+    """Requests for the rows (corpus_id, page_num, part_no, chunk) of a query."""
+    number = "CAST({} AS VARCHAR)".format
+    query = "'{\"speedScale\":' || " + number("speed") + " || ',\"pitchScale\":' || " + number("pitch") + " || ',\"pauseLengthScale\":1.2,\"intonationScale\":1.1' || coalesce(',\"postPhonemeLength\":' || " + number("post_silence") + ", '') || '}'"
+    return f"""WITH {_CATALOGUE}, asked AS (SELECT *, CASE page_num % 4 WHEN 0 THEN 'asia_japan' WHEN 1 THEN 'nobody_here' WHEN 3 THEN 'europe_france' END AS speaker,
+    CASE WHEN page_num % 8 = 1 THEN 0 END AS given, CAST(page_num % 5 * 0.5 AS DOUBLE) AS v, CAST((page_num % 3 - 1) * 0.25 AS DOUBLE) AS w FROM ({chunks})),
+  found AS (SELECT a.*, coalesce(given, c.speaker_id, CASE WHEN a.speaker IS NULL THEN 3 END) AS sid FROM asked a LEFT JOIN catalogue c ON c.speaker = a.speaker),
+  made AS (SELECT corpus_id, page_num, part_no, chunk, sid AS speaker_id, CASE WHEN sid IS NULL THEN 'unknown speaker: ' || speaker END AS error, greatest(0.5::DOUBLE, least(2.0::DOUBLE, v)) AS speed, greatest(-0.15::DOUBLE, least(0.15::DOUBLE, w)) AS pitch,
+  (v < 0.5 OR v > 2.0 OR w < -0.15 OR w > 0.15) AS adjusted, 1.2::DOUBLE AS pause_scale, 1.1::DOUBLE AS intonation_scale, CASE WHEN ends_with(chunk, '。') THEN 0.5::DOUBLE WHEN ends_with(chunk, '、') THEN 0.2::DOUBLE END AS post_silence FROM found)
+SELECT *, {query} AS query FROM made"""
+
+
+@query("narration_requests", sql_requests(f"SELECT source AS corpus_id, doc_id AS page_num, 1 AS part_no, {LENS} AS chunk FROM documents"))
 def narration_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = documents(spark, sf_dir).select(F.col("source").alias("corpus_id"), F.col("doc_id").alias("page_num"), F.lit(1).alias("part_no"), japanese(F.col("text")).alias("chunk"))
-    return narration.requests(asked(chunks), narration.catalogue(speakers(spark, sf_dir))).drop("query")
+    return narration.requests(asked(chunks), narration.catalogue(speakers(spark, sf_dir)))
 
 
 def narrated(spark: SparkSession, sf_dir: str, chunks: Callable[[Column], Column]) -> DataFrame:
@@ -518,11 +699,19 @@ def narrated(spark: SparkSession, sf_dir: str, chunks: Callable[[Column], Column
     return narration.requests(asked(parts), narration.catalogue(speakers(spark, sf_dir)))
 
 
-@query("narration_bounded")
+def sql_narrated(chunks: Callable[[str], str]) -> str:
+    """Framed pages through X19 (hybrid), blank lines off, cut into chunks. No page has preamble lines."""
+    pages = f"(SELECT source AS corpus_id, doc_id AS page_num, 'Header ' || source || {NL} || {LENS} || {NL} || doc_id AS text FROM documents)"
+    hybrid = f"SELECT corpus_id, page_num, {sql_x6(sql_x3('text'), 45)} AS text FROM ({sql_x4('(' + sql_x4(pages) + ')')})"
+    full = f"SELECT corpus_id, page_num, array_to_string(list_filter(string_split(text, {NL}), lambda z: {sql_strip('z')} <> ''), {NL}) AS text FROM ({hybrid})"
+    return sql_requests(f"SELECT * FROM (SELECT corpus_id, page_num, CAST(generate_subscripts(c, 1) AS INTEGER) AS part_no, unnest(c) AS chunk FROM (SELECT corpus_id, page_num, {chunks('text')} AS c FROM ({full}) WHERE text <> '')) WHERE {sql_strip('chunk')} <> ''")
+
+
+@query("narration_bounded", sql_narrated(sql_x12))
 def narration_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return narrated(spark, sf_dir, segment.split_bounded)
 
 
-@query("narration_natural")
+@query("narration_natural", sql_narrated(sql_x11))
 def narration_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
     return narrated(spark, sf_dir, segment.split_naturally)

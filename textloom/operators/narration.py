@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.cleaning import SMALL
+from textloom.operators import tabular
+from textloom.sources.shared import materialize
 
 CATALOGUE = "array<struct<name:string,styles:array<struct<name:string,id:int>>>>"
 # Default speaker, bounds, scales and silences of a request.
@@ -44,11 +45,10 @@ def requests(chunks: DataFrame, catalog: DataFrame, natural: bool = True) -> Dat
     chunks: corpus_id, page_num, part_no, chunk, speaker, speaker_id, speed, pitch, pause,
     intonation (nulls: defaults). An id given directly wins, 0 too; then the name; then the
     default. An unknown name gives a null id and ``error``. natural overrides pause and
-    intonation. The catalogue is broadcast only if it is counted and small.
+    intonation. The catalogue is written once, so Catalyst broadcasts it only if its size allows.
     """
-    few = catalog.limit(SMALL + 1).count() <= SMALL
-    known = catalog.select("speaker", F.col("speaker_id").alias("named"))
-    rows = chunks.join(F.broadcast(known) if few else known, "speaker", "left")
+    known = materialize(catalog.select("speaker", F.col("speaker_id").alias("named")), "catalogue")
+    rows = chunks.join(known, "speaker", "left")
     found = F.coalesce("speaker_id", "named", F.when(F.col("speaker").isNull(), F.lit(DEFAULT_SPEAKER)))
     speed, pitch = F.coalesce("speed", F.lit(1.0)), F.coalesce("pitch", F.lit(0.0))
     silence = F.lit(None).cast("double")
@@ -79,4 +79,4 @@ def wave_name(corpus: Column, page: Column) -> Column:
 
 def numbered(chunks: DataFrame) -> DataFrame:
     """W10. Chunks with their number in the corpus, over pages and parts."""
-    return chunks.withColumn("n", F.row_number().over(Window.partitionBy("corpus_id").orderBy("page_num", "part_no")))
+    return tabular.numbered(chunks, ("page_num", "part_no"), "n", within=("corpus_id",))

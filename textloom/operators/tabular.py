@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
-
-#: Names above this count get their ids by range sort and offsets instead of one window.
-ONE_WINDOW = 100_000
+from textloom.sources.shared import materialize
 
 
 def tsv_fields(rows: DataFrame, value: str = "value") -> DataFrame:
@@ -29,26 +27,44 @@ def rectangle(rows: DataFrame, start_row: int = 0, end_row: int | None = None, s
     return rows.where(inside).select("row_no", *kept)
 
 
+def write_delimited(rows: DataFrame, path: str, sep: str = ",") -> None:
+    """S2, S4. Rows as delimited files without header; quotes are doubled inside quotes."""
+    rows.write.csv(path, sep=sep, header=False, quote='"', escape='"', emptyValue='""')
+
+
 def last_wins(rows: DataFrame, key: str, value: str, order: str = "row_no") -> DataFrame:
     """P13, A7. (key, value): the value of each key's last row; grouped with partial maxima."""
     return rows.groupBy(F.col(key).alias("key")).agg(F.max_by(value, order).alias("value"))
 
 
-def dense_ids(names: DataFrame, name: str = "name") -> DataFrame:
-    """W7. (id, name): 1..n by name over distinct names.
+def numbered(df: DataFrame, order: tuple[str, ...], name: str = "id", within: tuple[str, ...] = ()) -> DataFrame:
+    """W7, W10. ``df`` with ``name``: 1..n by ``order``, in each group of ``within`` if given.
 
-    Few names take one window. Many are sorted by range; each part counts its rows, and the
-    sum of the parts before is the offset, joined on the part's number, so that no task
-    has all names.
+    The rows are sorted by range and written once; each part's size gives the offset of the
+    next, so that no task has all rows, or all rows of a group. Rows alike in ``order`` get
+    their numbers in any order; nulls come first.
     """
+    rows = df.repartitionByRange(*within, *order).sortWithinPartitions(*within, *order)
+    # the number of a row within its part is in the low 33 bits
+    rows = materialize(rows.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    # one row for each part of the sort
+    offsets = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    out = rows.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + place + 1)
+    out = out.select(*df.columns, name)
+    if within:
+        starts = materialize(out.groupBy(*within).agg((F.min(name) - 1).alias("__start")), "starts")
+        starts = starts.select(*(F.col(c).alias(f"__{c}") for c in within), "__start")
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in within]
+        out = out.join(starts, same).withColumn(name, F.col(name) - F.col("__start")).select(*df.columns, name)
+    return out
+
+
+def dense_ids(names: DataFrame, name: str = "name") -> DataFrame:
+    """W7. (id, name): 1..n by name over distinct names."""
     distinct = names.select(F.col(name).alias("name")).where("name is not null").distinct()
-    if distinct.limit(ONE_WINDOW + 1).count() <= ONE_WINDOW:
-        return distinct.select(F.row_number().over(Window.orderBy("name")).cast("long").alias("id"), "name")
-    parts = distinct.repartitionByRange("name").sortWithinPartitions("name").withColumn("part", F.spark_partition_id())
-    local = parts.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("name")))
-    sizes = local.groupBy("part").agg(F.count("*").alias("n"))
-    offsets = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return local.join(F.broadcast(offsets), "part").select((F.col("before") + F.col("k")).alias("id"), "name")
+    return numbered(distinct, ("name",)).select("id", "name")
 
 
 def group_members(rows: DataFrame, group: str = "name", members: str = "members", sep: str = "・") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -57,7 +73,7 @@ def group_members(rows: DataFrame, group: str = "name", members: str = "members"
     Groups are numbered by row_no, one for each row; members by name. A row meets every group
     of its name, so groups of equal names multiply; a member twice in one cell counts once.
     """
-    groups = rows.select(F.row_number().over(Window.orderBy("row_no")).cast("long").alias("id"), F.col(group).alias("name"))
+    groups = numbered(rows.select("row_no", F.col(group).alias("name")), ("row_no",)).select("id", "name")
     listed = rows.select(F.col(group).alias("name"), F.explode(F.array_distinct(F.split(members, sep))).alias("member"))
     people = dense_ids(listed, "member")
     bridge = listed.join(people.select(F.col("name").alias("member"), F.col("id").alias("member_id")), "member")

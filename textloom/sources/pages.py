@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions import text as X
+from textloom.operators import tabular
+from textloom.sources.shared import materialize
 
 #: Page numbers of one part of a document.
 PAGES_IN_PART = 64
@@ -26,9 +28,12 @@ def read_pages(spark: SparkSession, folder: str, pattern: str = "*.txt") -> Data
 
 
 def with_places(pages: DataFrame) -> DataFrame:
-    """Pages without a number get their place by file name within the corpus."""
-    place = F.row_number().over(Window.partitionBy("corpus_id").orderBy("file_name"))
-    return pages.withColumn("page_num", F.coalesce("page_num", place))
+    """O5. Pages without a number get their place by file name within the corpus.
+
+    Only names are sorted; no task has a corpus of texts.
+    """
+    places = tabular.numbered(pages.select("corpus_id", "file_name"), ("file_name",), "place", within=("corpus_id",))
+    return pages.join(places, ["corpus_id", "file_name"]).withColumn("page_num", F.coalesce("page_num", F.col("place").cast("int"))).drop("place").select(*pages.columns)
 
 
 def read_delimited(spark: SparkSession, path: str, columns: int, sep: str = ",") -> DataFrame:
@@ -50,9 +55,9 @@ def page_files(pages: DataFrame) -> DataFrame:
     header has the corpus and n/total; total counts blank pages too. Write it with
     :func:`write_pages`; the file name is data.
     """
-    total = F.count("*").over(Window.partitionBy("corpus_id"))
+    totals = materialize(pages.groupBy("corpus_id").agg(F.count("*").alias("total")), "page-counts")
     head = F.concat(F.lit("PDFファイル: "), F.col("corpus_id"), F.lit("\nページ番号: "), F.col("page_num").cast("string"), F.lit("/"), F.col("total").cast("string"))
-    rows = pages.withColumn("total", total).where(~X.is_blank("text"))
+    rows = pages.where(~X.is_blank("text")).join(totals, "corpus_id")
     return rows.select("corpus_id", "page_num", X.page_name("page_num").alias("file_name"), head.alias("header"), "text")
 
 
@@ -61,29 +66,41 @@ def write_pages(pages: DataFrame, path: str) -> None:
     pages.write.partitionBy("corpus_id").parquet(path)
 
 
-def whole_documents(pages: DataFrame) -> DataFrame:
+def whole_documents(pages: DataFrame, markers: bool = False) -> DataFrame:
     """S6. (corpus_id, text): non-blank pages in order, each under its marker.
 
     One cell for each corpus, which the corpus must fit: at most 2 GB, and the memory of one
     task. :func:`document_parts` has the same text for a corpus of any size.
     """
-    return _sections(pages).groupBy("corpus_id").agg(_joined().alias("text"))
+    return _sections(pages, markers).groupBy("corpus_id").agg(_joined().alias("text"))
 
 
-def document_parts(pages: DataFrame, pages_in_part: int = PAGES_IN_PART) -> DataFrame:
+def document_parts(pages: DataFrame, pages_in_part: int = PAGES_IN_PART, markers: bool = False) -> DataFrame:
     """S6. (corpus_id, part_no, text): the texts of :func:`whole_documents` in parts of bounded size.
 
-    A part has the non-blank pages of ``pages_in_part`` numbers in a row, from part_no *
+    A part has the pages of ``pages_in_part`` numbers in a row, from part_no *
     pages_in_part on. The parts of a corpus, joined in order of part_no, are its document;
     no task or cell has a whole corpus. Parts without pages are left out.
+
+    Blank pages are left out. With ``markers`` they stay as a marker that says so, and a null
+    text (a page that could not be read) as a marker of failure; texts follow theirs at once,
+    with blank runs collapsed (W3).
     """
     part = F.floor(F.col("p.page_num") / pages_in_part).cast("long")
-    return _sections(pages).groupBy("corpus_id", part.alias("part_no")).agg(_joined().alias("text"))
+    return _sections(pages, markers).groupBy("corpus_id", part.alias("part_no")).agg(_joined().alias("text"))
+
 
+def _sections(pages: DataFrame, markers: bool = False) -> DataFrame:
+    def marker(note: str) -> Column:
+        return F.concat(F.lit("\n===== ページ "), F.col("page_num").cast("string"), F.lit(f"{note} ====="))
 
-def _sections(pages: DataFrame) -> DataFrame:
-    section = F.concat(F.lit("\n===== ページ "), F.col("page_num").cast("string"), F.lit(" =====\n\n"), F.col("text"), F.lit("\n"))
-    return pages.where(~X.is_blank("text")).select("corpus_id", F.struct("page_num", section.alias("s")).alias("p"))
+    if not markers:
+        section = F.concat(marker(""), F.lit("\n\n"), F.col("text"), F.lit("\n"))
+        return pages.where(~X.is_blank("text")).select("corpus_id", F.struct("page_num", section.alias("s")).alias("p"))
+    body = F.array_join(X.collapse_blank_lines(F.split(X.newlines("text"), "\n")), "\n")
+    full = F.concat(marker(""), F.lit("\n"), body)
+    section = F.when(F.col("text").isNull(), F.concat(marker(" (エラー)"), F.lit("\n"))).when(X.is_blank("text"), F.concat(marker(" (テキストなし)"), F.lit("\n"))).otherwise(full)
+    return pages.select("corpus_id", F.struct("page_num", section.alias("s")).alias("p"))
 
 
 def _joined() -> Column:
