@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.sources.shared import discard, materialize, shared_folder, spread
+
+__all__ = ["SPACES", "discard", "materialize", "remainder", "shared_folder", "split_by_slots", "spread", "thinned", "words"]
+
 #: White space of the word definition: space and the controls U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def remainder(doc_id: str | Column, modulus: int) -> Column:
@@ -18,20 +19,6 @@ def remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string")) % modulus, F.lit(-1)).cast("int")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines see: spark.checkpoint.dir, or a local one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or LOCAL_CHECKPOINTS
-
-
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cut lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/textloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def thinned(df: DataFrame, total: int, rows: int) -> DataFrame:
     """About ``rows`` of the ``total`` rows of ``df``: those whose hash over all columns is low.
 

@@ -10,21 +10,21 @@ All contexts are kept, in tables: contexts of TOP bytes part the trees into subt
 tasks weigh one by one; the few nodes above are weighed on the driver (at most 2^24 byte
 triples, whatever the corpus), and a second pass carries the mixture down to every run. The
 scores of the commonest runs go along with the tasks, those of the others are joined with
-the runs of each text. With ``model_runs`` the model is a smaller one instead: at each depth
-the contexts that occur most, up to that many runs, and one leaf for the rest. Texts end with byte 0xFF, which UTF-8 has not, and start in a context of such bytes; the score is the
-log10 probability of a whole text and its end.
+the runs of each text, so the model grows with the corpus and no score depends on a bound.
+A task holds the distinct runs of one context of TOP bytes at least.
+
+Texts end with byte 0xFF, which UTF-8 has not, and start in a context of such bytes; the
+score is the log10 probability of a whole text and its end.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm._columns import materialize
@@ -40,8 +40,8 @@ HEAD_RUNS = 1_000_000
 WEIGHED = 200_000
 #: Words whose counts go along with the tasks, at most; the counts of others are joined.
 HEAD_WORDS = 300_000
-#: Counts that a task holds before it sends them on.
-HELD = 1_500_000
+#: Counts of one kind that a task holds before it sends them on.
+HELD = 2_000_000
 
 
 def byte_runs(rows: Rows, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -70,57 +70,71 @@ def word_keys(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w.hash.astype(np.int64), (mix(other).astype(np.int64) >> 32), w.first
 
 
-def corpus_counts(train: DataFrame, text: str, depth: int) -> DataFrame:
-    """(kind, k1, k2, n): kind 0 byte runs, 1 words, 2 texts; counted over all training rows."""
+def _summed(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each distinct key (one or two columns) with the sums of its rows."""
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.flatnonzero(new)
+    return [k[at] for k in keys], [np.add.reduceat(x[order], at) if len(at) else x for x in sums]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
-        rows_seen = 0
-
-        def packed(kind: int) -> pa.RecordBatch:
-            part = np.concatenate(held[kind]) if held[kind] else np.zeros((0, 3), np.int64)
-            held[kind] = []
-            order = np.lexsort((part[:, 1], part[:, 0]))
-            part = part[order]
-            new = np.ones(len(part), bool)
-            new[1:] = (part[1:, :2] != part[:-1, :2]).any(1)
-            at = np.flatnonzero(new)
-            n = np.add.reduceat(part[:, 2], at) if len(at) else at
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind)), pa.array(part[at, 0]), pa.array(part[at, 1]), pa.array(n)], names=["kind", "k1", "k2", "n"])
 
-        for batch in batches:
-            rows_seen += len(batch)
-            for part in slices(batch.column(0)):
-                run_, _ = byte_runs(part, depth)
-                u, n = np.unique(run_, return_counts=True)
-                held[0].append(np.stack([u, np.zeros_like(u), n], 1))
-                k1, k2, _ = word_keys(part)
-                order = np.lexsort((k2, k1))
-                k1, k2 = k1[order], k2[order]
-                new = np.ones(len(k1), bool)
-                new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-                at = np.flatnonzero(new)
-                held[1].append(np.stack([k1[at], k2[at], np.diff(np.append(at, len(k1)))], 1))
-                for kind in (0, 1):
-                    if sum(map(len, held[kind])) > HELD:
-                        yield packed(kind)
-        yield packed(0)
-        yield packed(1)
-        yield pa.RecordBatch.from_arrays([pa.array([2]), pa.array([0]), pa.array([0]), pa.array([rows_seen])], names=["kind", "k1", "k2", "n"])
-
-    part = train.select(F.col(text)).mapInArrow(run, "kind long, k1 long, k2 long, n long")
-    return part.groupBy("kind", "k1", "k2").agg(F.sum("n").alias("n"))
-
-
-def distinct_runs(depth: int):
-    """Batches of texts to their byte runs (k1), each once for a slice."""
+class _Held:
+    """Counts of one kind in a task: summed now and then, sent on when they are many."""
+
+    def __init__(self, kind: int):
+        self.kind, self.parts, self.size = kind, [], 0
+
+    def add(self, keys: list[np.ndarray], count: np.ndarray, learn: bool, scored: bool) -> Iterator[pa.RecordBatch]:
+        self.parts.append((keys, [count * learn, count * scored]))
+        self.size += len(count)
+        if self.size > HELD:
+            self.sum()
+            if self.size > HELD // 2:
+                yield from self.send()
+
+    def sum(self) -> None:
+        columns = list(zip(*(k for k, _ in self.parts), strict=True)), list(zip(*(x for _, x in self.parts), strict=True))
+        part = _summed(*([np.concatenate(c) for c in group] for group in columns))
+        self.parts, self.size = [part], len(part[0][0])
+
+    def send(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            self.sum()
+            (keys, sums), size = self.parts[0], self.size
+            k2 = keys[1] if len(keys) > 1 else np.zeros(size, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(size, self.kind), keys[0], k2, *sums)], names=["kind", "k1", "k2", "n", "m"])
+        self.parts, self.size = [], 0
+
+
+def corpus_counts(rows: DataFrame, depth: int) -> DataFrame:
+    """(kind, k1, k2, n, m): kind 0 byte runs, 1 words, 2 texts; counted over all rows.
+
+    ``rows`` has text, learn and scored (booleans); n counts in rows to learn from, m in rows
+    to score.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_Held(0), _Held(1)]
+        texts = np.zeros(2, np.int64)
         for batch in batches:
-            for part in slices(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(byte_runs(part, depth)[0]))], names=["k1"])
-
-    return run
+            learns, scores = (batch.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (1, 2))
+            texts += learns.sum(), scores.sum()
+            for learn, scored in ((True, True), (True, False), (False, True)):
+                mask = (learns == learn) & (scores == scored)
+                for part in slices(batch.column(0) if mask.all() else batch.column(0).filter(pa.array(mask))):
+                    u, n = np.unique(byte_runs(part, depth)[0], return_counts=True)
+                    yield from held[0].add([u], n, learn, scored)
+                    k1, k2, _ = word_keys(part)
+                    keys, (n,) = _summed([k1, k2], [np.ones(len(k1), np.int64)])
+                    yield from held[1].add(keys, n, learn, scored)
+        for h in held:
+            yield from h.send()
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (2, 0, 0, *texts)], names=["kind", "k1", "k2", "n", "m"])
+
+    part = rows.select("text", "learn", "scored").mapInArrow(run, "kind long, k1 long, k2 long, n long, m long")
+    return part.groupBy("kind", "k1", "k2").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def _limit_by_count(binned: DataFrame, most: int) -> int:
@@ -136,31 +150,8 @@ def _limit_by_count(binned: DataFrame, most: int) -> int:
     return least
 
 
-def _bin_of(n):
-    return F.floor(F.log2(n.cast("double")) * 8).cast("int")
-
-
-def _bin(n: str):
-    return _bin_of(F.col(n))
-
-
-def frequent_runs(runs: DataFrame, depth: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each depth from 0: the byte runs, with counts, of its most frequent contexts, sorted by run."""
-    out, level = [], runs
-    for d in range(depth, -1, -1):
-        if d < depth:
-            level = runs.groupBy(F.col("k1").bitwiseAND((1 << (8 * (d + 1))) - 1).alias("k1")).agg(F.sum("n").alias("n"))
-        level = materialize(level.select("k1", "n"), "runs")
-        context = level.withColumn("c", F.shiftright("k1", 8)) if d else level.withColumn("c", F.lit(0).cast("long"))
-        # a context is the bytes before the last: all but the low byte
-        contexts = context.groupBy("c").agg(F.sum("n").alias("cn"), F.count("*").alias("size"))
-        least = _limit_by_count(contexts.groupBy(_bin("cn").alias("bin")).agg(F.sum("size").alias("size")), most)
-        kept = context.join(contexts.where(_bin("cn") >= least).select("c"), "c", "left_semi") if least else context
-        got = kept.select("k1", "n").toPandas()
-        order = np.argsort(got["k1"].to_numpy(np.int64), kind="stable")
-        out.append((got["k1"].to_numpy(np.int64)[order], got["n"].to_numpy(np.float64)[order]))
-        runs = level
-    return out[::-1]
+def _bin(n: str) -> Column:
+    return F.floor(F.log2(F.col(n).cast("double")) * 8).cast("int")
 
 
 _SMALL = np.array([math.lgamma(k / 2) if k else 0.0 for k in range(4096)])
@@ -181,17 +172,6 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lgamma(a + 0.5) + lgamma(b + 0.5) - math.log(math.pi) - lgamma(a + b + 1)
 
 
-@dataclass
-class Model:
-    """For each depth and bit: node keys (context and bits so far) with the probability of a 1; whole runs."""
-
-    depth: int
-    keys: list[list[np.ndarray]]
-    ones: list[list[np.ndarray]]
-    runs: np.ndarray
-    run_score: np.ndarray
-
-
 def bit_nodes(runs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Node key of bit k of each run's last byte (context, then the bits so far), and the bit."""
     byte = runs & 0xFF
@@ -208,69 +188,6 @@ def node_counts(runs: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np
     return key[at], both - one, one
 
 
-def build_bit(levels: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Weigh the trees of bit k bottom-up, then carry the mixture top-down to every node."""
-    depth = len(levels) - 1
-    keys, zeros, ones = (list(x) for x in zip(*(node_counts(runs, n, k) for runs, n in levels), strict=True))
-    # parent of a node one level up: the same bits, without the farthest byte of the context
-    parent = [np.zeros(0, np.int64)] + [np.searchsorted(keys[d - 1], keys[d] & ((1 << (8 * d)) - 1)) for d in range(1, depth + 1)]
-    weighted = log_kt(zeros[depth], ones[depth])
-    stop: list[np.ndarray] = [np.zeros(0)] * depth + [np.ones(len(keys[depth]))]
-    rest: list[np.ndarray] = [np.zeros(0)] * depth
-    for d in range(depth - 1, -1, -1):
-        size, up = len(keys[d]), parent[d + 1]
-        below = np.bincount(up, weights=weighted, minlength=size)
-        # contexts without nodes of their own share a leaf
-        z = np.maximum(zeros[d] - np.bincount(up, weights=zeros[d + 1], minlength=size), 0)
-        o = np.maximum(ones[d] - np.bincount(up, weights=ones[d + 1], minlength=size), 0)
-        rest[d] = (o + 0.5) / (z + o + 1)
-        below = below + log_kt(z, o)
-        own = log_kt(zeros[d], ones[d])
-        stop[d] = 1 / (1 + np.exp(-np.clip(own - below, -700, 700)))
-        weighted = math.log(0.5) + np.logaddexp(own, below)
-    final, mixed, left = [], np.zeros(0), np.zeros(0)
-    for d in range(depth + 1):
-        kt = (ones[d] + 0.5) / (zeros[d] + ones[d] + 1)
-        before, room = (np.zeros(len(kt)), np.ones(len(kt))) if d == 0 else (mixed[parent[d]], left[parent[d]])
-        mixed, left = before + room * stop[d] * kt, room * (1 - stop[d])
-        final.append((mixed + left * rest[d] if d < depth else mixed).astype(np.float32))
-    return keys, final
-
-
-def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """Model from the sorted runs of each depth; the trees of the eight bits one after the other."""
-    depth = len(levels) - 1
-    keys: list[list[np.ndarray]] = [[] for _ in levels]
-    ones: list[list[np.ndarray]] = [[] for _ in levels]
-    for k in range(8):
-        for d, (key, one) in enumerate(zip(*build_bit(levels, k), strict=True)):
-            keys[d].append(key)
-            ones[d].append(one)
-    model = Model(depth, keys, ones, levels[depth][0], np.zeros(0))
-    model.run_score = score_runs(model, model.runs).astype(np.float32)
-    return model
-
-
-def score_runs(model: Model, runs: np.ndarray) -> np.ndarray:
-    """log10 probability of the last byte of each run: eight decisions, each at its deepest node."""
-    total = np.zeros(len(runs))
-    for k in range(8):
-        p = np.full(len(runs), 0.5)
-        todo = np.arange(len(runs))
-        key, bit = bit_nodes(runs, k)
-        for d in range(model.depth, -1, -1):
-            keys = model.keys[d][k]
-            if not len(todo) or not len(keys):
-                continue
-            want = key[todo] & ((1 << (8 * (d + 1))) - 1)
-            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            hit = keys[at] == want
-            p[todo[hit]] = model.ones[d][k][at[hit]]
-            todo = todo[~hit]
-        total += np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-12, 1.0))
-    return total
-
-
 def subtree_levels(runs: np.ndarray, n: np.ndarray, depth: int, top: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sorted runs with counts for each depth from ``top`` to ``depth``, of the deepest runs."""
     out = []
@@ -292,44 +209,48 @@ def weigh(nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], top: int, weig
     return weighted, parent, stop
 
 
-def carry(nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parent: list[np.ndarray], stop: list[np.ndarray], mixed: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Top-down: the mixture at the nodes of the last level, and the weight that is left below them."""
+def carry(nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parent: list[np.ndarray], stop: list[np.ndarray], mixed: np.ndarray) -> np.ndarray:
+    """Top-down: rows P(0), P(1) and the weight that is left below, at the nodes of the last level.
+
+    Both probabilities are summed by themselves: 1 - P would lose the small one.
+    """
     for i, (_, zeros, ones) in enumerate(nodes):
         if i:
-            mixed, left = mixed[parent[i]], left[parent[i]]
-        mixed, left = mixed + left * stop[i] * (ones + 0.5) / (zeros + ones + 1), left * (1 - stop[i])
-    return mixed, left
+            mixed = mixed[:, parent[i]]
+        here = mixed[2] * stop[i] / (zeros + ones + 1)
+        mixed = np.stack([mixed[0] + here * (zeros + 0.5), mixed[1] + here * (ones + 0.5), mixed[2] * (1 - stop[i])])
+    return mixed
 
 
 def run_scores(runs: DataFrame, depth: int) -> DataFrame:
-    """(k1, n, gain): log10 probability of the last byte of each run, under the trees of all contexts.
+    """(k1, m, gain): log10 probability of the last byte of each run, under the trees of all contexts.
 
-    Runs with n = 0 are scored and change no other score: an unseen node has probability 1.
+    ``runs`` has k1, n and m. Runs with n = 0 are scored and change no other score: an unseen
+    node has probability 1.
     """
     spark = runs.sparkSession
     top = min(TOP, depth)
     low = (1 << (8 * top)) - 1
-    parts = runs.select("k1", "n", F.shiftright("k1", 8).bitwiseAND(F.lit(low)).alias("c"))
-    grouped = materialize(parts, "runs").repartition("c").sortWithinPartitions("c")
+    parts = runs.select("k1", "n", "m", F.shiftright("k1", 8).bitwiseAND(F.lit(low)).alias("c"))
+    grouped = parts.repartition("c").sortWithinPartitions("c")
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """Rows of whole subtrees: k1, n and m."""
         held: list[np.ndarray] = []
         for batch in batches:
-            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]))
+            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]))
             if sum(x.shape[1] for x in held) > WEIGHED:
                 rows = np.concatenate(held, 1)
-                cut = int(np.searchsorted(rows[2], rows[2, -1]))
+                cut = int(np.searchsorted(rows[3], rows[3, -1]))
                 held = [rows[:, cut:]]
                 if cut:
-                    yield rows[0, :cut], rows[1, :cut].astype(np.float64)
-        if held:
-            rows = np.concatenate(held, 1)
-            if rows.shape[1]:
-                yield rows[0], rows[1].astype(np.float64)
+                    yield rows[:3, :cut]
+        if held and (rows := np.concatenate(held, 1)).shape[1]:
+            yield rows[:3]
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run_, n in chunks(batches):
-            levels = subtree_levels(run_, n, depth, top)
+        for run_, n, _ in chunks(batches):
+            levels = subtree_levels(run_, n.astype(np.float64), depth, top)
             for k in range(8):
                 nodes = [node_counts(*x, k) for x in levels]
                 w, _, _ = weigh(nodes, top, log_kt(*nodes[-1][1:]))
@@ -348,48 +269,42 @@ def run_scores(runs: DataFrame, depth: int) -> DataFrame:
             nodes.append((u, np.bincount(back, weights=zeros, minlength=len(u)), np.bincount(back, weights=ones, minlength=len(u))))
         nodes.append((key, zeros, ones))
         _, parent, stop = weigh(nodes, 0, w)
-        if top:
-            mixed, left = carry(nodes[:-1], parent, stop, np.zeros(len(nodes[0][0])), np.ones(len(nodes[0][0])))
-            starts.append((key, mixed[parent[-1]], left[parent[-1]]))
-        else:
-            starts.append((key, np.zeros(len(key)), np.ones(len(key))))
+        begin = np.repeat([[0.0], [0.0], [1.0]], len(nodes[0][0]), 1)
+        starts.append((key, carry(nodes[:-1], parent, stop, begin)[:, parent[-1]] if top else begin))
+    del got
     shared = spark.sparkContext.broadcast(starts)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run_, n in chunks(batches):
-            order = np.argsort(run_)
-            run_, n = run_[order], n[order]
-            levels = subtree_levels(run_, n, depth, top)
+        for rows in chunks(batches):
+            run_, n, m = rows[:, np.argsort(rows[0])]
+            levels = subtree_levels(run_, n.astype(np.float64), depth, top)
             total = np.zeros(len(run_))
-            for k, (key, mixed, left) in enumerate(shared.value):
+            for k, (key, begin) in enumerate(shared.value):
                 nodes = [node_counts(*x, k) for x in levels]
                 _, parent, stop = weigh(nodes, top, log_kt(*nodes[-1][1:]))
-                at = np.searchsorted(key, nodes[0][0])
-                p, _ = carry(nodes, parent, stop, mixed[at], left[at])
+                p = carry(nodes, parent, stop, begin[:, np.searchsorted(key, nodes[0][0])])
                 mine, bit = bit_nodes(run_, k)
-                p = p[np.searchsorted(nodes[-1][0], mine)]
-                total += np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-12, 1.0))
-            yield pa.RecordBatch.from_arrays([pa.array(run_), pa.array(n.astype(np.int64)), pa.array(total)], names=["k1", "n", "gain"])
+                total += np.log10(p[bit, np.searchsorted(nodes[-1][0], mine)])
+            yield pa.RecordBatch.from_arrays([pa.array(run_), pa.array(m), pa.array(total)], names=["k1", "m", "gain"])
 
-    return materialize(grouped.mapInArrow(finish, "k1 long, n long, gain double"), "run-scores")
+    return materialize(grouped.mapInArrow(finish, "k1 long, m long, gain double"), "run-scores")
 
 
 class Scorer:
-    """A model in a task: whole runs by hash table, unknown runs bit by bit."""
+    """Scores of the commonest runs in a task, as a hash table."""
 
-    def __init__(self, model: Model):
-        self.model = model
-        bits = max(8, int(len(model.runs)).bit_length() + 1)
+    def __init__(self, runs: np.ndarray, gain: np.ndarray):
+        bits = max(8, int(len(runs)).bit_length() + 1)
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.key = np.full(1 << bits, -1, np.int64)
-        self.value = np.zeros(1 << bits, np.float32)
-        todo, step = np.arange(len(model.runs)), 0
+        self.value = np.zeros(1 << bits, np.float64)
+        todo, step = np.arange(len(runs)), 0
         while len(todo):
-            slot = (self.slot(model.runs[todo]) + step) & self.mask
+            slot = (self.slot(runs[todo]) + step) & self.mask
             free = np.flatnonzero(self.key[slot] == -1)
             _, one = np.unique(slot[free], return_index=True)
             put = free[one]
-            self.key[slot[put]], self.value[slot[put]] = model.runs[todo[put]], model.run_score[todo[put]]
+            self.key[slot[put]], self.value[slot[put]] = runs[todo[put]], gain[todo[put]]
             todo = np.delete(todo, put)
             step += 1
         self.probes = step
@@ -398,9 +313,9 @@ class Scorer:
         return ((runs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def known(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of the runs, and the places of those that the table has not."""
+        """Scores of the runs (0 where unknown), and the places of those that the table has not."""
         slot = self.slot(runs)
-        out = self.value[slot].astype(np.float64)
+        out = self.value[slot]
         todo = np.flatnonzero(self.key[slot] != runs)
         for step in range(1, self.probes):
             if not len(todo):
@@ -409,87 +324,69 @@ class Scorer:
             hit = self.key[at] == runs[todo]
             out[todo[hit]] = self.value[at[hit]]
             todo = todo[~hit]
+        out[todo] = 0.0
         return out, todo
 
-    def __call__(self, runs: np.ndarray) -> np.ndarray:
-        out, todo = self.known(runs)
-        if len(todo):
-            u, back = np.unique(runs[todo], return_inverse=True)
-            out[todo] = score_runs(self.model, u)[back]
-        return out
-
 
 _SCORERS: dict[str, Scorer] = {}
 
 
-def fit(counts: DataFrame, *, depth: int = DEPTH, model_runs: int) -> Model:
-    """Model of the byte runs in :func:`corpus_counts`. Without runs every decision is even."""
-    return build(frequent_runs(counts.where("kind = 0").select("k1", "n"), depth, model_runs))
-
-
-def score(df: DataFrame, *, train: DataFrame | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), depth: int = DEPTH, model_runs: int | None = None, head_words: int = HEAD_WORDS, head_runs: int = HEAD_RUNS) -> DataFrame:
+def score(df: DataFrame, *, learn: Column | None = None, train: DataFrame | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), depth: int = DEPTH, head_words: int = HEAD_WORDS, head_runs: int = HEAD_RUNS) -> DataFrame:
     """Columns ``keep``, n_bytes, score, bits_per_byte, n_tokens, n_known, train_tokens, base_score.
 
-    Learns from ``train`` (None: from ``df``) and scores every row of ``df``, whole texts.
-    score is the model's log10 probability of a text and its end, bits_per_byte its code
-    length for each byte (the end counted as one). n_tokens counts words (A-Z lower-cased)
-    and one end; base_score is the sum of log10((c + 1) / (N + V + 1)) over them. A null
-    text is empty: one token, the end. Repeated rows each get their row; other columns are
-    left out, whatever their names. An empty ``train`` gives even decisions and c = 0.
+    Learns from the rows of ``df`` where ``learn`` holds (None: all), or from another table
+    ``train``; scores every row of ``df``, whole texts. score is the model's log10 probability
+    of a text and its end, bits_per_byte its code length for each byte (the end counted as
+    one). n_tokens counts words (A-Z lower-cased) and one end; base_score is the sum of
+    log10((c + 1) / (N + V + 1)) over them. A null text is empty: one token, the end. Repeated
+    rows each get their row; other columns are left out, whatever their names. Nothing to
+    learn from gives even decisions and c = 0.
 
     The commonest words' counts go along with the tasks (``head_words`` at most); the
     other words of each text are joined with the counts, so the vocabulary has no bound
     and no word is a hot key. So are the scores of byte runs (``head_runs`` at most).
     """
     spark = df.sparkSession
-    counts = materialize(corpus_counts(df if train is None else train, text, depth), "counts")
-    rare_runs = None
-    if model_runs is not None:
-        model = fit(counts, depth=depth, model_runs=model_runs)
+    if train is None:
+        rows = df.select(F.col(text).alias("text"), F.coalesce(F.lit(True) if learn is None else learn, F.lit(False)).alias("learn"), F.lit(True).alias("scored"))
     else:
-        seen = counts.where("kind = 0").select("k1", "n")
-        if train is not None:
-            mine = df.select(F.col(text)).mapInArrow(distinct_runs(depth), "k1 long")
-            seen = seen.unionByName(mine.distinct().withColumn("n", F.lit(0).cast("long"))).groupBy("k1").agg(F.sum("n").alias("n"))
-        gains = run_scores(seen, depth)
-        rank = _bin_of(F.col("n") + 1)
-        low = _limit_by_count(gains.groupBy(rank.alias("bin")).agg(F.count("*").alias("size")), head_runs)
-        top_runs = gains.where(rank >= low).select("k1", "gain").toArrow()
-        model = Model(depth, [], [], top_runs["k1"].to_numpy(), top_runs["gain"].to_numpy().astype(np.float32))
-        del top_runs
-        rare_runs = gains.where(rank < low).select("k1", "gain")
+        rows = train.select(F.col(text).alias("text"), F.lit(True).alias("learn"), F.lit(False).alias("scored"))
+        rows = rows.unionByName(df.select(F.col(text).alias("text"), F.lit(False).alias("learn"), F.lit(True).alias("scored")))
+    counts = materialize(corpus_counts(rows, depth), "counts")
+    gains = run_scores(counts.where("kind = 0"), depth).where("m > 0")
+    low = _limit_by_count(gains.groupBy(_bin("m").alias("bin")).agg(F.count("*").alias("size")), head_runs)
+    head = gains.where(_bin("m") >= low).select("k1", "gain").toArrow()
+    run_head = head["k1"].to_numpy(), head["gain"].to_numpy()
+    rare_runs = gains.where(_bin("m") < low).select("k1", "gain")
     word_counts = counts.where("kind = 1")
     ends = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    size = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    size = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     n_train, vocabulary = size["n"] + ends, size["v"] + (1 if ends else 0)
     divisor = math.log10(n_train + vocabulary + 1)
-    least = _limit_by_count(word_counts.groupBy(_bin("n").alias("bin")).agg(F.count("*").alias("size")), head_words)
-    head = word_counts.where(_bin("n") >= least).select("k1", "k2", "n").toArrow()
+    asked = word_counts.where("m > 0")
+    least = _limit_by_count(asked.groupBy(_bin("m").alias("bin")).agg(F.count("*").alias("size")), head_words)
+    head = asked.where(_bin("m") >= least).select("k1", "k2", "n").toArrow()
     order = np.lexsort((head["k2"].to_numpy(), head["k1"].to_numpy()))
-    shared = spark.sparkContext.broadcast((model, *(head[c].to_numpy()[order] for c in ("k1", "k2", "n"))))
+    shared = spark.sparkContext.broadcast((*run_head, *(head[c].to_numpy()[order] for c in ("k1", "k2", "n"))))
+    del head, run_head
     name = str(id(shared)) + str(shared.id if hasattr(shared, "id") else "")
     end_score = math.log10(ends + 1) - divisor
     tail_type = pa.list_(pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("m", pa.int64())]))
     run_type = pa.list_(pa.struct([("k1", pa.int64()), ("m", pa.int64())]))
-    whole = rare_runs is not None
     fields = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep]
     out_schema = ", ".join([*fields, "rid long", "n_bytes long", "score double", "n_tokens long", "head_known long", "head_base double", "tail array<struct<k1: bigint, k2: bigint, m: bigint>>", "runs array<struct<k1: bigint, m: bigint>>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, h1, h2, hn = shared.value
+        head_run, head_gain, h1, h2, hn = shared.value
         if name not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[name] = Scorer(model)
+            _SCORERS[name] = Scorer(head_run, head_gain)
         scorer = _SCORERS[name]
         gain = np.log10(hn + 1.0) - divisor
         for batch in batches:
             for part in slices(batch.column(0)):
                 runs, bounds = byte_runs(part, depth)
-                if whole:
-                    value, far = scorer.known(runs)
-                    value[far] = 0.0
-                else:
-                    value, far = scorer(runs), np.zeros(0, np.int64)
+                value, far = scorer.known(runs)
                 total = np.add.reduceat(value, bounds[:-1])
                 # runs not in the head, once for each row
                 far_row = np.searchsorted(bounds, far, "right") - 1
@@ -504,11 +401,13 @@ def score(df: DataFrame, *, train: DataFrame | None = None, text: str = "text",
                 k1, k2, first = word_keys(part)
                 at = np.searchsorted(h1, k1)
                 known = np.zeros(len(k1), bool)
+                learned = np.zeros(len(k1), bool)
                 base = np.zeros(len(k1))
                 if len(h1):
                     at = np.minimum(at, len(h1) - 1)
                     known = (h1[at] == k1) & (h2[at] == k2)
                     base[known] = gain[at[known]]
+                    learned[known] = hn[at[known]] > 0
                 row = np.repeat(np.arange(len(part)), np.diff(first))
                 n = len(part)
                 # words not in the head, once for each row
@@ -525,7 +424,7 @@ def score(df: DataFrame, *, train: DataFrame | None = None, text: str = "text",
                     pa.array(np.diff(part.bounds)),
                     pa.array(total),
                     pa.array(np.diff(first) + 1),
-                    pa.array(np.bincount(row[known], minlength=n)),
+                    pa.array(np.bincount(row[learned], minlength=n)),
                     pa.array(np.bincount(row, weights=base, minlength=n) + end_score),
                     pa.ListArray.from_arrays(pa.array(tail_bounds, pa.int32()), tail),
                     pa.ListArray.from_arrays(pa.array(far_bounds, pa.int32()), far_runs),
@@ -536,17 +435,15 @@ def score(df: DataFrame, *, train: DataFrame | None = None, text: str = "text",
     scored = df.select(F.col(text).alias("__text"), *keep, F.monotonically_increasing_id().alias("rid")).mapInArrow(run, out_schema)
     scored = materialize(scored, "scored")
     tail = scored.select("rid", F.explode("tail").alias("t")).select("rid", "t.k1", "t.k2", "t.m")
-    rare = word_counts.where(_bin("n") < least).select("k1", "k2", "n")
+    rare = asked.where((_bin("m") < least) & (F.col("n") > 0)).select("k1", "k2", "n")
     joined = tail.join(rare.hint("merge"), ["k1", "k2"], "left")
     gain = F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - F.lit(divisor)
     sums = joined.groupBy("rid").agg(F.sum(F.col("m") * gain).alias("tail_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("tail_known"))
     both = scored.drop("tail", "runs").join(sums.hint("merge"), "rid", "left")
-    total = F.col("score")
-    if whole:
-        far = scored.select("rid", F.explode("runs").alias("t")).select("rid", "t.k1", "t.m")
-        added = far.join(rare_runs.hint("merge"), "k1").groupBy("rid").agg(F.sum(F.col("m") * F.col("gain")).alias("far_score"))
-        both = both.join(added.hint("merge"), "rid", "left")
-        total = total + F.coalesce("far_score", F.lit(0.0))
+    far = scored.select("rid", F.explode("runs").alias("t")).select("rid", "t.k1", "t.m")
+    added = far.join(rare_runs.hint("merge"), "k1").groupBy("rid").agg(F.sum(F.col("m") * F.col("gain")).alias("far_score"))
+    both = both.join(added.hint("merge"), "rid", "left")
+    total = F.col("score") + F.coalesce("far_score", F.lit(0.0))
     return both.select(
         *keep,
         "n_bytes",

@@ -25,9 +25,8 @@ def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every document under a context-tree model and a word unigram base."""
     docs = documents(spark, sf_dir)
     rest = remainder("doc_id", 7)
-    scored = ctw.score(docs, train=docs.where((rest != 2) & (rest >= 0)))
-    held = (remainder("doc_id", 7) == 2).alias("held_out")
-    return scored.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    scored = ctw.score(docs, learn=(rest != 2) & (rest >= 0))
+    return scored.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
