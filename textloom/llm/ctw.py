@@ -41,7 +41,7 @@ WEIGHED = 200_000
 #: Words whose counts go along with the tasks, at most; the counts of others are joined.
 HEAD_WORDS = 300_000
 #: Counts of one kind that a task holds before it sends them on.
-HELD = 2_000_000
+HELD = 700_000
 
 
 def byte_runs(rows: Rows, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
