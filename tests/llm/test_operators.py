@@ -47,7 +47,7 @@ OPERATORS = {
     "op5": lambda spark, df: decontaminate.leaked(df, spark.createDataFrame([(1, "one two three four five six"), (2, None), (None, "")], "item_id long, text string")),
     "op6": lambda spark, df: neardup.components(df),
     "op7": lambda spark, df: rules.judge(df),
-    "op8": lambda spark, df: langid.identify(df, langid.fit_text(df, least=1)),
+    "op8": lambda spark, df: langid.identify(df, langid.fit_text(df)),
     "op9": lambda spark, df: secrets.scan(df, redact=True),
     "op10": lambda spark, df: quality.score(df, quality.fit(df.selectExpr("doc_id", "text", "cast(doc_id % 2 as int) as quality"))),
 }
@@ -570,42 +570,93 @@ def test_language_evidence_is_fused(spark):
     assert {r["lang_id"] for r in only.where("lang_accepted").collect()} == {"de"}
 
 
-def fused_by_brute_force(rows, model, strength=20.0, trust=0.9):
-    """(lang, posterior) of (text, declared, host) rows by the formulas, over dictionaries."""
-    names, n = model.languages, len(model.languages)
-
-    def likelihood(text):
-        data = text.translate(LOWER).encode()
-        out = [0.0] * n
-        for i in range(len(data) - 2):
-            bucket = int.from_bytes(data[i : i + 3], "little") * 0x9E3779B1 % (1 << 32) >> 16
-            for k in range(n):
-                out[k] += 0.25 * float(model.log_prob[bucket, k])
+def fused_by_brute_force(spark, rows, strength=20.0, trust=0.9):
+    """(lang, posterior) of (text, declared, host) rows by the formulas, over dictionaries.
+
+    A text is scored by the declared texts of the other fold, and no row votes for itself.
+    """
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], "i int, t string")
+    fold = {r["i"]: r["f"] for r in df.select("i", langid.fold_of(df["t"]).alias("f")).collect()}
+    names = sorted({said for _, said, _ in rows if said})
+    n = len(names)
+
+    def grams(text):
+        data = (text or "").translate(LOWER).encode()
+        return [int.from_bytes(data[i : i + 3], "little") * 0x9E3779B1 % (1 << 32) >> 16 for i in range(len(data) - 2)]
+
+    counts = {(f, name): Counter() for f in range(2) for name in names}
+    for i, (text, said, _) in enumerate(rows):
+        for f in range(2):
+            if said and f != fold[i]:
+                counts[f, said].update(grams(text))
+
+    def likelihood(i):
+        out = []
+        for name in names:
+            c = counts[fold[i], name]
+            size = sum(c.values()) + 0.5 * 65536
+            out.append(0.25 * sum(math.log((c[g] + 0.5) / size) for g in grams(rows[i][0])))
         return out
 
     def suffix(host):
         return host.rsplit(".", 1)[1].lower() if "." in host else ""
 
-    seen = [likelihood(t or "") for t, *_ in rows]
-    best = [x.index(max(x)) for x in seen]
-    hosts = [h or "" for *_, h in rows]
+    seen = [likelihood(i) for i in range(len(rows))]
+    best = [x.index(max(x)) if grams(t) else None for x, (t, *_) in zip(seen, rows, strict=True)]
+    hosts = [h for *_, h in rows]
 
-    def smooth(which, parent):
-        count = [sum(b == k for b, h in zip(best, hosts, strict=True) if which(h)) for k in range(n)]
+    def smooth(i, which, parent):
+        count = [sum(b == k for j, (b, h) in enumerate(zip(best, hosts, strict=True)) if j != i and which(h)) for k in range(n)]
         return [(c + strength * p) / (sum(count) + strength) for c, p in zip(count, parent, strict=True)]
 
     out = []
-    for (_, said, _), ll, host in zip(rows, seen, hosts, strict=True):
-        prior = smooth(lambda h, x=host: h == x, smooth(lambda h, x=suffix(host): suffix(h) == x, smooth(lambda h: True, [1 / n] * n)))
+    for i, (_, said, host) in enumerate(rows):
+        prior = smooth(i, lambda h: True, [1 / n] * n)
+        if host is not None:
+            prior = smooth(i, lambda h, x=host: h is not None and suffix(h) == suffix(x), prior)
+            prior = smooth(i, lambda h, x=host: h == x, prior)
         total = []
         for k in range(n):
-            evidence = 0.0 if said not in names else math.log(trust if said == names[k] else (1 - trust) / (n - 1))
-            total.append(ll[k] + evidence + math.log(prior[k]))
+            evidence = 0.0 if said not in names else math.log(trust if said == names[k] else (1 - trust) / max(1, n - 1))
+            total.append(seen[i][k] + evidence + math.log(prior[k]))
         top = max(total)
         out.append((names[total.index(top)], 1 / sum(math.exp(x - top) for x in total)))
     return out
 
 
+def test_language_against_brute_force(spark):
+    """Masked and wrong declarations, copies, null hosts and texts; no row is evidence about itself."""
+    draw = random.Random(3)
+    words = {"en": "the and with thing nation".split(), "de": "der und nicht schau keit".split(), "fr": "le des nous pas quoi".split()}
+    rows = []
+    for i in range(150):
+        tag = draw.choice(list(words))
+        said = draw.choice([tag, tag, tag, None, draw.choice(list(words))])
+        rows.append((" ".join(draw.choice(words[tag]) for _ in range(draw.randrange(0, 9))), said, draw.choice([None, f"h{i % 5}.{tag}", "plain"])))
+    rows += [rows[0], rows[0], (None, "en", "plain"), ("ab", "fr", None)]
+    df = frame(spark, [(i, t, said, host) for i, (t, said, host) in enumerate(rows)])
+    got = {r["doc_id"]: r for r in langid.identify(df, langid.fit_text(df)).collect()}
+    assert len(got) == len(rows)
+    for i, (lang, posterior) in enumerate(fused_by_brute_force(spark, rows)):
+        assert got[i]["lang_posterior"] == pytest.approx(posterior, rel=1e-4) and (got[i]["lang_id"] == lang or posterior < 0.51)
+        assert got[i]["lang_accepted"] == (len((rows[i][0] or "").encode()) > 2 and got[i]["lang_posterior"] >= 0.5)
+
+
+def test_declaration_is_not_its_own_text_evidence(spark):
+    """A tag that only one kind of text declares, wrongly: the other fold's rows decide, not the row itself."""
+    rows = [(i, f"the thing {i} and the nation with the land {i}", "en", "h") for i in range(60)]
+    rows += [(100, "the thing and the nation with the land of the things and the nations with them", "xx", "h")]
+    df = frame(spark, rows)
+    assert {r["doc_id"]: r["lang_id"] for r in langid.identify(df, langid.fit_text(df)).collect()}[100] == "en"
+
+
+def test_more_languages_than_models(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    df = frame(spark, [(i, "the and with " * 5, tag, "h") for i, tag in enumerate(["en"] * 9 + ["de"] * 5 + ["fr"])])
+    model = langid.fit_text(df)
+    assert model.languages == ["de", "en"] and langid.identify(df, model).count() == 15
+
+
 def test_language_of_pages_by_suffix_and_markup(spark, tmp_path):
     draw = random.Random(11)
     words = {"en": "the and with thing nation".split(), "de": "der und nicht schau keit".split()}
@@ -628,9 +679,9 @@ def test_language_of_pages_by_suffix_and_markup(spark, tmp_path):
     assert all(texts[i].split() == t.split() for i, (t, *_) in enumerate(facts))
     ids = [*range(len(facts)), 0, 500]
     read = [(texts[i], *((facts[i][1], facts[i][2] and facts[i][2].lower()) if i < 500 else (None, None))) for i in ids]
-    want = fused_by_brute_force(read, langid.fit_text(df))
+    want = fused_by_brute_force(spark, read)
     for i, (lang, posterior) in zip(ids, want, strict=True):
-        assert got[i]["lang_id"] == lang and got[i]["lang_posterior"] == pytest.approx(posterior, rel=1e-6)
+        assert got[i]["lang_id"] == lang and got[i]["lang_posterior"] == pytest.approx(posterior, rel=1e-4)
     assert got[120]["lang_id"] == "de" and got[121]["lang_id"] == "en"  # the suffix alone decides
     assert got[122]["lang_id"] == "en" and got[122]["suffix"] == "de"  # the markup outweighs it
 
