@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -706,6 +707,115 @@ def test_secret_lexer():
     assert literals("plain text: nothing here = fine") == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        'cfg["client_credential"] = "{}"',
+        "cfg['a']['client_credential'] = '{}'",
+        'os.environ.setdefault("CLIENT_CREDENTIAL", "{}")',
+        'x = os.getenv("CLIENT_CREDENTIAL", "{}")',
+        'client_credential = KEY\nKEY = "{}"',
+        'client_credential = settings.KEY\nKEY = "{}"',
+        'base: &cred "{}"\nclient_credential: *cred\n',
+        "base: &cred {}\nclient_credential: *cred\n",
+        'part = "{}"\nclient_credential = f"pre-{{part}}"',
+        'PART="{}"\nCLIENT_CREDENTIAL=x-$PART\n',
+        "<credential>{}</credential>",
+        "<client-credential type='a'> {} </client-credential>",
+        '<add key="ClientCredential" value="{}" />',
+        "const clientCredential = `{}`;",
+        'client_credential: str = "{}"',
+        "client_credential: {}",
+        'a = "{}"\nb = a\nc = b\npassphrase = c',
+        'd = {{"client_credential": "{}", "x": 1}}',
+    ],
+)
+def test_secret_syntax(text):
+    value = "aZ9x8y7w6v5u4t/Q+1"
+    t = text.format(value)
+    assert value in [t[a:b] for a, b in secrets.sensitive_literals(t)]
+
+
+def test_secret_propagation_is_linear():
+    def seconds(n):
+        lines = [f"v{k + 1}x = v{k}x" for k in range(n)]
+        t = "\n".join(["password = v%dx" % n, *reversed(lines), 'v0x = "aZ9x8y7w6v5u4t"'])
+        start = time.process_time()
+        assert [t[a:b] for a, b in secrets.sensitive_literals(t)] == ["aZ9x8y7w6v5u4t"]
+        return time.process_time() - start
+
+    assert seconds(80_000) < 30
+
+
+def base_by_hand(t):
+    """The contract's base spans, read character by character."""
+    group = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(i, allowed):
+        j = i
+        while j < len(t) and t[j] in allowed:
+            j += 1
+        return j
+
+    def assign(i):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if t[i : i + len(word)].translate(LOWER) == word:
+                j = i + len(word)
+                j += t[j : j + 1] in ('"', "'") and j < len(t)
+                j = run(j, " ")
+                if t[j : j + 1] not in (":", "=") or j >= len(t):
+                    return None
+                j = run(j + 1, " ")
+                j += t[j : j + 1] in ('"', "'") and j < len(t)
+                end = run(j, group)
+                return (end, end - j >= 8) if end > j else None
+        return None
+
+    def access(i):
+        end = run(i + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+        return (end, end - i >= 16) if t[i : i + 4] == "AKIA" and end > i + 4 else None
+
+    def hexes(i):
+        end = run(i, set("0123456789abcdef"))
+        return (end, end - i >= 32) if end > i else None
+
+    out = []
+    for k, find in enumerate((assign, access, hexes)):
+        i = 0
+        while i < len(t):
+            got = find(i)
+            if got and got[1]:
+                out.append((i, k, got[0]))
+            i = got[0] if got else i + 1
+    return [(("assign", "access", "hex")[k], a, b) for a, k, b in sorted(out)]
+
+
+BITS = ["password", "PassWD", "secret", "toKen", "api_key", "APIKEY", "apikey", ":", "=", " ", "  ", '"', "'", "abcdefgh", "A+/_.=-9", "x", "AKIA", "ABCDEFGHIJKL", "0af9" * 8, "0af9" * 7, "é漢", "\n", "==", "ſecret", "toKen"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(BITS), max_size=14))
+def test_secret_base_is_the_contract(bits):
+    t = "".join(bits)
+    assert [(k, a, b) for a, b, k in secrets.base_spans(t)] == base_by_hand(t)
+
+
+def test_op9_digests(spark, tmp_path):
+    draw = random.Random(4)
+    texts = ["".join(draw.choice(BITS) for _ in range(draw.randrange(0, 25))) for _ in range(300)] + [None, "", "é" * 9 + 'password="abcdefgh12"']
+    frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op9_secrets(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        spans = base_by_hand(t or "")
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        row = got[i]
+        assert row["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert [row["n_assign"], row["n_access"], row["n_hex"]] == [sum(k == x for k, *_ in spans) for x in ("assign", "access", "hex")]
+        assert row["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in secrets.scan_text(t or ""))
+        assert {f"{k}:{a}:{b}" for k, a, b in spans} <= set(row["spans"].split(",") if row["spans"] else [])
+
+
 def test_secret_literals_of_any_length():
     draw = random.Random(8)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"

@@ -1,17 +1,18 @@
 """Secret scan: known shapes, and literals assigned to sensitive names.
 
 Base shapes are regular expressions. The method adds an assignment-aware lexer:
-it reads source and configuration syntax line by line into (name, literal) pairs,
-carries constants from name to name, and scores every literal by the most sensitive
-name it reaches.
+it reads source, configuration and markup syntax into (name, literal) pairs, carries
+constants from name to name, whatever their order, and scores every literal by the most
+sensitive name it reaches.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,7 +48,8 @@ _TOKENS = (
     r"|(?P<line>\n)"
 )
 #: Body of a string that begins with a quote: to its end, or to where its line ends.
-_BODY = {q: rf"{q}[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+" for q in "\"'"}
+QUOTES = "\"'`"
+_BODY = {q: rf"{q}[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+" for q in QUOTES}
 
 
 def _lexer(quotes: str) -> re.Pattern[str]:
@@ -57,11 +59,16 @@ def _lexer(quotes: str) -> re.Pattern[str]:
     return re.compile((f"(?P<string>{closed})|(?P<open>{begun})|" if quotes else "") + _TOKENS)
 
 
-#: By whether double, and single, quotes may begin a string.
-_LEX = {(d, s): _lexer('"' * d + "'" * s) for d in (False, True) for s in (False, True)}
-_BARE = re.compile(r"[^\s\"',;#&(){}\[\]]+")
+#: By the quotes that may begin a string.
+_LEX = {quotes: _lexer("".join(quotes)) for n in range(4) for quotes in combinations(QUOTES, n)}
+_BARE = re.compile(r"[^\s\"'`,;#&(){}\[\]]+")
+_ANCHOR = re.compile(r"&([A-Za-z0-9_-]+)[ \t]+")
+_INSERTED = re.compile(r"\{\{?\s*([A-Za-z_][A-Za-z0-9_.]*)\s*\}?\}|\$([A-Za-z_][A-Za-z0-9_]*)")
+_ELEMENT = re.compile(r"<([A-Za-z][A-Za-z0-9_.:-]*)(?:\s[^<>]*)?>\s*+([^<>\s][^<>]*)</\1\s*>")
+_ATTRIBUTES = re.compile(r"\b(?:key|name)\s*=\s*\"([^\"<>\n]+)\"\s+value\s*=\s*\"([^\"<>\n]+)\"")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*")
-_SHAPED = re.compile(r"[:=]")
+#: What a text with an assignment has somewhere.
+_SHAPED = re.compile(r"[:=]|\(\s*[\"'`]|</")
 #: Names below this score are not sensitive.
 SENSITIVE_NAME = 0.4
 #: A literal is reported from this score on.
@@ -82,6 +89,7 @@ def name_score(name: str) -> float:
 
 def value_score(value: str) -> float:
     """How much a literal looks like key material: length, mixture of characters, entropy."""
+    value = _INSERTED.sub("", value)  # what is inserted is scored where it comes from
     n = len(value)
     if n < 8 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
         return 0.0
@@ -90,24 +98,41 @@ def value_score(value: str) -> float:
     return min(1.0, 0.25 * (kinds - 1) + entropy / 6)
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
+Pieces = list[tuple[str, int, int]]
+
+
+def assignments(text: str) -> Iterator[tuple[str, Pieces, Pieces]]:
     """(name, literals, referenced names) of each assignment, in order, both as (value, start, end).
 
-    Understood: ``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``, ``name => x``,
-    ``export NAME=x``, literals joined by + or side by side, and names on the right.
-    Quoted literals and keys may have any length; a string ends on its line.
+    Understood: ``name = "x"``, ``name: type = "x"``, ``name: x``, ``"name": "x"``,
+    ``name := x``, ``name => x``, ``export NAME=x``, ``table["name"] = "x"``,
+    ``call("name", "x")``, ``name: &anchor x`` and ``name: *anchor``, literals joined by + or
+    side by side, names on the right or inserted in a string (``{name}``, ``$name``), and
+    three kinds of quotes. Quoted literals and keys may have any length; a string ends on
+    its line.
     """
     at, n = 0, len(text)
     target: str | None = None
+    by = ""  # the operator that made the target
+    anchor: str | None = None
     last: str | None = None  # a name or quoted key that an operator may follow
-    literals: list[tuple[str, int, int]] = []
-    refs: list[tuple[str, int, int]] = []
+    first: tuple[str, int, int] | None = None  # a string right behind an open parenthesis
+    opened = False
+    literals: Pieces = []
+    refs: Pieces = []
     # a quote that its line does not close: no quote of its kind before there begins a string either
-    dead = {'"': 0, "'": 0}
+    dead = dict.fromkeys(QUOTES, 0)
+
+    def done() -> Iterator[tuple[str, Pieces, Pieces]]:
+        if target is not None and (literals or refs):
+            yield target, literals, refs
+            if anchor is not None:
+                yield anchor, literals, refs
+
     while at < n:
-        double, single = at >= dead['"'], at >= dead["'"]
-        stop = n if double and single else min(end for end in dead.values() if end > at)
-        lex = _LEX[double, single]
+        live = tuple(q for q in QUOTES if at >= dead[q])
+        stop = n if len(live) == len(QUOTES) else min(end for end in dead.values() if end > at)
+        lex = _LEX[live]
         m = lex.match(text, at, stop) or lex.search(text, at + 1, stop)
         if m is None:
             at = stop
@@ -116,61 +141,112 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], li
         if kind == "open":
             dead[got[0]], at = at, m.start()
             continue
+        argument, opened = opened, got == "("
         if kind == "op" and got in ("=", ":", ":=", "=>") and last is not None:
-            if target is not None and (literals or refs):
-                if refs and refs[-1][0] == last:
-                    refs.pop()
-                elif literals and literals[-1][0] == last:
-                    literals.pop()
-                yield target, literals, refs
-            target, last, literals, refs = last, None, [], []
+            if refs and refs[-1][0] == last:
+                refs.pop()
+            elif literals and literals[-1][0] == last:
+                literals.pop()
+            typed = got == "=" and by == ":" and target is not None and not literals and not refs and text[m.start() - 1] == " "
+            if not typed:  # ``name: type = x`` keeps its name
+                yield from done()
+                target, by, anchor = last, got, None
+            last, first, literals, refs = None, None, [], []
             # an unquoted configuration value runs to white space
             p = at
             while p < n and text[p] == " ":
                 p += 1
+            if a := _ANCHOR.match(text, p):
+                anchor, p = a[1], a.end()
+                at = p
             b = _BARE.match(text, p)
-            if b and not _IDENTIFIER.fullmatch(b[0]) and b[0][0] not in "<>=!" and text[b.end() : b.end() + 1] != "(":
+            if b and b[0][0] == "*" and len(b[0]) > 1:
+                refs.append((b[0][1:], p + 1, b.end()))
+                at = b.end()
+            elif b and not _IDENTIFIER.fullmatch(b[0]) and b[0][0] not in "<>=!" and text[b.end() : b.end() + 1] not in ("(", '"', "'", "`"):
                 literals.append((b[0], p, b.end()))
+                refs += [(x[1] or x[2], p, p) for x in _INSERTED.finditer(b[0])]
                 at = b.end()
         elif kind == "string":
-            literals.append((got[1:-1], m.start() + 1, m.end() - 1)) if target is not None else None
             last = got[1:-1]
+            if argument:
+                first = last, m.start() + 1, m.end() - 1
+            if target is not None:
+                literals.append((last, m.start() + 1, m.end() - 1))
+                refs += [(x[1] or x[2], m.start(), m.start()) for x in _INSERTED.finditer(last)]
         elif kind in ("word", "bare"):
+            first = None
             if target is not None and text[at : at + 1] != "(":
                 refs.append((got, m.start(), at))
             last = got if kind == "word" else None
+        elif got == "," and first is not None and _IDENTIFIER.fullmatch(first[0]):
+            # the first argument names the next ones; what the call is assigned to reaches them by that name
+            if target is not None:
+                literals = [x for x in literals if x != first]
+                refs.append(first)
+                yield from done()
+            target, by, anchor, last, literals, refs, first = first[0], ",", None, None, [], [], None
         elif kind == "line" or got in (";", ",", "}", "{", ")"):
+            first = None
             if target is not None and (literals or refs):
-                yield target, literals, refs
+                yield from done()
                 target, literals, refs = None, [], []
             elif kind != "line":
                 target = None
             if target is None:
-                last = None
-        elif got != "+":
+                last, by, anchor = None, "", None
+        elif got not in ("+", "]"):
             last = None
-    if target is not None and (literals or refs):
-        yield target, literals, refs
+    yield from done()
+
+
+def marked_up(text: str) -> Iterator[tuple[str, Pieces, Pieces]]:
+    """Assignments of markup: ``<name>x</name>``, ``key="name" value="x"``."""
+    for pattern in (_ELEMENT, _ATTRIBUTES) if "<" in text else ():
+        for m in pattern.finditer(text):
+            value = m[2].rstrip()
+            yield m[1], [(value, m.start(2), m.start(2) + len(value))], []
 
 
 def sensitive_literals(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Spans of the literals that reach a sensitive name, by start."""
+    """Spans of the literals that reach a sensitive name, by start.
+
+    Names and the names they refer to make a graph, whatever the order of the lines. The
+    score of a sensitive name goes to all names it refers to, from the highest score down,
+    so each name is visited once and the work is linear in the text.
+    """
     if not _SHAPED.search(text):
         return []
-    known: dict[str, list[tuple[str, int, int]]] = {}
+    own: dict[str, Pieces] = defaultdict(list)
+    to: dict[str, Pieces] = defaultdict(list)
+    alone: list[tuple[str, tuple[str, int, int]]] = []
+    for name, literals, refs in (*assignments(text), *marked_up(text)):
+        own[name] += literals
+        to[name] += refs
+        if len(refs) == 1 and not literals:
+            alone.append((name, refs[0]))
+    for name, ref in alone:  # an unknown word with digits is a bare value
+        if ref[0] not in own and any(c.isdigit() for c in ref[0]):
+            own[name].append(ref)
+    reached: dict[str, float] = {}
+    scores = {name: s for name in own if (s := name_score(name)) >= SENSITIVE_NAME}
+    for name in sorted(scores, key=scores.__getitem__, reverse=True):
+        todo = [name]
+        while todo:
+            at = todo.pop()
+            if at in reached:
+                continue
+            reached[at] = scores[name]
+            for ref, _, _ in to.get(at, ()):
+                known = ref if ref in own else ref.rsplit(".", 1)[-1]
+                if known in own and known not in reached:
+                    todo.append(known)
     best: dict[tuple[int, int], float] = {}
-    for name, literals, refs in assignments(text):
-        reached = list(literals)
-        for ref in refs:  # a constant's name carries its literals; an unknown word with digits is a bare value
-            if ref[0] in known:
-                reached += known[ref[0]]
-            elif len(refs) == 1 and not literals and any(c.isdigit() for c in ref[0]):
-                reached.append(ref)
-        known[name] = list(dict.fromkeys(reached))
-        if (s := name_score(name)) >= SENSITIVE_NAME:
-            for value, a, b in reached:
-                best[a, b] = max(best.get((a, b), 0.0), 0.5 * s + 0.5 * v if (v := value_score(value)) else 0.0)
-    return sorted(k for k, v in best.items() if v >= threshold)
+    for name, s in reached.items():
+        for value, a, b in own[name]:
+            if (a, b) not in best or best[a, b] < s:
+                best[a, b] = s
+    return sorted(k for k, s in best.items() if (v := value_score(text[k[0] : k[1]])) and 0.5 * s + 0.5 * v >= threshold)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
