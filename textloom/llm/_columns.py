@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.sources.shared import discard, materialize, shared_folder, spread
 
-__all__ = ["SPACES", "discard", "materialize", "remainder", "shared_folder", "split_by_slots", "spread", "thinned", "words"]
+__all__ = ["SPACES", "discard", "hot_keys", "materialize", "remainder", "shared_folder", "split_by_slots", "spread", "spread_join", "thinned", "words"]
 
 #: White space of the word definition: space and the controls U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
@@ -47,6 +47,27 @@ def split_by_slots(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFr
     return marked.join(used, "__slot", "left_semi").drop("__slot"), marked.join(used, "__slot", "left_anti").drop("__slot")
 
 
+#: A key with more than one in HOT_KEYS of all rows is hot; so there are fewer than HOT_KEYS such keys.
+HOT_KEYS = 2048
+
+
+def hot_keys(counted: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+    """The keys of ``counted`` (keys, n) that hold more than one in HOT_KEYS of ``total`` rows."""
+    return materialize(counted.where(F.col(n) * HOT_KEYS > total).select(*keys), "hot")
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once; rows of ``hot`` keys stay where they are.
+
+    The part of the table with those keys, fewer than HOT_KEYS rows, goes along with the
+    tasks; the other rows are shuffled. ``how``: inner, left_semi or left_anti.
+    """
+    few = F.broadcast(hot)
+    cold = rows.join(few, keys, "left_anti").join(table.hint("merge"), keys, how)
+    warm = rows.join(few, keys, "left_semi").join(F.broadcast(table.join(few, keys, "left_semi")), keys, how)
+    return cold.unionByName(warm)
+
+
 def words(text: str | Column) -> Column:
     """Array of the words of a text; null and blank texts have none."""
     column = F.col(text) if isinstance(text, str) else text

@@ -9,7 +9,9 @@ Extension. Blocks of equal content are one; a block whose anchor has no other bl
 matched as a whole. Where an anchor has several blocks, each distinct block is extended
 from the anchor to both sides, window by window: windows of equal content are grouped
 and get the smallest document they start in. A passage that thousands of documents
-share is so extended once for each distinct surrounding, never pair by pair.
+share is so extended once for each distinct surrounding, never pair by pair. Anchors,
+blocks and windows that hold a large share of all rows are joined by broadcast of their
+few keys, so a passage on every page makes no large task.
 
 Maximal repeats are the unions of the windows found in an earlier document, so none is
 shorter than WINDOW words.
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm._columns import materialize, split_by_slots
-from textloom.llm._text import U64, Words, mix, ranges, slices, span_hash, words
+from textloom.llm._columns import discard, hot_keys, materialize, split_by_slots, spread_join
+from textloom.llm._text import U64, Words, ranges, slices, span_hash, words
 
 WINDOW = 50
 GRAM = 10
@@ -64,9 +66,9 @@ def blocks_of(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     return s, count, g[anchor[s]]
 
 
-def two_hashes(w: Words, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each run of words."""
-    return span_hash(w.hash, start, end, 0).astype(np.int64), span_hash(mix(w.hash + U64(1)), start, end, 2).astype(np.int64)
+def two_hashes(w: Words, other: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each run of words; ``other`` is a second hash of the words themselves."""
+    return span_hash(w.hash, start, end, 0).astype(np.int64), span_hash(other, start, end, 2).astype(np.int64)
 
 
 def seeds(rows: DataFrame, window: int, gram: int) -> DataFrame:
@@ -79,7 +81,7 @@ def seeds(rows: DataFrame, window: int, gram: int) -> DataFrame:
             for part in slices(batch.column(2)):
                 w = words(part)
                 s, c, a = blocks_of(w, window, gram)
-                b1, b2 = two_hashes(w, s, s + c + window - 1)
+                b1, b2 = two_hashes(w, span_hash(part.data, w.start, w.end, 1), s, s + c + window - 1)
                 row = w.row[s]
                 columns = ids[part.first + row], marks[part.first + row], (s - w.first[row]).astype(np.int32), c.astype(np.int32), a.astype(np.int64), b1, b2
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["id", "mark", "s", "c", "a", "b1", "b2"])
@@ -108,7 +110,7 @@ def extended(texts: DataFrame, window: int) -> DataFrame:
                 s, c = flat["s"][lo:hi] + w.first[row], flat["c"][lo:hi]
                 which = np.repeat(np.arange(lo, hi), c)
                 start = ranges(s.astype(np.int64), c.astype(np.int64))
-                w1, w2 = two_hashes(w, start, start + window)
+                w1, w2 = two_hashes(w, span_hash(part.data, w.start, w.end, 1), start, start + window)
                 off = (start - np.repeat(s, c)).astype(np.int32)
                 columns = flat["b1"][which], flat["b2"][which], off, w1, w2, flat["first"][which]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["b1", "b2", "off", "w1", "w2", "first"])
@@ -121,27 +123,35 @@ def earlier_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     found is a list of (s, c): c windows from word s on.
     """
-    cuts = materialize(seeds(rows, window, gram), "seeds")
-    again = cuts.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    cuts = materialize(cuts.join(again.hint("merge"), "a"), "meeting")  # seeds that meet another
-    blocks = materialize(cuts.groupBy("a", "b1", "b2").agg(F.min("id").alias("first"), F.max("id").alias("last")), "blocks")
-    several = blocks.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    differing = materialize(blocks.join(several.hint("merge"), "a").select("b1", "b2", "first"), "differing")
-    whole = blocks.where("last > first").join(several.hint("merge"), "a", "left_anti").select("b1", "b2", "first")
+    made = materialize(seeds(rows, window, gram), "seeds")
+    total = made.count()
+    anchors = materialize(made.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    # seeds that meet another
+    cuts = materialize(spread_join(made, anchors.select("a"), ["a"], hot_keys(anchors, ["a"], total)), "meeting")
+    discard(made, anchors)
+    blocks = materialize(cuts.groupBy("a", "b1", "b2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")), "blocks")
+    several = materialize(blocks.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    hot = hot_keys(several, ["a"], blocks.count())
+    differing = materialize(spread_join(blocks, several.select("a"), ["a"], hot).select("b1", "b2", "first"), "differing")
+    whole = spread_join(blocks.where("last > first"), several.select("a"), ["a"], hot, "left_anti").select("b1", "b2", "first")
+    copied = hot_keys(blocks, ["b1", "b2"], total)
 
     # each distinct block that needs it, in the document where it comes first
     once = cuts.join(differing.withColumnRenamed("first", "id").hint("merge"), ["b1", "b2", "id"]).dropDuplicates(["b1", "b2"])
     once = once.groupBy("id", "mark").agg(F.collect_list(F.struct("s", "c", "b1", "b2", F.col("id").alias("first"))).alias("blocks"))
     once = materialize(once, "once")
     hosts, _ = split_by_slots(rows, once, "id")
-    spread = materialize(extended(hosts.join(once.hint("merge"), ["id", "mark"]), window), "windows")
-    earliest = spread.groupBy("w1", "w2").agg(F.min("first").alias("earliest"))
-    parts = spread.join(earliest.hint("merge"), ["w1", "w2"]).groupBy("b1", "b2").agg(F.min("first").alias("first"), F.collect_set(F.struct("off", "earliest")).alias("parts"))
+    windows = materialize(extended(hosts.join(once.hint("merge"), ["id", "mark"]), window), "windows")
+    earliest = materialize(windows.groupBy("w1", "w2").agg(F.min("first").alias("earliest"), F.count("*").alias("n")), "earliest")
+    common = hot_keys(earliest, ["w1", "w2"], windows.count())
+    parts = spread_join(windows, earliest.drop("n"), ["w1", "w2"], common).groupBy("b1", "b2").agg(F.min("first").alias("first"), F.collect_set(F.struct("off", "earliest")).alias("parts"))
     known = whole.select("b1", "b2", "first", F.lit(None).cast("array<struct<off:int,earliest:bigint>>").alias("parts")).unionByName(parts)
 
     some = F.transform(F.filter("parts", lambda p: p["earliest"] < F.col("id")), lambda p: F.struct((F.col("s") + p["off"]).alias("s"), F.lit(1).alias("c")))
     every = F.when(F.col("first") < F.col("id"), F.array(F.struct("s", "c")))
-    met = cuts.join(known.hint("merge"), ["b1", "b2"]).select("id", "mark", F.coalesce(some, every).alias("found")).where("size(found) > 0")
+    known = materialize(known, "known")
+    discard(windows, earliest)
+    met = spread_join(cuts, known, ["b1", "b2"], copied).select("id", "mark", F.coalesce(some, every).alias("found")).where("size(found) > 0")
     return met.groupBy("id", "mark").agg(F.flatten(F.collect_list("found")).alias("found"))
 
 
