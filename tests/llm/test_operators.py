@@ -15,6 +15,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from textloom.llm import _columns as columns
 from textloom.llm import bpe, components, ctw, decontaminate, langid, neardup, quality, queries, rules, secrets, substrings, toxicity
 from textloom.llm import _text as text_arrays
 
@@ -374,7 +377,7 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     want = {}
     for i, t in [*docs, (90, "de " * 300)]:
         for k, item in items:
-            if len(item) >= 5 and t:
+            if t:
                 d = best_window(item, t.split(), len(item))
                 if d <= int(0.2 * len(item) + 1e-9):
                     want[i, k] = d
@@ -864,3 +867,30 @@ def test_digest(spark):
 
     row = spark.createDataFrame([("é",)], "t string").select(F.sha2(F.col("t").cast("binary"), 256).alias("d")).first()
     assert row["d"] == hashlib.sha256("é".encode()).hexdigest()
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
+def test_spread_join_is_the_join(spark, how):
+    draw = random.Random(9)
+    rows = spark.createDataFrame([(draw.choice([1, 1, 1, 1, 2, draw.randrange(500)]), i) for i in range(3000)], "k long, v long")
+    table = spark.createDataFrame([(k, -k) for k in range(0, 500, 3)] + [(1, 7)], "k long, w long")
+    hot = columns.hot_keys(rows.groupBy("k").agg(F.count("*").alias("n")), ["k"], rows.count() * 200)
+    assert 1 <= hot.count() < 60
+    got = columns.spread_join(rows, table, ["k"], hot, how)
+    assert sorted(got.collect()) == sorted(rows.join(table, "k", how).collect())
+
+
+def test_walks_reach_the_recall_by_themselves():
+    """Fresh edited copies meet their item in some walk; what meets in padding alone does not count."""
+    draw = np.random.default_rng(77)
+    for n in (5, 9, 15, 30, 60):
+        symbols = draw.integers(1 << 62, size=(20, n)).astype(np.uint64)
+        g = decontaminate.Items(n, np.arange(20), symbols, int(0.2 * n), 1)
+        salts, picks = decontaminate.draw_walks(decontaminate.walks_needed(g, 0.9999))
+        some = np.repeat(symbols, 25, axis=0)
+        copies = np.concatenate([decontaminate.edited(s, g.edits, draw) for s in some])
+        start, size = np.arange(len(some)) * n, np.full(len(some), n)
+        a, b = (decontaminate.embed_keys(x, start, size, n, salts, picks) for x in (some.ravel(), copies))
+        assert decontaminate.same_keys(a, b).any(1).mean() > 0.995
+        strangers = draw.integers(1 << 62, size=len(some) * n).astype(np.uint64)
+        assert not decontaminate.same_keys(a, decontaminate.embed_keys(strangers, start, size, n, salts, picks)).any()

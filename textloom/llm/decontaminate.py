@@ -22,20 +22,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from textloom.llm._columns import materialize
 from textloom.llm._text import NOT_ALNUM, U64, Rows, Words, grams, mix, ranges, slices, span_hash, words
 
 #: Items that one pass over the documents holds at most; more items take more passes.
 PASS_ITEMS = 20_000
-#: Items of fewer words are left out unless asked for: they match ordinary text.
-LEAST_WORDS = 5
 SAMPLED = 2
 RECALL = 0.9999
-MOST_WALKS = 96
+#: Walks that are tried to estimate how often an edited copy meets its item.
+TRIED_WALKS = 96
 _PAD = U64(0x5851F42D4C957F2D)
 
 
@@ -55,8 +55,8 @@ class Index:
     groups: list[Items]
     pairs: np.ndarray
     salts: np.ndarray
-    picks: np.ndarray  # walks x SAMPLED, as shares of the embedding's length
-    keys: list[np.ndarray]  # for each group: items x walks
+    picks: np.ndarray  # walks x SAMPLED, as shares of the 2n steps in which words are emitted
+    keys: list[np.ndarray]  # for each group: items x the walks of its length
     owners: np.ndarray  # the items that have each word pair, pair by pair
     owner_start: np.ndarray
     owner_end: np.ndarray
@@ -78,11 +78,15 @@ def pair_hash(h: np.ndarray) -> np.ndarray:
 
 
 def embed_keys(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, n: int, salts: np.ndarray, picks: np.ndarray) -> np.ndarray:
-    """Keys (window x walk) of the CGK embeddings of symbols[start:start+length], walked 3n steps."""
+    """Keys (window x walk) of the CGK embeddings of symbols[start:start+length]; 0 if they sample padding only.
+
+    A walk uses its words up after about 2n steps; positions are sampled before that.
+    """
     walks = len(picks)
-    steps = np.sort((picks * 3 * n).astype(np.int64), axis=1)
+    steps = np.sort((picks * 2 * n).astype(np.int64), axis=1)
     pointer = np.zeros((len(start), walks), np.int64)
     key = np.zeros((len(start), walks), U64)
+    some = np.zeros((len(start), walks), bool)
     last = len(symbols) - 1
     for j in range(int(steps.max()) + 1):
         inside = pointer < length[:, None]
@@ -91,9 +95,15 @@ def embed_keys(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, n: in
             hit = np.flatnonzero(steps[:, k] == j)
             if len(hit):
                 key[:, hit] = mix(key[:, hit] * U64(5) + s[:, hit] + U64(k + 1))
+                some[:, hit] |= inside[:, hit]
         moves = ((s ^ salts[None, :] ^ U64(j * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * U64(0xD6E8FEB86659FD93)) >> U64(63)
         pointer += moves.astype(np.int64)
-    return mix(key + np.arange(walks, dtype=U64)[None, :])
+    return np.where(some, mix(key + np.arange(walks, dtype=U64)[None, :]) | U64(1), U64(0))
+
+
+def same_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether keys meet; those of padding alone do not."""
+    return (a == b) & (a != 0)
 
 
 def nearest(a: np.ndarray, b: np.ndarray, length: np.ndarray, free: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -118,44 +128,47 @@ def nearest(a: np.ndarray, b: np.ndarray, length: np.ndarray, free: bool = True)
     return best // unit, best % unit
 
 
-def walks_needed(groups: list[Items], picks: np.ndarray, salts: np.ndarray, recall: float) -> int:
-    """Walks that meet an edited copy at the tolerance with probability ``recall``, by trial.
+def draw_walks(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Salts and sampled positions of the first ``count`` walks; more walks begin with the same ones."""
+    draws = [np.random.default_rng((3, k)) for k in range(count)]
+    salts = np.array([d.integers(0, 1 << 63, dtype=np.uint64) for d in draws], U64)
+    return salts, np.array([d.random(SAMPLED) for d in draws]).reshape(count, SAMPLED)
+
 
-    Copies of up to 40 items of each length are edited at random to the full tolerance; the
-    share of walks that meet is estimated, and its lower decile decides.
+def edited(symbols: np.ndarray, edits: int, draw: np.random.Generator) -> np.ndarray:
+    """A copy with random edits, as long as the item again."""
+    c = symbols.tolist()
+    for _ in range(edits):
+        kind, at = draw.integers(3), int(draw.integers(len(c)))
+        if kind == 0:
+            c[at] = int(draw.integers(1 << 62))
+        elif kind == 1:
+            c.insert(at, int(draw.integers(1 << 62)))
+        elif len(c) > 2:
+            del c[at]
+    return np.array((c + [1] * len(symbols))[: len(symbols)], U64)
+
+
+def walks_needed(g: Items, recall: float) -> int:
+    """Walks that meet a copy edited to the tolerance with probability ``recall``, for one length, by trial.
+
+    Up to 40 items are edited at random, four copies of each; the share of walks in which a
+    copy meets its item is taken, and the lower decile of these shares decides. There is no
+    upper limit; a length whose copies meet in none of the tried walks is an error.
     """
     draw = np.random.default_rng(5)
-    met = []
-    for g in groups:
-        if not g.edits:
-            continue
-        some = g.symbols[:40]
-        copies, size = [], []
-        for s in some:
-            c = s.tolist()
-            for _ in range(g.edits):
-                kind, at = draw.integers(3), int(draw.integers(len(c)))
-                if kind == 0:
-                    c[at] = int(draw.integers(1 << 62))
-                elif kind == 1:
-                    c.insert(at, int(draw.integers(1 << 62)))
-                elif len(c) > 2:
-                    del c[at]
-            c = (c + [1] * g.n)[: g.n]
-            copies += c
-            size.append(g.n)
-        start = np.arange(len(some)) * g.n
-        size = np.array(size)
-        a = embed_keys(some.ravel(), start, np.full(len(some), g.n), g.n, salts, picks)
-        b = embed_keys(np.array(copies, U64), start, size, g.n, salts, picks)
-        met += (a == b).mean(1).tolist()
-    if not met:
-        return 1
-    p = max(float(np.quantile(met, 0.1)), 0.05)
-    return int(min(len(picks), np.ceil(np.log(1 - recall) / np.log(1 - p)))) if p < 1 else 1
-
-
-def build(items: list[tuple[object, str | None]], tolerance: float, recall: float = RECALL, least_words: int = LEAST_WORDS) -> Index:
+    salts, picks = draw_walks(TRIED_WALKS)
+    some = np.repeat(g.symbols[:40], 4, axis=0)
+    copies = np.concatenate([edited(s, g.edits, draw) for s in some])
+    start, size = np.arange(len(some)) * g.n, np.full(len(some), g.n)
+    a, b = (embed_keys(x, start, size, g.n, salts, picks) for x in (some.ravel(), copies))
+    p = float(np.quantile(same_keys(a, b).mean(1), 0.1))
+    if p <= 0:
+        raise ValueError(f"edited items of {g.n} words do not meet in {TRIED_WALKS} walks: lower the tolerance or the recall")
+    return 1 if p >= 1 else int(np.ceil(np.log(1 - recall) / np.log(1 - p)))
+
+
+def build(items: list[tuple[object, str | None]], tolerance: float, recall: float = RECALL, least_words: int = 1) -> Index:
     """Index of some items: word pairs, walks and keys."""
     column = pa.array([t or "" for _, t in items], pa.string())
     by_length: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
@@ -174,14 +187,11 @@ def build(items: list[tuple[object, str | None]], tolerance: float, recall: floa
             exact.append((n, h[order], np.array([i for i, _ in found])[order]))
             continue
         groups.append(Items(n, np.array([i for i, _ in found]), np.stack([h for _, h in found]), edits, max(1, n - 1 - 2 * edits)))
-    draw = np.random.default_rng(3)
-    salts = draw.integers(0, 1 << 63, MOST_WALKS, dtype=np.uint64)
-    picks = draw.random((MOST_WALKS, SAMPLED))
-    count = walks_needed(groups, picks, salts, recall)
-    salts, picks = salts[:count], picks[:count]
+    counts = [walks_needed(g, recall) for g in groups]
+    salts, picks = draw_walks(max(counts, default=1))
     keys = []
-    for g in groups:
-        keys.append(embed_keys(g.symbols.ravel(), np.arange(len(g.ids)) * g.n, np.full(len(g.ids), g.n), g.n, salts, picks))
+    for g, count in zip(groups, counts, strict=True):
+        keys.append(embed_keys(g.symbols.ravel(), np.arange(len(g.ids)) * g.n, np.full(len(g.ids), g.n), g.n, salts[:count], picks[:count]))
     flat = [(k, j, g, s) for k, g in enumerate(groups) for j, s in enumerate(g.symbols)]
     own = [np.unique(pair_hash(s)) for *_, s in flat]
     every = np.concatenate(own or [np.zeros(0, U64)])
@@ -275,8 +285,9 @@ def search(index: Index, rows: Rows, free_ends: bool = False) -> Iterator[tuple[
         met = np.zeros(len(start), bool)
         for a in range(0, len(start), 4096):
             s, back = np.unique(start[a : a + 4096], return_inverse=True)
-            got = embed_keys(w.hash, s, np.minimum(g.n, w.first[w.row[s] + 1] - s), g.n, index.salts, index.picks)
-            met[a : a + 4096] = (got[back] == keys[line[a : a + 4096]]).any(1)
+            walks = keys.shape[1]
+            got = embed_keys(w.hash, s, np.minimum(g.n, w.first[w.row[s] + 1] - s), g.n, index.salts[:walks], index.picks[:walks])
+            met[a : a + 4096] = same_keys(got[back], keys[line[a : a + 4096]]).any(1)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         it, begin, end = spans(start[met], line[met], g, w) if free_ends else fixed(start[met], line[met], g, w)
         for a in range(0, len(it), 512):
@@ -290,7 +301,7 @@ def search(index: Index, rows: Rows, free_ends: bool = False) -> Iterator[tuple[
             yield row, g.ids[item], s - int(w.first[row]), g.n, distance
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.2, recall: float = RECALL, least_words: int = LEAST_WORDS, pass_items: int = PASS_ITEMS, free_ends: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.2, recall: float = RECALL, least_words: int = 1, pass_items: int = PASS_ITEMS, free_ends: bool = False) -> DataFrame:
     """(doc_id, item_id, start_word, item_words, distance): every item found in every document.
 
     One row for each pair, at the place of the smallest distance (the first of equals);
@@ -298,10 +309,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", d
     tolerance * item_words. With ``free_ends`` it is that to any run of words of the text,
     without it that to the windows of item_words words, where a word that is taken out or
     put in counts about twice. Texts without the words of an item, null and empty texts give
-    none; items of fewer than ``least_words`` words, those without any and null items are not
-    searched for. At the default tolerance items of fewer than five words allow no edit.
+    none; items without words, and of fewer than ``least_words`` words if that is asked for, are not
+    searched for, nor are null items. At the default tolerance items of fewer than five words allow no edit.
     Other columns are left out, whatever their names. Narrow over the documents: items go
-    along with the tasks, at most ``pass_items`` of them in one pass, more in further ones.
+    along with the tasks, at most ``pass_items`` of them in one pass. Further passes follow one
+    by one, each written before the next is built, so driver and tasks hold one index.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     passes = max(1, -(-items.count() // pass_items))
@@ -320,17 +332,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", d
 
         return rows.mapInArrow(run, schema)
 
-
     items_type = to_arrow_type(benchmark.schema[item_id].dataType)
     out = None
-    for k in range(passes):
-        some = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        found = one(build([(r[0], r[1]) for r in some.collect()], tolerance, recall, least_words))
+    for some in item_passes(items, passes):
+        found = one(build(some, tolerance, recall, least_words))
+        if passes > 1:
+            found = materialize(found, "contaminated")
         out = found if out is None else out.unionAll(found)
     return out
 
 
-def leaked(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", name: str = "leaked", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.2, recall: float = RECALL, least_words: int = LEAST_WORDS, pass_items: int = PASS_ITEMS, free_ends: bool = False) -> DataFrame:
+def item_passes(items: DataFrame, passes: int) -> Iterator[list[tuple[object, str | None]]]:
+    """The items in ``passes`` parts, one at a time on the driver."""
+    for k in range(passes):
+        some = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+        yield [(r[0], r[1]) for r in some.collect()]
+
+
+def leaked(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", name: str = "leaked", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.2, recall: float = RECALL, least_words: int = 1, pass_items: int = PASS_ITEMS, free_ends: bool = False) -> DataFrame:
     """The input with a boolean column ``name``: whether a text has an item of the benchmark.
 
     The same search as :func:`contaminated`, for filters: rows stay as they are, nothing is
@@ -339,17 +358,19 @@ def leaked(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", name: s
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     passes = max(1, -(-items.count() // pass_items))
 
-    def one(index: Index):
+    def one(index: Index, searched: Column) -> Column:
         def run(column: pa.Array) -> pa.Array:
             out = np.zeros(len(column), bool)
             for part in slices(column):
                 out[[part.first + r[0] for r in search(index, part, free_ends)]] = True
             return pa.array(out)
 
-        return F.arrow_udf(run, "boolean")(F.col(text))
+        return F.arrow_udf(run, "boolean")(searched)
 
-    found = F.lit(False)
-    for k in range(passes):
-        some = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        found = found | one(build([(r[0], r[1]) for r in some.collect()], tolerance, recall, least_words))
-    return docs.withColumn(name, found)
+    for k, some in enumerate(item_passes(items, passes)):
+        search_in = F.col(text) if k == 0 else F.when(~F.col(name), F.col(text))  # what is found need not be read again
+        hit = one(build(some, tolerance, recall, least_words), search_in)
+        docs = docs.withColumn(name, hit if k == 0 else F.col(name) | hit)
+        if passes > 1:
+            docs = materialize(docs, "leaked")
+    return docs
