@@ -60,7 +60,7 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFra
     """``rows`` joined with ``table``, which has each key once; rows of ``hot`` keys stay where they are.
 
     The part of the table with those keys, fewer than HOT_KEYS rows, goes along with the
-    tasks; the other rows are shuffled. ``how``: inner, left_semi or left_anti.
+    tasks; the other rows are shuffled. ``how``: inner, left, left_semi or left_anti.
     """
     few = F.broadcast(hot)
     cold = rows.join(few, keys, "left_anti").join(table.hint("merge"), keys, how)

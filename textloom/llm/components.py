@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._columns import materialize
+from textloom.llm._columns import discard, materialize
 
 #: Times that pointers are doubled in a round: chains shrink by 2^JUMPS at least.
 JUMPS = 2
@@ -23,18 +23,24 @@ def smallest_reachable(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     All steps are joins and grouped minima with partial aggregation, so a node of very many
     edges is no hot group; rounds are written to the shared folder, and nothing but a count
-    goes to the driver. Null ends and loops are left out.
+    goes to the driver; a round's tables are deleted when the next are written. Two rounds halve
+    the nodes that still have edges at least, so ``max_rounds`` is no limit on real graphs.
+    Null ends and loops are left out.
     """
     live = materialize(edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
     labels = None
     for _ in range(max_rounds):
         ends = live.select(F.col("a").alias("node"), F.col("a").alias("to")).unionAll(live.select(F.col("b").alias("node"), F.col("a").alias("to")))
         points = ends.groupBy("node").agg(F.min("to").alias("to"))
+        done = [points]
         for _ in range(JUMPS):
             points = materialize(points, "pointers")
+            done.append(points)
             further = points.select(F.col("node").alias("to"), F.col("to").alias("next"))
             points = points.join(further, "to").select("node", F.col("next").alias("to"))
         points = materialize(points, "pointers")
+        discard(*done)
+        old_labels, old_live = labels, live
         if labels is None:
             labels = points.select("node", F.col("to").alias("component"))
         else:
@@ -45,6 +51,8 @@ def smallest_reachable(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         bt = points.select(F.col("node").alias("b"), F.col("to").alias("y"))
         renamed = live.join(at, "a").join(bt, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         live = materialize(renamed.where("a < b").distinct(), "edges")
+        discard(old_labels, old_live, points)
         if not live.limit(1).count():
+            discard(live)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm._columns import materialize
+from textloom.llm._columns import discard, hot_keys, materialize, spread_join
 from textloom.llm._text import U64, Rows, grams, mix, ranges, slices, span_hash, words
 from textloom.llm.components import smallest_reachable
 
@@ -302,7 +302,9 @@ def components(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", per
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     prints = materialize(fingerprints(rows), "fingerprints")
     linked = prints.where("n > 0 and doc_id is not null")
-    classes = linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    classes = materialize(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    copied = hot_keys(classes, ["h1", "h2"], prints.count())
+    classes = classes.drop("n")
     reps = linked.join(classes.withColumnRenamed("rep", "doc_id").hint("merge"), ["h1", "h2", "doc_id"]).select(F.col("doc_id").alias("rep"), "sig", "bands")
     reps = materialize(reps.dropDuplicates(["rep"]), "classes")
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
@@ -322,7 +324,9 @@ def components(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", per
     found = smallest_reachable(links.unionAll(more))
 
     labelled = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    out = prints.select("doc_id", "n", "h1", "h2").join(labelled.hint("merge"), ["h1", "h2"], "left")
+    labelled = materialize(labelled, "labelled")
+    out = spread_join(prints.select("doc_id", "n", "h1", "h2"), labelled, ["h1", "h2"], copied, "left")
+    discard(reps, buckets, sigs, sets, near, links, parts, more)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, ctw, decontaminate, langid, neardup, quality, rules, secrets, substrings, toxicity
-from textloom.llm._columns import remainder
+from textloom.llm._columns import remainder, spread
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every web page: text, language of the markup, host and address suffix together."""
-    pages = langid.page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pages = langid.page_evidence(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     found = langid.identify(pages.select("page_id", "text", "lang", "source"), langid.fit_text(pages))
     return found.select("page_id", F.col("source").alias("host"), langid.suffix(F.col("source")).alias("suffix"), F.col("lang").alias("declared"), "lang_id", "lang_posterior", F.col("lang_accepted").alias("kept"))
 
