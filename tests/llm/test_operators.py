@@ -18,6 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.llm import _columns as columns
+from textloom.llm import _linear as linear
 from textloom.llm import bpe, components, ctw, decontaminate, langid, neardup, quality, queries, rules, secrets, substrings, toxicity
 from textloom.llm import _text as text_arrays
 
@@ -69,11 +70,38 @@ def pattern():
     return public_tokenizers.PATTERN
 
 
+#: What each operator gives for ODD: a function of a row, and its values by doc_id (the null text, the empty
+#: one, white space, one word, the same again, the row without an id, the long text, the mixed one).
+FACTS = {
+    "op1": (lambda r: (r["n_words"], r["n_removed"], r["kept_text"][:9]), {1: (0, 0, ""), 2: (0, 0, ""), 3: (0, 0, ""), 4: (1, 0, "one"), 5: (1, 0, "one"), None: (5, 0, "no id her"), 7: (30_001, 0, "long word"), 8: (7, 0, "é ü 漢字 🤖 ")}),
+    "op2": (lambda r: (r["n_bytes"], r["n_tokens"], r["train_tokens"]), {1: (0, 1, 30_025), 2: (0, 1, 30_025), 3: (4, 1, 30_025), 4: (3, 2, 30_025), 5: (3, 2, 30_025), None: (17, 6, 30_025), 7: (150_005, 30_002, 30_025), 8: (35, 8, 30_025)}),
+    "op3": (lambda r: (len(r["ids"]) > 0, r["decoded"][:5]), {1: (False, ""), 2: (False, ""), 3: (True, " \n\t "), 4: (True, "one"), 5: (True, "one"), None: (True, "no id"), 7: (True, "long "), 8: (True, "é ü 漢")}),
+    "op5": (lambda r: r["leaked"], dict.fromkeys([1, 2, 3, 4, 5, None, 7, 8], False)),
+    "op6": (lambda r: (r["n_shingles"], r["component_id"], r["kept"]), {1: (0, 1, True), 2: (0, 2, True), 3: (0, 3, True), 4: (1, 4, True), 5: (1, 4, False), None: (1, None, True), 7: (2, 7, True), 8: (3, 8, True)}),
+    "op7": (lambda r: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"]), {1: (0, 0, 0, 0), 2: (0, 0, 0, 0), 3: (0, 0, 0, 0), 4: (1, 3, 0, 0), 5: (1, 3, 0, 0), None: (5, 13, 0, 0), 7: (30_001, 120_004, 0, 0), 8: (7, 20, 4, 0)}),
+    "op8": (lambda r: r["lang_accepted"], {1: False, 2: False, 3: True, 4: True, 5: True, None: True, 7: True, 8: True}),
+    "op9": (lambda r: (r["spans"], r["redacted"] and r["redacted"][:4]), {1: ([], None), 2: ([], ""), 3: ([], " \n\t "), 4: ([], "one"), 5: ([], "one"), None: ([], "no i"), 7: ([], "long"), 8: ([], "é ü ")}),
+}
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_odd_rows(spark, name):
     out = OPERATORS[name](spark, frame(spark, ODD)).collect()
-    assert len(out) == len(ODD)
     assert Counter(r["doc_id"] for r in out) == Counter(i for i, *_ in ODD)
+    fact, want = FACTS.get(name, (lambda r: r["score"] if "score" in r else 0, {}))
+    got = {}
+    for r in out:
+        assert got.setdefault(r["doc_id"], fact(r)) == fact(r)  # repeated rows alike
+    assert not want or got == want
+    if name in ("op4", "op10"):
+        assert got[1] == got[2] and got[4] == got[5] and all(0 <= x <= 1 for x in got.values())
+
+
+def test_odd_rows_of_the_search(spark):
+    items = spark.createDataFrame([(1, "one"), (2, None), (None, ""), (3, "no id here")], "item_id long, text string")
+    out = decontaminate.contaminated(frame(spark, ODD), items, free_ends=True).collect()
+    assert Counter(map(tuple, out)) == Counter({(4, 1, 0, 1, 0): 1, (5, 1, 0, 1, 0): 2, (None, 3, 0, 3, 0): 1})
+    assert decontaminate.contaminated(frame(spark, ODD), items.where("item_id = 99")).count() == 0
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -337,6 +365,86 @@ def test_toxicity_from_positives_and_unlabelled_text(spark):
     assert sum((r["score"] >= 0.5) == (r["y"] == 1) for r in rows) / len(rows) > 0.97
 
 
+def test_positive_unlabelled_gradient_is_that_of_the_risk():
+    """Central differences of the risk as it is written, over dense rows, in both regimes."""
+    draw = np.random.default_rng(4)
+    scale = draw.random(12) + 0.1
+    rows = [[np.sort(draw.choice(12, draw.integers(0, 6), replace=False)) for _ in range(n)] for n in (7, 15)]
+    seen = set()
+    for prior, bias in ((0.05, 0.3), (0.9, -0.5), (0.5, 2.0), (0.95, 0.1)):
+        w = draw.normal(0, 1, 12)
+
+        def margins(v, which):
+            return np.array([sum(v[j] * scale[j] for j in r) + v[12] for r in rows[which]])
+
+        def loss(g):
+            return 1 / (1 + np.exp(g))
+
+        def risk(v, above):
+            positive = prior * loss(margins(v, 0)).mean()
+            negative = loss(-margins(v, 1)).mean() - prior * loss(-margins(v, 0)).mean()
+            return positive + negative if above else -negative
+
+        at = np.append(w, bias)
+        terms = toxicity.risk_terms(margins(at, 0), margins(at, 1), prior)
+        above = terms[1] >= 0
+        seen.add(bool(above))
+        assert terms[0] + terms[1] == pytest.approx(risk(at, True))
+        got = toxicity.descent(*rows, scale, w, bias, prior)
+        step = np.eye(13) * 1e-6
+        want = np.array([(risk(at + e, above) - risk(at - e, above)) / 2e-6 for e in step])
+        assert got == pytest.approx(want, abs=1e-7)
+    assert seen == {True, False}
+
+
+def rows_of(text):
+    """One text as the operators see it, by itself."""
+    return next(iter(text_arrays.slices(pa.array([text]))))
+
+
+def test_toxicity_counts_and_scores_by_hand(spark):
+    df = two_kinds(spark, 120, lambda w, draw: [*w[:10], "Grob", *w[10:], "mies!"])
+    toxic = df.where("y = 1").select("doc_id", "text")
+    model = toxicity.fit(toxic, df.select("doc_id", "text"), prior=0.3)
+    rows = [r.asDict() for r in df.collect()]
+    words = lambda t: set(re.findall(r"[a-z0-9]+", t.lower()))
+    number = lambda x: int(next(linear.word_features(rows_of(x)))[0])
+    counts = np.zeros((2, linear.BUCKETS + 1))
+    for r in rows:
+        for y in (0, 1) if r["y"] else (0,):
+            for x in words(r["text"]):
+                counts[y, number(x)] += 1
+            counts[y, linear.BUCKETS] += 1
+    scale = toxicity.indicator_scale(counts)
+    p, u = (counts[1, number("grob")] + 0.6) / (counts[1, -1] + 3), (counts[0, number("grob")] + 0.6) / (counts[0, -1] + 3)
+    assert scale[number("grob")] == pytest.approx(math.log(p / u) * counts[1, number("grob")] / (counts[1, number("grob")] + 3))
+    assert np.array_equal(model.weights != 0, (model.weights != 0) & (scale > 0)) and model.weights[number("grob")] > 0
+    for r in toxicity.score(df, model).collect():
+        margin = sum(float(model.weights[number(x)]) for x in words(r["text"])) + model.bias
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-margin)), rel=1e-5)
+
+
+def test_quality_ratios_and_scores_by_hand(spark):
+    df = two_kinds(spark, 150, lambda w, draw: [x + draw.choice(["%%", "##"]) for x in w]).selectExpr("doc_id", "text", "1 - y as quality")
+    model = quality.fit(df)
+    rows = [r.asDict() for r in df.collect()]
+    features = {r["doc_id"]: next(linear.quality_features(rows_of(r["text"]))).tolist() for r in rows}
+    size, seen = Counter(r["quality"] for r in rows), {0: Counter(), 1: Counter()}
+    for r in rows:
+        seen[r["quality"]].update(features[r["doc_id"]])
+
+    def ratio(f):
+        return math.log((seen[1][f] + 1) / (size[1] + 2)) - math.log((seen[0][f] + 1) / (size[0] + 2))
+
+    for r in quality.score(df, model).collect():
+        found = features[r["doc_id"]]
+        for f in found[:50]:
+            assert model.square[f] == pytest.approx(ratio(f) ** 2, rel=1e-4, abs=1e-6)
+        margin = sum(float(model.weights[f]) for f in found) / math.sqrt(sum(ratio(f) ** 2 for f in found)) + model.bias
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(model.slope * margin + model.offset))), rel=1e-3)
+        assert (r["score"] >= 0.5) == (r["quality"] == 1)
+
+
 # ---- decontamination
 
 

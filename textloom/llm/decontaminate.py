@@ -288,6 +288,8 @@ def search(index: Index, rows: Rows, free_ends: bool = False) -> Iterator[tuple[
             walks = keys.shape[1]
             got = embed_keys(w.hash, s, np.minimum(g.n, w.first[w.row[s] + 1] - s), g.n, index.salts[:walks], index.picks[:walks])
             met[a : a + 4096] = same_keys(got[back], keys[line[a : a + 4096]]).any(1)
+        if not met.any():
+            continue
         best: dict[tuple[int, int], tuple[int, int]] = {}
         it, begin, end = spans(start[met], line[met], g, w) if free_ends else fixed(start[met], line[met], g, w)
         for a in range(0, len(it), 512):

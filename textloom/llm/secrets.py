@@ -287,14 +287,15 @@ def scan(df: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id"
             for rows in slices(column):
                 texts = [rows.text(k) for k in range(len(rows))]
                 spans = [scan_text(t, threshold) for t in texts]
-                out = [batch.column(k + 1).slice(rows.first, len(rows)) for k in range(len(keep))]
+                out = [kept.slice(rows.first, len(rows)) for kept in batch.column(1).flatten()]
                 out.append(pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], arrow))
                 if redact:
                     null = column.slice(rows.first, len(rows)).is_null().to_pylist()
                     out.append(pa.array([None if x else replaced(t, s, mark) for x, t, s in zip(null, texts, spans, strict=True)], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return df.select(F.col(text).alias("__text"), *keep).mapInArrow(run, T.StructType(fields))
+    # the kept columns travel as one struct, so no name can clash
+    return df.select(F.col(text).alias("text"), F.struct(*(F.col(f"`{k}`") for k in keep)).alias("kept")).mapInArrow(run, T.StructType(fields))
 
 
 def replaced(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:

@@ -44,6 +44,27 @@ def _sums(rows: list[np.ndarray], values: np.ndarray) -> np.ndarray:
     return np.array([values[r].sum() for r in rows])
 
 
+def risk_terms(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Positive and negative risk of margins of positives and unlabelled texts, sigmoid loss l(g) = sigmoid(-g).
+
+    prior * E_p[l(g)], and E_u[l(-g)] - prior * E_p[l(-g)], which may come out below zero.
+    """
+    return prior * sigmoid(-gp).mean(), sigmoid(gu).mean() - prior * sigmoid(gp).mean()
+
+
+def descent(positive: list[np.ndarray], unlabelled: list[np.ndarray], scale: np.ndarray, w: np.ndarray, bias: float, prior: float) -> np.ndarray:
+    """Gradient by weights and bias of the batch's risk; where its second term is negative, of that term reversed."""
+    gp, gu = _sums(positive, w * scale) + bias, _sums(unlabelled, w * scale) + bias
+    dp, du = (sigmoid(g) * sigmoid(-g) / len(g) for g in (gp, gu))
+    above = risk_terms(gp, gu, prior)[1] >= 0
+    out = np.zeros(len(w) + 1)
+    for rows, slope in ((positive, -2 * prior * dp if above else prior * dp), (unlabelled, du if above else -du)):
+        for r, d in zip(rows, slope, strict=True):
+            out[r] += d * scale[r]
+        out[-1] += slope.sum()
+    return out
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], scale: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.05, decay: float = 1e-4, seed: int = 11) -> tuple[np.ndarray, float]:
     """Adam on the non-negative risk with sigmoid loss.
 
@@ -61,28 +82,13 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], scale: np
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     step = 0
 
-    def gradient(rows: list[np.ndarray], slope: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(used) + 1)
-        for r, d in zip(rows, slope, strict=True):
-            out[r] += d * s[r]
-        out[-1] = slope.sum()
-        return out
-
     n_batches = max(1, -(-len(unlabelled) // batch))
     for _ in range(epochs):
         ps, us = np.array_split(draw.permutation(len(positive)), n_batches), np.array_split(draw.permutation(len(unlabelled)), n_batches)
         for pi, ui in zip(ps, us, strict=True):
             if not len(pi) or not len(ui):
                 continue
-            p, u = [small[0][i] for i in pi], [small[1][i] for i in ui]
-            gp, gu = _sums(p, w * s) + bias, _sums(u, w * s) + bias
-            lp, lu = sigmoid(-gp), sigmoid(gu)  # loss of positives as positive, of unlabelled as negative
-            negative = lu.mean() - prior * sigmoid(gp).mean()
-            dp, du = lp * (1 - lp) / len(p), lu * (1 - lu) / len(u)
-            if negative >= 0:
-                g = gradient(p, -prior * dp) + gradient(u, du) - gradient(p, prior * dp)
-            else:
-                g = gradient(p, prior * dp) - gradient(u, du)
+            g = descent([small[0][i] for i in pi], [small[1][i] for i in ui], s, w, bias, prior)
             g[:-1] += decay * w
             step += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
