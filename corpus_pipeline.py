@@ -54,9 +54,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text stays null, and its n_chars becomes null. Every row stays.
     """
-    others = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    clean = secrets.scan(docs, keep=others, redact=True).withColumn("text", F.col("redacted"))
-    clean = clean.withColumn("n_chars", F.length("text").cast("long"))
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in others)).alias("others"))
+    found = secrets.scan(rows, keep=("others",), redact=True)
+    clean = found.select("others.*", F.col("redacted").alias("text"), F.length("redacted").cast("long").alias("n_chars"))
     return clean.select(*docs.columns)
 
 
