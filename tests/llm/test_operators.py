@@ -617,6 +617,33 @@ def test_large_group_of_near_copies(spark, percent):
     assert len(set(want.values())) > 45
 
 
+def test_passage_on_every_page_makes_linear_rows(spark, monkeypatch):
+    """Different pages with one long passage: large buckets, few links. All are found, by rows that grow with the pages."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    compared, counted = neardup.compared, []
+
+    def counting(blocks, *rest):
+        counted[-1] += blocks.count()
+        return compared(blocks, *rest)
+
+    monkeypatch.setattr(neardup, "compared", counting)
+    draw = random.Random(14)
+    passage = [f"p{k}" for k in range(70)]
+    docs = []
+    for i in range(480):
+        own = [f"u{draw.randrange(5000)}" for _ in range(24)]
+        docs.append((i, " ".join([*own[:12], *passage, *own[12:]])))
+    docs += [(1000 + i, docs[i][1].rsplit(" ", 1)[0] + " other") for i in range(0, 480, 16)]  # near copies
+    docs += [(2000 + i, docs[7][1].replace("p5 ", f"z{i} ")) for i in range(60)]  # and a large group of them
+    for n in (240, 480):
+        some = [d for d in docs if d[0] % 1000 < n and (d[0] < 2000 or d[0] < 2000 + n // 8)]
+        counted.append(0)
+        got = {r["doc_id"]: r["component_id"] for r in neardup.components(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+        want = components_by_brute_force(some, 85)
+        assert got == want and 0 < len(some) - len(set(want.values())) < n
+    assert counted[1] < 2.6 * counted[0]
+
+
 def test_posterior_bounds_keep_pairs_at_the_threshold():
     least = neardup.least_matches(0.85, 1e-5)
     for n, m in zip(neardup.STAGES, least, strict=True):

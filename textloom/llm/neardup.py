@@ -7,11 +7,16 @@ it reaches the threshold falls below the chosen miss probability. Survivors are
 exactly on their full sets.
 
 Links are needed only as far as they connect. First the spanning forest of greatest
-estimated similarity of each bucket's survivors is verified. The forests' components are
+estimated similarity of each bucket's survivors is verified. A bucket of more than BLOCK
+members is cut into blocks in a ring; each is compared with itself and the next. That
+joins copies, and leaves pairs that are never in one small bucket: these meet again in
+narrower bands of SUB_ROWS hashes, as many as the miss probability asks for, and only where
+such a bucket holds members that are not joined yet. The forests' components are
 clusters; where a cluster falls into several components of verified links, the pairs
 between these are compared in blocks, verified in the tasks that hold them, and again only
-a spanning forest is handed on. So a large group of near copies makes rows by its members,
-not by its pairs, and no link between different components is lost.
+a spanning forest is handed on. So a large group of near copies, or a passage that many
+different documents share, makes rows by its members, not by its pairs, and no link between
+different components is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,9 +39,12 @@ HASHES = 256
 #: 25 bands of 5 hashes miss a pair of similarity 0.85 with probability 4e-7 (0.8: 5e-5).
 BANDS, BAND_ROWS = 25, 5
 STAGES = (64, 128, 192, 256)
-#: A bucket of more members is cut into blocks of about this size; all pairs of blocks are compared.
+#: A bucket of more members is cut into blocks of about this size.
 BLOCK = 256
 MISS = 1e-5
+#: Hashes of a narrow band, and the probability that a pair at the threshold misses all of them.
+SUB_ROWS = 10
+SUB_MISS = 1e-6
 
 
 def shingle_sets(rows: Rows) -> Iterator[np.ndarray]:
@@ -242,35 +250,75 @@ def compared(blocks: DataFrame, threshold: float, miss: float, percent: int | No
 
 
 def bucket_blocks(buckets: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Groups for :func:`compared`, one for each bucket; large buckets are cut into pairs of blocks."""
+    """Groups for :func:`compared`, one for each bucket; large buckets are cut into a ring of blocks.
+
+    Each block is compared with itself and the next, so a member is there three times at most.
+    """
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", "band"), F.col("parts")).cast("int")
     blocks = buckets.withColumn("parts", parts).withColumn("own", own)
-    blocks = blocks.select("band", "key", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    others = F.array_distinct(F.array("own", F.pmod(F.col("own") + 1, F.col("parts")), F.pmod(F.col("own") - 1, F.col("parts"))))
+    blocks = blocks.select("band", "key", "rep", "own", F.explode(others).alias("other"))
     blocks = blocks.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", F.col("rep").alias("comp"))
     return blocks.join(sigs.hint("merge"), "rep")
 
 
-def cluster_blocks(members: DataFrame) -> DataFrame:
-    """Groups of the components that share a cluster: (KEYS, own, rep, comp) from (super, comp, rep).
+@lru_cache(maxsize=4)
+def sub_picks(threshold: float) -> np.ndarray:
+    """Positions of the signature that make up each narrow band."""
+    count = int(np.ceil(np.log(SUB_MISS) / np.log1p(-(threshold**SUB_ROWS))))
+    draw = np.random.default_rng(8)
+    return np.stack([draw.choice(HASHES, SUB_ROWS, replace=False) for _ in range(count)])
+
+
+def sub_keys(sig: Column, threshold: float) -> Column:
+    """Keys of the narrow bands of a signature."""
+
+    def run(column: pa.Array) -> pa.Array:
+        picks = sub_picks(threshold)
+        out = []
+        for at in range(0, len(column), 1024):
+            some = np.frombuffer(b"".join(column.slice(at, 1024).to_pylist()), np.uint8).reshape(-1, HASHES)
+            lines = some[:, picks.ravel()].ravel().astype(np.uint64)
+            start = np.arange(0, len(lines), SUB_ROWS)
+            out.append(span_hash(lines, start, start + SUB_ROWS, 1).astype(np.int64))
+        flat = np.concatenate([*out, np.zeros(0, np.int64)])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1) * len(picks), pa.int32()), pa.array(flat))
+
+    return F.arrow_udf(run, "array<long>")(sig)
+
+
+def narrow_groups(buckets: DataFrame, sigs: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
+    """(band, key, comp, rep): narrow buckets of the members of large buckets that hold several components of ``near``."""
+    hot = buckets.where(F.col("size") > BLOCK).select("rep").distinct()
+    joined = smallest_reachable(near).withColumnsRenamed({"node": "rep", "component": "comp"})
+    keys = sigs.join(hot.hint("merge"), "rep").select("rep", F.posexplode(sub_keys(F.col("sig"), threshold)).alias("band", "key"))
+    rows = materialize(keys.join(joined.hint("merge"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "narrow")
+    mixed = rows.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band", "key")
+    return rows.join(mixed.hint("merge"), ["band", "key"]).select("band", "key", "comp", "rep")
+
+
+def component_blocks(members: DataFrame) -> DataFrame:
+    """Groups of the components that share a (band, key): (KEYS, own, rep, comp) from (band, key, comp, rep).
 
     A component larger than BLOCK has blocks of its own, which are not compared with each
-    other; smaller ones share blocks. So a cluster that is one component needs nothing, and
+    other; smaller ones share blocks. So a group that is one component needs nothing, and
     one with few outliers meets them with each of its members once.
     """
-    sizes = members.groupBy("super", "comp").agg(F.count("*").alias("n")).withColumn("big", F.col("n") > BLOCK)
+    by = ["band", "key"]
+    sizes = members.groupBy(*by, "comp").agg(F.count("*").alias("n")).withColumn("big", F.col("n") > BLOCK)
     parts = F.when(F.col("big"), F.ceil(F.col("n") / BLOCK)).otherwise(0).cast("int")
-    sizes = sizes.withColumn("parts", parts)
-    clusters = sizes.groupBy("super").agg(F.ceil(F.sum(F.when(~F.col("big"), F.col("n")).otherwise(0)) / BLOCK).cast("int").alias("shared"), F.sum("parts").cast("int").alias("own_blocks"), F.count("*").alias("comps")).where("comps > 1")
-    before = F.sum("parts").over(Window.partitionBy("super").orderBy("comp")) - F.col("parts")
-    placed = sizes.where("big").withColumn("before", before).select("super", "comp", "parts", "before")  # big components: a 256th of the rows
-    rows = members.join(clusters, "super").join(placed, ["super", "comp"], "left")
+    sizes = materialize(sizes.withColumn("parts", parts), "sizes")
+    groups = sizes.groupBy(*by).agg(F.ceil(F.sum(F.when(~F.col("big"), F.col("n")).otherwise(0)) / BLOCK).cast("int").alias("shared"), F.sum("parts").cast("int").alias("own_blocks"), F.count("*").alias("comps")).where("comps > 1")
+    before = F.sum("parts").over(Window.partitionBy(*by).orderBy("comp")) - F.col("parts")
+    placed = sizes.where("big").withColumn("before", before).select(*by, "comp", "parts", "before")  # big components: a 256th of the rows
+    rows = members.join(groups, by).join(placed, [*by, "comp"], "left")
     low = (F.col("shared") + F.col("before")).cast("int")
     own = F.coalesce(low + F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("comp"), F.col("shared")).cast("int"))
-    rows = rows.select("super", "comp", "rep", own.alias("own"), low.alias("low"), (low + F.col("parts")).alias("high"), (F.col("shared") + F.col("own_blocks")).alias("total"))
+    rows = rows.select(*by, "comp", "rep", own.alias("own"), low.alias("low"), (low + F.col("parts")).alias("high"), (F.col("shared") + F.col("own_blocks")).alias("total"))
     others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda x: F.coalesce((x < F.col("low")) | (x >= F.col("high")), F.lit(True)))
-    rows = rows.select("super", "comp", "rep", "own", F.explode(others).alias("other"))
-    return rows.select(F.lit(0).alias("band"), F.col("super").alias("key"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp")
+    rows = rows.select(*by, "comp", "rep", "own", F.explode(others).alias("other"))
+    return rows.select(*by, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -315,11 +363,13 @@ def components(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", per
     sets = materialize(shingle_table(rows.join(members.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")), "sets")
 
     near = materialize(compared(bucket_blocks(buckets, sigs), threshold, miss), "near")
+    apart = component_blocks(narrow_groups(buckets, sigs, near, threshold)).join(sigs.hint("merge"), "rep")
+    near = materialize(near.unionAll(compared(apart, threshold, miss)).distinct(), "near")
     links = materialize(verified(near, sets, percent), "links")
     clusters = smallest_reachable(near).withColumnRenamed("component", "super").withColumnRenamed("node", "rep")
     found = smallest_reachable(links).withColumnRenamed("node", "rep")
     parts = materialize(clusters.join(found, "rep", "left").select("super", F.coalesce("component", "rep").alias("comp"), "rep"), "parts")
-    again = cluster_blocks(parts).join(sigs.hint("merge"), "rep").join(sets.hint("merge"), "rep")
+    again = component_blocks(parts.select(F.lit(0).alias("band"), F.col("super").alias("key"), "comp", "rep")).join(sigs.hint("merge"), "rep").join(sets.hint("merge"), "rep")
     more = materialize(compared(again, threshold, miss, percent), "links")
     found = smallest_reachable(links.unionAll(more))
 
