@@ -42,9 +42,8 @@ STAGES = (64, 128, 192, 256)
 #: A bucket of more members is cut into blocks of about this size.
 BLOCK = 256
 MISS = 1e-5
-#: Hashes of a narrow band, and the probability that a pair at the threshold misses all of them.
-SUB_ROWS = 10
-SUB_MISS = 1e-6
+#: Hashes of a narrow band; a pair at the threshold misses all narrow bands with the miss probability.
+SUB_ROWS = 8
 
 
 def shingle_sets(rows: Rows) -> Iterator[np.ndarray]:
@@ -264,18 +263,18 @@ def bucket_blocks(buckets: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 @lru_cache(maxsize=4)
-def sub_picks(threshold: float) -> np.ndarray:
+def sub_picks(threshold: float, miss: float) -> np.ndarray:
     """Positions of the signature that make up each narrow band."""
-    count = int(np.ceil(np.log(SUB_MISS) / np.log1p(-(threshold**SUB_ROWS))))
+    count = int(np.ceil(np.log(miss) / np.log1p(-(threshold**SUB_ROWS))))
     draw = np.random.default_rng(8)
     return np.stack([draw.choice(HASHES, SUB_ROWS, replace=False) for _ in range(count)])
 
 
-def sub_keys(sig: Column, threshold: float) -> Column:
+def sub_keys(sig: Column, threshold: float, miss: float) -> Column:
     """Keys of the narrow bands of a signature."""
 
     def run(column: pa.Array) -> pa.Array:
-        picks = sub_picks(threshold)
+        picks = sub_picks(threshold, miss)
         out = []
         for at in range(0, len(column), 1024):
             some = np.frombuffer(b"".join(column.slice(at, 1024).to_pylist()), np.uint8).reshape(-1, HASHES)
@@ -288,11 +287,11 @@ def sub_keys(sig: Column, threshold: float) -> Column:
     return F.arrow_udf(run, "array<long>")(sig)
 
 
-def narrow_groups(buckets: DataFrame, sigs: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
+def narrow_groups(buckets: DataFrame, sigs: DataFrame, near: DataFrame, threshold: float, miss: float) -> DataFrame:
     """(band, key, comp, rep): narrow buckets of the members of large buckets that hold several components of ``near``."""
     hot = buckets.where(F.col("size") > BLOCK).select("rep").distinct()
     joined = smallest_reachable(near).withColumnsRenamed({"node": "rep", "component": "comp"})
-    keys = sigs.join(hot.hint("merge"), "rep").select("rep", F.posexplode(sub_keys(F.col("sig"), threshold)).alias("band", "key"))
+    keys = sigs.join(hot.hint("merge"), "rep").select("rep", F.posexplode(sub_keys(F.col("sig"), threshold, miss)).alias("band", "key"))
     rows = materialize(keys.join(joined.hint("merge"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "narrow")
     mixed = rows.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band", "key")
     return rows.join(mixed.hint("merge"), ["band", "key"]).select("band", "key", "comp", "rep")
@@ -363,7 +362,7 @@ def components(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", per
     sets = materialize(shingle_table(rows.join(members.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")), "sets")
 
     near = materialize(compared(bucket_blocks(buckets, sigs), threshold, miss), "near")
-    apart = component_blocks(narrow_groups(buckets, sigs, near, threshold)).join(sigs.hint("merge"), "rep")
+    apart = component_blocks(narrow_groups(buckets, sigs, near, threshold, miss)).join(sigs.hint("merge"), "rep")
     near = materialize(near.unionAll(compared(apart, threshold, miss)).distinct(), "near")
     links = materialize(verified(near, sets, percent), "links")
     clusters = smallest_reachable(near).withColumnRenamed("component", "super").withColumnRenamed("node", "rep")
