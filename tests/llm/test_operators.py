@@ -618,8 +618,11 @@ def test_large_group_of_near_copies(spark, percent):
 
 
 def test_passage_on_every_page_makes_linear_rows(spark, monkeypatch):
-    """Different pages with one long passage: large buckets, few links. All are found, by rows that grow with the pages."""
-    monkeypatch.setattr(neardup, "BLOCK", 4)
+    """Different pages with one long passage: large buckets, few links. All are found, by rows that grow with the pages.
+
+    The bands here have about 30 of the pages, the narrow bands about 6: more than a block, and less.
+    """
+    monkeypatch.setattr(neardup, "BLOCK", 8)
     compared, counted = neardup.compared, []
 
     def counting(blocks, *rest):

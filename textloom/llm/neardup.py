@@ -288,7 +288,11 @@ def sub_keys(sig: Column, threshold: float, miss: float) -> Column:
 
 
 def narrow_groups(buckets: DataFrame, sigs: DataFrame, near: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """(band, key, comp, rep): narrow buckets of the members of large buckets that hold several components of ``near``."""
+    """(band, key, comp, rep): narrow buckets of the members of large buckets that hold several components of ``near``.
+
+    A member is in as many as there are narrow bands. While these hold fewer than BLOCK
+    different pages the rows grow with the members; beyond that, with pairs of blocks.
+    """
     hot = buckets.where(F.col("size") > BLOCK).select("rep").distinct()
     joined = smallest_reachable(near).withColumnsRenamed({"node": "rep", "component": "comp"})
     keys = sigs.join(hot.hint("merge"), "rep").select("rep", F.posexplode(sub_keys(F.col("sig"), threshold, miss)).alias("band", "key"))
