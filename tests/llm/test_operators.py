@@ -620,9 +620,9 @@ def test_large_group_of_near_copies(spark, percent):
 def test_passage_on_every_page_makes_linear_rows(spark, monkeypatch):
     """Different pages with one long passage: large buckets, few links. All are found, by rows that grow with the pages.
 
-    The bands here have about 30 of the pages, the narrow bands about 6: more than a block, and less.
+    The bands here have 8 to 17 of the pages, three blocks or more; the narrow bands about 2, less than a block.
     """
-    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "BLOCK", 3)
     compared, counted = neardup.compared, []
 
     def counting(blocks, *rest):
@@ -631,7 +631,7 @@ def test_passage_on_every_page_makes_linear_rows(spark, monkeypatch):
 
     monkeypatch.setattr(neardup, "compared", counting)
     draw = random.Random(14)
-    passage = [f"p{k}" for k in range(70)]
+    passage = [f"p{k}" for k in range(54)]
     docs = []
     for i in range(480):
         own = [f"u{draw.randrange(5000)}" for _ in range(24)]
