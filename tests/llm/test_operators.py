@@ -836,6 +836,17 @@ def test_page_evidence(spark):
     assert row[1]["lang"] is None and row[1]["source"] is None
 
 
+@pytest.mark.parametrize("part", ["<script>", "<!--", "<html ", "<", "</script ", "<p "])
+def test_page_evidence_of_long_broken_pages(spark, part):
+    """Nothing is ever closed: the work must stay linear."""
+    pages = [(1, "http://a.de", "Guten Tag" + part * 200_000), (2, "http://a.de", f"<p>1 < 2</p>{part}hier")]
+    begin = time.perf_counter()
+    row = langid.page_evidence(spark.createDataFrame(pages, "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert time.perf_counter() - begin < 20
+    assert row[0]["text"].replace("<", "").split() == ["Guten", "Tag"] and row[0]["lang"] is None
+    assert row[1]["text"].split() == ["1", "<", "2"]  # what follows is part of the open tag
+
+
 def test_secret_lexer():
     def literals(t):
         return [t[a:b] for a, b in secrets.sensitive_literals(t)]

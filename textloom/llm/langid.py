@@ -240,12 +240,14 @@ def page_evidence(pages: DataFrame, *, url: str = "url", html: str = "html") ->
     """Web pages with the columns that :func:`identify` takes: text, lang, source.
 
     lang is the lang attribute of the html element (first subtag), source the host of the
-    address, text the markup's visible text. Nulls give nulls.
+    address, text the markup's visible text. Nulls give nulls. A script, style, comment or tag
+    that is never closed goes on to the end of the page, as browsers read it; a < before
+    anything but a name is text. So no part of a page is read twice, however long it is.
     """
-    body = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    body = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)", " ")
     return pages.select(
         "*",
-        F.regexp_replace(body, r"<[^>]*>", " ").alias("text"),
-        F.nullif(F.lower(F.regexp_extract(F.col(html), r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,8})", 1)), F.lit("")).alias("lang"),
+        F.regexp_replace(body, r"</?[a-zA-Z!?][^>]*+(?:>|\z)", " ").alias("text"),
+        F.nullif(F.lower(F.regexp_extract(F.col(html), r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,8})", 1)), F.lit("")).alias("lang"),
         F.nullif(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit("")).alias("source"),
     )
