@@ -35,8 +35,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURES = (*COUNTS, "n_lines", "n_capitals", "n_exclaims", "n_bars")
 
 
-def repeated_words(w: Column, triples: Column) -> Column:
-    """Words of ``w`` in a 3-word window that occurs twice or more; ``triples`` are the windows."""
+def sorted_windows(triples: Column) -> Column:
+    """The windows of a text by content, as (t, p) with their places; none where all are distinct."""
     marked = F.array_sort(F.transform(triples, lambda t, i: F.struct(t.alias("t"), i.alias("p"))))
     return F.when(F.size(F.array_distinct(triples)) == F.size(triples), F.array().cast("array<struct<t:string,p:int>>")).otherwise(marked)
 
@@ -76,7 +76,7 @@ def measure(df: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_
         "n_bars",
         triples.alias("__t"),
     )
-    third = second.withColumn("__s", repeated_words(F.lit(None), F.col("__t"))).drop("__t")
+    third = second.withColumn("__s", sorted_windows(F.col("__t"))).drop("__t")
     again = F.filter("__s", lambda x, i: (F.get("__s", i - 1)["t"] == x["t"]) | (F.get("__s", i + 1)["t"] == x["t"]))
     fourth = third.withColumn("__p", F.when(F.size("__s") == 0, F.array().cast("array<int>")).otherwise(F.array_sort(F.transform(again, lambda x: x["p"])))).drop("__s")
     covered = F.aggregate(
