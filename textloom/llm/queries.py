@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, ctw, decontaminate, langid, neardup, quality, rules, secrets, substrings, toxicity
+from textloom.llm import bpe, ctw, decontaminate, langid, neardup, periodic, quality, rules, secrets, substrings, toxicity
 from textloom.llm._columns import remainder, spread
 
 
@@ -127,6 +127,22 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document (the contract's texts: one in ten has a repeated tail), collapsed."""
+    docs = documents(spark, sf_dir)
+    texts = docs.select("doc_id", periodic.repeated_tail(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.collapse(texts)
+    each = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{name}").alias(name) for name in ("start", "length", "period")),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(each, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_ctw": op2_ctw,
@@ -139,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op8_langid_pages": op8_langid_pages,
     "op9_secrets": op9_secrets,
+    "op13_periodic": op13_periodic,
 }
 
 ORACLES: dict[str, str] = {
