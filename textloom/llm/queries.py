@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, ctw, decontaminate, langid, neardup, periodic, quality, rules, secrets, substrings, toxicity
+from textloom.llm import bpe, ctw, decontaminate, hardneg, langid, neardup, periodic, quality, rules, secrets, substrings, toxicity
 from textloom.llm._columns import remainder, spread
 
 
@@ -127,6 +127,13 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector: for each of five positives the five best below it."""
+    vectors = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors.select("vec_id", shifted.alias("label"), "embedding"), F.col("id") % 100 == 0)
+
+
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document (the contract's texts: one in ten has a repeated tail), collapsed."""
     docs = documents(spark, sf_dir)
@@ -155,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op8_langid_pages": op8_langid_pages,
     "op9_secrets": op9_secrets,
+    "op11_hardneg": op11_hardneg,
     "op13_periodic": op13_periodic,
 }
 
@@ -162,4 +170,5 @@ ORACLES: dict[str, str] = {
     "op1_substrings": substrings.oracle(),
     "op6_neardup": neardup.oracle(),
     "op7_rules": rules.oracle(),
+    "op11_hardneg": hardneg.oracle(),
 }
