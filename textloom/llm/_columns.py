@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.sources.shared import discard, materialize, shared_folder, spread
 
-__all__ = ["SPACES", "discard", "hot_keys", "materialize", "remainder", "shared_folder", "split_by_slots", "spread", "spread_join", "thinned", "words"]
+__all__ = ["SPACES", "discard", "hot_keys", "materialize", "remainder", "shared_folder", "sampled", "split_by_slots", "spread", "spread_join", "words"]
 
 #: White space of the word definition: space and the controls U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
@@ -19,15 +19,26 @@ def remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string")) % modulus, F.lit(-1)).cast("int")
 
 
-def thinned(df: DataFrame, total: int, rows: int) -> DataFrame:
-    """About ``rows`` of the ``total`` rows of ``df``: those whose hash over all columns is low.
+def sampled(df: DataFrame, total: int, rows: int) -> DataFrame:
+    """At most ``rows`` of the ``total`` rows of ``df``, those of the lowest hashes over all columns; never none of some.
 
-    The share is set a little low (three standard deviations), so that the bound holds.
+    The same rows however ``df`` is partitioned. Of equal rows, which share a hash, as many are
+    taken as is their share, one at least; they meet as counts, so copies make no large group.
     """
     if total <= rows:
         return df
-    share = max(0.0, rows - 3 * rows**0.5) / total
-    return df.where(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 30)) < int(share * (1 << 30)))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    share = 1.25 * rows / total
+    n = F.greatest(F.lit(1), F.round(F.count("*") * rows / total).cast("int")).alias("__n")
+    while True:
+        place = F.pmod(F.xxhash64(*columns), F.lit(1 << 30))
+        few = materialize(df.where(place < F.lit(int(share * (1 << 30)) + 1)).groupBy(*columns).agg(n), "sample")
+        if share >= 1 or (few.agg(F.sum("__n")).first()[0] or 0) >= rows // 2:
+            break
+        discard(few)
+        share *= 4
+    each = few.withColumn("__k", F.explode(F.sequence(F.lit(1), "__n")))
+    return each.orderBy(F.xxhash64(*columns), *columns).limit(rows).select(*columns)
 
 
 #: Slots of the fixed-size filter in :func:`split_by_slots`.

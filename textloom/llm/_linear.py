@@ -119,7 +119,10 @@ def counts_array(counts: DataFrame) -> np.ndarray:
 
 
 def sparse_rows(df: DataFrame, features: Features, text: str, label: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of a bounded sample, as the caller has limited it."""
+    """Features and labels of a bounded sample, as the caller has limited it.
+
+    Sorted by label and features, so a fit takes the same rows in the same order however they arrive.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,6 +131,7 @@ def sparse_rows(df: DataFrame, features: Features, text: str, label: str) -> tup
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(rows.first, len(rows)), pa.array(found, pa.binary())], names=["label", "found"])
 
     got = df.select(F.col(text).alias("__text"), F.col(label).cast("int").alias("__label")).mapInArrow(run, "label int, found binary").toPandas()
+    got = got.sort_values(["label", "found"])
     return [np.frombuffer(x, np.int32) for x in got["found"]], got["label"].to_numpy(int)
 
 

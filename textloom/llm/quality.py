@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._columns import materialize, thinned
+from textloom.llm._columns import materialize, sampled
 from textloom.llm._linear import BUCKETS, class_counts, counts_array, quality_features, sigmoid, sparse_rows
 from textloom.llm._text import slices
 
@@ -96,7 +96,7 @@ def fit(train: DataFrame, *, text: str = "text", label: str = "quality", fit_row
         share = float(np.clip(n1 / (n0 + n1), 0.01, 0.99)) if n0 + n1 else 0.5
         return Model(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
     ratio = log_count_ratio(counts)
-    sample = thinned(rows, int(n0 + n1), fit_rows)
+    sample = sampled(rows, int(n0 + n1), fit_rows)
     found, y = sparse_rows(sample, quality_features, "__t", "__y")
     y = 2.0 * y - 1
     if len(set(y.tolist())) < 2:

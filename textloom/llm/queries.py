@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, ctw, decontaminate, hardneg, langid, neardup, periodic, quality, rules, secrets, substrings, toxicity
+from textloom.llm import bpe, ctw, decontaminate, hardneg, langid, neardup, periodic, quality, rules, secrets, substrings, toxicity, vecdup
 from textloom.llm._columns import remainder, spread
 
 
@@ -134,6 +134,11 @@ def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(vectors.select("vec_id", shifted.alias("label"), "embedding"), F.col("id") % 100 == 0)
 
 
+def op12_vecdup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate component of every vector at cosine 0.93."""
+    return vecdup.link(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document (the contract's texts: one in ten has a repeated tail), collapsed."""
     docs = documents(spark, sf_dir)
@@ -163,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid_pages": op8_langid_pages,
     "op9_secrets": op9_secrets,
     "op11_hardneg": op11_hardneg,
+    "op12_vecdup": op12_vecdup,
     "op13_periodic": op13_periodic,
 }
 
@@ -171,4 +177,5 @@ ORACLES: dict[str, str] = {
     "op6_neardup": neardup.oracle(),
     "op7_rules": rules.oracle(),
     "op11_hardneg": hardneg.oracle(),
+    "op12_vecdup": vecdup.oracle(),
 }

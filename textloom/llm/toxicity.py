@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._columns import materialize, thinned
+from textloom.llm._columns import materialize, sampled
 from textloom.llm._linear import BUCKETS, class_counts, counts_array, linear_score, sigmoid, sparse_rows, word_features
 
 #: Positive and unlabelled rows that training takes at most, chosen by hash; counts take all.
@@ -114,7 +114,7 @@ def fit(positive: DataFrame, unlabelled: DataFrame, *, text: str = "text", prior
     if not counts[0, BUCKETS] or not counts[1, BUCKETS]:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior))))
     sizes = (int(counts[1, BUCKETS]), positive_rows), (int(counts[0, BUCKETS]), unlabelled_rows)
-    taken = [sparse_rows(thinned(df, *size), word_features, "__t", "__y")[0] for df, size in zip(both, sizes, strict=True)]
+    taken = [sparse_rows(sampled(df, *size), word_features, "__t", "__y")[0] for df, size in zip(both, sizes, strict=True)]
     if not taken[0] or not taken[1]:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior))))
     weights, bias = fit_nnpu(*taken, indicator_scale(counts), prior)
