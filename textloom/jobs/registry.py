@@ -127,7 +127,8 @@ def sql_sentences(x: str) -> str:
 
 
 def sql_x6(x: str, limit: int) -> str:
-    """The list under way ends in what is held; each sentence joins it."""
+    """The list under way ends in what is held; each sentence joins it, and an empty one behind a final mark."""
+    pieces = f"list_concat({sql_sentences(x)}, CASE WHEN regexp_matches({x}, '[。！？]$') THEN [''] ELSE [] END)"
     held = "(a[-1] || b[1])"
     cut = "CASE " + " ".join(f"WHEN contains({held}, '{c}') THEN '{c}'" for c in segment.CUTS) + " END"
     front = f"strpos({held}, {cut}) + len({cut}) - 1"
@@ -135,7 +136,7 @@ def sql_x6(x: str, limit: int) -> str:
       WHEN len({held}) > {limit} AND ({cut}) IS NULL THEN list_concat(a[:-2], [{held}, ''])
       WHEN len({held}) > {limit} THEN list_concat(a[:-2], [left({held}, {front}), substr({held}, {front} + 1)])
       WHEN regexp_matches({held}, '[。！？]$') THEN list_concat(a[:-2], [{held}, '']) ELSE list_append(a[:-2], {held}) END"""
-    lines = f"list_filter(list_transform({sql_reduce(sql_sentences(x), step, "''")}, lambda z: {sql_strip('z')}), lambda z: z <> '')"
+    lines = f"list_filter(list_transform({sql_reduce(pieces, step, "''")}, lambda z: {sql_strip('z')}), lambda z: z <> '')"
     return f"array_to_string(flatten(list_transform({lines}, lambda z: CASE WHEN ends_with(z, '。') AND len(z) > 30 THEN [z, ''] ELSE [z] END)), {NL})"
 
 
@@ -340,11 +341,48 @@ def sql_x10(source: str) -> str:
 
 scalar("x10_clean_only", X.clean_only, sql_x10(f"({_LENSED})"))
 scalar("p5_remove_patterns", lambda c: X.remove_patterns(c, ("regex:\\p{Nd}+", "。", "regex:[あい]{2,}")), lensed(rr(f"replace({rr('text', chr(92) + 'p{Nd}+')}, '。', '')", "[あい]{2,}")))
+
+
+def cut_lens(c: Column) -> Column:
+    """The lens with conjunctions where a long sentence without commas is cut; every second text has no commas or no final mark."""
+    joined = F.replace(F.replace(c, F.lit("r "), F.lit("から")), F.lit("n "), F.lit("ので"))
+    bare = F.regexp_replace(F.replace(joined, F.lit("、"), F.lit("けれど")), "[。！？]+$", "")
+    return F.when(F.col("doc_id") % 2 == 0, joined).when(F.col("doc_id") % 4 == 1, bare).otherwise(F.replace(joined, F.lit("、"), F.lit("")))
+
+
+_JOINED = "replace(replace(text, 'r ', 'から'), 'n ', 'ので')"
+_CUT = f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_JOINED} WHEN doc_id % 4 = 1 THEN regexp_replace(replace({_JOINED}, '、', 'けれど'), '[。！？]+$', '') ELSE replace({_JOINED}, '、', '') END AS text FROM ({_LENSED})"
 scalar("x6_punctuation_lines", segment.split_punctuation, lensed(sql_x6("text", 50)))
+scalar("x6_punctuation_cuts", lambda c: segment.split_punctuation(cut_lens(c)), f"SELECT doc_id, {sql_x6('text', 50)} AS text FROM ({_CUT})")
 scalar("x8_semantic_breaks", segment.semantic_breaks, lensed(sql_x8("text")))
 scalar("x9_hybrid", segment.hybrid, f"SELECT doc_id, {sql_x6(sql_x3('text'), 45)} AS text FROM ({sql_x4('(' + _LENSED + ')')})")
-# the lens has no preamble lines, so P3 changes nothing here; the query drop_preamble holds it to SQL
-scalar("x19_format_text", lambda c: segment.format_text(c, "clean"), sql_x10(f"({sql_x4('(' + _LENSED + ')')})"))
+
+
+def sql_pauses(x: str) -> str:
+    out = x
+    for pattern, by in X.PAUSES:
+        pattern = pattern.replace("\n", "\\n")
+        out = f"regexp_replace({out}, '{pattern}', {' || '.join(NL if z == chr(10) else repr(z) for z in __import__('re').split('(' + chr(10) + ')', by) if z)}, 'g')"
+    return out
+
+
+def preambled(c: Column) -> Column:
+    """A text of the lens as a page file, behind its preamble of file, number and rule."""
+    number = F.col("doc_id").cast("string")
+    return F.concat(F.lit("PDFファイル: "), number, F.lit("\nページ番号: "), number, F.lit("\n==========\n"), c)
+
+
+#: X4 of the texts behind their preambles, which the SQL never adds: the query drop_preamble holds P3 to SQL.
+_FORMATTED = f"({sql_x4('(' + _LENSED + ')')})"
+for _method, _sql in {
+    "punctuation": f"SELECT doc_id, {sql_x6('text', 50)} AS text FROM {_FORMATTED}",
+    "pauses": f"SELECT doc_id, {sql_pauses('text')} AS text FROM {_FORMATTED}",
+    "morphological": f"SELECT doc_id, {sql_x6('text', 40)} AS text FROM {_FORMATTED}",
+    "semantic": f"SELECT doc_id, {sql_x8('text')} AS text FROM {_FORMATTED}",
+    "hybrid": f"SELECT doc_id, {sql_x6(sql_x3('text'), 45)} AS text FROM ({sql_x4(_FORMATTED)})",
+    "clean": sql_x10(_FORMATTED),
+}.items():
+    scalar(f"x19_format_text_{_method}" if _method != "clean" else "x19_format_text", lambda c, m=_method: segment.format_text(preambled(c), m), _sql)
 
 
 @query("x11_natural_chunks", f"SELECT doc_id, generate_subscripts(c, 1) AS part_no, unnest(c) AS chunk FROM (SELECT doc_id, {sql_x11('text')} AS c FROM ({_LENSED}))")

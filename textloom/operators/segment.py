@@ -27,8 +27,9 @@ LONG_CLAUSE = re.compile("、[^\n]{20,}?、")
 
 
 def sentences(text: str) -> list[str]:
-    """Pieces of a text, each with the mark that ends it; the last may be empty."""
-    return re.findall(f"[^{ENDS}]*[{ENDS}]|[^{ENDS}]*$", text)
+    """Pieces of a text, each with the mark that ends it, and what is behind the last mark, maybe nothing."""
+    *full, rest = re.split(f"(?<=[{ENDS}])", text)
+    return [*full, rest]
 
 
 def pack(pieces: list[str], limit: int) -> Iterator[str]:
@@ -52,29 +53,38 @@ def comma_pieces(text: str) -> list[str]:
 def punctuation_lines(text: str, limit: int) -> str:
     """X6. A line for each sentence; longer ones are packed by commas or cut behind a conjunction.
 
-    What is behind such a cut is carried into the next sentence. Lines over 30 characters
-    that end in a full stop are followed by an empty line.
+    What is behind such a cut is carried into the next sentence. Behind the last mark is one more
+    piece, empty where the text ends in a mark, with which a carried remainder is cut once more.
+    Lines over 30 characters that end in a full stop are followed by an empty line. Linear: marks
+    are sought from where they were found last.
     """
     out: list[str] = []
-    held = ""
+    #: What is held is text[start:end]. A sought place is looked for again only when the start has passed it.
+    start = end = 0
+    places = dict.fromkeys((COMMA, *CUTS), -1)
+
+    def place(mark: str) -> int:
+        """Where ``mark`` lies in what is held, or -1."""
+        if places[mark] < start:
+            at = text.find(mark, start)
+            places[mark] = len(text) if at < 0 else at
+        return places[mark] if places[mark] + len(mark) <= end else -1
+
     for piece in sentences(text):
-        held += piece
-        if len(held) > limit:
-            if COMMA in held:
-                out += pack(comma_pieces(held), limit)
-                held = ""
+        end += len(piece)
+        if end - start > limit:
+            if place(COMMA) >= 0:
+                out += pack(comma_pieces(text[start:end]), limit)
+                start = end
             else:
-                cut = next((c for c in CUTS if c in held), None)
-                if cut is None:
-                    out.append(held)
-                    held = ""
-                else:
-                    front, _, held = held.partition(cut)
-                    out.append(front + cut)
-        elif held.endswith(tuple(ENDS)):
-            out.append(held)
-            held = ""
-    out.append(held)
+                cut = next((c for c in CUTS if place(c) >= 0), None)
+                behind = end if cut is None else place(cut) + len(cut)
+                out.append(text[start:behind])
+                start = behind
+        elif end > start and text[end - 1] in ENDS:
+            out.append(text[start:end])
+            start = end
+    out.append(text[start:end])
     full = [s for s in (x.strip() for x in out) if s]
     return "\n".join(y for x in full for y in ((x, "") if x.endswith("。") and len(x) > 30 else (x,)))
 
