@@ -1,9 +1,12 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
-Each rule votes for (1) or against (-1) a text, or abstains (0). The rules' accuracies
-are estimated by expectation-maximisation over the counts of vote patterns (at most
-3^RULES rows, one row of arrays in the end), and a text is kept by its posterior
-quality probability instead of having to pass every rule.
+Each rule votes for (1) or against (-1) a text, or abstains (0). Junk is of several kinds, and
+rules that catch one kind are silent on another, so a text is either good or of one of
+len(RULES) kinds of junk; kind k begins as what rule k is against. Expectation-maximisation over
+the counts of vote patterns (at most 3^len(RULES) rows, one row of arrays in the end) estimates
+the share of each kind and how often each rule votes against it. On good texts every rule errs
+in FALSE_ALARM of its votes, which is given: what it is against more often than that is a kind.
+A text is kept by its posterior probability of being good instead of having to pass every rule.
 """
 
 from __future__ import annotations
@@ -15,9 +18,12 @@ from textloom.llm._columns import materialize, words
 
 SYMBOLS = "#*$%&|<>"
 ITERATIONS = 15
-#: Where EM starts, the weight of that start in rows, and the bounds of an accuracy.
-START_ACCURACY, START_PRIOR, START_ROWS = 0.8, 0.8, 10.0
-LOW, HIGH = 0.55, 0.98
+#: How often a rule's vote on a good text is wrong.
+FALSE_ALARM = 0.02
+#: Where EM starts: the share of good texts, and how often a rule is against its own kind of junk and against others.
+START_GOOD, START_OWN, START_OTHER = 0.9, 0.9, 0.1
+#: What that start counts for, as a share of all rows, so that estimates are alike at every size.
+START_WEIGHT = 0.005
 
 #: (name, numerator, denominator, good up to, bad from, least denominator): the vote is 1 up to the
 #: first bound, -1 from the second, 0 between them and where the denominator is too small.
@@ -97,57 +103,73 @@ def votes() -> Column:
     return F.array(*out)
 
 
-def posterior(v: Column, prior: Column, accuracy: Column) -> Column:
-    """Probability of quality given votes, the prior and the accuracies."""
-    odds = F.zip_with(v, accuracy, lambda x, a: x.cast("double") * F.log(a / (1 - a)))
-    return 1.0 / (1.0 + F.exp(-F.aggregate(odds, F.log(prior / (1 - prior)), lambda x, y: x + y)))
+def start() -> list[list[float]]:
+    """The model where EM starts: for good texts, then for each kind of junk, how often each rule is against it; last, its share."""
+    n = len(RULES)
+    junk = [[START_OWN if r == k else START_OTHER for r in range(n)] + [(1 - START_GOOD) / n] for k in range(n)]
+    return [[FALSE_ALARM] * n + [START_GOOD], *junk]
+
+
+def likelihoods(v: Column, model: Column) -> Column:
+    """Array of the share of each kind times the probability of the votes ``v`` cast on it."""
+
+    def one(m: Column) -> Column:
+        cast = F.zip_with(v, F.slice(m, 1, len(RULES)), lambda x, p: F.when(x == -1, p).when(x == 1, 1 - p).otherwise(1.0))
+        return F.aggregate(cast, F.element_at(m, -1), lambda a, b: a * b)
+
+    return F.transform(model, one)
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+
+def posterior(v: Column, model: Column) -> Column:
+    """Probability that a text with votes ``v`` is good."""
+    each = likelihoods(v, model)
+    return each[0] / total(each)
 
 
 def estimate(patterns: DataFrame) -> DataFrame:
-    """One row (prior, accuracy array) by EM from (votes, n): counts of vote patterns."""
-    packed = patterns.groupBy().agg(F.array_sort(F.collect_list(F.struct("votes", "n"))).alias("p"))
-
-    def total(items: Column, value) -> Column:
-        return F.aggregate(items, F.lit(0.0), lambda s, x: s + value(x))
-
-    def step(state: Column, _: Column) -> Column:
-        q = F.transform("p", lambda x: F.struct(x["votes"].alias("v"), x["n"].cast("double").alias("n"), posterior(x["votes"], state["prior"], state["accuracy"]).alias("q")))
-        return F.aggregate(
-            F.array(q),
-            state,
-            lambda _s, items: F.struct(
-                F.least(F.lit(0.99), F.greatest(F.lit(0.01), (total(items, lambda x: x["n"] * x["q"]) + START_ROWS * START_PRIOR) / (total(items, lambda x: x["n"]) + START_ROWS))).alias("prior"),
-                F.array(
-                    *(
-                        F.least(
-                            F.lit(HIGH),
-                            F.greatest(
-                                F.lit(LOW),
-                                (total(items, lambda x, k=k: x["n"] * F.when(x["v"][k] == 1, x["q"]).when(x["v"][k] == -1, 1 - x["q"]).otherwise(0.0)) + START_ROWS * START_ACCURACY)
-                                / (total(items, lambda x, k=k: x["n"] * F.when(x["v"][k] == 0, 0.0).otherwise(1.0)) + START_ROWS),
-                            ),
-                        )
-                        for k in range(len(RULES))
-                    )
-                ).alias("accuracy"),
-            ),
-        )
-
-    start = F.struct(F.lit(START_PRIOR).alias("prior"), F.array(*(F.lit(START_ACCURACY) for _ in RULES)).alias("accuracy"))
-    return packed.select(F.aggregate(F.sequence(F.lit(1), F.lit(ITERATIONS)), start, step).alias("s")).select("s.prior", "s.accuracy")
+    """One row (model) by EM from (votes, n): counts of vote patterns."""
+    packed = patterns.groupBy().agg(F.array_sort(F.collect_list(F.struct("votes", "n"))).alias("p"), F.sum("n").cast("double").alias("rows"))
+    n, kinds = len(RULES), len(RULES) + 1
+    first = F.array(*(F.array(*map(F.lit, row)) for row in start()))
+    none = F.array(*(F.array(*(F.lit(0.0) for _ in range(2 * n + 1))) for _ in range(kinds)))
+
+    def share(x: Column, model: Column) -> Column:
+        """For each kind, its share of the pattern's rows: by rule those voted against, those voted on, and all."""
+        each = likelihoods(x["votes"], model)
+        rows = F.transform(each, lambda one: x["n"].cast("double") * one / total(each))
+        by_rule = [lambda w, test=test: F.transform(x["votes"], lambda v: F.when(test(v), w).otherwise(0.0)) for test in (lambda v: v == -1, lambda v: v != 0)]
+        return F.transform(rows, lambda w: F.concat(by_rule[0](w), by_rule[1](w), F.array(w)))
+
+    def step(model: Column, _: Column) -> Column:
+        sums = F.aggregate("p", none, lambda s, x: F.zip_with(s, share(x, model), lambda a, b: F.zip_with(a, b, lambda c, d: c + d)))
+        weight = START_WEIGHT * F.col("rows")
+
+        def estimated(a: Column, begun: Column) -> Column:
+            rule = F.transform(F.slice(begun, 1, n), lambda p, r: (F.get(a, r) + weight * p) / (F.get(a, r + n) + weight))
+            return F.concat(rule, F.array((F.element_at(a, -1) + weight / kinds) / (F.col("rows") + weight)))
+
+        new = F.zip_with(sums, first, estimated)
+        good = F.concat(F.array(*(F.lit(FALSE_ALARM) for _ in range(n))), F.slice(new[0], n + 1, 1))
+        return F.concat(F.array(good), F.slice(new, 2, n))
+
+    return packed.select(F.aggregate(F.sequence(F.lit(1), F.lit(ITERATIONS)), first, step).alias("model"))
 
 
 def judge(df: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least_posterior: float = 0.5) -> DataFrame:
     """Columns ``keep``, the counts, votes, quality (posterior) and good (quality above the bound).
 
     One row for each input row, repeated ones included. A null or empty text has zero
-    counts, abstains everywhere and gets the prior. Other columns are left out, whatever
+    counts, abstains everywhere and gets the share of good texts. Other columns are left out, whatever
     their names. The pattern counts are grouped with partial sums, at most 3^RULES rows;
     no text is shuffled.
     """
     counted = materialize(measure(df, text=text, keep=keep), "rule-counts").withColumn("votes", votes())
     model = estimate(counted.groupBy("votes").agg(F.count("*").alias("n")))
-    judged = counted.join(F.broadcast(model)).withColumn("quality", posterior(F.col("votes"), F.col("prior"), F.col("accuracy"))).drop("prior", "accuracy")
+    judged = counted.join(F.broadcast(model)).withColumn("quality", posterior(F.col("votes"), F.col("model"))).drop("model")
     return judged.withColumn("good", F.col("quality") > least_posterior)
 
 
@@ -155,12 +177,18 @@ def oracle(table: str = "documents") -> str:
     """DuckDB SQL of op7's rows."""
     gap = "[\\x20\\x09-\\x0D]+"
     vote = [f"CASE WHEN {b} < {least} THEN 0 WHEN CAST({a} AS DOUBLE) / greatest({b}, 1) <= {good} THEN 1 WHEN CAST({a} AS DOUBLE) / greatest({b}, 1) >= {bad} THEN -1 ELSE 0 END AS v{k}" for k, (_, a, b, good, bad, least) in enumerate(RULES)]
-    k = range(len(RULES))
-    logit = "ln(prior / (1 - prior))" + "".join(f" + v{i} * ln(a{i} / (1 - a{i}))" for i in k)
-    accuracy = ", ".join(
-        f"least({HIGH}::DOUBLE, greatest({LOW}::DOUBLE, (sum(n * CASE v{i} WHEN 1 THEN q WHEN -1 THEN 1 - q ELSE 0 END) + {START_ROWS * START_ACCURACY}::DOUBLE) / (sum(CASE WHEN v{i} = 0 THEN 0 ELSE n END) + {START_ROWS}::DOUBLE)))" for i in k
-    )
+    k, kinds = range(len(RULES)), range(len(RULES) + 1)
     names = ", ".join(f"v{i}" for i in k)
+    likely = ", ".join(f"m{j} * " + " * ".join(f"CASE v{i} WHEN -1 THEN b{j}_{i} WHEN 1 THEN 1 - b{j}_{i} ELSE 1 END" for i in k) + f" AS l{j}" for j in kinds)
+    whole = " + ".join(f"l{j}" for j in kinds)
+    begun = start()
+    first = ", ".join([*(f"{begun[j][-1]}::DOUBLE AS m{j}" for j in kinds), *(f"{begun[j][i]}::DOUBLE AS b{j}_{i}" for j in kinds for i in k)])
+    weight = f"({START_WEIGHT}::DOUBLE * sum(n))"
+
+    def against(j: int, i: int) -> str:
+        return f"{FALSE_ALARM}::DOUBLE" if j == 0 else f"(sum(CASE WHEN v{i} = -1 THEN n * l{j} / l ELSE 0 END) + {weight} * {begun[j][i]}::DOUBLE) / (sum(CASE WHEN v{i} <> 0 THEN n * l{j} / l ELSE 0 END) + {weight})"
+
+    then = ", ".join([*(f"(sum(n * l{j} / l) + {weight} / {len(kinds)}) / (sum(n) + {weight})" for j in kinds), *(against(j, i) for j in kinds for i in k)])
     return f"""
 WITH RECURSIVE split AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
@@ -181,13 +209,13 @@ WITH RECURSIVE split AS (
 ), voted AS (SELECT *, {", ".join(vote)} FROM counted
 ), patterns AS (SELECT {names}, CAST(count(*) AS DOUBLE) AS n FROM voted GROUP BY ALL
 ), em AS (
-  SELECT 0 AS it, {START_PRIOR}::DOUBLE AS prior, {", ".join(f"{START_ACCURACY}::DOUBLE AS a{i}" for i in k)}
+  SELECT 0 AS it, {first}
   UNION ALL
-  SELECT it + 1, least(0.99::DOUBLE, greatest(0.01::DOUBLE, (sum(n * q) + {START_ROWS * START_PRIOR}::DOUBLE) / (sum(n) + {START_ROWS}::DOUBLE))), {accuracy}
-  FROM (SELECT em.it, p.*, 1 / (1 + exp(-({logit}))) AS q FROM em, patterns p WHERE em.it < {ITERATIONS}) GROUP BY it
+  SELECT it + 1, {then}
+  FROM (SELECT *, {whole} AS l FROM (SELECT em.it, p.*, {likely} FROM em, patterns p WHERE em.it < {ITERATIONS})) GROUP BY it
 ), model AS (SELECT * FROM em WHERE it = {ITERATIONS})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)) AND 1 / (1 + exp(-({logit}))) > 0.5 AS kept
-FROM voted, model
+  (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)) AND l0 / ({whole}) > 0.5 AS kept
+FROM (SELECT voted.*, {likely} FROM voted, model)
 """
