@@ -47,13 +47,13 @@ def texts():
     rng = random.Random(3)
 
     def prose(n=80):
-        return " ".join(rng.sample(calm.split() * 6, n))
+        return "\n".join(" ".join(rng.sample(calm.split(), 16)) for _ in range(n // 16))
 
     rows = [(k, prose()) for k in range(400)]
     rows += [(1000 + k, " ".join(f"{w}#$%" for w in prose().split())) for k in range(40)]  # junk of one kind
     rows += [(2000 + k, prose().upper() + "!" * 40) for k in range(30)]  # of another
-    rows += [(3000, prose() + " $#%&*" * 3)]  # a few marks: no rule is sure
-    rows += [(3001, "\n".join([*(prose(40) for _ in range(4)), *["so it goes"] * 4]))]  # one rule against it
+    rows += [(3000, prose() + " $#%&*")]  # a few marks: no rule is sure
+    rows += [(3001, "\n".join([*(prose(32) for _ in range(4)), *["so it goes"] * 6]))]  # one rule against it
     rows += [(4000, "too short"), (4001, None)]
     return rows
 
