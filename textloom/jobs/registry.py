@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from textloom.functions import lines as L
 from textloom.functions import text as X
 from textloom.operators import cleaning, collection, narration, relational, segment, sequences, tabular
+from textloom.sources import files
 from textloom.sources import pages as P
 from textloom.sources.shared import materialize, new_path, spread
 
@@ -486,16 +487,42 @@ def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT row_number() OVER (ORDER BY corpus_id, part_no) AS page_num, text || {NL} AS text FROM parts""",
 )
 def page_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document parts as a folder of text files, one a part, in order of name; read back as pages."""
-    parts = materialize(P.document_parts(framed(spark, sf_dir)), "parts")
+    """Document parts as a folder of text files, numbered in order; read back as pages in order of name."""
+    parts = tabular.numbered(P.document_parts(framed(spark, sf_dir)), ("corpus_id", "part_no"))
     folder = new_path(spark, "folder")
-    tasks = parts.count() // 500 + 1  # a task numbers its files with three digits
-    order = parts.repartitionByRange(tasks, "corpus_id", "part_no").sortWithinPartitions("corpus_id", "part_no")
-    order.select("text").write.option("maxRecordsPerFile", 1).text(folder)
-    pages = P.with_places(P.read_pages(spark, folder, "part-*"))
+    named = parts.select(F.lit("parts").alias("folder"), F.format_string("part-%012d.txt", "id").alias("file_name"), F.concat("text", F.lit("\n")).alias("text"))
+    files.write_named(named, folder)
+    pages = P.with_places(P.read_pages(spark, f"{folder}/parts", "part-*"))
     return pages.select(F.col("page_num").cast("long").alias("page_num"), "text")
 
 
+_BLANKS = f"list_transform(string_split(text, {NL}), lambda x: CASE WHEN {sql_strip('x')} = '' THEN '' ELSE x END)"
+
+
+@query(
+    "named_page_files",
+    f"""SELECT corpus_id, page_num, count(*) OVER (PARTITION BY corpus_id) AS total, {sql_collapse('l')} AS text FROM (SELECT corpus_id, page_num, {_BLANKS} AS l FROM ({FRAMED}))""",
+)
+def named_page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page files under their own names, one folder a corpus, written and read back."""
+    folder = new_path(spark, "page-files")
+    P.write_page_files(framed(spark, sf_dir), folder)
+    return P.read_page_files(spark, folder)
+
+
+@query(
+    "document_files",
+    f"""WITH whole AS (SELECT corpus_id, string_agg({NL} || '===== ページ ' || page_num || ' =====' || {NL} || {NL} || text || {NL}, '' ORDER BY page_num) AS text FROM ({FRAMED}) GROUP BY 1)
+SELECT corpus_id, CAST(strlen(text) AS BIGINT) AS bytes, line, count(*) AS n FROM (SELECT corpus_id, text, unnest(string_split(left(text, length(text) - 1), {NL})) AS line FROM whole) GROUP BY ALL""",
+)
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as one file each, filled by many tasks; read back by lines, with the size of the file."""
+    folder = new_path(spark, "documents")
+    P.write_documents(framed(spark, sf_dir), folder)
+    lines = spark.read.option("lineSep", "\n").text(folder).select(F.regexp_replace("_metadata.file_name", r"\.txt\z", "").alias("corpus_id"), F.col("_metadata.file_size").alias("bytes"), F.col("value").alias("line"))
+    return lines.groupBy("corpus_id", "bytes", "line").agg(F.count("*").alias("n"))
+
+
 @query(
     "delimited_files",
     "SELECT CAST(c_custkey AS VARCHAR) AS _c0, c_name || ', \"' || c_mktsegment || '\"' AS _c1, NULLIF(CAST(c_nationkey AS VARCHAR), '7') AS _c2, CAST(NULL AS VARCHAR) AS _c3 FROM customer WHERE c_custkey >= 3",

@@ -39,5 +39,10 @@ def normalise_list(spark: SparkSession, rows: DataFrame, out: str) -> None:
 
 
 def collection_report(paths: DataFrame, out: str) -> None:
-    """Manifest of paths to the report's lines, in order over the part files."""
-    collection.report(collection.album_tracks(paths)).write.text(out)
+    """Manifest of paths to the report, one file ``report.md`` in the folder ``out``."""
+    collection.write_report(collection.album_tracks(paths), out)
+
+
+def page_folders(pages: DataFrame, out: str, single: bool = False) -> None:
+    """Pages to text files: one for each page under its number, or one for each corpus."""
+    P.write_documents(pages, out) if single else P.write_page_files(pages, out)

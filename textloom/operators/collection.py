@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.sources import files
+
 
 def album_tracks(paths: DataFrame, suffix: str = ".flac") -> DataFrame:
     """P14, A5. (artist, album, tracks) of the paths artist/album/file with the suffix."""
@@ -56,3 +58,10 @@ def markdown(albums: DataFrame) -> DataFrame:
 def report(albums: DataFrame) -> DataFrame:
     """The report's lines in order."""
     return markdown(albums).orderBy("section", "k1", "k2", "line_no").select("line")
+
+
+def write_report(albums: DataFrame, folder: str, name: str = "report.md", overwrite: bool = False) -> None:
+    """S9. The report as one file: its lines in order, with a newline between them and none at the end."""
+    first = (F.col("section") == 0) & (F.col("line_no") == 0)
+    text = F.when(first, F.col("line")).otherwise(F.concat(F.lit("\n"), "line"))
+    files.write_ordered(markdown(albums).withColumn("file", F.lit(name)).withColumn("text", text), ("section", "k1", "k2", "line_no"), folder, overwrite)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from textloom.functions import text as X
 from textloom.operators import tabular
+from textloom.sources import files
 from textloom.sources.shared import materialize
 
 #: Page numbers of one part of a document.
@@ -61,6 +62,39 @@ def page_files(pages: DataFrame) -> DataFrame:
     return rows.select("corpus_id", "page_num", X.page_name("page_num").alias("file_name"), head.alias("header"), "text")
 
 
+#: Below the two lines of a page file's header.
+RULE = "=" * 50
+
+
+def write_page_files(pages: DataFrame, path: str, overwrite: bool = False) -> None:
+    """S5. The non-blank pages as text files: ``<path>/<corpus_id>_pages/page_<n>.txt``.
+
+    Each begins with corpus, n/total and a rule; runs of blank lines are collapsed (W3).
+    """
+    body = F.array_join(X.collapse_blank_lines(F.split(X.newlines("text"), "\n")), "\n")
+    text = F.concat("header", F.lit(f"\n{RULE}\n\n"), body)
+    files.write_named(page_files(pages).select(F.concat("corpus_id", F.lit("_pages")).alias("folder"), "file_name", text.alias("text")), path, overwrite)
+
+
+def read_page_files(spark: SparkSession, path: str) -> DataFrame:
+    """S1, P3. (corpus_id, page_num, total, text) of what :func:`write_page_files` has written, without the headers."""
+    rows = files.read_named(spark, path)
+    head, rest = F.split(F.col("text"), f"\n{RULE}\n\n", 2)[0], F.split(F.col("text"), f"\n{RULE}\n\n", 2)[1]
+    number = F.regexp_extract("file_name", r"page_(\d+)", 1).cast("int")
+    total = F.regexp_extract(head, r"/(\d+)\z", 1).cast("long")
+    return rows.select(F.regexp_replace("folder", r"_pages\z", "").alias("corpus_id"), number.alias("page_num"), total.alias("total"), rest.alias("text"))
+
+
+def write_documents(pages: DataFrame, path: str, markers: bool = False, overwrite: bool = False) -> None:
+    """S6. One file ``<path>/<corpus_id>.txt`` for each corpus, with the text of :func:`whole_documents`.
+
+    Sections are sorted by range and written to their places in the file, so a corpus of any size
+    needs no more memory than one page.
+    """
+    sections = _sections(pages, markers).select(F.concat("corpus_id", F.lit(".txt")).alias("file"), "p.page_num", F.col("p.s").alias("text"))
+    files.write_ordered(sections, ("page_num",), path, overwrite)
+
+
 def write_pages(pages: DataFrame, path: str) -> None:
     """Parquet, one folder for each corpus."""
     pages.write.partitionBy("corpus_id").parquet(path)
