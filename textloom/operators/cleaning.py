@@ -1,11 +1,12 @@
 """Corpus cleaners: repeated head and tail lines, titles, duplicates, blank runs.
 
-A corpus is (corpus_id, page_num, text). Frequencies are the only shuffle; the pages
-themselves are cleaned in their rows, by array functions over columns that are made once.
+A corpus is (corpus_id, page_num, text). Summaries of frequent lines and the counts of those
+that may be wanted are the only shuffles; the pages themselves are cleaned in their rows, by array functions over columns that are made once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import lines as L
 from textloom.functions import text as X
-from textloom.sources.shared import materialize
+from textloom.sources.shared import discard, materialize
 
 
 def where_made(df: DataFrame, condition: Column) -> DataFrame:
@@ -26,16 +27,38 @@ def where_made(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("__n", F.monotonically_increasing_id()).where(condition & (F.col("__n") >= 0)).drop("__n")
 
 
+def heavy_lines(ends: DataFrame, lines: Column, per_page: int, share: float) -> DataFrame:
+    """(corpus_id, heavy): for each corpus all lines that may be on ``share`` of its pages, written.
+
+    ``lines`` is an array of at most ``per_page`` lines of a page. So a wanted line is one in
+    ``per_page / share`` of all at least, of which there are no more than that, and a summary of
+    frequent items with a few hundred counters can't miss it: its error is below half that share
+    of the lines. Tasks send one summary for each corpus, whatever the number of lines.
+    """
+    most = max(1, math.ceil(per_page / share))
+    counters = 1 << math.ceil(math.log2(7 * most))
+    top = F.call_function("approx_top_k", F.col("line"), F.lit(2 * most), F.lit(counters))
+    found = ends.select("corpus_id", F.explode(lines).alias("line")).groupBy("corpus_id").agg(top.alias("t"))
+    return materialize(found.select("corpus_id", F.transform("t", lambda x: x["item"]).alias("heavy")), "heavy-lines")
+
+
 def repeated_lines(pages: DataFrame, k: int = 5, below: int = 100, tenths: int = 4, min_pages: int = 0) -> DataFrame:
     """A1. (corpus_id, line, n): head and tail lines on at least ``tenths`` tenths of a corpus's pages.
 
-    A page counts a line once; blank pages count as pages. min_pages is 0 or 2. The wanted
-    lines are the hot keys: partial counts take them before the shuffle.
+    A page counts a line once; blank pages count as pages. min_pages is 0 or 2. Only lines that
+    summaries of frequent items let through are counted, exactly, with partial counts; the
+    others, mostly unique, are never shuffled.
     """
     found = L.candidates(L.split_lines("text", keep_trailing=False), k, below)
-    counted = pages.select("corpus_id", F.explode(found).alias("line")).groupBy("corpus_id", "line").agg(F.count("*").alias("n"))
-    sizes = pages.groupBy("corpus_id").agg(F.count("*").alias("pages"))
-    return counted.join(sizes, "corpus_id").where((10 * F.col("n") >= tenths * F.col("pages")) & (F.col("n") >= min_pages)).select("corpus_id", "line", "n")
+    ends = materialize(pages.select("corpus_id", found.alias("lines")), "ends")
+    heavy = heavy_lines(ends, F.col("lines"), 2 * k, tenths / 10)
+    few = ends.join(heavy, "corpus_id").select("corpus_id", F.explode(F.array_intersect("lines", "heavy")).alias("line"))
+    counted = few.groupBy("corpus_id", "line").agg(F.count("*").alias("n"))
+    sizes = ends.groupBy("corpus_id").agg(F.count("*").alias("pages"))
+    kept = counted.join(sizes, "corpus_id").where((10 * F.col("n") >= tenths * F.col("pages")) & (F.col("n") >= min_pages))
+    out = materialize(kept.select("corpus_id", "line", "n"), "repeated")
+    discard(ends, heavy)
+    return out
 
 
 def header_footer_patterns(pages: DataFrame, k: int = 3, halves: int = 1) -> DataFrame:
@@ -43,19 +66,27 @@ def header_footer_patterns(pages: DataFrame, k: int = 3, halves: int = 1) -> Dat
 
     n counts occurrences, so a page of few lines counts a line in both ends. kind is header
     if more pages have the pattern among the first lines than among the last, else footer.
-    One grouped pass does both.
+    One grouped pass over the patterns that :func:`heavy_lines` lets through does both.
     """
     lines = L.split_lines("text")
     norm = lambda a: F.filter(F.transform(a, lambda x: X.normalize_for_comparison(X.strip(x))), lambda x: x != "")
-    ends = pages.select("corpus_id", norm(L.head(lines, k)).alias("top"), norm(L.tail(lines, k)).alias("bottom"))
-    marks = F.concat(
-        F.transform("top", lambda x, i: F.struct(x.alias("pattern"), F.lit(1).alias("n"), F.when(F.array_position("top", x) == i + 1, 1).otherwise(0).alias("t"), F.lit(0).alias("b"))),
-        F.transform("bottom", lambda x, i: F.struct(x.alias("pattern"), F.lit(1).alias("n"), F.lit(0).alias("t"), F.when(F.array_position("bottom", x) == i + 1, 1).otherwise(0).alias("b"))),
-    )
-    counted = ends.select("corpus_id", F.inline(marks)).groupBy("corpus_id", "pattern").agg(*(F.sum(c).alias(c) for c in ("n", "t", "b")))
-    sizes = pages.groupBy("corpus_id").agg(F.count("*").alias("pages"))
+    ends = materialize(pages.select("corpus_id", norm(L.head(lines, k)).alias("top"), norm(L.tail(lines, k)).alias("bottom")), "ends")
+    heavy = heavy_lines(ends, F.concat("top", "bottom"), 2 * k, halves / 2)
+
+    def marks(end: str, top: int) -> Column:
+        def mark(x: Column, i: Column) -> Column:
+            first = F.when(F.array_position(end, x) == i + 1, 1).otherwise(0)
+            return F.struct(x.alias("pattern"), F.lit(1).alias("n"), (first * top).alias("t"), (first * (1 - top)).alias("b"))
+
+        return F.filter(F.transform(end, mark), lambda m: F.array_contains("heavy", m["pattern"]))
+
+    few = ends.join(heavy, "corpus_id").select("corpus_id", F.inline(F.concat(marks("top", 1), marks("bottom", 0))))
+    counted = few.groupBy("corpus_id", "pattern").agg(*(F.sum(c).alias(c) for c in ("n", "t", "b")))
+    sizes = ends.groupBy("corpus_id").agg(F.count("*").alias("pages"))
     kept = counted.join(sizes, "corpus_id").where(2 * F.col("n") >= halves * F.col("pages"))
-    return kept.select("corpus_id", "pattern", "n", F.when(F.col("t") > F.col("b"), "header").otherwise("footer").alias("kind"))
+    out = materialize(kept.select("corpus_id", "pattern", "n", F.when(F.col("t") > F.col("b"), "header").otherwise("footer").alias("kind")), "patterns")
+    discard(ends, heavy)
+    return out
 
 
 def with_patterns(pages: DataFrame, patterns: DataFrame, line: str = "line") -> DataFrame:
