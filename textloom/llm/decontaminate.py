@@ -9,9 +9,12 @@ function of the step and the word says so. A few sampled positions of the embedd
 one hash key; walks are repeated until the target recall is reached, and around every
 window that meets an item in a key the exact edit distance is computed.
 
-Windows go to the embedding only if they hold as many of one item's word pairs as an
-edited copy must still hold: each edit spoils two pairs at most, so this loses nothing.
-Items too short for an edit are looked up as they are, by the hash of their words.
+An edit spoils two word pairs at most, so of the 2 * edits + 1 rarest pairs of an item a copy
+still has one. Only those lead from a text to the item, and only windows go to the embedding
+that hold as many of the item's pairs as a copy must. This loses nothing.
+An item of more than PIECE words is searched for by pieces of about equal size: of a copy, one
+piece at least has no more than its share of the edits. Where that piece meets, the whole item is
+compared. Items too short for an edit are looked up as they are, by the hash of their words.
 """
 
 from __future__ import annotations
@@ -30,8 +33,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from textloom.llm._columns import materialize
 from textloom.llm._text import NOT_ALNUM, U64, Rows, Words, grams, mix, ranges, slices, span_hash, words
 
-#: Items that one pass over the documents holds at most; more items take more passes.
+#: Pieces of items that one pass over the documents holds at most, on average; more take more passes.
 PASS_ITEMS = 20_000
+#: Words of an item or piece that is searched for whole, so that walks stay few.
+PIECE = 64
+#: Pairs of a text and owners, and cells of a table, that are held at a time.
+OWNERS, CELLS = 1 << 18, 1 << 20
 SAMPLED = 2
 RECALL = 0.9999
 #: Walks that are tried to estimate how often an edited copy meets its item.
@@ -50,22 +57,34 @@ class Items:
     least: int
 
 
+@dataclass
+class Pieces(Items):
+    """Pieces of one length and number of edits; of each the item (length group, line there) and the place in it."""
+
+    whole: np.ndarray
+    of: np.ndarray
+    offset: np.ndarray
+
+
 @dataclass
 class Index:
-    groups: list[Items]
+    items: list[Items]
+    pieces: list[Pieces]
     pairs: np.ndarray
     salts: np.ndarray
     picks: np.ndarray  # walks x SAMPLED, as shares of the 2n steps in which words are emitted
-    keys: list[np.ndarray]  # for each group: items x the walks of its length
-    owners: np.ndarray  # the items that have each word pair, pair by pair
+    keys: list[np.ndarray]  # for each group of pieces: pieces x the walks of its length
+    owners: np.ndarray  # the pieces that have each word pair among their rarest, pair by pair
+    places: np.ndarray  # and where in the piece
     owner_start: np.ndarray
     owner_end: np.ndarray
-    group: np.ndarray  # of each item: its group, line there, length, edits and least common pairs
+    has: np.ndarray  # piece * len(pairs) + pair for all pairs of each piece, sorted
+    group: np.ndarray  # of each piece: its group, line there, length, edits and least common pairs
     line: np.ndarray
     length: np.ndarray
     edits: np.ndarray
     least: np.ndarray
-    runs: np.ndarray  # pairs that follow themselves in some item
+    runs: np.ndarray  # pairs that follow themselves in some piece
     exact: list[tuple[int, np.ndarray, np.ndarray]]  # items without edits, by length: sorted hashes, and ids
 
 
@@ -168,6 +187,11 @@ def walks_needed(g: Items, recall: float) -> int:
     return 1 if p >= 1 else int(np.ceil(np.log(1 - recall) / np.log(1 - p)))
 
 
+def least_pairs(n: int, edits: int) -> int:
+    """Word pairs that an edited copy of ``n`` words still has."""
+    return max(1, n - 1 - 2 * edits)
+
+
 def build(items: list[tuple[object, str | None]], tolerance: float, recall: float = RECALL, least_words: int = 1) -> Index:
     """Index of some items: word pairs, walks and keys."""
     column = pa.array([t or "" for _, t in items], pa.string())
@@ -178,7 +202,8 @@ def build(items: list[tuple[object, str | None]], tolerance: float, recall: floa
             h = w.hash[w.first[k] : w.first[k + 1]]
             if len(h) >= max(1, least_words):
                 by_length[len(h)].append((items[rows.first + k][0], h))
-    groups, exact = [], []
+    items_by_length, exact = [], []
+    cut: dict[tuple[int, int], list[tuple[np.ndarray, int, int, int]]] = defaultdict(list)
     for n, found in sorted(by_length.items()):
         edits = int(np.floor(tolerance * n + 1e-9))
         if not edits:
@@ -186,62 +211,105 @@ def build(items: list[tuple[object, str | None]], tolerance: float, recall: floa
             order = np.argsort(h, kind="stable")
             exact.append((n, h[order], np.array([i for i, _ in found])[order]))
             continue
-        groups.append(Items(n, np.array([i for i, _ in found]), np.stack([h for _, h in found]), edits, max(1, n - 1 - 2 * edits)))
-    counts = [walks_needed(g, recall) for g in groups]
+        bounds = [n * k // -(-n // PIECE) for k in range(-(-n // PIECE) + 1)]
+        for line, (_, h) in enumerate(found):
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                cut[b - a, edits // (len(bounds) - 1)].append((h[a:b], len(items_by_length), line, a))
+        items_by_length.append(Items(n, np.array([i for i, _ in found]), np.stack([h for _, h in found]), edits, least_pairs(n, edits)))
+    pieces = [Pieces(n, np.arange(len(some)), np.stack([x[0] for x in some]), edits, least_pairs(n, edits), *(np.array([x[k] for x in some], np.int64) for k in (1, 2, 3))) for (n, edits), some in sorted(cut.items())]
+    counts = [walks_needed(g, recall) for g in pieces]
     salts, picks = draw_walks(max(counts, default=1))
-    keys = []
-    for g, count in zip(groups, counts, strict=True):
-        keys.append(embed_keys(g.symbols.ravel(), np.arange(len(g.ids)) * g.n, np.full(len(g.ids), g.n), g.n, salts[:count], picks[:count]))
-    flat = [(k, j, g, s) for k, g in enumerate(groups) for j, s in enumerate(g.symbols)]
-    own = [np.unique(pair_hash(s)) for *_, s in flat]
-    every = np.concatenate(own or [np.zeros(0, U64)])
-    owner = np.repeat(np.arange(len(own)), [len(x) for x in own]).astype(np.int64)
-    order = np.argsort(every, kind="stable")
-    pairs, begin, size = np.unique(every[order], return_index=True, return_counts=True)
-    runs = np.isin(pairs, np.concatenate([p[1:][p[1:] == p[:-1]] for p in (pair_hash(s) for *_, s in flat)] or [np.zeros(0, U64)]))
-    facts = (np.array([x for x in column], np.int64) for column in ([k for k, *_ in flat], [j for _, j, *_ in flat], *([f(g) for _, _, g, _ in flat] for f in (lambda g: g.n, lambda g: g.edits, lambda g: g.least))))
-    return Index(groups, pairs, salts, picks, keys, owner[order], begin, begin + size, *facts, runs, exact)
-
-
-def windows(index: Index, hits: np.ndarray, pair: np.ndarray, w: Words) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Item lines and starts, by group, where a copy may begin: enough word pairs of that item follow.
-
-    hits: positions of word pairs of the items, in order; pair: which pair each is. A copy
-    has from n - edits to n + edits words.
+    keys = [embed_keys(g.symbols.ravel(), np.arange(len(g.ids)) * g.n, np.full(len(g.ids), g.n), g.n, salts[:count], picks[:count]) for g, count in zip(pieces, counts, strict=True)]
+    flat = [(k, j, g) for k, g in enumerate(pieces) for j in range(len(g.ids))]
+    hashes = [pair_hash(g.symbols[j]) for _, j, g in flat]
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    every, piece = np.concatenate(hashes or [np.zeros(0, U64)]), np.repeat(np.arange(len(hashes)), sizes)
+    place = ranges(np.zeros(len(sizes), np.int64), sizes)
+    pairs, pair = np.unique(every, return_inverse=True)
+    has = np.unique(piece * max(1, len(pairs)) + pair)
+    held_by = np.bincount(has % max(1, len(pairs)), minlength=len(pairs))
+    runs = np.isin(np.arange(len(pairs)), pair[1:][(pair[1:] == pair[:-1]) & (piece[1:] == piece[:-1])])
+    rank = np.lexsort((place, held_by[pair], piece))  # the rarest pairs of each piece first
+    most = np.array([2 * g.edits + 1 for *_, g in flat], np.int64)
+    rare = rank[np.arange(len(rank)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < most[piece[rank]]]
+    rare = rare[np.argsort(pair[rare], kind="stable")]
+    begin, end = (np.searchsorted(pair[rare], np.arange(len(pairs)), side) for side in ("left", "right"))
+    facts = (np.array(list(column), np.int64) for column in ([k for k, *_ in flat], [j for _, j, _ in flat], *([f(g) for *_, g in flat] for f in (lambda g: g.n, lambda g: g.edits, lambda g: g.least))))
+    return Index(items_by_length, pieces, pairs, salts, picks, keys, piece[rare], place[rare], begin, end, has, *facts, runs, exact)
+
+
+def candidates(index: Index, known: np.ndarray, hits: np.ndarray, pair: np.ndarray, w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(piece, position) of the pieces' pairs in a text near each of their rarest pairs, where they are as many as a copy has.
+
+    known: positions of word pairs of the pieces; hits: those that count towards a copy, in
+    order; pair: which pair is at each position. All in bounded parts.
     """
-    size = index.owner_end[pair] - index.owner_start[pair]
-    owner = index.owners[ranges(index.owner_start[pair], size)]
-    at = np.repeat(hits, size)
-    order = np.argsort(owner * (len(w) + 1) + at, kind="stable")
-    owner, at = owner[order], at[order]
-    least, n, edits = index.least[owner], index.length[owner], index.edits[owner]
-    i = np.arange(len(at))
-    j = i + least - 1
-    i, j = i[j < len(at)], j[j < len(at)]
-    fits = (owner[i] == owner[j]) & (at[j] - at[i] <= n[i] + edits[i] - 2) & (w.row[at[i]] == w.row[at[j]])
-    i, j = i[fits], j[fits]
-    n, edits, row = n[i], edits[i], w.row[at[i]]
-    begin, end = w.first[row], w.first[row + 1]
-    low = np.maximum(at[j] - (n + edits - 2), begin)
-    high = np.minimum(at[i], end - (n - edits))
-    count = np.maximum(high - low + 1, 0)
-    code = np.unique(np.repeat(owner[i], count) * (len(w) + 1) + ranges(low, count))
-    owner, start = code // (len(w) + 1), code % (len(w) + 1)
-    group = index.group[owner]
-    return {int(k): (index.line[owner[group == k]], start[group == k]) for k in np.unique(group)}
-
-
-def spans(start: np.ndarray, line: np.ndarray, g: Items, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item line, begin, end) of the words around candidates, ``edits`` more on both sides.
+    counts = np.zeros(len(w) + 1, np.int64)
+    counts[hits + 1] = 1
+    counts = np.cumsum(counts)
+    size = index.owner_end[pair[known]] - index.owner_start[pair[known]]
+    ends = np.cumsum(size)
+    a = 0
+    while a < len(known):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + OWNERS, "right")))
+        some = ranges(index.owner_start[pair[known[a:b]]], size[a:b])
+        owner, at = index.owners[some], np.repeat(known[a:b], size[a:b])
+        n, edits, row = index.length[owner], index.edits[owner], w.row[at]
+        begin = np.maximum(at - index.places[some] - edits, w.first[row])
+        end = np.minimum(at - index.places[some] + n + 2 * edits, w.first[row + 1])
+        fits = counts[np.maximum(end - 1, begin)] - counts[begin] >= index.least[owner]
+        code = np.unique(owner[fits] * (len(w) + 1) + begin[fits])
+        owner, begin = code // (len(w) + 1), code % (len(w) + 1)
+        n, edits = index.length[owner], index.edits[owner]
+        end = np.minimum(begin + n + 3 * edits, w.first[w.row[begin] + 1])
+        a = b
+        reach = np.cumsum(end - begin)
+        c = 0
+        while c < len(owner):
+            d = max(c + 1, int(np.searchsorted(reach, (reach[c - 1] if c else 0) + CELLS, "right")))
+            # the hits of each stretch
+            low, high = np.searchsorted(hits, begin[c:d]), np.searchsorted(hits, end[c:d] - 1)
+            at, of = hits[ranges(low, high - low)], np.repeat(owner[c:d], high - low)
+            code = of * len(index.pairs) + pair[at]
+            there = index.has[np.minimum(np.searchsorted(index.has, code), len(index.has) - 1)] == code
+            found = np.unique(of[there] * (len(w) + 1) + at[there])
+            yield found // (len(w) + 1), found % (len(w) + 1)
+            c = d
+
+
+def windows(index: Index, known: np.ndarray, hits: np.ndarray, pair: np.ndarray, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Groups of pieces, with lines and starts where a copy may begin: enough word pairs of that piece follow.
+
+    A copy has from n - edits to n + edits words.
+    """
+    for owner, at in candidates(index, known, hits, pair, w):
+        least, n, edits = index.least[owner], index.length[owner], index.edits[owner]
+        i = np.arange(len(at))
+        j = i + least - 1
+        i, j = i[j < len(at)], j[j < len(at)]
+        fits = (owner[i] == owner[j]) & (at[j] - at[i] <= n[i] + edits[i] - 2) & (w.row[at[i]] == w.row[at[j]])
+        i, j = i[fits], j[fits]
+        n, edits, row = n[i], edits[i], w.row[at[i]]
+        begin, end = w.first[row], w.first[row + 1]
+        low = np.maximum(at[j] - (n + edits - 2), begin)
+        high = np.minimum(at[i], end - (n - edits))
+        count = np.maximum(high - low + 1, 0)
+        code = np.unique(np.repeat(owner[i], count) * (len(w) + 1) + ranges(low, count))
+        piece, start = code // (len(w) + 1), code % (len(w) + 1)
+        group = index.group[piece]
+        for k in np.unique(group).tolist():
+            yield k, index.line[piece[group == k]], start[group == k]
+
+
+def spans(line: np.ndarray, low: np.ndarray, high: np.ndarray, g: Items, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item line, begin, end) of the words around candidates, from ``low`` to ``high``.
 
     Overlapping ones of an item are one, then cut into bounded pieces that share the words
     of a whole copy.
     """
-    row = w.row[start]
-    low = np.maximum(start - g.edits, w.first[row])
-    high = np.minimum(start + g.n + g.edits, w.first[row + 1])
     order = np.lexsort((low, line))
-    line, low, high, row = line[order], low[order], high[order], row[order]
+    line, low, high = line[order], low[order], high[order]
+    row = w.row[low]
     new = np.ones(len(line), bool)
     new[1:] = (line[1:] != line[:-1]) | (row[1:] != row[:-1]) | (low[1:] > high[:-1])
     at = np.flatnonzero(new)
@@ -252,11 +320,17 @@ def spans(start: np.ndarray, line: np.ndarray, g: Items, w: Words) -> tuple[np.n
     return np.repeat(line, pieces), begin, np.minimum(begin + 4 * reach, np.repeat(high, pieces))
 
 
-def fixed(start: np.ndarray, line: np.ndarray, g: Items, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item line, begin, end) of the windows of an item's length at candidates; a shorter text is its window."""
-    first, last = w.first[w.row[start]], w.first[w.row[start] + 1]
-    begin = np.maximum(np.minimum(start, last - g.n), first)
-    return line, begin, np.minimum(begin + g.n, last)
+def compared(g: Items, line: np.ndarray, begin: np.ndarray, end: np.ndarray, w: Words, free: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Least distance of each item to the runs of a stretch of words (without ``free``: to all of it), and where the run starts."""
+    distance, first = np.zeros(len(line), np.int64), np.zeros(len(line), np.int64)
+    width = int((end - begin).max(initial=1))
+    step = max(1, min(512, CELLS // width))
+    for a in range(0, len(line), step):
+        some = slice(a, a + step)
+        size = (end - begin)[some]
+        grid = np.minimum(begin[some, None] + np.arange(size.max()), len(w) - 1)
+        distance[some], first[some] = nearest(g.symbols[line[some]], w.hash[grid], size, free)
+    return distance, begin + first
 
 
 def search(index: Index, rows: Rows, free_ends: bool = False) -> Iterator[tuple[int, object, int, int, int]]:
@@ -280,27 +354,43 @@ def search(index: Index, rows: Rows, free_ends: bool = False) -> Iterator[tuple[
     again = np.zeros(len(h) + 1, bool)
     again[1:-1] = (h[1:] == h[:-1]) & (w.row[2:] == w.row[:-2])
     hits = np.flatnonzero(known & ~(again[:-1] & again[1:] & ~index.runs[at]))
-    for which, (line, start) in windows(index, hits, at[hits], w).items():
-        g, keys = index.groups[which], index.keys[which]
-        met = np.zeros(len(start), bool)
+    met: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+    for which, line, start in windows(index, np.flatnonzero(known), hits, at, w):
+        g, keys = index.pieces[which], index.keys[which]
+        walks = keys.shape[1]
+        same = np.zeros(len(start), bool)
         for a in range(0, len(start), 4096):
             s, back = np.unique(start[a : a + 4096], return_inverse=True)
-            walks = keys.shape[1]
             got = embed_keys(w.hash, s, np.minimum(g.n, w.first[w.row[s] + 1] - s), g.n, index.salts[:walks], index.picks[:walks])
-            met[a : a + 4096] = same_keys(got[back], keys[line[a : a + 4096]]).any(1)
-        if not met.any():
-            continue
+            same[a : a + 4096] = same_keys(got[back], keys[line[a : a + 4096]]).any(1)
+        line, start = line[same], start[same]
+        for whole in np.unique(g.whole[line]).tolist():
+            here = g.whole[line] == whole
+            item, one = index.items[whole], index.items[whole].n == g.n
+            row, begin = w.row[start[here]], start[here] - g.offset[line[here]]
+            low = np.maximum(begin - item.edits, w.first[row])
+            high = np.minimum(begin + item.n + item.edits * (1 if one else 2), w.first[row + 1])
+            met[whole].append((g.of[line[here]], start[here] if one else low, low, high))
+    for which, found in sorted(met.items()):
+        g = index.items[which]
+        line, start, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+        if free_ends or g.n > PIECE:
+            line, low, high = spans(line, low, high, g, w)
+            distance, begin = compared(g, line, low, high, w, True)
+        if not free_ends:
+            if g.n > PIECE:  # only where some run is near enough can a window of the item's length be
+                near = distance <= g.edits
+                count = np.maximum(high - low - g.n + 1, 1)[near]
+                line, start = np.repeat(line[near], count), ranges(low[near], count)
+            first, last = w.first[w.row[start]], w.first[w.row[start] + 1]
+            low = np.maximum(np.minimum(start, last - g.n), first)
+            distance, begin = compared(g, line, low, np.minimum(low + g.n, last), w, False)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        it, begin, end = spans(start[met], line[met], g, w) if free_ends else fixed(start[met], line[met], g, w)
-        for a in range(0, len(it), 512):
-            i, b, size = it[a : a + 512], begin[a : a + 512], (end - begin)[a : a + 512]
-            grid = np.minimum(b[:, None] + np.arange(size.max()), len(w) - 1)
-            distance, first = nearest(g.symbols[i], w.hash[grid], size, free_ends)
-            for k in np.flatnonzero(distance <= g.edits):
-                key = int(w.row[b[k]]), int(i[k])
-                best[key] = min(best.get(key, (1 << 30, 0)), (int(distance[k]), int(b[k] + first[k])))
-        for (row, item), (distance, s) in sorted(best.items()):
-            yield row, g.ids[item], s - int(w.first[row]), g.n, distance
+        for k in np.flatnonzero(distance <= g.edits):
+            key = int(w.row[begin[k]]), int(line[k])
+            best[key] = min(best.get(key, (1 << 30, 0)), (int(distance[k]), int(begin[k])))
+        for (row, item), (least, s) in sorted(best.items()):
+            yield row, g.ids[item], s - int(w.first[row]), g.n, least
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.2, recall: float = RECALL, least_words: int = 1, pass_items: int = PASS_ITEMS, free_ends: bool = False) -> DataFrame:
@@ -314,19 +404,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", d
     none; items without words, and of fewer than ``least_words`` words if that is asked for, are not
     searched for, nor are null items. At the default tolerance items of fewer than five words allow no edit.
     Other columns are left out, whatever their names. Narrow over the documents: items go
-    along with the tasks, at most ``pass_items`` of them in one pass. Further passes follow one
+    along with the tasks, about ``pass_items`` pieces of them in one pass. Further passes follow one
     by one, each written before the next is built, so driver and tasks hold one index.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
-    passes = max(1, -(-items.count() // pass_items))
+    passes = passes_of(items, pass_items)
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", benchmark.schema[item_id].dataType)] + [T.StructField(c, T.LongType()) for c in ("start_word", "item_words", "distance")])
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
 
     def one(index: Index) -> DataFrame:
+        state = docs.sparkSession.sparkContext.broadcast(index)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch.column(1)):
-                    found = list(search(index, part, free_ends))
+                    found = list(search(state.value, part, free_ends))
                     if found:
                         row, item, *rest = zip(*found, strict=True)
                         ids = batch.column(0).take(pa.array([part.first + r for r in row]))
@@ -344,6 +436,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", d
     return out
 
 
+def passes_of(items: DataFrame, pass_items: int) -> int:
+    """Passes in which each has about ``pass_items`` pieces."""
+    words = F.regexp_count("text", F.lit(r"[A-Za-z0-9]+|[^\x00-\x7f]"))
+    return max(1, -(-(items.agg(F.sum(F.greatest(F.lit(1), F.ceil(words / PIECE)))).first()[0] or 0) // pass_items))
+
+
 def item_passes(items: DataFrame, passes: int) -> Iterator[list[tuple[object, str | None]]]:
     """The items in ``passes`` parts, one at a time on the driver."""
     for k in range(passes):
@@ -358,13 +456,15 @@ def leaked(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", name: s
     shuffled. Null and empty texts have none; an input column of that name is replaced.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
-    passes = max(1, -(-items.count() // pass_items))
+    passes = passes_of(items, pass_items)
 
     def one(index: Index, searched: Column) -> Column:
+        state = docs.sparkSession.sparkContext.broadcast(index)
+
         def run(column: pa.Array) -> pa.Array:
             out = np.zeros(len(column), bool)
             for part in slices(column):
-                out[[part.first + r[0] for r in search(index, part, free_ends)]] = True
+                out[[part.first + r[0] for r in search(state.value, part, free_ends)]] = True
             return pa.array(out)
 
         return F.arrow_udf(run, "boolean")(searched)
