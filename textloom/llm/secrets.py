@@ -62,6 +62,10 @@ def _lexer(quotes: str) -> re.Pattern[str]:
 #: By the quotes that may begin a string.
 _LEX = {quotes: _lexer("".join(quotes)) for n in range(4) for quotes in combinations(QUOTES, n)}
 _BARE = re.compile(r"[^\s\"'`,;#&(){}\[\]]+")
+#: A string over several lines, and a block value: its mark, and what may follow on the line.
+_TRIPLE = ('"""', "'''")
+_BLOCK = re.compile(r"[|>][+-]?[1-9]?[+-]?[ \t]*(?:#[^\n]*)?\n")
+_LINE = re.compile(r"([ \t]*)([^\n]*)\n?")
 _ANCHOR = re.compile(r"&([A-Za-z0-9_-]+)[ \t]+")
 _INSERTED = re.compile(r"\{\{?\s*([A-Za-z_][A-Za-z0-9_.]*)\s*\}?\}|\$([A-Za-z_][A-Za-z0-9_]*)")
 _ELEMENT = re.compile(r"<([A-Za-z][A-Za-z0-9_.:-]*)(?:\s[^<>]*)?>\s*+([^<>\s][^<>]*)</\1\s*>")
@@ -107,9 +111,10 @@ def assignments(text: str) -> Iterator[tuple[str, Pieces, Pieces]]:
     Understood: ``name = "x"``, ``name: type = "x"``, ``name: x``, ``"name": "x"``,
     ``name := x``, ``name => x``, ``export NAME=x``, ``table["name"] = "x"``,
     ``call("name", "x")``, ``name: &anchor x`` and ``name: *anchor``, literals joined by + or
-    side by side, names on the right or inserted in a string (``{name}``, ``$name``), and
-    three kinds of quotes. Quoted literals and keys may have any length; a string ends on
-    its line.
+    side by side, names on the right or inserted in a string (``{name}``, ``$name``), three
+    kinds of quotes, strings in three quotes over several lines, and indented blocks behind
+    ``name: |`` and ``name: >``, of both each line for itself. Quoted literals and keys may have
+    any length; another string ends on its line. Linear: what is read ahead is not read again.
     """
     at, n = 0, len(text)
     target: str | None = None
@@ -122,6 +127,11 @@ def assignments(text: str) -> Iterator[tuple[str, Pieces, Pieces]]:
     refs: Pieces = []
     # a quote that its line does not close: no quote of its kind before there begins a string either
     dead = dict.fromkeys(QUOTES, 0)
+    unclosed: set[str] = set()  # three quotes that nothing closes from here on
+    bare_end = 0  # where the bare value ends that was read last
+
+    def lines(start: int, end: int) -> Pieces:
+        return [(m[2].rstrip(), m.start(2), m.start(2) + len(m[2].rstrip())) for m in _LINE.finditer(text, start, end) if m[2].strip()]
 
     def done() -> Iterator[tuple[str, Pieces, Pieces]]:
         if target is not None and (literals or refs):
@@ -138,6 +148,14 @@ def assignments(text: str) -> Iterator[tuple[str, Pieces, Pieces]]:
             at = stop
             continue
         kind, got, at = m.lastgroup, m[0], m.end()
+        if kind in ("string", "open") and (three := text[m.start() : m.start() + 3]) in _TRIPLE and three not in unclosed:
+            end = text.find(three, m.start() + 3)
+            if end >= 0:
+                if target is not None:
+                    literals += lines(m.start() + 3, end)
+                at, last, first, opened = end + 3, None, None, False
+                continue
+            unclosed.add(three)
         if kind == "open":
             dead[got[0]], at = at, m.start()
             continue
@@ -159,14 +177,31 @@ def assignments(text: str) -> Iterator[tuple[str, Pieces, Pieces]]:
             if a := _ANCHOR.match(text, p):
                 anchor, p = a[1], a.end()
                 at = p
-            b = _BARE.match(text, p)
-            if b and b[0][0] == "*" and len(b[0]) > 1:
-                refs.append((b[0][1:], p + 1, b.end()))
-                at = b.end()
-            elif b and not _IDENTIFIER.fullmatch(b[0]) and b[0][0] not in "<>=!" and text[b.end() : b.end() + 1] not in ("(", '"', "'", "`"):
-                literals.append((b[0], p, b.end()))
-                refs += [(x[1] or x[2], p, p) for x in _INSERTED.finditer(b[0])]
-                at = b.end()
+            if got == ":" and p < n and text[p] in "|>" and (block := _BLOCK.match(text, p)):
+                begin = text.rfind("\n", 0, m.start()) + 1
+                indent = _LINE.match(text, begin).end(1) - begin
+                end = block.end()
+                while (line := _LINE.match(text, end)) and line.end() > end and (not line[2].strip() or line.end(1) - end > indent):
+                    end = line.end()
+                literals += lines(block.end(), end)
+                at = end
+                yield from done()
+                target, literals, refs, by, anchor = None, [], [], "", None
+                continue
+            if p >= bare_end:
+                bare = _BARE.match(text, p)
+                bare_end = bare.end() if bare else p
+            behind, head = text[bare_end : bare_end + 1], text[p : p + 1]
+            if bare_end <= p or behind in ("(", '"', "'", "`") and head != "*" or head in "<>=!":
+                continue
+            value = text[p:bare_end]
+            if head == "*" and len(value) > 1:
+                refs.append((value[1:], p + 1, bare_end))
+                at = bare_end
+            elif behind not in ("(", '"', "'", "`") and not _IDENTIFIER.fullmatch(value):
+                literals.append((value, p, bare_end))
+                refs += [(x[1] or x[2], p, p) for x in _INSERTED.finditer(value)]
+                at = bare_end
         elif kind == "string":
             last = got[1:-1]
             if argument:
@@ -246,6 +281,8 @@ def sensitive_literals(text: str, threshold: float = THRESHOLD) -> list[tuple[in
         for value, a, b in own[name]:
             if (a, b) not in best or best[a, b] < s:
                 best[a, b] = s
+    for m in _ATTRIBUTES.finditer(text) if "<" in text else ():
+        best.pop(m.span(1), None)  # the name of a pair, not what ``key=`` is assigned
     return sorted(k for k, s in best.items() if (v := value_score(text[k[0] : k[1]])) and 0.5 * s + 0.5 * v >= threshold)
 
 
