@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +44,12 @@ def byte_symbols() -> dict[int, str]:
 
 
 class Vocabulary:
-    """A byte-level BPE file: merge ranks, token bytes and special tokens."""
+    """A byte-level BPE file, given by its path or its bytes: merge ranks, token bytes and special tokens."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, source: str | bytes, pattern: str):
         import regex
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = json.loads(source if isinstance(source, bytes) else Path(source).read_bytes())
         symbols = byte_symbols()
         back = {c: b for b, c in symbols.items()}
         ids: dict[str, int] = spec["model"]["vocab"]
@@ -250,13 +250,16 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str, pattern: str) -> Vocabulary:
-    return Vocabulary(path, pattern)
+def vocabulary(source: str | bytes, pattern: str) -> Vocabulary:
+    return Vocabulary(source, pattern)
 
 
 def valid(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Texts from bytes; malformed sequences become U+FFFD, as a lossy decoder has it."""
+    """Texts from bytes; malformed sequences, also those that two rows share, become U+FFFD, as a lossy decoder has it."""
+    inner = bounds[(bounds > 0) & (bounds < len(data))]
     try:
+        if (data[inner] & 0xC0 == 0x80).any():
+            raise UnicodeDecodeError("utf-8", b"", 0, 1, "a character over two rows")
         data.tobytes().decode("utf-8")
         return strings(data.tobytes(), bounds)
     except UnicodeDecodeError:
@@ -272,8 +275,10 @@ def encode_decode(df: DataFrame, path: str, pattern: str, *, text: str = "text",
     """
     schema = T.StructType([df.schema[k] for k in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
+    state = df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())  # a few MB; workers need no file
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path, pattern)
+        v = vocabulary(state.value, pattern)
         for batch in batches:
             for rows in slices(batch.column(0)):
                 ids, counts = v.encode([rows.text(k) for k in range(len(rows))])
@@ -286,15 +291,23 @@ def encode_decode(df: DataFrame, path: str, pattern: str, *, text: str = "text",
 
 
 def decode(df: DataFrame, path: str, pattern: str, *, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Decode arrays of ids: columns ``keep``, decoded string. Null ids decode to the empty text."""
+    """Decode arrays of ids: columns ``keep``, decoded string.
+
+    A null array decodes to the empty text; null ids and ids that the vocabulary doesn't have,
+    negative ones too, are left out. Bytes that are no character in their row, as where ids split
+    one over two rows, become U+FFFD. One row for each input row, repeated ones included; other
+    columns are left out, whatever their names.
+    """
     schema = T.StructType([df.schema[k] for k in keep] + [T.StructField("decoded", T.StringType())])
 
+    state = df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())  # a few MB; workers need no file
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path, pattern)
+        v = vocabulary(state.value, pattern)
         for batch in batches:
-            lists = batch.column(0).to_pylist()
-            counts = np.array([len(x or ()) for x in lists], np.int64)
-            flat = np.array([i for x in lists for i in x or ()], np.int64)
+            lists = [[i for i in x or () if i is not None and 0 <= i < v.size] for x in batch.column(0).to_pylist()]
+            counts = np.array([len(x) for x in lists], np.int64)
+            flat = np.array([i for x in lists for i in x], np.int64)
             kept = [batch.column(k + 1) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, valid(*v.decode(flat, counts))], names=[*keep, "decoded"])
 
