@@ -7,10 +7,13 @@ White space and digits are Unicode's, as Python's ``str.strip`` and ``\\d`` have
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.patterns import remove_literals
+
 # Character classes, tags and patterns that results depend on.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -174,11 +177,24 @@ def clean_only(c: str | Column) -> Column:
     return F.array_join(collapse_blank_lines(lines), "\n")
 
 
+#: Literals in a row from which an automaton looks for them all at once.
+MANY = 64
+
+
 def remove_patterns(c: str | Column, patterns: Sequence[str]) -> Column:
-    """P5. Literals, or regular expressions behind ``regex:``, removed in the given order."""
+    """P5. Literals, or regular expressions behind ``regex:``, removed in the given order.
+
+    Few are one expression each. MANY literals in a row or more, thousands too, are looked for by
+    one automaton, and only those that a text has are applied; the result is the same.
+    """
     out = col(c)
-    for p in patterns:
-        out = F.regexp_replace(out, p[6:], "") if p.startswith("regex:") else F.replace(out, F.lit(p), F.lit(""))
+    for regex, group in groupby(patterns, lambda p: p.startswith("regex:")):
+        some = list(group)
+        if not regex and len(some) >= MANY:
+            out = remove_literals(out, some)
+            continue
+        for p in some:
+            out = F.regexp_replace(out, p[6:], "") if regex else F.replace(out, F.lit(p), F.lit(""))
     return out
 
 

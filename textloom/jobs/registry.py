@@ -343,6 +343,16 @@ def sql_x10(source: str) -> str:
 scalar("x10_clean_only", X.clean_only, sql_x10(f"({_LENSED})"))
 scalar("p5_remove_patterns", lambda c: X.remove_patterns(c, ("regex:\\p{Nd}+", "。", "regex:[あい]{2,}")), lensed(rr(f"replace({rr('text', chr(92) + 'p{Nd}+')}, '。', '')", "[あい]{2,}")))
 
+#: Thousands of three-letter literals by a rule, in an order of their own; what one removes may bring a later one together.
+MANY_PATTERNS = tuple(chr(97 + k % 26) + chr(97 + k // 26 % 26) + chr(97 + k // 676) for k in (i * 7919 % 17576 for i in range(5000)))
+_MANY = "list_transform(range(5000), lambda i: [chr(CAST(97 + (i * 7919 % 17576) % 26 AS INTEGER)) || chr(CAST(97 + (i * 7919 % 17576) // 26 % 26 AS INTEGER)) || chr(CAST(97 + (i * 7919 % 17576) // 676 AS INTEGER))])"
+_REMOVED = f"list_reduce(list_concat([[lower(coalesce(text, ''))]], {_MANY}), lambda a, b: [replace(a[1], b[1], '')])[1]"
+
+
+@query("p5_many_patterns", f"SELECT doc_id, {_REMOVED} AS text FROM documents")
+def p5_many_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", X.remove_patterns(F.lower(F.coalesce("text", F.lit(""))), MANY_PATTERNS).alias("text"))
+
 
 def cut_lens(c: Column) -> Column:
     """The lens with conjunctions where a long sentence without commas is cut; every second text has no commas or no final mark."""
