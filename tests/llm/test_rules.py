@@ -14,14 +14,18 @@ DATA = "/root/testdata/sf0.01"
 def em(patterns):
     """The model by loops, from {votes: rows}."""
     n, rows = len(rules.RULES), sum(patterns.values())
-    begun = [[0.02] * n] + [[0.9 if r == k else 0.1 for r in range(n)] for k in range(n)]
+    wrong = []
+    for r in range(n):
+        bad, cast = (sum(m for v, m in patterns.items() if test(v[r])) for test in (lambda x: x == -1, lambda x: x != 0))
+        wrong.append(max(0.02, min(0.98, (bad / cast - 0.5) / 0.5)))
+    begun = [wrong] + [[0.9 if r == k else max(0.1, wrong[r]) for r in range(n)] for k in range(n)]
     against, share, weight = begun, [0.9] + [0.1 / n] * n, 0.005 * rows
     for _ in range(rules.ITERATIONS):
         by = {v: likely(v, against, share) for v in patterns}
         part = {v: [patterns[v] * x / math.fsum(by[v]) for x in by[v]] for v in patterns}
         share = [(math.fsum(part[v][k] for v in patterns) + weight / (n + 1)) / (rows + weight) for k in range(n + 1)]
         against = [
-            [0.02 if k == 0 else (math.fsum(part[v][k] for v in patterns if v[r] == -1) + weight * begun[k][r]) / (math.fsum(part[v][k] for v in patterns if v[r]) + weight) for r in range(n)]
+            [wrong[r] if k == 0 else (math.fsum(part[v][k] for v in patterns if v[r] == -1) + weight * begun[k][r]) / (math.fsum(part[v][k] for v in patterns if v[r]) + weight) for r in range(n)]
             for k in range(n + 1)
         ]
     return against, share
@@ -58,6 +62,14 @@ def texts():
     return rows
 
 
+def test_rule_against_most_texts_is_not_trusted(spark):
+    """Where nearly all texts repeat lines, that is no sign of junk; what only few have still is."""
+    calm = "plain words in a calm line of text and more of them here\n" * 2
+    rows = [(k, calm + f"line {k} of them all goes on") for k in range(90)] + [(100 + k, calm + "$%#" * 20 + f" line {k} goes on") for k in range(10)]
+    got = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(-1 in got[k]["votes"] and got[k]["good"] for k in range(90)) and not any(got[100 + k]["good"] for k in range(10))
+
+
 def test_verdicts_differ_from_the_base_rules_both_ways(spark, tmp_path):
     rows = texts()
     frame = spark.createDataFrame(rows, "doc_id long, text string")

@@ -6,11 +6,14 @@ len(RULES) kinds of junk; kind k begins as what rule k is against. Expectation-m
 the counts of vote patterns (at most 3^len(RULES) rows, one row of arrays in the end) estimates
 the share of each kind and how often each rule votes against it. On good texts every rule errs
 in FALSE_ALARM of its votes, which is given: what it is against more often than that is a kind.
+Only a rule that is against more than MOST_JUNK of the texts it votes on errs more: junk is not the most.
 A text is kept by its posterior probability of being good instead of having to pass every rule.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ SYMBOLS = "#*$%&|<>"
 ITERATIONS = 15
 #: How often a rule's vote on a good text is wrong.
 FALSE_ALARM = 0.02
+#: The greatest share of junk: what a rule is against beyond it are good texts.
+MOST_JUNK = 0.5
 #: Where EM starts: the share of good texts, and how often a rule is against its own kind of junk and against others.
 START_GOOD, START_OWN, START_OTHER = 0.9, 0.9, 0.1
 #: What that start counts for, as a share of all rows, so that estimates are alike at every size.
@@ -103,11 +108,15 @@ def votes() -> Column:
     return F.array(*out)
 
 
-def start() -> list[list[float]]:
-    """The model where EM starts: for good texts, then for each kind of junk, how often each rule is against it; last, its share."""
+def start(wrong: list) -> list[list]:
+    """The model where EM starts, from how often each rule is wrong on good texts.
+
+    For good texts, then for each kind of junk: how often each rule is against it, and last its
+    share. A rule that is against most good texts is so against junk of other kinds too.
+    """
     n = len(RULES)
-    junk = [[START_OWN if r == k else START_OTHER for r in range(n)] + [(1 - START_GOOD) / n] for k in range(n)]
-    return [[FALSE_ALARM] * n + [START_GOOD], *junk]
+    junk = [[START_OWN if r == k else (START_OTHER, wrong[r]) for r in range(n)] + [(1 - START_GOOD) / n] for k in range(n)]
+    return [[*wrong, START_GOOD], *junk]
 
 
 def likelihoods(v: Column, model: Column) -> Column:
@@ -134,7 +143,19 @@ def estimate(patterns: DataFrame) -> DataFrame:
     """One row (model) by EM from (votes, n): counts of vote patterns."""
     packed = patterns.groupBy().agg(F.array_sort(F.collect_list(F.struct("votes", "n"))).alias("p"), F.sum("n").cast("double").alias("rows"))
     n, kinds = len(RULES), len(RULES) + 1
-    first = F.array(*(F.array(*map(F.lit, row)) for row in start()))
+
+
+    def times(test: Callable[[Column], Column], k: int) -> Column:
+        return F.aggregate("p", F.lit(0.0), lambda a, x: a + F.when(test(x["votes"][k]), x["n"].cast("double")).otherwise(0.0))
+
+    wrong = []
+    for k in range(n):
+        rate = F.try_divide(times(lambda v: v == -1, k), times(lambda v: v != 0, k))
+        wrong.append(F.greatest(F.lit(FALSE_ALARM), F.least(F.lit(1 - FALSE_ALARM), (rate - MOST_JUNK) / (1 - MOST_JUNK))))
+    packed = packed.withColumn("wrong", F.array(*wrong))
+    begun = start([F.col("wrong")[k] for k in range(n)])
+    packed = packed.withColumn("first", F.array(*(F.array(*(F.greatest(F.lit(x[0]), x[1]) if isinstance(x, tuple) else x if isinstance(x, Column) else F.lit(x) for x in row)) for row in begun)))
+    first = F.col("first")
     none = F.array(*(F.array(*(F.lit(0.0) for _ in range(2 * n + 1))) for _ in range(kinds)))
 
     def share(x: Column, model: Column) -> Column:
@@ -153,7 +174,7 @@ def estimate(patterns: DataFrame) -> DataFrame:
             return F.concat(rule, F.array((F.element_at(a, -1) + weight / kinds) / (F.col("rows") + weight)))
 
         new = F.zip_with(sums, first, estimated)
-        good = F.concat(F.array(*(F.lit(FALSE_ALARM) for _ in range(n))), F.slice(new[0], n + 1, 1))
+        good = F.concat("wrong", F.slice(new[0], n + 1, 1))
         return F.concat(F.array(good), F.slice(new, 2, n))
 
     return packed.select(F.aggregate(F.sequence(F.lit(1), F.lit(ITERATIONS)), first, step).alias("model"))
@@ -181,12 +202,13 @@ def oracle(table: str = "documents") -> str:
     names = ", ".join(f"v{i}" for i in k)
     likely = ", ".join(f"m{j} * " + " * ".join(f"CASE v{i} WHEN -1 THEN b{j}_{i} WHEN 1 THEN 1 - b{j}_{i} ELSE 1 END" for i in k) + f" AS l{j}" for j in kinds)
     whole = " + ".join(f"l{j}" for j in kinds)
-    begun = start()
-    first = ", ".join([*(f"{begun[j][-1]}::DOUBLE AS m{j}" for j in kinds), *(f"{begun[j][i]}::DOUBLE AS b{j}_{i}" for j in kinds for i in k)])
+    begun = [[f"greatest({x[0]}::DOUBLE, {x[1]})" if isinstance(x, tuple) else x if isinstance(x, str) else f"{x}::DOUBLE" for x in row] for row in start([f"b0_{i}" for i in k])]
+    wrong = ", ".join(f"greatest({FALSE_ALARM}::DOUBLE, least({1 - FALSE_ALARM}::DOUBLE, (sum(CASE WHEN v{i} = -1 THEN n ELSE 0 END) / nullif(sum(CASE WHEN v{i} <> 0 THEN n ELSE 0 END), 0) - {MOST_JUNK}::DOUBLE) / {1 - MOST_JUNK}::DOUBLE)) AS b0_{i}" for i in k)
+    first = ", ".join([*(f"{begun[j][-1]} AS m{j}" for j in kinds), *(f"b0_{i}" for i in k), *(f"{begun[j][i]} AS b{j}_{i}" for j in kinds[1:] for i in k)])
     weight = f"({START_WEIGHT}::DOUBLE * sum(n))"
 
     def against(j: int, i: int) -> str:
-        return f"{FALSE_ALARM}::DOUBLE" if j == 0 else f"(sum(CASE WHEN v{i} = -1 THEN n * l{j} / l ELSE 0 END) + {weight} * {begun[j][i]}::DOUBLE) / (sum(CASE WHEN v{i} <> 0 THEN n * l{j} / l ELSE 0 END) + {weight})"
+        return f"any_value(b0_{i})" if j == 0 else f"(sum(CASE WHEN v{i} = -1 THEN n * l{j} / l ELSE 0 END) + {weight} * any_value({begun[j][i]})) / (sum(CASE WHEN v{i} <> 0 THEN n * l{j} / l ELSE 0 END) + {weight})"
 
     then = ", ".join([*(f"(sum(n * l{j} / l) + {weight} / {len(kinds)}) / (sum(n) + {weight})" for j in kinds), *(against(j, i) for j in kinds for i in k)])
     return f"""
@@ -209,10 +231,10 @@ WITH RECURSIVE split AS (
 ), voted AS (SELECT *, {", ".join(vote)} FROM counted
 ), patterns AS (SELECT {names}, CAST(count(*) AS DOUBLE) AS n FROM voted GROUP BY ALL
 ), em AS (
-  SELECT 0 AS it, {first}
+  SELECT 0 AS it, {first} FROM (SELECT {wrong} FROM patterns)
   UNION ALL
   SELECT it + 1, {then}
-  FROM (SELECT *, {whole} AS l FROM (SELECT em.it, p.*, {likely} FROM em, patterns p WHERE em.it < {ITERATIONS})) GROUP BY it
+  FROM (SELECT *, {whole} AS l FROM (SELECT em.it, p.*, {', '.join(f'b0_{i}' for i in k)}, {likely} FROM em, patterns p WHERE em.it < {ITERATIONS})) GROUP BY it
 ), model AS (SELECT * FROM em WHERE it = {ITERATIONS})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
