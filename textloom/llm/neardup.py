@@ -21,7 +21,7 @@ different components is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -185,45 +185,8 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def compared(blocks: DataFrame, threshold: float, miss: float, percent: int | None = None) -> DataFrame:
-    """Pairs (a, b), a < b: spanning forests of the pairs that survive within each group.
-
-    blocks: KEYS, own, rep, comp, sig and, if ``percent`` is given, set. A group is the rows
-    of equal KEYS: one block of a bucket (i = j) or two. Pairs within one ``comp`` are left
-    out. Survivors of the signatures are verified on the sets if they are there.
-    """
-
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        group = [table.column(k).to_numpy() for k in range(4)]
-        block, rep, comp = (table.column(k).to_numpy() for k in (4, 5, 6))
-        sig = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(-1, HASHES)
-        sets = [np.frombuffer(x, np.uint64) for x in table.column(8).to_pylist()] if percent else []
-        change = np.ones(len(rep), bool)
-        change[1:] = np.logical_or.reduce([g[1:] != g[:-1] for g in group])
-        start = np.flatnonzero(change)
-        size = np.diff(np.append(start, len(rep)))
-        after = np.repeat(start + size, size) - np.arange(len(rep)) - 1
-        found = [[], [], []]
-        at = 0
-        while at < len(rep):  # in pieces of about 2^18 pairs
-            to = max(at + 1, int(np.searchsorted(np.cumsum(after[at:]), 1 << 18, "right")) + at)
-            left = np.repeat(np.arange(at, to), after[at:to])
-            right = ranges(np.arange(at, to) + 1, after[at:to])
-            # a pair within one block of several belongs to the group of that block alone
-            keep = (comp[left] != comp[right]) & ((group[2][left] == group[3][left]) | (block[left] != block[right]))
-            got = surviving_pairs(sig, left[keep], right[keep], threshold, miss)
-            if percent:
-                ok = np.array([100 * (c := common(sets[x], sets[y])) >= percent * (len(sets[x]) + len(sets[y]) - c) for x, y in zip(got[0], got[1], strict=True)], bool)
-                got = tuple(g[ok] for g in got)
-            for out, g in zip(found, got, strict=True):
-                out.append(g)
-            at = to
-        left, right, matches = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in found)
-        if len(left):
-            pick = spanning_forest(len(rep), left, right, matches)
-            left, right = left[pick], right[pick]
-        a, b = np.minimum(rep[left], rep[right]), np.maximum(rep[left], rep[right])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def by_groups(blocks: DataFrame, columns: list[str], function: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``function`` over the rows of ``blocks``, some whole groups (rows of equal KEYS) at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -238,14 +201,74 @@ def compared(blocks: DataFrame, threshold: float, miss: float, percent: int | No
                 whole = pa.Table.from_batches([*held, batch.slice(0, cut)])
                 held = []
                 if len(whole):
-                    yield pairs(whole)
+                    yield function(whole)
             held.append(batch.slice(cut))
         if held:
-            yield pairs(pa.Table.from_batches(held))
+            yield function(pa.Table.from_batches(held))
+
+    spread = blocks.repartition(*KEYS).sortWithinPartitions(*KEYS, "rep").select(*KEYS, *columns)
+    return spread.mapInArrow(run, schema)
+
+
+def survivors(table: pa.Table, threshold: float, miss: float, percent: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of whole groups (KEYS, own, rep, comp, sig, and set with ``percent``) that survive, and their matches."""
+    group = [table.column(k).to_numpy() for k in range(4)]
+    block, rep, comp = (table.column(k).to_numpy() for k in (4, 5, 6))
+    sig = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(-1, HASHES)
+    sets = [np.frombuffer(x, np.uint64) for x in table.column(8).to_pylist()] if percent else []
+    change = np.ones(len(rep), bool)
+    change[1:] = np.logical_or.reduce([g[1:] != g[:-1] for g in group])
+    start = np.flatnonzero(change)
+    size = np.diff(np.append(start, len(rep)))
+    after = np.repeat(start + size, size) - np.arange(len(rep)) - 1
+    found = [[], [], []]
+    at = 0
+    while at < len(rep):  # in pieces of about 2^18 pairs
+        to = max(at + 1, int(np.searchsorted(np.cumsum(after[at:]), 1 << 18, "right")) + at)
+        left = np.repeat(np.arange(at, to), after[at:to])
+        right = ranges(np.arange(at, to) + 1, after[at:to])
+        # a pair within one block of several belongs to the group of that block alone
+        keep = (comp[left] != comp[right]) & ((group[2][left] == group[3][left]) | (block[left] != block[right]))
+        got = surviving_pairs(sig, left[keep], right[keep], threshold, miss)
+        if percent:
+            ok = np.array([100 * (c := common(sets[x], sets[y])) >= percent * (len(sets[x]) + len(sets[y]) - c) for x, y in zip(got[0], got[1], strict=True)], bool)
+            got = tuple(g[ok] for g in got)
+        for out, g in zip(found, got, strict=True):
+            out.append(g)
+        at = to
+    return tuple(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in found)
+
+
+def compared(blocks: DataFrame, threshold: float, miss: float, percent: int | None = None) -> DataFrame:
+    """Pairs (a, b), a < b: spanning forests of the pairs that survive within each group.
+
+    blocks: KEYS, own, rep, comp, sig and, if ``percent`` is given, set. A group is the rows
+    of equal KEYS: one block of a bucket (i = j) or two. Pairs within one ``comp`` are left
+    out. Survivors of the signatures are verified on the sets if they are there.
+    """
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        rep = table.column(5).to_numpy()
+        left, right, matches = survivors(table, threshold, miss, percent)
+        if len(left):
+            pick = spanning_forest(len(rep), left, right, matches)
+            left, right = left[pick], right[pick]
+        a, b = np.minimum(rep[left], rep[right]), np.maximum(rep[left], rep[right])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return by_groups(blocks, ["own", "rep", "comp", "sig", *(["set"] if percent else [])], pairs, "a long, b long").distinct()
+
+
+def met(blocks: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """The rows of ``blocks`` (KEYS, own, rep, comp) that survive with another by their signatures: only these need their sets."""
+
+    def rows(table: pa.Table) -> pa.RecordBatch:
+        left, right, _ = survivors(table, threshold, miss)
+        some = table.select([*KEYS, "own", "rep", "comp"]).take(pa.array(np.union1d(left, right), pa.int64())).combine_chunks()
+        return some.to_batches()[0] if len(some) else pa.RecordBatch.from_pylist([], some.schema)
 
-    columns = [*KEYS, "own", "rep", "comp", "sig", *(["set"] if percent else [])]
-    spread = blocks.repartition(*KEYS).sortWithinPartitions(*KEYS, "rep").select(*columns)
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    types = dict(blocks.dtypes)
+    return by_groups(blocks, ["own", "rep", "comp", "sig"], rows, ", ".join(f"{c} {types[c]}" for c in (*KEYS, "own", "rep", "comp")))
 
 
 def bucket_blocks(buckets: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -287,22 +310,24 @@ def sub_keys(sig: Column, threshold: float, miss: float) -> Column:
     return F.arrow_udf(run, "array<long>")(sig)
 
 
-def narrow_groups(buckets: DataFrame, sigs: DataFrame, near: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """(band, key, comp, rep): narrow buckets of the members of large buckets that hold several components of ``near``.
+def narrow_groups(buckets: DataFrame, sigs: DataFrame, near: DataFrame, threshold: float, miss: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(band, key, comp, rep), and the tables that it reads: narrow buckets of the members of large buckets that hold several components of ``near``.
 
     A member is in as many as there are narrow bands. While these hold fewer than BLOCK
     different pages the rows grow with the members; beyond that, with pairs of blocks.
     """
     hot = buckets.where(F.col("size") > BLOCK).select("rep").distinct()
-    joined = smallest_reachable(near).withColumnsRenamed({"node": "rep", "component": "comp"})
+    labels = smallest_reachable(near)
+    joined = labels.withColumnsRenamed({"node": "rep", "component": "comp"})
     keys = sigs.join(hot.hint("merge"), "rep").select("rep", F.posexplode(sub_keys(F.col("sig"), threshold, miss)).alias("band", "key"))
     rows = materialize(keys.join(joined.hint("merge"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "narrow")
     mixed = rows.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band", "key")
-    return rows.join(mixed.hint("merge"), ["band", "key"]).select("band", "key", "comp", "rep")
+    discard(labels)
+    return rows.join(mixed.hint("merge"), ["band", "key"]).select("band", "key", "comp", "rep"), [rows]
 
 
-def component_blocks(members: DataFrame) -> DataFrame:
-    """Groups of the components that share a (band, key): (KEYS, own, rep, comp) from (band, key, comp, rep).
+def component_blocks(members: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Groups of the components that share a (band, key): (KEYS, own, rep, comp) from (band, key, comp, rep), and the tables that they read.
 
     A component larger than BLOCK has blocks of its own, which are not compared with each
     other; smaller ones share blocks. So a group that is one component needs nothing, and
@@ -321,7 +346,7 @@ def component_blocks(members: DataFrame) -> DataFrame:
     rows = rows.select(*by, "comp", "rep", own.alias("own"), low.alias("low"), (low + F.col("parts")).alias("high"), (F.col("shared") + F.col("own_blocks")).alias("total"))
     others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda x: F.coalesce((x < F.col("low")) | (x >= F.col("high")), F.lit(True)))
     rows = rows.select(*by, "comp", "rep", "own", F.explode(others).alias("other"))
-    return rows.select(*by, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp")
+    return rows.select(*by, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp"), [sizes]
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -365,21 +390,26 @@ def components(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", per
     sigs = materialize(reps.select("rep", "sig").join(members.hint("merge"), "rep"), "signatures")
     sets = materialize(shingle_table(rows.join(members.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")), "sets")
 
-    near = materialize(compared(bucket_blocks(buckets, sigs), threshold, miss), "near")
-    apart = component_blocks(narrow_groups(buckets, sigs, near, threshold, miss)).join(sigs.hint("merge"), "rep")
-    near = materialize(near.unionAll(compared(apart, threshold, miss)).distinct(), "near")
+    first = materialize(compared(bucket_blocks(buckets, sigs), threshold, miss), "near")
+    narrow, read = narrow_groups(buckets, sigs, first, threshold, miss)
+    apart, also = component_blocks(narrow)
+    near = materialize(first.unionAll(compared(apart.join(sigs.hint("merge"), "rep"), threshold, miss)).distinct(), "near")
+    discard(buckets, first, *read, *also)
     links = materialize(verified(near, sets, percent), "links")
-    clusters = smallest_reachable(near).withColumnRenamed("component", "super").withColumnRenamed("node", "rep")
-    found = smallest_reachable(links).withColumnRenamed("node", "rep")
-    parts = materialize(clusters.join(found, "rep", "left").select("super", F.coalesce("component", "rep").alias("comp"), "rep"), "parts")
-    again = component_blocks(parts.select(F.lit(0).alias("band"), F.col("super").alias("key"), "comp", "rep")).join(sigs.hint("merge"), "rep").join(sets.hint("merge"), "rep")
-    more = materialize(compared(again, threshold, miss, percent), "links")
+    clusters, found = smallest_reachable(near), smallest_reachable(links)
+    named = clusters.withColumnRenamed("component", "super").withColumnRenamed("node", "rep")
+    parts = materialize(named.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("super", F.coalesce("component", "rep").alias("comp"), "rep"), "parts")
+    discard(near, clusters, found)
+    again, read = component_blocks(parts.select(F.lit(0).alias("band"), F.col("super").alias("key"), "comp", "rep"))
+    # signatures by themselves first; sets go to the rows that are left
+    some = materialize(met(again.join(sigs.hint("merge"), "rep"), threshold, miss), "met")
+    more = materialize(compared(some.join(sigs.hint("merge"), "rep").join(sets.hint("merge"), "rep"), threshold, miss, percent), "links")
     found = smallest_reachable(links.unionAll(more))
 
     labelled = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     labelled = materialize(labelled, "labelled")
     out = spread_join(prints.select("doc_id", "n", "h1", "h2"), labelled, ["h1", "h2"], copied, "left")
-    discard(reps, buckets, sigs, sets, near, links, parts, more)
+    discard(reps, sigs, sets, links, parts, some, more, found, *read)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
