@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, decontaminate, langid, neardup, secrets
@@ -30,13 +30,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep one document, that of the smallest id, of each group of similarity 0.8 or more.
 
     Null texts and texts without words are alike to nothing and stay, as do rows without an
-    id. Of rows of one id one stays.
+    id. Of rows of one id one stays, the first by text, lang, source and n_chars.
     """
     dropped = neardup.components(docs, percent=80).where("not kept").select("doc_id").distinct()
     kept = docs.join(dropped.hint("merge"), "doc_id", "left_anti")
     # the join has the rows by id already, so this sorts but does not shuffle; rows without an id stay apart
     apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return kept.withColumn("__apart", apart).dropDuplicates(["doc_id", "__apart"]).select(*docs.columns)
+    first = Window.partitionBy("doc_id", "__apart").orderBy("text", "lang", "source", "n_chars")
+    return kept.withColumn("__apart", apart).withColumn("__place", F.row_number().over(first)).where("__place = 1").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
