@@ -8,6 +8,7 @@ Spark runs array functions within a row; the SQL runs windows over exploded line
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -692,6 +693,14 @@ def posts_with_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.posts_with_tags(*blog(spark, sf_dir), dedup_tags=True)
 
 
+@query("posts_with_tags_stored", _blog_sql("SELECT p_partkey, p_name FROM part SEMI JOIN lineitem ON l_partkey = p_partkey"))
+def posts_with_tags_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from bucketed tables, without shuffles of users, posts and bridge."""
+    name = f"blog_{uuid4().hex}"
+    relational.store(*blog(spark, sf_dir), name, 2 * spark.sparkContext.defaultParallelism)
+    return relational.stored_posts_with_tags(spark, name, dedup_tags=True)
+
+
 @query("posts_in_order", "SELECT *, row_number() OVER (ORDER BY user_id, post_id, tag_id NULLS FIRST) AS n FROM (" + _blog_sql("SELECT p_partkey, p_name FROM part SEMI JOIN lineitem ON l_partkey = p_partkey") + ")")
 def posts_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_order(relational.ordered(relational.posts_with_tags(*blog(spark, sf_dir), dedup_tags=True)))
