@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.operators import segment
 
@@ -60,3 +61,49 @@ def test_long_texts_take_seconds(unit):
     start = time.time()
     segment.punctuation_lines(unit * (1_000_000 // len(unit)), 50)
     assert time.time() - start < 10
+
+
+PLAIN = {
+    "punctuation": (lambda t: segment.punctuation_lines(t, 50), lambda c: segment.split_punctuation(c, 50)),
+    "natural": (segment.natural_chunks, segment.split_naturally),
+    "bounded": (segment.bounded_chunks, segment.split_bounded),
+    "hard": (lambda t: segment.bounded_chunks(t, 60, 25), lambda c: segment.split_bounded(c, 60, 25)),
+}
+
+
+def texts():
+    rng = random.Random(5)
+    marks = ["あ", "い ", "漢字", "。", "！", "、", "から", "ので", "が、", "しかし", "けれど", "\n", "そして", "x" * 9, "\u3000", "長い文章が続いていく", "\U0001f9ff"]
+    out = ["".join(rng.choice(marks) for _ in range(rng.randrange(120))) for _ in range(800)]
+    return [*out, *(t.replace("、", "") for t in out[:300]), "", " ", "。", "。。\n。", "、" * 300, "あ" * 500, None]
+
+
+@pytest.mark.parametrize("name", PLAIN)
+def test_columns_are_the_plain_functions(spark, name):
+    plain, column = PLAIN[name]
+    rows = list(enumerate(texts()))
+    df = spark.createDataFrame(rows, "k int, text string").select("k", column("text").alias("out"))
+    got = {r["k"]: r["out"] for r in df.collect()}
+    assert got == {k: None if t is None else plain(t) for k, t in rows}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+
+
+def test_semantic_breaks_are_the_rule(spark):
+    rows = [(k, t) for k, t in enumerate(texts()) if t]
+    marked = spark.createDataFrame(rows, "k int, text string").select("k", segment.semantic_breaks("text").alias("out"))
+    assert "Arrow" not in marked._jdf.queryExecution().executedPlan().toString()
+    assert segment.break_long_clauses("あ、" + "い" * 25 + "、う") == "あ、\n" + "い" * 25 + "、\nう"
+    text = "0123456789ab、" + "c" * 22 + "、0123456789、" + "q" * 30 + "、zzzzzzzzzzzz"
+    broken = [x for x in segment.break_long_clauses(text).split("\n")]
+    got = spark.createDataFrame([(text,)], "t string").select(segment.semantic_breaks("t")).first()[0]
+    assert got.split("\n") == broken  # no line is short, no particle in it
+
+
+@pytest.mark.parametrize("name", PLAIN)
+def test_columns_on_a_megabyte(spark, name):
+    unit = "あ" * 30 + "、" + "い" * 30 + "から" + "う" * 20 + "。短い。"
+    df = spark.createDataFrame([(unit * (1_000_000 // len(unit)),)], "text string")
+    start = time.time()
+    assert df.select(F.length(F.to_json(F.array(PLAIN[name][1]("text")))).alias("n")).first()["n"] > 900_000
+    assert time.time() - start < 30

@@ -1,7 +1,8 @@
 """Segmentation: sentences, length-bounded chunks, semantic breaks.
 
-The packers carry a state along a text, which no built-in function does in linear time;
-they are small Arrow functions over one column. Everything else is built in.
+Each packer is here twice: as a plain function of one text, which says what it does, and as a
+column of built-in functions. A column's packer folds over the pieces of a text; what is held
+and the lines that are done are the state, and nothing leaves the JVM.
 """
 
 from __future__ import annotations
@@ -9,7 +10,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,32 +121,108 @@ def break_long_clauses(text: str) -> str:
     return LONG_CLAUSE.sub(lambda m: m[0].replace(COMMA, COMMA + "\n"), text)
 
 
-def _arrow(function: Callable, kind: str, arrow_type: pa.DataType) -> Callable[[str | Column], Column]:
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else function(t) for t in column.to_pylist()], arrow_type)
+#: Lines that a fold gathers before it lays them aside; so it copies a bounded number for each piece.
+GATHERED = 256
 
-    return lambda c: F.arrow_udf(run, kind)(X.col(c))
+
+def _fold(pieces: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Lines of a fold over pieces: ``step(held, piece)`` is a struct of lines that are done, and of what is held.
+
+    What is held at the end is the last line. Built in, and linear but for what is held: lines
+    are gathered in parts of GATHERED.
+    """
+    none = F.array().cast("array<string>")
+
+    def add(state: Column, piece: Column) -> Column:
+        # the lines of a step join the others in the next one: a function would copy what it is given
+        part = F.concat(state["part"], state["last"]["done"])
+        whole = F.size(state["part"]) + F.size(state["last"]["done"]) >= GATHERED
+        full = F.when(whole, F.concat(state["full"], F.array(part))).otherwise(state["full"])
+        return F.struct(step(state["last"]["held"], piece).alias("last"), F.when(whole, none).otherwise(part).alias("part"), full.alias("full"))
+
+    start = F.struct(_state(none, F.lit("")).alias("last"), none.alias("part"), F.array().cast("array<array<string>>").alias("full"))
+    return F.aggregate(pieces, start, add, lambda s: F.concat(F.flatten(s["full"]), s["part"], s["last"]["done"], F.array(s["last"]["held"])))
+
+
+def _state(done: Column, held: Column) -> Column:
+    return F.struct(done.alias("done"), held.alias("held"))
+
+
+def _packed(pieces: Column, limit: int) -> Column:
+    """:func:`pack` of an array of pieces."""
+    none = F.array().cast("array<string>")
+
+    def step(held: Column, piece: Column) -> Column:
+        fits = F.length(held) + F.length(piece) <= limit
+        return F.when(fits, _state(none, F.concat(held, piece))).otherwise(_state(F.when(held == "", none).otherwise(F.array(held)), piece))
+
+    return F.filter(_fold(pieces, step), lambda x: x != "")
+
+
+def _sentences(text: Column) -> Column:
+    return F.split(text, f"(?<=[{ENDS}])", -1)
+
+
+def _by_commas(text: Column) -> Column:
+    return F.split(text, f"(?<={COMMA})", -1)
 
 
 def split_punctuation(c: str | Column, limit: int = 50) -> Column:
-    """X6 of a column; null stays null."""
-    return _arrow(lambda t: punctuation_lines(t, limit), "string", pa.string())(c)
+    """X6 of a column, as :func:`punctuation_lines` has it; null stays null."""
+    none = F.array().cast("array<string>")
+
+    def step(held: Column, piece: Column) -> Column:
+        def made(h: Column) -> Column:
+            nothing = F.lit("")
+            cut = F.coalesce(*(F.when(F.contains(h, F.lit(x)), F.locate(x, h) + len(x) - 1) for x in CUTS))
+            behind = X.let(cut, lambda k: F.when(k.isNull(), _state(F.array(h), nothing)).otherwise(_state(F.array(F.substring(h, F.lit(1), k)), F.substring(h, k + 1, F.length(h)))))
+            ended = F.substring(h, -1, 1).isin(*ENDS)
+            return (
+                F.when((F.length(h) > limit) & F.contains(h, F.lit(COMMA)), _state(_packed(_by_commas(h), limit), nothing))
+                .when(F.length(h) > limit, behind)
+                .when(ended, _state(F.array(h), nothing))
+                .otherwise(_state(none, h))
+            )
+
+        return X.let(F.concat(held, piece), made)
+
+    full = F.filter(F.transform(_fold(_sentences(X.col(c)), step), X.strip), lambda x: x != "")
+    spaced = F.transform(full, lambda x: F.when(x.endswith("。") & (F.length(x) > 30), F.array(x, F.lit(""))).otherwise(F.array(x)))
+    return F.array_join(F.flatten(spaced), "\n")
 
 
 def split_naturally(c: str | Column, limit: int = 150, least: int = 20) -> Column:
-    """X11 of a column: array of chunks."""
-    return _arrow(lambda t: natural_chunks(t, limit, least), "array<string>", pa.list_(pa.string()))(c)
+    """X11 of a column, as :func:`natural_chunks` has it: array of chunks; null stays null."""
+    none = F.array().cast("array<string>")
+
+    def step(held: Column, piece: Column) -> Column:
+        joins = (held == "") | ((F.length(piece) < least) & (F.length(held) + F.length(piece) <= limit))
+        return F.when(joins, _state(none, F.concat(held, piece))).otherwise(_state(F.array(held), piece))
+
+    full = F.filter(F.transform(_sentences(X.col(c)), X.strip), lambda x: x != "")
+    cut = F.transform(full, lambda x: F.when(F.length(x) <= limit, F.array(x)).otherwise(_packed(_by_commas(x), limit)))
+    return F.filter(_fold(F.flatten(cut), step), lambda x: x != "")
 
 
 def split_bounded(c: str | Column, limit: int = 200, hard_limit: int | None = None) -> Column:
-    """X12 of a column: array of chunks."""
-    return _arrow(lambda t: bounded_chunks(t, limit, hard_limit), "array<string>", pa.list_(pa.string()))(c)
+    """X12 of a column, as :func:`bounded_chunks` has it: array of chunks; null stays null."""
+    text = X.col(c)
+    pieces = F.transform(F.filter(F.split(text, f"[{ENDS}\n]", -1), lambda x: ~X.is_blank(x)), lambda x: F.concat(x, F.lit("。")))
+    out = _packed(pieces, limit)
+    if hard_limit:
+        out = F.flatten(F.transform(out, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / hard_limit).cast("int")), lambda k: F.substring(x, k * hard_limit + 1, F.lit(hard_limit)))))
+    return F.when(F.length(text) <= limit, F.array(text)).otherwise(out)
 
 
 def semantic_breaks(c: str | Column) -> Column:
     """X8. Newlines behind particles, modifiers and polite endings, and in long clauses; then W9."""
-    text = X.chain(X.col(c), [(r, "$1\n") for r in (AFTER_PARTICLE, AFTER_MODIFIER, AFTER_POLITE)])
-    text = _arrow(break_long_clauses, "string", pa.string())(text)
+
+    def broken(text: Column) -> Column:
+        """Fourth rule, as :func:`break_long_clauses` has it: what lies between long clauses, and these with their breaks."""
+        between, clauses = F.split(text, LONG_CLAUSE.pattern, -1), F.regexp_extract_all(text, F.lit(LONG_CLAUSE.pattern), F.lit(0))
+        return F.array_join(F.zip_with(between, clauses, lambda x, y: F.concat(x, F.coalesce(F.replace(y, F.lit(COMMA), F.lit(COMMA + "\n")), F.lit("")))), "")
+
+    text = X.let(X.chain(X.col(c), [(r, "$1\n") for r in (AFTER_PARTICLE, AFTER_MODIFIER, AFTER_POLITE)]), broken)
     return L.merge_short(F.split(F.regexp_replace(text, r"\n{3,}", "\n\n"), "\n"))
 
 
