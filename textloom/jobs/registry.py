@@ -304,6 +304,23 @@ def drop_preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", L.drop_preamble(file).alias("text"))
 
 
+_SHORT = f"'PDFファイル: ' || source || {NL} || '- no rule' || {NL} || '= ' || doc_id || {NL} || coalesce(text, '') || {NL} || CASE WHEN doc_id % 3 = 0 THEN 'ページ番号: 2' || {NL} || 'dropped' || {NL} || '=' || {NL} || '= kept' ELSE '==' END"
+
+
+@query(
+    "drop_preamble_one_sign",
+    f"""WITH files AS (SELECT doc_id, {_SHORT} AS text FROM documents), lines AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, {NL}) AS ls FROM files)),
+  marked AS (SELECT *, CASE WHEN starts_with(line, 'PDFファイル:') OR starts_with(line, 'ページ番号:') THEN 'S' WHEN starts_with(line, '=') THEN 'E' END AS m FROM lines),
+  state AS (SELECT *, last_value(m IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS st FROM marked)
+SELECT f.doc_id, coalesce(t, '') AS text FROM files f LEFT JOIN (SELECT doc_id, string_agg(line, {NL} ORDER BY no) AS t FROM state WHERE m IS DISTINCT FROM 'S' AND st IS DISTINCT FROM 'S' GROUP BY 1) USING (doc_id)""",
+)
+def drop_preamble_one_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P3 with a rule of one sign; a rule outside a preamble is kept."""
+    end = F.when(F.col("doc_id") % 3 == 0, "ページ番号: 2\ndropped\n=\n= kept").otherwise("==")
+    file = F.concat(F.lit("PDFファイル: "), "source", F.lit("\n- no rule\n= "), F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n"), end)
+    return documents(spark, sf_dir).select("doc_id", L.drop_preamble(file, rule=1).alias("text"))
+
+
 # ---- scalar functions, through the lens
 
 
@@ -774,9 +791,12 @@ def narration_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return narration.requests(asked(chunks), narration.catalogue(speakers(spark, sf_dir)))
 
 
-def narrated(spark: SparkSession, sf_dir: str, chunks: Callable[[Column], Column]) -> DataFrame:
+def narrated(spark: SparkSession, sf_dir: str, chunks: Callable[[Column], Column], preamble: bool = False) -> DataFrame:
     """Narration job: preamble off, hybrid format, blank lines off, chunks, requests."""
     pages = framed(spark, sf_dir, japanese(F.col("text")))
+    if preamble:
+        head = F.concat(F.lit("PDFファイル: "), "corpus_id", F.lit("\nページ番号: "), F.col("page_num").cast("string"), F.lit("\n==========\n"))
+        pages = pages.withColumn("text", F.concat(head, "text"))
     pages = pages.withColumn("text", segment.format_text("text", "hybrid"))
     pages = cleaning.where_made(pages.withColumn("text", L.drop_preamble("text", drop_blank=True)), ~X.is_blank("text"))
     parts = segment.chunk_table(pages, chunks(F.col("text")))
@@ -784,7 +804,7 @@ def narrated(spark: SparkSession, sf_dir: str, chunks: Callable[[Column], Column
 
 
 def sql_narrated(chunks: Callable[[str], str]) -> str:
-    """Framed pages through X19 (hybrid), blank lines off, cut into chunks. No page has preamble lines."""
+    """Framed pages through X19 (hybrid), blank lines off, cut into chunks. Preamble lines, where pages have them, go first."""
     pages = f"(SELECT source AS corpus_id, doc_id AS page_num, 'Header ' || source || {NL} || {LENS} || {NL} || doc_id AS text FROM documents)"
     hybrid = f"SELECT corpus_id, page_num, {sql_x6(sql_x3('text'), 45)} AS text FROM ({sql_x4('(' + sql_x4(pages) + ')')})"
     full = f"SELECT corpus_id, page_num, array_to_string(list_filter(string_split(text, {NL}), lambda z: {sql_strip('z')} <> ''), {NL}) AS text FROM ({hybrid})"
@@ -799,3 +819,9 @@ def narration_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("narration_natural", sql_narrated(sql_x11))
 def narration_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
     return narrated(spark, sf_dir, segment.split_naturally)
+
+
+@query("narration_page_files", sql_narrated(sql_x11))
+def narration_page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests from pages that begin with the preamble of a page file, which the chain takes off."""
+    return narrated(spark, sf_dir, segment.split_naturally, preamble=True)
