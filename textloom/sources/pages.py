@@ -13,6 +13,8 @@ from textloom.sources.shared import materialize
 
 #: Page numbers of one part of a document.
 PAGES_IN_PART = 64
+#: Splits of a folder of files that one task reads.
+SPLITS_IN_TASK = 32
 
 
 def read_pages(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
@@ -21,18 +23,29 @@ def read_pages(spark: SparkSession, folder: str, pattern: str = "*.txt") -> Data
     page_num is the number in ``page_<n>``, else the file's place by name (null at read; see
     :func:`with_places`). Newlines are normalised as text readers do.
     """
-    raw = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=False)
+    raw = _few_tasks(spark.read.text(folder, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=False))
     name = F.col("_metadata.file_name")
     number = F.regexp_extract(name, r"page_(\d+)", 1)
     corpus = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1)
     return raw.select(corpus.alias("corpus_id"), F.when(number != "", number.cast("int")).alias("page_num"), name.alias("file_name"), X.newlines("value").alias("text"))
 
 
+def _few_tasks(files: DataFrame) -> DataFrame:
+    """A scan of small files over fewer tasks: a split has few of them, one at worst, since Spark adds a cost for each.
+
+    Up to SPLITS_IN_TASK splits make a task, while there are tasks enough for all cores.
+    """
+    splits = files.rdd.getNumPartitions()
+    return files.coalesce(max(8 * files.sparkSession.sparkContext.defaultParallelism, splits // SPLITS_IN_TASK))
+
+
 def with_places(pages: DataFrame) -> DataFrame:
     """O5. Pages without a number get their place by file name within the corpus.
 
-    Only names are sorted; no task has a corpus of texts.
+    Only names are sorted; no task has a corpus of texts. The pages are written once, so that each
+    file is opened once, not again for the names and for the bounds of their sort.
     """
+    pages = materialize(pages, "pages")
     places = tabular.numbered(pages.select("corpus_id", "file_name"), ("file_name",), "place", within=("corpus_id",))
     return pages.join(places, ["corpus_id", "file_name"]).withColumn("page_num", F.coalesce("page_num", F.col("place").cast("int"))).drop("place").select(*pages.columns)
 
